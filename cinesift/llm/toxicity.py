@@ -90,12 +90,14 @@ class Reader:
         ]
 
 
-def learn_stems(docs: DataFrame, chosen: DataFrame, least: int = 4, most: int = 500) -> dict[bytes, float]:
+def learn_stems(docs: DataFrame, chosen: DataFrame, evidence: float = 20.0, most: int = 500) -> dict[bytes, float]:
     """Word prefixes that mark label 1, with the log of how much likelier they make it.
 
     chosen: a bounded number of rows doc_id, label, so it is broadcast. Counts are
-    of documents, summed in each task first. Of the prefixes found in `least` or
-    more documents of label 1, the `most` with the greatest weight stay.
+    of documents, summed in each task first. A prefix must be found with label 1 far
+    more often than chance allows: its documents times the divergence of their share
+    of 1s from that of all must exceed `evidence`, which, of millions of prefixes that
+    mean nothing, about none does. Of those, the `most` with the greatest weight stay.
     """
 
     def make():
@@ -124,7 +126,9 @@ def learn_stems(docs: DataFrame, chosen: DataFrame, least: int = 4, most: int =
         return {}
     counts = map_batches(rows, make, "stem binary, ones long, zeros long", rows=2_000).groupBy("stem").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     weight = F.log(((F.col("ones") + 0.5) / (n1 + 1)) / ((F.col("zeros") + 0.5) / (n0 + 1)))
-    found = counts.where(F.col("ones") >= least).withColumn("weight", weight).where((F.col("weight") > 2.0) & (F.col("zeros") * 20 <= F.col("ones")))
+    p, n = n1 / (n1 + n0), F.col("ones") + F.col("zeros")
+    part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / n / q)).otherwise(0.0)
+    found = counts.where(part("ones", p) + part("zeros", 1 - p) > evidence).withColumn("weight", weight).where("weight > 2.0 and zeros * 20 <= ones")
     top = found.orderBy(F.desc("weight"), F.length("stem"), "stem").limit(most).collect()
     return {bytes(r["stem"]): float(r["weight"]) for r in top}
 

@@ -64,6 +64,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return with_arrays(docs, make, BASE)
 
 
+def failed(n_words, n_repeat_words):
+    """The base rules, over columns of pandas or of Spark."""
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+
+
 def rules(x) -> np.ndarray:
     """RULES of the rows of a pandas frame with the columns of BASE."""
     n, chars = np.maximum(x["n_words"].to_numpy(float), 1), np.maximum(x["word_chars"].to_numpy(float), 1)
@@ -92,14 +97,21 @@ class IsolationForest:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 11) -> IsolationForest:
+    def fit(cls, x: np.ndarray, rare: np.ndarray | None = None, trees: int = 200, sample: int = 256, share: float = 0.02, seed: int = 11) -> IsolationForest:
+        """rare: rows of which each tree gets a share of its sample. Splits are drawn
+        between the values that a tree has seen, so a rule that no ordinary row breaks
+        is split on only where some row that breaks it is seen."""
         rng = np.random.default_rng(seed)
-        sample = min(sample, len(x))
+        some = 0 if rare is None else min(len(rare), max(1, round(share * sample)))
+        sample = min(sample - some, len(x)) + some
         limit = int(np.ceil(np.log2(max(sample, 2)))) + 2
         made = []
         for _ in range(trees):
             nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
-            todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0)]
+            drawn = x[rng.choice(len(x), sample - some, replace=False)]
+            if some:
+                drawn = np.vstack([drawn, rare[rng.choice(len(rare), some, replace=False)]])
+            todo = [(0, drawn, 0)]
             while todo:
                 at, rows, depth = todo.pop()
                 low, high = (rows.min(0), rows.max(0)) if len(rows) else (0, 0)
@@ -128,7 +140,7 @@ class IsolationForest:
             total += path[at]
         return 2.0 ** (-total / max(len(self.trees), 1) / self.scale)
 
-    def calibrate(self, score: np.ndarray, good: np.ndarray, most_lost: float = 0.005) -> None:
+    def calibrate(self, score: np.ndarray, good: np.ndarray, most_lost: float = 0.003) -> None:
         """The threshold above which a row is anomalous: of those that lose at most
         `most_lost` of the good rows, the one with the best share of bad rows found
         less share of good rows lost."""
@@ -147,15 +159,17 @@ class IsolationForest:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> IsolationForest:
     """A forest over at most about `bound` labelled rows (chosen by a hash of their
-    id), with its threshold from their labels. Random splits separate what is rare,
-    so they are drawn from rows labelled good, when there are any."""
+    id) that the base rules pass, with its threshold from their labels. A tree sees mostly rows labelled good,
+    and a few others, as a forest expects of anomalies."""
     chosen = chosen_labels(labels, "quality", bound)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text").toPandas()
     if not len(rows):
         return IsolationForest([], 1.0, 2.0)
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = rows[~failed(rows["n_words"], rows["n_repeat_words"])].sort_values("doc_id", kind="stable")
+    if not len(rows):
+        return IsolationForest([], 1.0, 2.0)
     x, good = rules(rows), rows["label"].to_numpy(float) > 0
-    forest = IsolationForest.fit(x[good] if good.any() else x)
+    forest = IsolationForest.fit(x[good], x[~good]) if good.any() and not good.all() else IsolationForest.fit(x)
     forest.calibrate(forest.score(x), good)
     return forest
 
@@ -180,6 +194,6 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
         return f
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in stats.dtypes)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = map_batches(stats, make, f"{kinds}, anomaly double", rows=20_000).withColumn("base_failed", failed)
+    base = failed(F.col("n_words"), F.col("n_repeat_words"))
+    out = map_batches(stats, make, f"{kinds}, anomaly double", rows=20_000).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < forest.threshold))

@@ -7,8 +7,9 @@ import dataclasses
 import os
 import sys
 
-from . import backends, config, reports, trainers
-from .operators import captions, pairing, video_spec
+from . import backends, config, manifests, reports, trainers
+from .lineage import materialize
+from .operators import captions, pairing, triage, video_spec
 from .plans import commands
 from .session import build_session
 
@@ -40,6 +41,12 @@ def parser() -> argparse.ArgumentParser:
     ext = add("extract", "one reference picture for each clip", out=True)
     ext.add_argument("--strategy", choices=("first_frame", "best_frame"), default="first_frame")
     ext.add_argument("--overwrite", action="store_true")
+    tri = add("triage", "clips against reference pictures", out=True)
+    tri.add_argument("--concepts-dir", required=True)
+    tri.add_argument("--threshold", type=float, default=0.70)
+    tri.add_argument("--organize", action="store_true")
+    ing = add("ingest", "cut long videos into clips", out=True)
+    ing.add_argument("--triage", help="a manifest of scenes; only included ones are cut")
     val = add("validate", "completeness and quality of a dataset")
     org = add("organize", "lay out the valid samples of a dataset", out=True)
     for c in (val, org):
@@ -94,6 +101,18 @@ def run(args: argparse.Namespace) -> int:
     elif args.command == "extract":
         rows = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite)
         print(reports.section("References", commands.media.execute(rows.where("not skipped and error is null")).groupBy("success").count()))
+    elif args.command == "triage":
+        frames = commands.sampled_frames(spark, args.folder, os.path.join(args.output, "frames"))
+        rows = materialize(commands.triage_folder(spark, args.folder, args.concepts_dir, frames, backends.HashEmbeddings, args.threshold), "triage")
+        print(reports.section("Clips", triage.report(rows)))
+        manifests.triage_manifest(rows, "clip").write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+        if args.organize:
+            print(reports.section("Files", commands.organize.transfer(commands.routes(rows, args.output)).groupBy("success").count()))
+    elif args.command == "ingest":
+        videos = materialize(commands.probe.parse(commands.probe.run(commands.listing.clips(spark, args.folder))).where("error is null").select("path", "duration"), "videos")
+        kept = manifests.read_scene_manifest(spark, args.triage) if args.triage else None
+        plan = commands.ingest(videos, spark.createDataFrame([], "video string, t double"), args.output, conf.video, kept)
+        print(reports.section("Clips", commands.media.execute(plan).groupBy("success").count()))
     else:
         samples, orphans = commands.validate(spark, conf)
         counts = pairing.counts(samples, "source")

@@ -84,3 +84,16 @@ def selections(spark: SparkSession, path: str) -> DataFrame:
     """file, frame, auto from a JSON object of file names."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<frame:int,auto:boolean>>").alias("m"))
     return rows.select(F.explode("m").alias("file", "pick")).select("file", "pick.frame", F.coalesce("pick.auto", F.lit(False)).alias("auto"))
+
+
+def selection_template(files: DataFrame) -> DataFrame:
+    """One row, template: a JSON object of the clips' names, each to be picked at frame 0
+    until the user says otherwise."""
+    entry = F.struct("name", F.struct(F.lit(0).alias("frame"), F.lit(False).alias("auto")).alias("pick"))
+    return files.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("template"))
+
+
+def selected(files: DataFrame, picks: DataFrame) -> DataFrame:
+    """picks with the path of their file; error says which are not there."""
+    rows = picks.join(files.select(F.col("name").alias("file"), "path"), "file", "left")
+    return rows.withColumn("error", F.when(F.col("path").isNull(), "no such file"))

@@ -72,6 +72,12 @@ def measure(pictures: DataFrame) -> DataFrame:
     return rows.select("*", "m.*", (F.col("m.sharpness") < BLANK_SHARPNESS).alias("is_blank")).drop("m")
 
 
+def check(measured: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
+    """measured with resolution_ok: null unless both expected sides are given."""
+    fits = None if width is None or height is None else (F.col("width") == width) & (F.col("height") == height)
+    return measured.withColumn("resolution_ok", F.lit(None).cast("boolean") if fits is None else fits)
+
+
 def motion_intensity(frames: list[np.ndarray], samples: int = 5) -> float | None:
     """Mean difference of frames to the next one, in percent of full brightness; null
     with fewer than two frames."""

@@ -71,3 +71,17 @@ def mode_vote(durations: DataFrame, seconds: float = LONG_VIDEO_SECONDS) -> Data
     probed lasts 0."""
     long = F.count_if(F.coalesce("duration", F.lit(0.0)) >= seconds)
     return durations.agg(F.count("*").alias("videos"), long.alias("long_videos"), F.when(long * 2 > F.count("*"), "scene").otherwise("clip").alias("mode"))
+
+
+def with_types(triaged: DataFrame, concepts: DataFrame) -> DataFrame:
+    """triaged with concept_types: the types of its matches, best first, each once. concepts:
+    name, concept_type; a small table."""
+    types = small(concepts.agg(F.map_from_entries(F.collect_list(F.struct("name", F.coalesce("concept_type", F.lit(""))))).alias("types")))
+    found = F.transform("matches", lambda m: F.element_at(F.col("types"), m["concept"]))
+    known = F.filter(found, lambda t: t.isNotNull() & (t != ""))
+    return triaged.crossJoin(types).withColumn("concept_types", F.array_distinct(known)).drop("types")
+
+
+def concept_summary(concepts: DataFrame) -> DataFrame:
+    """concept_type, names; concepts of no type come last."""
+    return concepts.groupBy("concept_type").agg(F.array_sort(F.collect_list("name")).alias("names")).orderBy(F.asc_nulls_last("concept_type"))

@@ -166,3 +166,33 @@ def triage_frames(frames: DataFrame, references: DataFrame, prompts_: DataFrame,
 def bucket_preview(samples: DataFrame, config: DataConfig) -> tuple[DataFrame, DataFrame]:
     assigned = buckets.assign(samples)
     return buckets.groups(assigned, "stem"), buckets.undersized(assigned, config.min_bucket_size)
+
+
+def sampled_frames(spark: SparkSession, folder: str, out: str, n: int = 5, prober: Callable[[str], str] = probe.ffprobe, runner: media.Runner = media.tool) -> DataFrame:
+    """clip, frame_idx, path of n evenly spaced frames of each clip; a frame that can't be
+    made has no path."""
+    clips = probe.parse(probe.run(listing.clips(spark, folder), prober)).select(F.col("path").alias("clip"), "duration")
+    times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("duration") * (i + 0.5) / n)
+    rows = clips.select("clip", F.posexplode(times).alias("frame_idx", "t"))
+    name = F.format_string("%s_%03d.png", F.replace(F.element_at(F.split("clip", "/"), -1), F.lit("."), F.lit("_")), F.col("frame_idx"))
+    rows = rows.withColumn("output", F.concat(F.lit(out.rstrip("/") + "/"), name)).withColumn("command", media.frame_command(F.col("clip"), F.col("output"), F.col("t")))
+    done = media.execute(rows, runner, 60)
+    return rows.join(done, "output").select("clip", F.col("frame_idx").cast("long").alias("frame_idx"), F.when(F.col("success"), F.col("output")).alias("path"))
+
+
+def triage_folder(spark: SparkSession, folder: str, concepts: str, frames: DataFrame, make: Callable[[], backends.EmbeddingBackend], least: float = 0.70, overlay: float = 0.27) -> DataFrame:
+    """Clips of a folder against reference pictures, from sampled frames."""
+    known = frames.where("path is not null")
+    vectors = backends.embed(known, make, "path").unionByName(frames.where("path is null").withColumn("embedding", F.lit(None).cast("array<float>")))
+    refs = backends.embed(listing.concepts(spark, concepts).select(F.col("name").alias("concept"), "ref_order", "image_path"), make, "image_path")
+    refs = refs.select("concept", "ref_order", F.col("embedding").alias("ref_embedding"))
+    lines = spark.createDataFrame([(p,) for p in prompts.OVERLAY], "prompt string")
+    texts = backends.embed(lines, make, "prompt", "texts").select("prompt", F.col("embedding").alias("prompt_embedding"))
+    return triage_frames(vectors.drop("path"), refs, texts, ["clip"], least, overlay)
+
+
+def routes(triaged: DataFrame, out: str) -> DataFrame:
+    """source, dest of each triaged clip: a folder for each concept, one for overlaid text
+    and one for the rest."""
+    name = F.element_at(F.split("clip", "/"), -1)
+    return triaged.select(F.col("clip").alias("source"), F.concat_ws("/", F.lit(out.rstrip("/")), "folder", name).alias("dest"))

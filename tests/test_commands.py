@@ -127,6 +127,35 @@ def test_embeddings_triage(spark):
     assert {r.clip: r.folder for r in got.collect()} == {"a": "x", "b": "unmatched"}
 
 
+def test_triage_of_a_folder(spark, folder, tmp_path):
+    (tmp_path / "concepts" / "people").mkdir(parents=True)
+    (tmp_path / "concepts" / "people" / "holly.png").write_bytes(b"x")
+
+    def runner(command, seconds):
+        if command[5].endswith("b.mp4"):
+            raise OSError("broken")
+        with open(command[-1], "w") as f:
+            f.write("x")
+
+    frames = commands.sampled_frames(spark, str(folder), str(tmp_path / "frames"), 2, lambda p: json.dumps(PROBED), runner)
+    frames = frames.withColumn("path", F.when(F.col("path").contains("a_mp4_001"), F.lit(str(tmp_path / "concepts" / "people" / "holly.png"))).otherwise(F.col("path")))
+    rows = commands.triage_folder(spark, str(folder), str(tmp_path / "concepts"), frames, backends.HashEmbeddings, overlay=0.99)
+    got = {r.source.rsplit("/", 1)[-1]: r.dest for r in commands.routes(rows, "out").collect()}
+    assert got == {"a.mp4": "out/holly/a.mp4", "b.mp4": "out/unmatched/b.mp4", "c.mp4": "out/unmatched/c.mp4"}
+    from cinesift.operators import triage
+
+    concepts = listing.concepts(spark, str(tmp_path / "concepts"))
+    assert {tuple(r.concept_types) for r in triage.with_types(rows, concepts).collect()} == {("character",), ()}
+    assert [tuple(r) for r in triage.concept_summary(concepts).collect()] == [("character", ["holly"])]
+
+
+def test_selections(spark, folder, tmp_path):
+    files = listing.clips(spark, str(folder))
+    (tmp_path / "t.json").write_text(manifests.selection_template(files).first().template.replace('"b.mp4"', '"x.mp4"'))
+    rows = {r.file: r for r in manifests.selected(files, manifests.selections(spark, str(tmp_path / "t.json"))).collect()}
+    assert rows["a.mp4"].frame == 0 and rows["a.mp4"].error is None and rows["x.mp4"].error == "no such file"
+
+
 def test_trainers():
     t = trainers.Totals([17, 81], True, 1280, 720)
     for name in trainers.TRAINERS:

@@ -80,40 +80,54 @@ class FMIndex:
         return np.minimum(self.flat[at + low], self.flat[at + high - (1 << level)])
 
 
-def matching_windows(index: FMIndex, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, limit: np.ndarray, inside: np.ndarray, threshold: int) -> np.ndarray:
+#: Lengths less one of the stretches that are tried after a match breaks.
+PROBES = np.array([1, 3, 7, 15, 31, 1 << 30])
+
+
+def matching_windows(index: FMIndex, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, limit: np.ndarray, threshold: int) -> np.ndarray:
     """For each query, a mask of the offsets at which `threshold` symbols begin that
     the index also has in a text with an owner below limit.
 
-    Queries are symbols[start : start + length], at most 63 + threshold long; inside
-    says that a query is itself in the index, so one occurrence is its own. All go
-    step by step together: from an end, the match is extended backwards while it is
-    found in the index and, from the threshold on, in a text below the limit. Where
-    it breaks after reaching the threshold, the next end is that of the window which
-    begins at the break; else the end before.
+    Queries are symbols[start : start + length], at most 63 + threshold long. All go
+    step by step together: from an end, the match is extended backwards while the
+    index has it in a text below the limit; every window it reaches is found.
+
+    Where it breaks at p, no window that holds p and the end is found. Short stretches
+    from p on are tried next: the first that the index lacks, ending at q, rules out
+    all windows that hold p and q, so the search goes on from q - 1. If none lacks,
+    it goes on from the last end that is still open.
     """
     n = len(start)
     mask, end = np.zeros(n, np.uint64), length - 1
-    live = np.flatnonzero(length >= threshold)
-    at = end.copy()
+    at, floor = end.copy(), np.zeros(n, np.int64)  # floor: where the stretch being tried begins
+    probe, back = np.full(n, -1), np.zeros(n, np.int64)  # which of PROBES, if any; the end to go on from after the last
     low, high = np.zeros(n, np.int64), np.full(n, index.n, np.int64)
+    live = np.flatnonzero(length >= threshold)
     while len(live):
-        s = symbols[start[live] + at[live]]
-        lo, hi = index.step(s, low[live], high[live])
-        size = end[live] - at[live] + 1
-        found = hi - lo > inside[live]
-        long = np.flatnonzero(found & (size >= threshold))
-        if len(long):
-            ok = index.least(lo[long], hi[long]) < limit[live[long]]
-            found[long[~ok]] = False
-            hit = live[long[ok]]
-            mask[hit] |= np.uint64(1) << at[hit].astype(np.uint64)
+        lo, hi = index.step(symbols[start[live] + at[live]], low[live], high[live])
+        found = hi > lo
+        some = np.flatnonzero(found)
+        found[some] = index.least(lo[some], hi[some]) < limit[live[some]]
         low[live], high[live] = lo, hi
-        broken = live[~found]
-        if len(broken):
-            reached = end[broken] - at[broken] >= threshold
-            end[broken] = np.where(reached, at[broken] + threshold - 1, end[broken] - 1)
-            at[broken] = end[broken] + 1
-            low[broken], high[broken] = 0, index.n
+        main = probe[live] < 0
+        hit = live[found & main & (end[live] - at[live] + 1 >= threshold)]
+        mask[hit] |= np.uint64(1) << at[hit].astype(np.uint64)
+
+        ends = at[live] == floor[live]
+        broke, lacks, has = live[~found & main], live[~found & ~main], live[found & ~main & ends]
+        # A break of the search: the first probe.
+        floor[broke], back[broke], probe[broke] = at[broke], np.minimum(end[broke] - 1, at[broke] + threshold - 1), 0
+        probe[has] += 1
+        next_ = np.concatenate([broke, has])
+        last = floor[next_] + PROBES[probe[next_]]
+        on = last <= back[next_]
+        end[next_[on]] = last[on]
+        done = np.concatenate([lacks, next_[~on]])
+        end[lacks] -= 1
+        end[next_[~on]] = back[next_[~on]]
+        floor[done], probe[done] = 0, -1
+        again = np.concatenate([broke, has, lacks])
+        at[again], low[again], high[again] = end[again] + 1, 0, index.n
         at[live] -= 1
-        live = live[(at[live] >= 0) & (end[live] >= threshold - 1)]
+        live = live[(at[live] >= 0) & ((end[live] >= threshold - 1) | (probe[live] >= 0))]
     return mask

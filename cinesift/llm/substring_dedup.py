@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_batches, materialize, mix64, utf8
+from ..lineage import materialize
+from .common import WordHashes, gram_hashes, map_batches, mix64, utf8
 from .fm_index import FMIndex, matching_windows
 
 #: Words of an anchor. Each window's anchor is the one of its runs of GRAM words
@@ -26,7 +27,7 @@ def anchors(words: list[bytes], hashes: WordHashes, window: int, gram: int) -> t
     with one anchor. passage: a hash of the stretch's words."""
     h = hashes.of(words)
     g, whole = gram_hashes(h, gram), gram_hashes(h, window)
-    at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(1) + np.arange(len(whole))
+    at = sliding_argmin(g, window - gram + 1)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     n = np.diff(np.concatenate([first, [len(whole)]]))
     # Fewer windows than a window has words: its first and last window hold the whole stretch.
@@ -34,8 +35,19 @@ def anchors(words: list[bytes], hashes: WordHashes, window: int, gram: int) -> t
     return g[at[first]].view(np.int64), passage.view(np.int64), first, n
 
 
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the smallest (the first of equals) of each `width` consecutive values is."""
+    value, at, have = x, np.arange(len(x)), 1
+    while have < width:
+        step = min(have, width - have)
+        n = len(value) - step
+        left = value[:n] <= value[step:]
+        value, at, have = np.where(left, value[:n], value[step:]), np.where(left, at[:n], at[step:]), have + step
+    return at
+
+
 def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, text_hash, anchor, passage, first, n of every stretch of every text."""
+    """doc_id, _text_hash, anchor, passage, first, n of every stretch of every text."""
 
     def make():
         hashes = WordHashes()
@@ -51,24 +63,24 @@ def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if row:
                 at = pa.array(np.concatenate(row))
                 a, p, first, n = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), pa.array(p), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "text_hash", "anchor", "passage", "first", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), pa.array(p), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "_text_hash", "anchor", "passage", "first", "n"])
 
         return f
 
-    rows = keyed(docs).where("doc_id is not null").select("doc_id", "text_hash", "text")
-    return map_batches(rows, make, "doc_id long, text_hash long, anchor long, passage long, first int, n int")
+    rows = keyed(docs).where("doc_id is not null").select("doc_id", "_text_hash", "text")
+    return map_batches(rows, make, "doc_id long, _text_hash long, anchor long, passage long, first int, n int")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", docs["doc_id"].cast("long")).withColumn("text_hash", F.xxhash64("text"))
+    return docs.withColumn("doc_id", docs["doc_id"].cast("long")).withColumn("_text_hash", F.xxhash64("text"))
 
 
 def passages(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """anchor, passage, least, n, words of each distinct passage, read from the first
     document that has it. least: the smallest doc_id with the passage."""
-    first = shared.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at"))
-    by_doc = first.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("at.first", "at.n", "anchor", "passage")).alias("spans"))
-    rows = keyed(docs).select("doc_id", "text_hash", "text").join(by_doc, ["doc_id", "text_hash"])
+    first = shared.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "_text_hash", "first", "n")).alias("at"))
+    by_doc = first.groupBy("at.doc_id", "at._text_hash").agg(F.collect_list(F.struct("at.first", "at.n", "anchor", "passage")).alias("spans"))
+    rows = keyed(docs).select("doc_id", "_text_hash", "text").join(by_doc, ["doc_id", "_text_hash"])
 
     def make():
         def f(batch):
@@ -95,7 +107,7 @@ def matches(found: DataFrame, window: int, group: int = GROUP, shard: int = SHAR
     so it holds one index at a time.
     """
     found = materialize(found.dropDuplicates(["anchor", "passage"]), "passages")
-    many = found.groupBy("anchor").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    many = materialize(found.groupBy("anchor").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")), "parts")
     rows = found.join(many, "anchor").withColumn("part", F.pmod("passage", F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("anchor", "block").alias("key"), "anchor", "passage", "least", "n", "words", (F.col("part") == F.col("block")).alias("inside"))
@@ -117,7 +129,7 @@ def matches(found: DataFrame, window: int, group: int = GROUP, shard: int = SHAR
         if not kept.any():  # a part that no passage fell in
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([],) * 4], schema=schema)
         index = FMIndex(symbols[kept], np.repeat(rank, length + 1)[kept], len(ids) + 1, int(length.max()))
-        mask = matching_windows(index, symbols, start, length, rank, inside, window)
+        mask = matching_windows(index, symbols, start, length, rank, window)
         return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.array(least), pa.array(mask.view(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,18 +152,19 @@ def matches(found: DataFrame, window: int, group: int = GROUP, shard: int = SHAR
 
 
 def repeated(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_hash, hits (array of first, mask): the windows of each document
+    """doc_id, _text_hash, hits (array of first, mask): the windows of each document
     whose word sequence also starts in a document with a smaller doc_id. Documents
     without such windows have no row."""
     occ = materialize(occurrences(docs, window, gram), "occurrences")
-    twice = occ.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # Written, so that the join has a plain exchange on either side, whose hot anchors Spark splits.
+    twice = materialize(occ.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     shared = materialize(occ.join(twice, "anchor"), "shared")
     found = materialize(matches(passages(docs, shared, window), window), "matches")
     rows = shared.join(found, ["anchor", "passage"])
     # The first document with a passage repeats what the index found; any later one all of it.
     mask = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, n) - 1L")).otherwise(F.col("mask"))
-    rows = rows.select("doc_id", "text_hash", "first", mask.alias("mask")).where("mask <> 0").distinct()
-    return rows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
+    rows = rows.select("doc_id", "_text_hash", "first", mask.alias("mask")).where("mask <> 0").distinct()
+    return rows.groupBy("doc_id", "_text_hash").agg(F.collect_list(F.struct("first", "mask")).alias("_hits"))
 
 
 def covered(n: int, hits: list[dict], window: int) -> np.ndarray:
@@ -163,8 +176,9 @@ def covered(n: int, hits: list[dict], window: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """Every row of docs with n_words, n_removed, kept_sha256 and kept_text.
+def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "") -> DataFrame:
+    """Every row of docs with n_words, n_removed, kept_sha256 and kept_text (names
+    after `prefix`).
 
     Removed is each word that a window of `window` words covers whose word sequence
     also starts in a document with a smaller doc_id; all are judged on the input.
@@ -175,13 +189,13 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
     Null texts: no words, kept_text null. Null ids: nothing is removed from such
     rows, and they remove nothing. Repeated rows have equal ids, so they don't
     remove each other. Texts under `window` words stay. No rows: no rows. Columns
-    named like those added are replaced; other columns stay.
+    named like those added, and _text_hash and _hits, are replaced; others stay.
     """
     found = materialize(repeated(docs, window, gram), "repeated")
-    own = ["n_words", "n_removed", "kept_sha256", "kept_text", "text_hash", "hits"]
-    rows = keyed(docs.drop(*own))
-    other = [c for c in rows.columns if c != "text_hash"]
-    rows = rows.join(found, ["doc_id", "text_hash"], "left").select(*other, "hits")
+    own = [prefix + c for c in ("n_words", "n_removed", "kept_sha256", "kept_text")]
+    rows = keyed(docs.drop(*own, "_text_hash", "_hits"))
+    other = [c for c in rows.columns if c != "_text_hash"]
+    rows = rows.join(found, ["doc_id", "_text_hash"], "left").select(*other, "_hits")
     at = other.index("text")
 
     def make():
@@ -205,9 +219,9 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
                 n_words.append(len(words) + n_removed[-1])
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             arrays = [*batch.columns[: len(other)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha), pa.array(kept_text, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*other, *own[:4]])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*other, *own])
 
         return f
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "hits")
-    return map_batches(rows, make, f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "_hits")
+    return map_batches(rows, make, kinds + ", " + ", ".join(f"`{c}` {k}" for c, k in zip(own, ("long", "long", "string", "string"), strict=True)))

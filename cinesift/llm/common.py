@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,49 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What bytes.split() splits at, which is the complement of WORD.
 SPACE = b" \t\n\r\x0b\x0c"
 _CONTINUATION = bytes(range(0x80, 0xC0))
-_written: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of
-    our own where the session names none (a local session, as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if (own := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cinesift-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    Later stages then depend on files that all executors reach, not on shuffle
-    files of an executor that may be lost. The files go when the session's
-    Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cinesift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session has ended; so has whoever could use the files
-            return
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -155,8 +155,8 @@ class Templates:
         return len(found), item, -share, kind
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5, block_words: int = 400_000) -> DataFrame:
-    """docs with contaminated, n_items, item_id, coverage and kind.
+def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5, block_words: int = 400_000, prefix: str = "") -> DataFrame:
+    """docs with contaminated, n_items, item_id, coverage and kind (names after `prefix`).
 
     Contaminated is a text that has windows of an item's template over at least
     `least` of the item's words, with consistent slots. The benchmark's windows are
@@ -166,15 +166,16 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: flo
 
     Null and empty texts and items: nothing is found. Items of under five words are
     too short to tell and never found. Items with null ids count as id -1. Repeated
-    rows are judged alike. No rows: no rows. Columns named like those added are
-    replaced; other columns stay.
+    rows are judged alike. No rows: no rows. Columns named like those added, or
+    _block0_n_items and so on, are replaced; other columns stay.
     """
     size = benchmark.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_words))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text")).dropna(subset=["text"])
     names = ["n_items", "item_id", "coverage", "kind"]
-    docs = docs.drop("contaminated", *names)
+    docs = docs.drop(*[prefix + c for c in ("contaminated", *names)])
     other = docs.columns
+    own = lambda c, b: f"_block{b}_{c}"
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         held = Templates([(r["item_id"], r["text"].encode()) for r in sorted(block)], window)
@@ -188,10 +189,8 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: flo
 
             return f
 
-        at = [f"{x}_{b}" for x in names]
-        docs = with_arrays(docs, make, f"{at[0]} long, {at[1]} long, {at[2]} double, {at[3]} string")
-    best = F.array_max(F.array(*[F.struct(F.col(f"coverage_{b}").alias("share"), (-F.col(f"item_id_{b}")).alias("less"), F.col(f"kind_{b}").alias("kind")) for b in range(blocks)]))
-    total = sum((F.col(f"n_items_{b}") for b in range(blocks)), F.lit(0))
-    docs = docs.withColumn("best", best).withColumn("n", total.cast("long"))
-    own = [(F.col("n") > 0).alias("contaminated"), F.col("n").alias("n_items"), (-F.col("best.less")).alias("item_id"), F.col("best.share").alias("coverage"), F.col("best.kind").alias("kind")]
-    return docs.select(*other, *own)
+        docs = with_arrays(docs, make, f"{own('n_items', b)} long, {own('item_id', b)} long, {own('coverage', b)} double, {own('kind', b)} string")
+    best = F.array_max(F.array(*[F.struct(F.col(own("coverage", b)).alias("share"), (-F.col(own("item_id", b))).alias("less"), F.col(own("kind", b)).alias("kind")) for b in range(blocks)]))
+    total = sum((F.col(own("n_items", b)) for b in range(blocks)), F.lit(0)).cast("long")
+    added = {"contaminated": total > 0, "n_items": total, "item_id": -best["less"], "coverage": best["share"], "kind": best["kind"]}
+    return docs.select(*other, *[c.alias(prefix + name) for name, c in added.items()])

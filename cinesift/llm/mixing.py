@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from ..lineage import materialize
+from .common import WORD
 
 #: Coarse and fine bins of a sampling key: one source's histogram has at most
 #: COARSE, then FINE rows, whatever the number of its documents.

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, utf8
-from .components import components
+from ..lineage import materialize
+from ..operators.connected import components
+from .common import map_batches, utf8
 
 TILE = 1024
 

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_dir
+from ..lineage import shared_dir
+from .common import map_batches
 
 CACHE = "version string, digest string, n_tokens long"
 

@@ -259,14 +259,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
     return train(stack(known["x"]), (known["label"].to_numpy(float) > 0).astype(int), stems)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and the column score."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs and a column of scores."""
 
     def make():
         reader = Reader(model.stems)
         return lambda texts: [pa.array(model.score(np.array([reader.describe(t) for t in texts]).reshape(len(texts), -1)))]
 
-    return with_arrays(docs, make, "score double", rows=1024)
+    return with_arrays(docs, make, f"{name} double", rows=1024)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = 20_000) -> DataFrame:

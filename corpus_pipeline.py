@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinesift.lineage import materialize
 from cinesift.llm import decontamination, mixing, simhash, substring_dedup, toxicity
-from cinesift.llm.common import materialize, read
+from cinesift.llm.common import read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5; columns of docs."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.scored(docs, model, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +27,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that one with a smaller id has; those of which
     nothing is left go. Columns of docs."""
-    rows = substring_dedup.dedup(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    rows = substring_dedup.dedup(docs, prefix="_dedup_").where("_dedup_n_removed = 0 or _dedup_n_removed < _dedup_n_words")
+    less, kept = F.col("_dedup_n_removed") > 0, F.col("_dedup_kept_text")
+    new = {"text": F.when(less, kept).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(less, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.withColumns(new).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark; columns of docs."""
-    return decontamination.flag(docs, read(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    rows = decontamination.flag(docs, read(spark, sf_dir, "benchmark"), prefix="_benchmark_")
+    return rows.where("not _benchmark_contaminated").select(*docs.columns)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

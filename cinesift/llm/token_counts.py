@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import shared_dir
+from ..lineage import materialize, shared_dir
 from .common import map_batches
 
 CACHE = "version string, digest string, n_tokens long"
@@ -18,7 +19,13 @@ class Counter:
     """Counts tokens as the library of a vocabulary file does: tokenizers for
     .json, sentencepiece for .model; without begin, end or added tokens."""
 
+    #: Bytes of text that are encoded at once, one text at least: what the library
+    #: returns for a text takes many times its bytes.
+    AT_ONCE = 1 << 18
+
     def __init__(self, vocabulary: str):
+        # Spark runs a worker for each core; threads in each would only hold more memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.kind = vocabulary.rsplit(".", 1)[-1]
         if self.kind == "json":
             from tokenizers import Tokenizer
@@ -34,6 +41,16 @@ class Counter:
             raise ValueError(f"no library for a .{self.kind} vocabulary")
 
     def count(self, texts: list[str]) -> list[int]:
+        out, at = [], 0
+        while at < len(texts):
+            size, end = len(texts[at]), at + 1
+            while end < len(texts) and size + len(texts[end]) <= self.AT_ONCE:
+                size, end = size + len(texts[end]), end + 1
+            out += self._count(texts[at:end])
+            at = end
+        return out
+
+    def _count(self, texts: list[str]) -> list[int]:
         if self.kind == "json":
             return [len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return [len(x) for x in self.library.encode(texts, num_threads=1)]
@@ -81,7 +98,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
         return f
 
     map_batches(misses, make, CACHE, rows=128).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == known).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join has a plain exchange on either side and Spark splits a hot digest's rows.
+    counts = materialize(spark.read.schema(CACHE).parquet(cache).where(F.col("version") == known).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     narrow = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -30,6 +30,14 @@ class EmbeddingBackend(ABC):
     def texts(self, texts: list[str]) -> np.ndarray: ...
 
 
+class SceneDetector(ABC):
+    """Scores of change between frames; what goes wrong is raised and becomes a row."""
+
+    @abstractmethod
+    def scores(self, path: str) -> tuple[float, list[tuple[int, float]]]:
+        """Frames a second, and (frame, score) of every frame that has a score."""
+
+
 class EchoCaptions(CaptionBackend):
     """Says the name of the file and the prompt's length: the same for the same input."""
 
@@ -98,6 +106,53 @@ def backend(name: str, **settings) -> CaptionBackend:
     return BACKENDS[name](**settings)
 
 
+def pyscenedetect() -> SceneDetector:
+    """PySceneDetect's content values. Needs scenedetect."""
+    from scenedetect import ContentDetector, SceneManager, StatsManager, open_video
+
+    class Detector(SceneDetector):
+        def scores(self, path: str) -> tuple[float, list[tuple[int, float]]]:
+            video, stats = open_video(path), StatsManager()
+            manager = SceneManager(stats_manager=stats)
+            manager.add_detector(ContentDetector())
+            n = manager.detect_scenes(video)
+            found = ((k, stats.get_metrics(k, ["content_val"])[0]) for k in range(n + 1) if stats.metrics_exist(k, ["content_val"]))
+            return float(video.frame_rate), [(k, float(v)) for k, v in found if v is not None]
+
+    return Detector()
+
+
+DETECTORS: dict[str, Callable[[], SceneDetector]] = {"pyscenedetect": pyscenedetect}
+
+
+def detector(name: str) -> Callable[[], SceneDetector]:
+    if name not in DETECTORS:
+        raise ValueError(f"no scene detector {name}; there are {', '.join(sorted(DETECTORS))}")
+    return DETECTORS[name]
+
+
+def change_scores(videos: DataFrame, make: Callable[[], SceneDetector], least: float = 0.0) -> DataFrame:
+    """path, fps, frames (array of frame, score of at least `least`), error for videos
+    (path). A detector that isn't installed is an error in every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                try:
+                    model = model or make()
+                    fps, scores = model.scores(path)
+                    if not fps > 0:
+                        raise ValueError("no frame rate")
+                    out.append((path, fps, [{"frame": k, "score": v} for k, v in scores if v >= least], None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((path, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["path", "fps", "frames", "error"])
+
+    return videos.select("path").mapInPandas(run, "path string, fps double, frames array<struct<frame:bigint,score:double>>, error string")
+
+
 #: What an error says when another try may do.
 TRANSIENT = ("429", "quota", "rate", "503", "overloaded", "timeout")
 

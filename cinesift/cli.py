@@ -8,6 +8,7 @@ import os
 import sys
 
 from . import backends, config, manifests, reports, trainers
+from .constants import SCENE_THRESHOLD
 from .lineage import materialize
 from .operators import captions, pairing, triage, video_spec
 from .plans import commands
@@ -47,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     tri.add_argument("--organize", action="store_true")
     ing = add("ingest", "cut long videos into clips", out=True)
     ing.add_argument("--triage", help="a manifest of scenes; only included ones are cut")
+    ing.add_argument("--detector", default="pyscenedetect", choices=sorted(backends.DETECTORS), help="what searches videos for cuts")
+    ing.add_argument("--threshold", type=float, default=SCENE_THRESHOLD, help="score of change of a cut")
     val = add("validate", "completeness and quality of a dataset")
     org = add("organize", "lay out the valid samples of a dataset", out=True)
     for c in (val, org):
@@ -109,10 +112,11 @@ def run(args: argparse.Namespace) -> int:
         if args.organize:
             print(reports.section("Files", commands.organize.transfer(commands.routes(rows, args.output)).groupBy("success").count()))
     elif args.command == "ingest":
-        videos = materialize(commands.probe.parse(commands.probe.run(commands.listing.clips(spark, args.folder))).where("error is null").select("path", "duration"), "videos")
         kept = manifests.read_scene_manifest(spark, args.triage) if args.triage else None
-        plan = commands.ingest(videos, spark.createDataFrame([], "video string, t double"), args.output, conf.video, kept)
+        plan, failed = commands.ingest_folder(spark, args.folder, args.output, backends.detector(args.detector), conf.video, kept, args.threshold)
         print(reports.section("Clips", commands.media.execute(plan).groupBy("success").count()))
+        print(reports.section("Videos not cut", failed.orderBy("path")))
+        return int(failed.limit(1).count() > 0)
     else:
         samples, orphans = commands.validate(spark, conf)
         counts = pairing.counts(samples, "source")

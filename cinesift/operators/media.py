@@ -91,11 +91,14 @@ def best_frame(frames: DataFrame, *by: str, fps: float = 16.0) -> DataFrame:
     return frames.groupBy(*by).agg(F.max_by("index", key).alias("index"), F.max("sharpness").alias("sharpness"), F.max_by("at", key).alias("at")).withColumn("frame_number", F.floor(F.coalesce("at", F.lit(0.0)) * fps).cast("long"))
 
 
-def cuts_from_scores(scores: DataFrame, threshold: float, least_frames: int) -> DataFrame:
+def cuts_from_scores(scores: DataFrame, threshold: float, least_frames: int | Column) -> DataFrame:
     """video, frame of cuts where a frame's score of change reaches the threshold, each
-    at least `least_frames` after the one before."""
+    at least `least_frames` (a number, or a column that is the same in a video's rows)
+    after the one before."""
+    least = least_frames if isinstance(least_frames, Column) else F.lit(least_frames)
     kept = F.aggregate(
-        F.array_sort(F.collect_list("frame")), F.array(F.lit(0).cast("long")),
-        lambda acc, t: F.when(t - F.element_at(acc, -1) >= least_frames, F.concat(acc, F.array(t.cast("long")))).otherwise(acc),
+        "frames", F.array(F.lit(0).cast("long")),
+        lambda acc, t: F.when(t - F.element_at(acc, -1) >= F.col("least"), F.concat(acc, F.array(t.cast("long")))).otherwise(acc),
     )
-    return scores.where(F.col("score") >= threshold).groupBy("video").agg(kept.alias("kept")).select("video", F.explode(F.slice("kept", 2, 2**31 - 1)).alias("frame"))
+    rows = scores.where(F.col("score") >= threshold).groupBy("video").agg(F.array_sort(F.collect_list("frame")).alias("frames"), F.max(least).alias("least"))
+    return rows.select("video", kept.alias("kept")).select("video", F.explode(F.slice("kept", 2, 2**31 - 1)).alias("frame"))

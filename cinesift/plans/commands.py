@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import backends, prompts
 from ..config import DataConfig, VideoConfig
-from ..constants import CLIP_SUFFIXES
+from ..constants import CLIP_SUFFIXES, SCENE_LEAST_SECONDS, SCENE_THRESHOLD
 from ..functions import media as M
 from ..functions import text as T
+from ..lineage import materialize
 from ..operators import buckets, captions, duplicates, images, media, organize, pairing, segments, triage, video_spec
 from ..sources import listing, probe
 
@@ -42,6 +43,37 @@ def sidecars(spark: SparkSession, folder: str, out: str) -> DataFrame:
     return side.join(clips, "stem", "left_semi").select("source", F.concat(F.lit(out.rstrip("/") + "/"), "name").alias("dest"))
 
 
+def entries(videos: DataFrame, included: DataFrame) -> DataFrame:
+    """path, entry: the video of a manifest's scenes that each of videos (path) is, by
+    its path, else by its name (the first entry)."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    by_path = included.select("video", F.col("video").alias("path"))
+    by_name = included.groupBy(base(F.col("video")).alias("name")).agg(F.min("video").alias("named"))
+    found = videos.select("path").join(by_path.distinct(), "path", "left").withColumn("name", base(F.col("path"))).join(by_name, "name", "left")
+    return found.select("path", F.coalesce("video", "named").alias("entry")).where("entry is not null")
+
+
+def detect(videos: DataFrame, make: Callable[[], backends.SceneDetector], threshold: float = SCENE_THRESHOLD, least: float = SCENE_LEAST_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """Cuts (video, t) of videos (path), each at least `least` seconds, in whole frames,
+    after the one before; and path, error of videos that no detector has looked at."""
+    found = materialize(backends.change_scores(videos, make, threshold), "scores")
+    scores = found.where("error is null").select(F.col("path").alias("video"), "fps", F.explode("frames").alias("s")).select("video", "fps", "s.frame", "s.score")
+    cuts = media.cuts_from_scores(scores, threshold, F.floor(F.col("fps") * least))
+    cuts = cuts.join(found.select(F.col("path").alias("video"), "fps"), "video").select("video", (F.col("frame") / F.col("fps")).alias("t"))
+    return cuts, found.where("error is not null").select("path", "error")
+
+
+def ingest_folder(spark: SparkSession, folder: str, out: str, make: Callable[[], backends.SceneDetector], config: VideoConfig = VideoConfig(), included: DataFrame | None = None, threshold: float = SCENE_THRESHOLD, prober: Callable[[str], str] = probe.ffprobe) -> tuple[DataFrame, DataFrame]:
+    """Clips to cut from a folder's videos, and path, error of the videos that can't be
+    probed or searched for cuts; those aren't taken for videos without cuts. Videos
+    found in a manifest (included) are not searched."""
+    probed = materialize(probe.parse(probe.run(listing.clips(spark, folder), prober)).select("path", "duration", "error"), "videos")
+    videos = probed.where("error is null").select("path", "duration")
+    todo = videos if included is None else videos.join(entries(videos, included), "path", "left_anti")
+    cuts, failed = detect(todo, make, threshold)
+    return ingest(videos.join(failed, "path", "left_anti"), cuts, out, config, included), probed.where("error is not null").select("path", "error").unionByName(failed)
+
+
 def ingest(videos: DataFrame, cuts: DataFrame, out: str, config: VideoConfig = VideoConfig(), included: DataFrame | None = None) -> DataFrame:
     """Clips to cut from videos (path, duration): output, command, frames and times.
 
@@ -51,10 +83,7 @@ def ingest(videos: DataFrame, cuts: DataFrame, out: str, config: VideoConfig = V
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     scene = segments.scenes(cuts, videos.select(F.col("path").alias("video"), "duration"))
     if included is not None:
-        by_path = included.select("video", F.col("video").alias("path"))
-        by_name = included.groupBy(base(F.col("video")).alias("name")).agg(F.min("video").alias("named"))
-        found = videos.select("path").join(by_path.distinct(), "path", "left").withColumn("name", base(F.col("path"))).join(by_name, "name", "left")
-        found = found.select("path", F.coalesce("video", "named").alias("entry")).where("entry is not null")
+        found = entries(videos, included)
         chosen = included.join(found, included["video"] == found["entry"]).select(F.col("path").alias("video"), "scene_index", "start", "end")
         scene = scene.join(found.select(F.col("path").alias("video")), "video", "left_anti").unionByName(chosen)
     name = base(F.col("video"))

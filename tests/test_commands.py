@@ -1,5 +1,6 @@
 """Commands over folders."""
 
+import functools
 import json
 import os
 import struct
@@ -174,3 +175,36 @@ def test_streaming(spark, folder, tmp_path):
     q = streaming.run(streaming.scored(spark, str(folder)), str(tmp_path / "o"), str(tmp_path / "c"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2  # files of no bytes have no line to stream
+
+
+class Scores(backends.SceneDetector):
+    """Changes at frames 4, 40, 45 and 60 of 16 a second; nothing of c.mp4."""
+
+    def scores(self, path):
+        if path.endswith("c.mp4"):
+            raise OSError("broken")
+        return 16.0, [(4, 99.0), (20, 5.0), (40, 27.0), (45, 90.0), (60, 30.0)]
+
+
+def test_ingest_detects_cuts(spark, folder, capsys, monkeypatch):
+    prober = lambda p: json.dumps(PROBED)
+    rows, failed = commands.ingest_folder(spark, str(folder), "out", Scores, prober=prober)
+    starts = {n: sorted(r.start for r in rows.collect() if r.name.startswith(n)) for n in ("a_", "b_", "c_")}
+    assert starts == {"a_": [0.0, 2.5, 3.75], "b_": [0.0, 2.5, 3.75], "c_": []}  # 4 and 45 are within 8 frames of the one before
+    assert [(r.path.rsplit("/", 1)[-1], r.error) for r in failed.collect()] == [("c.mp4", "broken")]
+    # A video of the manifest isn't searched.
+    scenes = spark.createDataFrame([("x/c.mp4", 0, 0.0, 5.0, False, True)], "video string, scene_index long, start double, end double, has_overlay boolean, include boolean")
+    rows, failed = commands.ingest_folder(spark, str(folder), "out", Scores, included=manifests.included_scenes(manifests.scene_manifest(scenes)), prober=prober)
+    assert failed.count() == 0 and sorted(r.name for r in rows.collect() if r.name.startswith("c_")) == ["c_scene000.mp4"]
+
+    def missing():
+        raise ImportError("scenedetect is not installed")
+
+    made = []
+    monkeypatch.setattr(commands.media, "execute", lambda plan: made.extend(r.name for r in plan.collect()) or plan.selectExpr("true as success"))
+    monkeypatch.setattr(commands, "ingest_folder", functools.partial(commands.ingest_folder, prober=prober))
+    monkeypatch.setitem(backends.DETECTORS, "pyscenedetect", missing)
+    assert cli.main(["ingest", str(folder), "-o", "out"]) == 1 and made == []
+    assert "scenedetect is not installed" in capsys.readouterr().out
+    monkeypatch.setitem(backends.DETECTORS, "pyscenedetect", Scores)
+    assert cli.main(["ingest", str(folder), "-o", "out"]) == 1 and len(made) == 6

@@ -49,7 +49,8 @@ class EchoCaptions(CaptionBackend):
 
 
 class HashEmbeddings(EmbeddingBackend):
-    """Unit vectors drawn from a digest: the same for the same input."""
+    """Unit vectors drawn from a digest: the same for the same input. They say nothing of
+    what is in a picture; for tests."""
 
     def __init__(self, width: int = 64):
         self.width = width
@@ -89,6 +90,40 @@ def openai_compatible(url: str, model: str, key: str | None = None, seconds: flo
     return Posted()
 
 
+def clip(model: str = "openai/clip-vit-base-patch32") -> EmbeddingBackend:
+    """CLIP's embeddings of pictures and text, as unit vectors. Needs transformers, torch
+    and pillow."""
+    import torch
+    from PIL import Image
+    from transformers import CLIPModel, CLIPProcessor
+
+    net, prepare = CLIPModel.from_pretrained(model).eval(), CLIPProcessor.from_pretrained(model)
+
+    def unit(x) -> np.ndarray:
+        return (x / x.norm(dim=-1, keepdim=True)).numpy().astype(np.float32)
+
+    class Clip(EmbeddingBackend):
+        def images(self, paths: list[str]) -> np.ndarray:
+            with torch.no_grad():
+                return unit(net.get_image_features(**prepare(images=[Image.open(p).convert("RGB") for p in paths], return_tensors="pt")))
+
+        def texts(self, texts: list[str]) -> np.ndarray:
+            with torch.no_grad():
+                return unit(net.get_text_features(**prepare(text=texts, return_tensors="pt", padding=True, truncation=True)))
+
+    return Clip()
+
+
+#: Embeddings that a command can be told to use.
+EMBEDDINGS: dict[str, Callable[[], EmbeddingBackend]] = {"clip": clip}
+
+
+def embeddings(name: str) -> Callable[[], EmbeddingBackend]:
+    if name not in EMBEDDINGS:
+        raise ValueError(f"no embeddings {name}; there are {', '.join(sorted(EMBEDDINGS))}")
+    return EMBEDDINGS[name]
+
+
 BACKENDS: dict[str, Callable[..., CaptionBackend]] = {"echo": EchoCaptions, "openai": openai_compatible}
 
 
@@ -201,3 +236,32 @@ def embed(items: DataFrame, make: Callable[[], EmbeddingBackend], column: str, k
             yield batch.assign(embedding=list(vectors))
 
     return items.mapInPandas(run, f"{kinds}, embedding array<float>")
+
+
+def embed_or_say(items: DataFrame, make: Callable[[], EmbeddingBackend], column: str, kind: str = "images") -> DataFrame:
+    """embed() with a column error: an item that fails, or every one if the model can't
+    be made, has that instead of an embedding. A batch that fails is tried item by item."""
+    items = items.drop("error")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in items.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, missing = None, None
+        try:
+            model = make()
+        except Exception as e:  # noqa: BLE001
+            missing = str(e) or type(e).__name__
+        for batch in batches:
+            keys, vectors, errors = batch[column].tolist(), [None] * len(batch), [missing] * len(batch)
+            if model is not None:
+                of = getattr(model, kind)
+                try:
+                    vectors = list(of(keys))
+                except Exception:  # noqa: BLE001
+                    for i, k in enumerate(keys):
+                        try:
+                            vectors[i] = of([k])[0]
+                        except Exception as e:  # noqa: BLE001
+                            errors[i] = str(e) or type(e).__name__
+            yield batch.assign(embedding=vectors, error=errors)
+
+    return items.mapInPandas(run, f"{kinds}, embedding array<float>, error string")

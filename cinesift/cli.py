@@ -45,7 +45,10 @@ def parser() -> argparse.ArgumentParser:
     tri = add("triage", "clips against reference pictures", out=True)
     tri.add_argument("--concepts-dir", required=True)
     tri.add_argument("--threshold", type=float, default=0.70)
-    tri.add_argument("--organize", action="store_true")
+    tri.add_argument("--organize", action="store_true", help="route clips to folders; not for scenes")
+    tri.add_argument("--embeddings", default="clip", choices=sorted(backends.EMBEDDINGS), help="the model that compares pictures and text")
+    tri.add_argument("--mode", choices=("auto", "clip", "scene"), default="auto", help="auto: scene if over half of the videos are long")
+    tri.add_argument("--detector", default="pyscenedetect", choices=sorted(backends.DETECTORS), help="what searches videos for cuts")
     ing = add("ingest", "cut long videos into clips", out=True)
     ing.add_argument("--triage", help="a manifest of scenes; only included ones are cut")
     ing.add_argument("--detector", default="pyscenedetect", choices=sorted(backends.DETECTORS), help="what searches videos for cuts")
@@ -83,6 +86,33 @@ def settings(args: argparse.Namespace) -> config.DataConfig:
     return out
 
 
+def run_triage(spark, args: argparse.Namespace) -> int:
+    """What wasn't judged is reported with its error; it's in no manifest and not routed."""
+    make, out = backends.embeddings(args.embeddings), os.path.join(args.output, "frames")
+    mode = args.mode
+    if mode == "auto":
+        mode = commands.triage_mode(commands.probe.parse(commands.probe.run(commands.listing.clips(spark, args.folder))))
+    if mode == "scene" and args.organize:
+        raise ValueError("scenes are not files that could be organized; ingest cuts those of the manifest")
+    failed = None
+    if mode == "scene":
+        rows, failed = commands.triage_scenes(spark, args.folder, args.concepts_dir, out, make, backends.detector(args.detector), args.threshold)
+    else:
+        rows = commands.triage_folder(spark, args.folder, args.concepts_dir, commands.sampled_frames(spark, args.folder, out), make, args.threshold)
+    rows = materialize(rows, "triage")
+    good, bad = rows.where("error is null"), rows.where("error is not null").select("video" if mode == "scene" else "clip", *(["scene_index"] if mode == "scene" else []), "error")
+    print(reports.section("Scenes" if mode == "scene" else "Clips", triage.report(good)))
+    print(reports.section("Not judged", bad.orderBy(*bad.columns)))
+    if failed is not None:
+        print(reports.section("Videos not searched for cuts", failed.orderBy("path")))
+    if good.limit(1).count():
+        manifest = manifests.scene_manifest(good) if mode == "scene" else manifests.triage_manifest(good, "clip")
+        manifest.write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+        if args.organize:
+            print(reports.section("Files", commands.organize.transfer(commands.routes(good, args.output)).groupBy("success").count()))
+    return int(bad.limit(1).count() > 0 or (failed is not None and failed.limit(1).count() > 0))
+
+
 def run(args: argparse.Namespace) -> int:
     conf = settings(args)
     spark = build_session()
@@ -105,12 +135,7 @@ def run(args: argparse.Namespace) -> int:
         rows = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite)
         print(reports.section("References", commands.media.execute(rows.where("not skipped and error is null")).groupBy("success").count()))
     elif args.command == "triage":
-        frames = commands.sampled_frames(spark, args.folder, os.path.join(args.output, "frames"))
-        rows = materialize(commands.triage_folder(spark, args.folder, args.concepts_dir, frames, backends.HashEmbeddings, args.threshold), "triage")
-        print(reports.section("Clips", triage.report(rows)))
-        manifests.triage_manifest(rows, "clip").write.mode("overwrite").text(os.path.join(args.output, "manifest"))
-        if args.organize:
-            print(reports.section("Files", commands.organize.transfer(commands.routes(rows, args.output)).groupBy("success").count()))
+        return run_triage(spark, args)
     elif args.command == "ingest":
         kept = manifests.read_scene_manifest(spark, args.triage) if args.triage else None
         plan, failed = commands.ingest_folder(spark, args.folder, args.output, backends.detector(args.detector), conf.video, kept, args.threshold)

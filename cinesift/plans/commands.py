@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import backends, prompts
 from ..config import DataConfig, VideoConfig
-from ..constants import CLIP_SUFFIXES, SCENE_LEAST_SECONDS, SCENE_THRESHOLD
+from ..constants import CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD
 from ..functions import media as M
 from ..functions import text as T
 from ..lineage import materialize
@@ -197,27 +197,70 @@ def bucket_preview(samples: DataFrame, config: DataConfig) -> tuple[DataFrame, D
     return buckets.groups(assigned, "stem"), buckets.undersized(assigned, config.min_bucket_size)
 
 
+def made_frames(rows: DataFrame, keys: list[str], source: str, name: Column, out: str, runner: media.Runner) -> DataFrame:
+    """keys, frame_idx, path, error of frames (keys, frame_idx, t): one that can't be made
+    has an error and no path."""
+    rows = rows.withColumn("output", F.concat(F.lit(out.rstrip("/") + "/"), name)).withColumn("command", media.frame_command(F.col(source), F.col("output"), F.col("t")))
+    done = media.execute(rows, runner, 60)
+    return rows.join(done, "output").select(*keys, F.col("frame_idx").cast("long").alias("frame_idx"), F.when(F.col("success"), F.col("output")).alias("path"), "error")
+
+
 def sampled_frames(spark: SparkSession, folder: str, out: str, n: int = 5, prober: Callable[[str], str] = probe.ffprobe, runner: media.Runner = media.tool) -> DataFrame:
-    """clip, frame_idx, path of n evenly spaced frames of each clip; a frame that can't be
-    made has no path."""
+    """clip, frame_idx, path, error of n evenly spaced frames of each clip; a frame that
+    can't be made has no path."""
     clips = probe.parse(probe.run(listing.clips(spark, folder), prober)).select(F.col("path").alias("clip"), "duration")
     times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("duration") * (i + 0.5) / n)
     rows = clips.select("clip", F.posexplode(times).alias("frame_idx", "t"))
     name = F.format_string("%s_%03d.png", F.replace(F.element_at(F.split("clip", "/"), -1), F.lit("."), F.lit("_")), F.col("frame_idx"))
-    rows = rows.withColumn("output", F.concat(F.lit(out.rstrip("/") + "/"), name)).withColumn("command", media.frame_command(F.col("clip"), F.col("output"), F.col("t")))
-    done = media.execute(rows, runner, 60)
-    return rows.join(done, "output").select("clip", F.col("frame_idx").cast("long").alias("frame_idx"), F.when(F.col("success"), F.col("output")).alias("path"))
+    return made_frames(rows, ["clip"], "clip", name, out, runner)
+
+
+def judged(spark: SparkSession, concepts: str, frames: DataFrame, make: Callable[[], backends.EmbeddingBackend], by: list[str], least: float, overlay: float) -> DataFrame:
+    """Triaged items (by) of frames (by, frame_idx, path and, if known, error). error says
+    why an item wasn't judged: none of its frames could be made and embedded, or a
+    reference or prompt couldn't be. Such items are unmatched as they stand."""
+    reason = F.col("error") if "error" in frames.columns else F.lit(None).cast("string")
+    none = frames.where("path is null").select(*by, "frame_idx", "path", F.lit(None).cast("array<float>").alias("embedding"), F.coalesce(reason, F.lit("no frame")).alias("error"))
+    known = frames.where("path is not null").select(*by, "frame_idx", "path")
+    vectors = materialize(backends.embed_or_say(known, make, "path").unionByName(none), "frames")
+    refs = materialize(backends.embed_or_say(listing.concepts(spark, concepts).select(F.col("name").alias("concept"), "ref_order", "image_path"), make, "image_path"), "references")
+    lines = spark.createDataFrame([(p,) for p in prompts.OVERLAY], "prompt string")
+    texts = materialize(backends.embed_or_say(lines, make, "prompt", "texts"), "prompts")
+    failed = refs.select(F.col("image_path").alias("what"), "error").unionByName(texts.select(F.col("prompt").alias("what"), "error"))
+    broken = failed.where("error is not null").agg(F.min(F.concat_ws(": ", "what", "error")).alias("broken"))
+    refs = refs.where("error is null").select("concept", "ref_order", F.col("embedding").alias("ref_embedding"))
+    texts = texts.where("error is null").select("prompt", F.col("embedding").alias("prompt_embedding"))
+    rows = triage_frames(vectors.drop("path", "error"), refs, texts, by, least, overlay)
+    own = vectors.groupBy(*by).agg(F.when(F.count("embedding") == 0, F.min("error")).alias("own"))
+    return rows.join(own, by).crossJoin(broken).withColumn("error", F.coalesce("own", "broken")).drop("own", "broken")
 
 
-def triage_folder(spark: SparkSession, folder: str, concepts: str, frames: DataFrame, make: Callable[[], backends.EmbeddingBackend], least: float = 0.70, overlay: float = 0.27) -> DataFrame:
+def triage_folder(spark: SparkSession, folder: str, concepts: str, frames: DataFrame, make: Callable[[], backends.EmbeddingBackend], least: float = CONCEPT_SIMILARITY, overlay: float = OVERLAY_SIMILARITY) -> DataFrame:
     """Clips of a folder against reference pictures, from sampled frames."""
-    known = frames.where("path is not null")
-    vectors = backends.embed(known, make, "path").unionByName(frames.where("path is null").withColumn("embedding", F.lit(None).cast("array<float>")))
-    refs = backends.embed(listing.concepts(spark, concepts).select(F.col("name").alias("concept"), "ref_order", "image_path"), make, "image_path")
-    refs = refs.select("concept", "ref_order", F.col("embedding").alias("ref_embedding"))
-    lines = spark.createDataFrame([(p,) for p in prompts.OVERLAY], "prompt string")
-    texts = backends.embed(lines, make, "prompt", "texts").select("prompt", F.col("embedding").alias("prompt_embedding"))
-    return triage_frames(vectors.drop("path"), refs, texts, ["clip"], least, overlay)
+    return judged(spark, concepts, frames, make, ["clip"], least, overlay)
+
+
+def triage_mode(videos: DataFrame) -> str:
+    """clip or scene, by the vote of the videos (duration)."""
+    return triage.mode_vote(videos).first()["mode"]
+
+
+def triage_scenes(
+    spark: SparkSession, folder: str, concepts: str, out: str, make: Callable[[], backends.EmbeddingBackend], detector: Callable[[], backends.SceneDetector],
+    least: float = CONCEPT_SIMILARITY, overlay: float = OVERLAY_SIMILARITY, cut: float = SCENE_THRESHOLD, prober: Callable[[str], str] = probe.ffprobe, runner: media.Runner = media.tool,
+) -> tuple[DataFrame, DataFrame]:
+    """Scenes (video, scene_index, start, end) of a folder's videos against reference
+    pictures, by frames inside of each; and path, error of videos that can't be probed or
+    searched for cuts."""
+    probed = materialize(probe.parse(probe.run(listing.clips(spark, folder), prober)).select("path", "duration", "error"), "videos")
+    videos = probed.where("error is null").select("path", "duration")
+    cuts, failed = detect(videos, detector, cut)
+    scene = segments.scenes(cuts, videos.join(failed, "path", "left_anti").select(F.col("path").alias("video"), "duration"))
+    rows = segments.sample_times(scene).withColumnRenamed("frame_index", "frame_idx")
+    name = F.format_string("%s_scene%03d_%03d.png", F.replace(F.element_at(F.split("video", "/"), -1), F.lit("."), F.lit("_")), F.col("scene_index"), F.col("frame_idx"))
+    keys = ["video", "scene_index", "start", "end"]
+    frames = made_frames(rows, keys, "video", name, out, runner)
+    return judged(spark, concepts, frames, make, keys, least, overlay), probed.where("error is not null").select("path", "error").unionByName(failed)
 
 
 def routes(triaged: DataFrame, out: str) -> DataFrame:

@@ -208,3 +208,50 @@ def test_ingest_detects_cuts(spark, folder, capsys, monkeypatch):
     assert "scenedetect is not installed" in capsys.readouterr().out
     monkeypatch.setitem(backends.DETECTORS, "pyscenedetect", Scores)
     assert cli.main(["ingest", str(folder), "-o", "out"]) == 1 and len(made) == 6
+
+
+def png_runner(command, seconds):
+    with open(command[-1], "w") as f:
+        f.write("x")
+
+
+def test_triage_says_what_is_not_judged(spark, folder, tmp_path, monkeypatch, capsys):
+    (tmp_path / "concepts" / "people").mkdir(parents=True)
+    (tmp_path / "concepts" / "people" / "holly.png").write_bytes(b"x")
+
+    def missing():
+        raise ImportError("no model is installed")
+
+    monkeypatch.setitem(backends.EMBEDDINGS, "clip", missing)
+    short = dict(PROBED, format={"duration": "5.0"})
+    monkeypatch.setattr(commands, "sampled_frames", functools.partial(commands.sampled_frames, prober=lambda p: json.dumps(short), runner=png_runner))
+    args = ["triage", str(folder), "-o", str(tmp_path / "o"), "--concepts-dir", str(tmp_path / "concepts"), "--organize"]
+    assert cli.main(args) == 1 and "no model is installed" in capsys.readouterr().out
+    assert not (tmp_path / "o" / "manifest").exists() and not (tmp_path / "o" / "unmatched").exists()
+
+
+def test_triage_of_scenes(spark, folder, tmp_path, monkeypatch, capsys):
+    (tmp_path / "concepts" / "people").mkdir(parents=True)
+    (tmp_path / "concepts" / "people" / "holly.png").write_bytes(b"x")
+
+    class Named(backends.EmbeddingBackend):
+        """Frames of scene 1 look like the reference, those of scene 0 of b.mp4 are broken."""
+
+        def images(self, paths):
+            if any("b_mp4_scene000" in p for p in paths):
+                raise OSError("broken frame")
+            return [[1.0, 0.0] if "scene001" in p or "holly" in p else [0.0, 1.0] for p in paths]
+
+        def texts(self, texts):
+            return [[0.0, 0.0]] * len(texts)
+
+    monkeypatch.setitem(backends.EMBEDDINGS, "clip", Named)
+    monkeypatch.setitem(backends.DETECTORS, "pyscenedetect", Scores)
+    monkeypatch.setattr(commands, "triage_scenes", functools.partial(commands.triage_scenes, prober=lambda p: json.dumps(PROBED), runner=png_runner))
+    args = ["triage", str(folder), "-o", str(tmp_path / "o"), "--concepts-dir", str(tmp_path / "concepts"), "--mode", "scene"]
+    assert cli.main(args) == 1
+    out = capsys.readouterr().out
+    assert "broken frame" in out and "c.mp4, error: broken" in out
+    kept = {(r.video.rsplit("/", 1)[-1], r.scene_index, r.start, r.end) for r in manifests.read_scene_manifest(spark, str(tmp_path / "o" / "manifest")).collect()}
+    assert kept == {("a.mp4", 1, 2.5, 3.75), ("b.mp4", 1, 2.5, 3.75)}
+    assert commands.triage_mode(spark.createDataFrame([(30.0,), (40.0,), (1.0,)], "duration double")) == "scene"

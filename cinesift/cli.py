@@ -132,8 +132,15 @@ def run(args: argparse.Namespace) -> int:
         name = args.provider
         print(reports.section("Captions", commands.audit(spark, args.folder, lambda: backends.backend(name)).groupBy("recommendation").count()))
     elif args.command == "extract":
-        rows = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite)
-        print(reports.section("References", commands.media.execute(rows.where("not skipped and error is null")).groupBy("success").count()))
+        rows = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite).where("not skipped and error is null")
+        best = args.strategy == "best_frame"
+        done = commands.media.execute(rows.where("source_type = 'image'") if best else rows)
+        if best:
+            clips = commands.best_references(spark, rows.where("source_type = 'video'"), args.output)
+            done = clips.select("output", "success", "error").unionByName(done)
+        done = materialize(done, "references")
+        print(reports.section("References", done.groupBy("success").count()))
+        print(reports.section("Failed", done.where("not success").select("output", "error").orderBy("output")))
     elif args.command == "triage":
         return run_triage(spark, args)
     elif args.command == "ingest":

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..constants import BLANK_SHARPNESS, HASH_SIZE
+from ..constants import BLANK_SHARPNESS, HASH_SIZE, REFERENCE_SUFFIXES
+
+#: Names of pictures, in either case.
+PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in REFERENCE_SUFFIXES) + "}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height, n_channels, data, decoded of the pictures of a folder."""
-    rows = spark.read.format("image").load(path).select("image.*")
-    return rows.select(F.regexp_replace("origin", "^file:/*", "/").alias("path"), "width", "height", F.col("nChannels").alias("n_channels"), "data", (F.col("width") > 0).alias("decoded"))
+    """path, width, height, n_channels, data, decoded of the pictures under a folder;
+    other files aren't read."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", PICTURES).load(path).select("image.*")
+    origin = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
+    return rows.select(F.regexp_replace(origin, "^file:/*", "/").alias("path"), "width", "height", F.col("nChannels").alias("n_channels"), "data", (F.col("width") > 0).alias("decoded"))
 
 
 def gray(data: bytes, width: int, height: int, channels: int) -> np.ndarray:

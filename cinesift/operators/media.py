@@ -49,16 +49,44 @@ def execute(planned: DataFrame, runner: Runner = tool, seconds: float = 300) ->
     return planned.select("output", "command").mapInPandas(go, "output string, success boolean, error string")
 
 
+def execute_many(planned: DataFrame, runner: Runner = tool, seconds: float = 300) -> DataFrame:
+    """Run commands (output, command) whose output is a pattern of numbered files:
+    output, success, error. What its folder held before is replaced, and only by a whole
+    run; a command that makes no file has failed."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for output, command in zip(batch["output"], batch["command"], strict=True):
+                folder, pattern = os.path.split(output)
+                try:
+                    os.makedirs(os.path.dirname(folder) or ".", exist_ok=True)
+                    with tempfile.TemporaryDirectory(dir=os.path.dirname(folder) or ".") as d:
+                        made = os.path.join(d, "made")
+                        os.mkdir(made)
+                        runner([os.path.join(made, pattern) if x == output else x for x in command], seconds)
+                        if not os.listdir(made):
+                            raise OSError("no frame was made")
+                        shutil.rmtree(folder, ignore_errors=True)
+                        os.replace(made, folder)
+                    out.append((output, True, None))
+                except (OSError, subprocess.SubprocessError) as e:
+                    out.append((output, False, str(e)))
+            yield pd.DataFrame(out, columns=["output", "success", "error"])
+
+    return planned.select("output", "command").mapInPandas(go, "output string, success boolean, error string")
+
+
 def frame_command(source: Column, output: Column, time: Column) -> Column:
     """One frame at a time in seconds; seeking before the input decodes little."""
     f = lambda *xs: [F.lit(x) for x in xs]
     return F.array(*f("ffmpeg", "-y", "-ss"), F.format_string("%.3f", time), F.lit("-i"), source, *f("-frames:v", "1"), output)
 
 
-def sampled_command(source: Column, pattern: Column, fps: Column) -> Column:
-    """Frames at a fixed rate, into numbered files."""
+def sampled_command(source: Column, pattern: Column, fps: Column, most: int | None = None) -> Column:
+    """Frames at a fixed rate, into numbered files, at most `most`."""
     f = lambda *xs: [F.lit(x) for x in xs]
-    return F.array(*f("ffmpeg", "-y", "-i"), source, F.lit("-vf"), F.concat(F.lit("fps="), fps.cast("string")), pattern)
+    return F.array(*f("ffmpeg", "-y", "-i"), source, F.lit("-vf"), F.concat(F.lit("fps="), fps.cast("string")), *(f("-frames:v", str(most)) if most else []), pattern)
 
 
 def clip_rate(duration: Column, n: int = FRAMES_PER_CLIP, least: float = 0.0) -> Column:

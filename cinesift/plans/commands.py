@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import backends, prompts
 from ..config import DataConfig, VideoConfig
-from ..constants import CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD
+from ..constants import CANDIDATE_FRAMES, CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD
 from ..functions import media as M
 from ..functions import text as T
 from ..lineage import materialize
@@ -125,12 +127,40 @@ def audit(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionB
 
 
 def extract(spark: SparkSession, folder: str, out: str, strategy: str = "first_frame", overwrite: bool = False) -> DataFrame:
-    """A plan of one reference picture for each clip or picture of a folder."""
+    """A plan of one reference picture for each clip or picture of a folder. The command
+    takes the first frame; best_references() carries out best_frame."""
     existing = listing.files(spark, out) if os.path.isdir(out) else None
     rows = media.reference_plan(listing.files(spark, folder), out, strategy, existing, overwrite)
     return rows.withColumn("command", media.frame_command(F.col("path"), F.col("output"), F.lit(0.0)))
 
 
+def best_references(spark: SparkSession, plan: DataFrame, out: str, n: int = CANDIDATE_FRAMES, prober: Callable[[str], str] = probe.ffprobe, runner: media.Runner = media.tool) -> DataFrame:
+    """output, success, error, frame_number, sharpness for the clips of a plan (path,
+    output): n evenly spaced frames of each are made and measured, and the sharpest is
+    copied to output. Frames are made in a folder under out that is removed afterwards."""
+    work = os.path.join(os.path.abspath(out), f"candidates-{uuid.uuid4().hex}")
+    try:
+        probed = probe.parse(probe.run(plan, prober)).select("path", "duration", F.coalesce("error", F.when(F.col("duration") <= 0, "no duration")).alias("bad"))
+        rows = materialize(plan.select("path", F.col("output").alias("dest")).join(probed, "path"), "clips")
+        rate = media.clip_rate(F.col("duration"), n, 1.0)
+        rows = rows.withColumn("rate", rate).withColumn("dir", F.concat(F.lit(work + "/"), F.sha2("dest", 256))).withColumn("output", F.concat("dir", F.lit("/%06d.png")))
+        rows = rows.withColumn("command", media.sampled_command(F.col("path"), F.col("output"), F.col("rate"), n))
+        made = materialize(media.execute_many(rows.where("bad is null"), runner), "candidates")
+        rows = rows.join(made, "output", "left")
+        os.makedirs(work, exist_ok=True)
+        frames = images.measure(images.read(spark, work)).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]+$", 1))
+        frames = frames.withColumn("index", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long") - 1).join(rows.select("dir", "rate"), "dir")
+        best = materialize(media.best_frame(frames.withColumn("at", F.col("index") / F.col("rate")), "dir"), "best")
+        chosen = rows.where("success").join(best, "dir")
+        copied = materialize(organize.transfer(chosen.select(F.format_string("%s/%06d.png", "dir", F.col("index") + 1).alias("source"), "dest")), "copied")
+        done = chosen.select("dest", "frame_number", "sharpness").join(copied.select("dest", F.col("success").alias("copied"), F.col("error").alias("uncopied")), "dest")
+        rows = rows.select("dest", F.coalesce("bad", "error").alias("bad")).join(done, "dest", "left")
+        error = F.coalesce("bad", "uncopied", F.when(F.col("copied").isNull(), "no frame can be read"))
+        return materialize(rows.select(F.col("dest").alias("output"), error.isNull().alias("success"), error.alias("error"), "frame_number", "sharpness"), "references")
+    finally:
+        shutil.rmtree(work, ignore_errors=True)
+
+
 def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Samples of all sources with their issues, and orphans. metadata: probed targets
     (path, width, height, frame_count, fps), joined so that buckets have dimensions."""

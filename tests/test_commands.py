@@ -3,6 +3,7 @@
 import functools
 import json
 import os
+import pathlib
 import struct
 import zlib
 
@@ -255,3 +256,28 @@ def test_triage_of_scenes(spark, folder, tmp_path, monkeypatch, capsys):
     kept = {(r.video.rsplit("/", 1)[-1], r.scene_index, r.start, r.end) for r in manifests.read_scene_manifest(spark, str(tmp_path / "o" / "manifest")).collect()}
     assert kept == {("a.mp4", 1, 2.5, 3.75), ("b.mp4", 1, 2.5, 3.75)}
     assert commands.triage_mode(spark.createDataFrame([(30.0,), (40.0,), (1.0,)], "duration double")) == "scene"
+
+
+def test_best_frame_is_the_sharpest(spark, folder, tmp_path):
+    flat, checks = [[9] * 32] * 32, [[(r + c) % 2 * 255 for c in range(32)] for r in range(32)]
+    soft = [[c * 8 for c in range(32)]] * 32
+    (folder / "d e+1.mp4").write_bytes(b"")
+    make_png = png
+
+    def runner(command, seconds):
+        if command[3].endswith("b.mp4"):
+            raise OSError("broken")
+        pictures = [flat, soft, checks, checks] if command[3].endswith("a.mp4") else [soft, flat]
+        assert command[command.index("-frames:v") + 1] == "10" and command[5] == "fps=2.0"
+        for i, rows in enumerate(pictures):
+            make_png(pathlib.Path(command[-1] % (i + 1)), rows)
+
+    out = tmp_path / "refs"
+    plan = commands.extract(spark, str(folder), str(out), "best_frame").where("source_type = 'video'")
+    done = {r.output.rsplit("/", 1)[-1]: r for r in commands.best_references(spark, plan, str(out), prober=lambda p: json.dumps(PROBED), runner=runner).collect()}
+    assert {k: (r.success, r.frame_number, r.error) for k, r in done.items()} == {"a.png": (True, 16, None), "b.png": (False, None, "broken"), "c.png": (True, 0, None), "d e+1.png": (True, 0, None)}
+    png(tmp_path / "checks.png", checks)
+    assert (out / "a.png").read_bytes() == (tmp_path / "checks.png").read_bytes()
+    assert sorted(os.listdir(out)) == ["a.png", "c.png", "d e+1.png"]
+    bad = commands.best_references(spark, plan, str(out), prober=lambda p: "{}", runner=runner).collect()
+    assert {r.error for r in bad} == {"no video stream"}

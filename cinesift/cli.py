@@ -150,9 +150,20 @@ def run(args: argparse.Namespace) -> int:
         print(reports.section("Videos not cut", failed.orderBy("path")))
         return int(failed.limit(1).count() > 0)
     else:
-        samples, orphans = commands.validate(spark, conf)
-        counts = pairing.counts(samples, "source")
-        print(reports.dataset(counts, video_spec.issue_summary(samples)))
+        probed = materialize(commands.probe.parse(commands.probe.run(commands.targets(spark, conf))), "probed")
+        samples, orphans = commands.validate(spark, conf, probed)
+        samples = materialize(samples, "samples")
+        parts = [samples]
+        if conf.quality.check_duplicates:
+            parts.append(materialize(commands.duplicate_issues(samples), "duplicates"))
+        groups, few = commands.bucket_preview(samples, conf)
+        print(reports.dataset(pairing.counts(samples, "source"), video_spec.issue_summary(*parts), few))
+        print(reports.section("Buckets", groups.select("bucket_key", "n"), 20))
+        for part in parts[1:]:
+            print(reports.section("References that look alike", part.select("group_id", "n", "crosses").orderBy("group_id"), 20))
+        print(reports.section("Not probed", probed.where("error is not null").select("path", "error").orderBy("path"), 20))
+        if "motion_error" in samples.columns:
+            print(reports.section("Motion not measured", samples.where("motion_error is not null").select("target", "motion_error").orderBy("target"), 20))
         print(reports.section("Orphans", orphans.select("path"), 20))
         if args.command == "validate":
             return int(samples.where(video_spec.has_error()).limit(1).count() > 0)
@@ -161,7 +172,7 @@ def run(args: argparse.Namespace) -> int:
             raise ValueError("no valid sample is left")
         if not args.dry_run:
             print(reports.section("Files", commands.organize.transfer(commands.transfers(plan), not args.move).groupBy("success").count()))
-            total = trainers.totals(plan.where("skip_reason is null").withColumn("frame_count", commands.F.lit(None).cast("long")), conf)
+            total = trainers.totals(plan.where("skip_reason is null"), conf)
             for name in args.trainer:
                 file, text = trainers.generate(name, args.output, args.layout, total, conf)
                 with open(os.path.join(args.output, file), "w", encoding="utf-8") as f:

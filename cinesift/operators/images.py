@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import shutil
+import subprocess
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..constants import BLANK_SHARPNESS, HASH_SIZE, REFERENCE_SUFFIXES
+from ..sources.probe import ffprobe
 
 #: Names of pictures, in either case.
 PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in REFERENCE_SUFFIXES) + "}"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height, n_channels, data, decoded of the pictures under a folder;
-    other files aren't read."""
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", PICTURES).load(path).select("image.*")
+def read(spark: SparkSession, path: str, deep: bool = True) -> DataFrame:
+    """path, width, height, n_channels, data, decoded of the pictures of a folder and, if
+    deep, of those under it; other files aren't read."""
+    rows = spark.read.format("image").option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", PICTURES).load(path).select("image.*")
     origin = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
     return rows.select(F.regexp_replace(origin, "^file:/*", "/").alias("path"), "width", "height", F.col("nChannels").alias("n_channels"), "data", (F.col("width") > 0).alias("decoded"))
 
@@ -91,3 +97,44 @@ def motion_intensity(frames: list[np.ndarray], samples: int = 5) -> float | None
         return None
     starts = range(n - 1) if samples >= n - 1 else [i * (n - 2) // samples for i in range(samples)]
     return float(np.mean([np.abs(frames[i + 1].astype(float) - frames[i].astype(float)).mean() / 255 * 100 for i in starts]))
+
+
+def video_motion(path: str, samples: int = 5) -> float | None:
+    """motion_intensity of a clip by the pairs of frames that it looks at, decoded by ffmpeg."""
+    m = json.loads(ffprobe(path))
+    v = next((s for s in m.get("streams", []) if s.get("codec_type") == "video"), None)
+    if v is None:
+        raise OSError("no video stream")
+    a, _, b = v.get("avg_frame_rate", "0/1").partition("/")
+    counted, length = str(v.get("nb_frames", "")), float(m.get("format", {}).get("duration", 0) or 0)
+    n = int(counted) if counted.isdigit() else round(length * float(a) / float(b or 1)) if float(b or 1) else 0
+    if n < 2:
+        return None
+    starts = list(range(n - 1)) if samples >= n - 1 else [i * (n - 2) // samples for i in range(samples)]
+    at = sorted({j for i in starts for j in (i, i + 1)})
+    command = ["ffmpeg", "-v", "error", "-noautorotate", "-i", path, "-vf", "select=" + "+".join(f"eq(n\\,{j})" for j in at), "-fps_mode", "passthrough", "-f", "rawvideo", "-pix_fmt", "gray", "-"]
+    if shutil.which("ffmpeg") is None:
+        raise OSError("ffmpeg is not installed")
+    out = subprocess.run(command, capture_output=True, timeout=300)
+    if out.returncode:
+        raise OSError(out.stderr.decode(errors="replace").strip()[-500:] or f"ffmpeg ended with {out.returncode}")
+    frames = dict(zip(at, np.frombuffer(out.stdout, np.uint8).reshape(-1, int(v["height"]), int(v["width"])), strict=False))
+    pairs = [motion_intensity([frames[i], frames[i + 1]]) for i in starts if i + 1 in frames]
+    return float(np.mean(pairs)) if pairs else None
+
+
+def motion(clips: DataFrame, column: str, meter: Callable[[str], float | None] = video_motion) -> DataFrame:
+    """column, motion, motion_error of each clip of a column of paths."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path in batch[column]:
+                try:
+                    found = meter(path)
+                    out.append((path, found, "fewer than two frames" if found is None else None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((path, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=[column, "motion", "motion_error"])
+
+    return clips.select(column).distinct().mapInPandas(run, f"`{column}` string, motion double, motion_error string")

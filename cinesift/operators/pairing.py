@@ -80,6 +80,16 @@ def check_references(samples: DataFrame, blur: float | None = None, exposure: tu
     return samples.withColumn("issues", F.concat("issues", found))
 
 
+def check_types(samples: DataFrame, target: Column, reference: Column) -> DataFrame:
+    """samples with an issue where the first bytes of a file are of another kind than its
+    role: target, reference say whether they fit, null if that isn't known."""
+    found = gathered(
+        issue(~target, "FILE_TYPE_INVALID", ERROR, "target", F.col("target"), "a video", "the target is no video"),
+        issue(~reference, "FILE_TYPE_INVALID", ERROR, "reference", F.col("reference"), "an image", "the reference is no image"),
+    )
+    return samples.withColumn("issues", F.concat("issues", found))
+
+
 def check_motion(samples: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """samples (motion, issues); what can't be measured (null) is passed over."""
     m = F.col("motion")

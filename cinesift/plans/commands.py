@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import backends, prompts
 from ..config import DataConfig, VideoConfig
-from ..constants import CANDIDATE_FRAMES, CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD
+from ..constants import CANDIDATE_FRAMES, CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD, WARNING
 from ..functions import media as M
 from ..functions import text as T
 from ..lineage import materialize
@@ -161,34 +161,63 @@ def best_references(spark: SparkSession, plan: DataFrame, out: str, n: int = CAN
         shutil.rmtree(work, ignore_errors=True)
 
 
-def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def targets(spark: SparkSession, config: DataConfig) -> DataFrame:
+    """path of the targets of all sources."""
+    found = None
+    for s in config.datasets:
+        one = listing.dataset(spark, s.path).where("role = 'target'").select("path")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None = None, meter: Callable[[str], float | None] = images.video_motion) -> tuple[DataFrame, DataFrame]:
     """Samples of all sources with their issues, and orphans. metadata: probed targets
-    (path, width, height, frame_count, fps), joined so that buckets have dimensions."""
-    found, images_ = None, None
+    (path, width, height, frame_count, fps), joined so that buckets have dimensions.
+
+    References are always measured, except those that Spark's reader leaves out or has
+    no decoder for (webp, names that begin with _ or .): their measures are null and
+    not judged. Motion is measured (motion, motion_error) if the settings limit it."""
+    found, measured, texts = None, None, None
     for s in config.datasets:
         one = listing.dataset(spark, s.path)
         found = one if found is None else found.unionByName(one)
-        if config.quality.blur_threshold is not None or config.quality.exposure_range or config.quality.check_duplicates or config.reference_required:
-            some = images.measure(images.read(spark, s.path))
-            images_ = some if images_ is None else images_.unionByName(some)
+        if at := listing.references(s.path):
+            some = images.measure(images.read(spark, at, False)).select(F.col("path").alias("reference"), "decoded", "sharpness", "brightness", "hash")
+            measured = some if measured is None else measured.unionByName(some)
     of = lambda r: found.where(F.col("role") == r).select("source", "stem", F.col("path").alias(r))
     keys = ["source", "stem"]
     rows = pairing.pair(of("target"), of("caption"), of("reference"), keys, config)
-    texts = None
     for s in config.datasets:
         one = listing.content(spark, s.path).where(F.col("path").endswith(".txt"))
         texts = one if texts is None else texts.unionByName(one)
-    rows = rows.join(texts.withColumnRenamed("path", "caption"), "caption", "left")
+    for role in ("target", "reference"):
+        rows = rows.join(listing.heads(of(role), role).withColumnRenamed("head", f"{role}_head"), role, "left")
+    rows = pairing.check_types(rows, listing.looks_like(F.col("target_head"), "target"), listing.looks_like(F.col("reference_head"), "reference"))
+    rows = rows.join(texts.withColumnRenamed("path", "caption").dropDuplicates(["caption"]), "caption", "left")
     rows = pairing.check_captions(rows, limit=config.max_tokens).drop("content")
-    if images_ is not None:
-        rows = rows.join(images_.select(F.col("path").alias("reference"), "decoded", "sharpness", "brightness", "hash"), "reference", "left").withColumn("decoded", F.coalesce("decoded", F.lit(False)))
-        rows = pairing.check_references(rows, config.quality.blur_threshold, config.quality.exposure_range)
+    if measured is not None:
+        rows = rows.join(measured.dropDuplicates(["reference"]), "reference", "left")
+        webp = (F.lower("reference").endswith(".webp")) & F.coalesce(F.startswith(F.hex("reference_head"), F.lit("52494646")), F.lit(False))
+        hidden = F.element_at(F.split("reference", "/"), -1).rlike("^[_.]")
+        decoded = F.when(F.col("reference").isNotNull() & (F.col("decoded") | ~(webp | hidden)), F.coalesce("decoded", F.lit(False))).when(F.col("reference").isNull(), F.lit(False))
+        rows = pairing.check_references(rows.withColumn("decoded", decoded), config.quality.blur_threshold, config.quality.exposure_range)
+    rows = rows.drop("target_head", "reference_head")
+    if config.quality.motion_min is not None or config.quality.motion_max is not None:
+        rows = rows.join(materialize(images.motion(of("target"), "target", meter), "motion"), "target", "left")
+        rows = pairing.check_motion(rows, config.quality.motion_min, config.quality.motion_max)
     if metadata is not None:
         rows = rows.join(metadata.select(F.col("path").alias("target"), "width", "height", "frame_count", "fps"), "target", "left")
     signals = of("caption").withColumnRenamed("caption", "path").unionByName(of("reference").withColumnRenamed("reference", "path"))
     return rows, pairing.orphans(of("target"), signals, keys)
 
 
+def duplicate_issues(samples: DataFrame) -> DataFrame:
+    """group_id, n, crosses and issues (one) of each group of references that look alike."""
+    rows = duplicate_references(samples).groupBy("group_id").agg(F.count("*").alias("n"), F.bool_or("crosses").alias("crosses"))
+    found = video_spec.issue(F.lit(True), "DUPLICATE_DETECTED", WARNING, "reference", F.col("n"), "1", "references look alike")
+    return rows.withColumn("issues", video_spec.gathered(found))
+
+
 def duplicate_references(samples: DataFrame, distance: int = 6) -> DataFrame:
     """source, reference, group_id, crosses of references that look alike, in one source or
     across sources."""
@@ -200,7 +229,7 @@ def duplicate_references(samples: DataFrame, distance: int = 6) -> DataFrame:
 
 def organize_plan(samples: DataFrame, out: str, layout: str = "flat", strict: bool = False) -> DataFrame:
     """samples with skip_reason; those that stay with a stem of their own and destinations."""
-    rows = samples.withColumn("skip_reason", organize.skip_reason(strict=strict))
+    rows = samples.drop("decoded", "sharpness", "brightness", "hash", "motion", "motion_error").withColumn("skip_reason", organize.skip_reason(strict=strict))
     kept = organize.unique_stems(rows.where("skip_reason is null"), "stem", "source", "target")
     kept = organize.destinations(kept, out, layout)
     skipped = rows.where("skip_reason is not null").withColumns({c: F.lit(None).cast("string") for c in ("final_stem", "target_dest", "caption_dest", "reference_dest")})

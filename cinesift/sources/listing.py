@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -104,6 +105,29 @@ def concepts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("stem").alias("name"), concept_type(F.col("folder")).alias("concept_type"), F.col("path").alias("image_path"), F.col("folder").alias("folder_name"), F.struct("folder", "name").alias("ref_order"))
 
 
+def heads(files: DataFrame, column: str, n: int = 16) -> DataFrame:
+    """column, head: the first bytes of each file of a column of paths, null if it can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path in batch[column]:
+                try:
+                    with open(path, "rb") as f:
+                        out.append((path, f.read(n)))
+                except OSError:
+                    out.append((path, None))
+            yield pd.DataFrame(out, columns=[column, "head"])
+
+    return files.select(column).dropna().distinct().mapInPandas(run, f"`{column}` string, head binary")
+
+
+def references(path: str) -> str | None:
+    """The folder of a dataset's references, null if it isn't there."""
+    at = os.path.join(path, "training", "signals", "references") if is_hierarchical(path) else path
+    return at if os.path.isdir(at) else None
+
+
 #: The first bytes of media files, in hex, and where they stand.
 MAGIC = {
     "target": [("66747970", 4), ("1A45DFA3", 0), ("52494646", 0), ("000001BA", 0), ("000001B3", 0), ("3026B275", 0), ("464C56", 0), ("47", 0)],

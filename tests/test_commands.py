@@ -281,3 +281,41 @@ def test_best_frame_is_the_sharpest(spark, folder, tmp_path):
     assert sorted(os.listdir(out)) == ["a.png", "c.png", "d e+1.png"]
     bad = commands.best_references(spark, plan, str(out), prober=lambda p: "{}", runner=runner).collect()
     assert {r.error for r in bad} == {"no video stream"}
+
+
+def test_validate_checks_files_by_default(spark, folder, capsys, monkeypatch):
+    checks = [[(r + c) % 2 * 255 for c in range(32)] for r in range(32)]
+    for stem in ("e f+1", "g", "h"):
+        (folder / f"{stem}.mp4").write_bytes(b"\0\0\0\x18ftypisom")
+        (folder / f"{stem}.txt").write_text("She walks slowly")
+        png(folder / f"{stem}.png", checks)
+    (folder / "g.mp4").write_bytes((folder / "a.png").read_bytes())
+    (folder / "h.png").write_bytes(b"\x89PNG\r\n\x1a\nbroken")
+    (folder / "i.mp4").write_bytes(b"")
+    (folder / "i.txt").write_text("She walks slowly")
+    (folder / "i.webp").write_bytes(b"RIFF\0\0\0\0WEBPVP8 ")
+    config = DataConfig(datasets=(Source(str(folder)),), quality=QualityConfig(motion_min=1.0, motion_max=50.0))
+
+    def meter(path):
+        if path.endswith("b.mp4"):
+            raise OSError("broken")
+        return {"a.mp4": 0.5, "g.mp4": 60.0}.get(path.rsplit("/", 1)[-1], 5.0)
+
+    probed = probe.parse(probe.run(commands.targets(spark, config), lambda p: json.dumps(PROBED)))
+    samples, _ = commands.validate(spark, config, probed, meter)
+    rows = {r.stem: r for r in samples.collect()}
+    assert {k: [i.code for i in r.issues] for k, r in rows.items()} == {
+        "a": ["MOTION_BELOW_MIN"], "b": ["CAPTION_EMPTY"], "c": ["CAPTION_MISSING", "REFERENCE_BLANK"], "e f+1": [], "g": ["FILE_TYPE_INVALID", "MOTION_ABOVE_MAX"], "h": ["FILE_CORRUPTED"], "i": [],
+    }
+    assert rows["b"].motion_error == "broken" and (rows["a"].width, rows["a"].frame_count) == (1280, 120)
+    found = commands.duplicate_issues(samples).collect()
+    assert [(r.n, r.crosses, r.issues[0].code) for r in found] == [(5, False, "DUPLICATE_DETECTED")]  # the blank one has the hash of the others
+    assert commands.bucket_preview(samples, config)[0].first().n == 7
+
+    monkeypatch.setattr(commands.probe, "run", functools.partial(probe.run, prober=lambda p: json.dumps(PROBED)))
+    cli.main(["organize", str(folder), "-o", str(folder.parent / "o"), "--duplicates", "-t", "musubi", "--layout", "hierarchical"])
+    out = capsys.readouterr().out
+    assert "code: DUPLICATE_DETECTED, n: 1" in out and "1280x720x120" in out
+    assert "target_frames = [120]" in (folder.parent / "o" / "musubi_dataset.toml").read_text()
+    again, _ = commands.validate(spark, DataConfig(datasets=(Source(str(folder.parent / "o")),)))
+    assert {r.stem: [i.code for i in r.issues] for r in again.collect()} == {"a": [], "b": ["CAPTION_EMPTY"], "e f+1": [], "i": []}

@@ -49,7 +49,14 @@ class Codes(dict):
 def template(words: list[bytes], codes: Codes) -> np.ndarray:
     """Hashes of a text's words, with one value for all numbers, one for all units
     after a number, and one for all names: capitalised words inside a sentence."""
-    c = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    return template_of(coded(words, codes))
+
+
+def coded(words: list[bytes], codes: Codes) -> np.ndarray:
+    return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+
+
+def template_of(c: np.ndarray) -> np.ndarray:
     flags = (c & _FLAGS).astype(np.uint8)
     out = c & ~_FLAGS
     number, inside = flags & NUMBER > 0, np.zeros(len(c), bool)
@@ -62,6 +69,11 @@ def template(words: list[bytes], codes: Codes) -> np.ndarray:
     return out
 
 
+def bare(words: list[bytes]) -> bytes:
+    """The words in lower case without the characters at their edges."""
+    return b" ".join(w.strip(_EDGE).lower() for w in words)
+
+
 def slots(t: np.ndarray) -> np.ndarray:
     return (t == NUM) | (t == NAME) | (t == UNT)
 
@@ -69,36 +81,54 @@ def slots(t: np.ndarray) -> np.ndarray:
 class Templates:
     """The windows of a block of benchmark items, sorted by hash.
 
-    A window holds `window` words, or all of an item that has fewer; items with
-    under five words, and windows of which over half are placeholders, aren't used.
+    A window holds `window` words, or all of an item that has fewer. Windows of which
+    over half are placeholders are too general as templates: they are kept by their
+    words themselves, in lower case. Items with under five words have no windows; they
+    are kept whole.
     """
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         codes = Codes()
         self.ids = [i for i, _ in items]
         self.words = [t.split() for _, t in items]
-        self.templates = [template(w, codes) for w in self.words]
+        plain = [coded(w, codes) for w in self.words]
+        self.templates = [template_of(c) for c in plain]
+        self.short: dict[bytes, list[int]] = defaultdict(list)
         found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        verbatim: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
         for k, t in enumerate(self.templates):
             if len(t) < 5:
+                if (key := bare(self.words[k])).strip():
+                    self.short[key].append(k)
                 continue
             width = min(window, len(t))
             h = gram_hashes(t, width)
             fixed = np.lib.stride_tricks.sliding_window_view(~slots(t), width).sum(1) * 2 >= width
             at = np.flatnonzero(fixed)
             found[width].append((h[at], np.full(len(at), k), at))
-        self.by_width = {}
+            if len(at := np.flatnonzero(~fixed)):
+                verbatim[width].append((gram_hashes(plain[k] & ~_FLAGS, width)[at], np.full(len(at), k), at))
+        self.by_width, self.verbatim = self.table(found), self.table(verbatim)
+
+    @staticmethod
+    def table(found: dict[int, list[tuple[np.ndarray, ...]]]) -> dict[int, tuple[np.ndarray, ...]]:
+        out = {}
         for width, parts in found.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
-            self.by_width[width] = (h[order], item[order], at[order])
+            out[width] = (h[order], item[order], at[order])
+        return out
 
-    def hits(self, t: np.ndarray) -> dict[int, set[tuple[int, int, int]]]:
-        """Of each item, (place in the text, place in the item, width) of equal windows."""
+    def hits(self, t: np.ndarray, plain: np.ndarray | None = None) -> dict[int, set[tuple[int, int, int]]]:
+        """Of each item, (place in the text, place in the item, width) of equal windows;
+        plain: the words' own hashes, for windows that are kept by their words."""
         out: dict[int, set] = defaultdict(set)
-        for width, (known, item, at) in self.by_width.items():
-            h = gram_hashes(t, width)
-            if not len(h):
+        tables = [(t, x) for x in self.by_width.items()]
+        if plain is not None:
+            tables += [(plain, x) for x in self.verbatim.items()]
+        for values, (width, (known, item, at)) in tables:
+            h = gram_hashes(values, width)
+            if not len(h) or not len(known):
                 continue
             left = np.searchsorted(known, h)
             here = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == h)
@@ -115,7 +145,8 @@ class Templates:
 
         Windows that lie along one shift are one copy. Its slots must be consistent:
         the same value in the item always has the same value in the text, and
-        different ones different; from the first that isn't, the copy counts no more.
+        different ones different, in either case; from the first that isn't, the copy
+        counts no more.
         """
         n, own = len(self.words[k]), self.words[k]
         covered, same = np.zeros(n, bool), True
@@ -129,7 +160,7 @@ class Templates:
                 part[a:b] = True
             there, back = {}, {}
             for j in np.flatnonzero(part & slot).tolist():
-                a, b = own[j].strip(_EDGE), words[shift + j].strip(_EDGE)
+                a, b = own[j].strip(_EDGE).lower(), words[shift + j].strip(_EDGE).lower()
                 if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
                     part[j:] = False
                     break
@@ -142,10 +173,12 @@ class Templates:
         smallest id of equals), its share and whether it is verbatim or reparameterised."""
         words = text.split()
         if len(words) < 5:
-            return 0, None, 0.0, None
-        t = template(words, codes)
+            same = self.short.get(bare(words), []) if self.short else []
+            return (len(same), min(self.ids[k] for k in same), 1.0, "verbatim") if same else (0, None, 0.0, None)
+        c = coded(words, codes)
+        t = template_of(c)
         found = []
-        for k, hits in self.hits(t).items():
+        for k, hits in self.hits(t, c & ~_FLAGS).items():
             share, same = self.check(k, hits, words, t)
             if share >= least:
                 found.append((-share, self.ids[k], "verbatim" if same else "reparameterised"))
@@ -159,13 +192,15 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: flo
     """docs with contaminated, n_items, item_id, coverage and kind (names after `prefix`).
 
     Contaminated is a text that has windows of an item's template over at least
-    `least` of the item's words, with consistent slots. The benchmark's windows are
+    `least` of the item's words, with consistent slots; windows of mostly placeholders
+    count where their words are equal, in either case. The benchmark's windows are
     a hash table in each task; a benchmark of over `block_words` words is taken in
     blocks of that size (its ids hashed), each a further pass, so the table's size
     is bounded and every item is compared.
 
     Null and empty texts and items: nothing is found. Items of under five words are
-    too short to tell and never found. Items with null ids count as id -1. Repeated
+    found in texts that consist of them alone; inside of a longer text they are too
+    short to tell. Items with null ids count as id -1. Repeated
     rows are judged alike. No rows: no rows. Columns named like those added, or
     _block0_n_items and so on, are replaced; other columns stay.
     """

@@ -331,6 +331,14 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.flag(documents(spark, rows), bench.where("false")).collect())
 
 
+def test_decontamination_of_placeholders_and_short_items(spark):
+    items = [(0, "3 5 8 13 21 34 55 89 144"), (1, "Who Wrote The Old Man And The Sea"), (2, "One two"), (3, "...")]
+    rows = [(0, "they count 3 5 8 13 21 34 55 89 144 and so on"), (1, "they count 4 6 9 14 22 35 56 90 145 and so on"), (2, "tell me: who wrote the old man and the sea"), (3, "One Two."), (4, "one two three"), (5, "!"), (6, "Tom Met Ann By Lake Como On May Day")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_id, r.kind, r.coverage) for r in decontamination.flag(documents(spark, [(*r, "s") for r in rows]), bench).collect()}
+    assert {i: r for i, r in got.items() if r[0]} == {0: (True, 0, "verbatim", 1.0), 2: (True, 1, "verbatim", 1.0), 3: (True, 2, "verbatim", 1.0)}
+
+
 def test_template_windows_match_brute_force():
     rng = random.Random(3)
     vocabulary = ["the", "a", "Rome", "Paris", "12", "7", "km", "kg", "runs", "to.", "from", "and"]

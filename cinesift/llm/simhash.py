@@ -41,17 +41,18 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns of keep for every row of docs."""
 
     def make():
         def f(batch):
             fps = np.array([fingerprint(t, shingle, seed) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
         return f
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, fp long")
+    kinds = "".join(f", `{c}` {k}" for c, k in docs.select(*keep).dtypes) if keep else ""
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *keep), make, "doc_id long, fp long" + kinds)
 
 
 def masks(bands: int, radius: int) -> list[int]:
@@ -162,8 +163,9 @@ def links(distinct: DataFrame, radius: int = 4, group: int = 4096) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id for every row of docs.
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, fingerprint (16 hex digits), component_id and the columns of keep for
+    every row of docs.
 
     component_id is the smallest doc_id among the documents that links reach, a
     link being two fingerprints that differ in at most `radius` bits. Equal
@@ -173,10 +175,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     as no id: they get the smallest id reachable, null if there is none. Repeated
     rows each give a row. No rows: no rows. Other columns of docs are ignored.
     """
-    fps = materialize(fingerprints(docs, shingle, seed), "simhash")
+    fps = materialize(fingerprints(docs, shingle, seed, keep), "simhash")
     first = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = components(links(first.select("fp"), radius))
     by_fp = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = by_fp.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = by_fp.join(smallest, "label").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)

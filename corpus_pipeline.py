@@ -18,10 +18,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the smallest id; columns of docs.
-    Documents without id stay, and so do repeated rows of the id that stays."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Documents without id stay, and so do repeated rows of the id that stays. Rows of one
+    id with different texts are judged each by its own."""
+    rows = docs.withColumn("_simhash_text", F.xxhash64("text"))
+    found = simhash.near_duplicates(rows, keep=("_simhash_text",))
+    gone = found.where("doc_id <> component_id").select("doc_id", "_simhash_text").distinct()
+    return rows.join(gone, ["doc_id", "_simhash_text"], "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,13 @@ def test_stages(spark, folder):
 def test_run_applies_all_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r.copies > 0 for r in rows) and not any(r.doc_id in (0, 5, 310, 311) for r in rows)
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(2))
+    rows = [(5, a), (9, a), (5, b), (2, b), (7, None), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(5, a), (2, b), (7, None), (None, b)]))

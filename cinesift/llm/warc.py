@@ -119,9 +119,10 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fixity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every record of replica a with its digest and status: ok, corrupt or missing in b;
-    and a row for each offset that only b has. a, b: file, offset, ..., record."""
+    and a row for each offset that only b has (extra). Records of a without offset are
+    compared with nothing: unchecked. a, b: file, offset, ..., record."""
     a, b = materialize(leaves(a), "leaves"), materialize(leaves(b), "leaves")
     found = audit(a, b).withColumnRenamed("file", "name")
     name = F.coalesce(F.col("file").cast("string"), F.lit(""))
     rows = a.withColumn("name", name).join(found, ["name", "offset"], "full")
-    return rows.withColumn("status", F.coalesce("status", F.lit("ok"))).drop("name")
+    return rows.withColumn("status", F.coalesce("status", F.when(F.col("offset").isNull(), "unchecked").otherwise("ok"))).drop("name")

@@ -379,3 +379,8 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
             assert r.digest == hashlib.sha256(dict(files[r.file])[r.offset]).hexdigest()
     assert {r.status for r in warc.fixity(records, records).collect()} == {"ok"}
     assert warc.fixity(records.where("false"), records.where("false")).count() == 0
+
+
+def test_records_without_offset_are_not_verified(spark):
+    records = spark.createDataFrame([("f", 0, b"one"), ("f", None, b"two"), (None, None, b"three"), (None, 0, b"four")], "file string, offset long, record binary")
+    assert {bytes.fromhex(r.digest): r.status for r in warc.fixity(records, records).collect()} == {hashlib.sha256(x).digest(): s for x, s in ((b"one", "ok"), (b"two", "unchecked"), (b"three", "unchecked"), (b"four", "ok"))}

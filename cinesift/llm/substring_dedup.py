@@ -182,7 +182,9 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
 
     Removed is each word that a window of `window` words covers whose word sequence
     also starts in a document with a smaller doc_id; all are judged on the input.
-    Shared passages are found by anchors; FM-indexes of them decide every window.
+    Shared passages are found by anchors; FM-indexes decide every window of each distinct
+    one. Repeats of a passage after its first document are told by its 64-bit hash beside
+    that of its anchor; their words aren't compared.
     kept_sha256 is of the kept words joined by one space; kept_text is the text
     itself without the removed words and the white space after them.
 

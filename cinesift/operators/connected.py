@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import materialize
+from ..lineage import Scratch
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -16,26 +16,27 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     lead, and contracts the links to what is left between labels, so at least half
     of the nodes that still have links go. Links are made distinct and self links
     dropped after each contraction; a node with many links is met only in sums and
-    joins. Rounds are cut by written tables.
+    joins. Rounds are cut by written tables; those of past rounds are deleted.
     """
-    edges = materialize(links.where("u <> v").distinct(), "links")
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    labels = nodes.select("node", F.col("node").alias("label"))
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min("v").alias("to")).where("to < u")
-        hook = materialize(hook, "hooks")
-        if hook.isEmpty():
-            break
-        for _ in range(2):  # chains of hooks shorten to a quarter
-            onward = hook.select(F.col("u").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(onward, "to", "left").select("u", F.coalesce("next", "to").alias("to"))
-        hook = materialize(hook, "hooks")
-        up = hook.select(F.col("u").alias("label"), "to")
-        labels = materialize(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        for end in ("u", "v"):
-            edges = edges.join(hook.select(F.col("u").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        edges = materialize(edges.where("u <> v").distinct(), "links")
-    else:
-        raise RuntimeError("links are not contracted")
-    return labels
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.keep(links.where("u <> v").distinct(), "links")
+        nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        labels = scratch.keep(nodes.select("node", F.col("node").alias("label")), "labels")
+        for _ in range(most_rounds):
+            both = edges.select("u", "v").union(edges.select("v", "u"))
+            hook = scratch.keep(both.groupBy("u").agg(F.min("v").alias("to")).where("to < u"), "hooks")
+            if hook.isEmpty():
+                break
+            for _ in range(2):  # chains of hooks shorten to a quarter
+                onward = hook.select(F.col("u").alias("to"), F.col("to").alias("next"))
+                hook = hook.join(onward, "to", "left").select("u", F.coalesce("next", "to").alias("to"))
+            hook = scratch.keep(hook, "hooks")
+            up = hook.select(F.col("u").alias("label"), "to")
+            labels = scratch.keep(labels.join(up, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            for end in ("u", "v"):
+                edges = edges.join(hook.select(F.col("u").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            edges = scratch.keep(edges.where("u <> v").distinct(), "links")
+            scratch.drop(2)
+        else:
+            raise RuntimeError("links are not contracted")
+        return scratch.result(labels, "components")

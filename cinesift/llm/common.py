@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -98,24 +99,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, computed once for each distinct word and
-    forgotten when a million words are held."""
-
-    def __init__(self, seed: int = 0):
-        super().__init__()
-        import xxhash
-
-        self.hash, self.seed = xxhash.xxh3_64_intdigest, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = self.hash(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACE)] = True
+#: An odd base, its inverse modulo 2 ** 64, and a value for each byte.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_BLOCK = 1 << 18
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE), np.full(n, _INVERSE)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text and where it begins, without a dictionary
+    of words: differences of prefix sums of a polynomial in the bytes, block by block."""
+    b = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[0], (~_IS_SPACE[b]).view(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(int(np.searchsorted(ends, starts[at] + _BLOCK, side="right")), at + 1)
+        s, e = starts[at:end] - starts[at], ends[at:end] - starts[at]
+        size = int(e[-1])
+        up, down = _powers(max(_BLOCK, size) + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[b[starts[at] : starts[at] + size]] * up[:size], out=sums[1:])
+        out[at:end] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = end
+    return out, starts
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

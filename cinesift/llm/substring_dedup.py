@@ -1,38 +1,32 @@
-"""Substring deduplication by FM-indexes of the passages that documents share."""
+"""Substring deduplication: FM-indexes of the passages that documents share decide
+which windows of words an earlier document has."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import materialize
-from .common import WordHashes, gram_hashes, map_batches, mix64, utf8
-from .fm_index import FMIndex, matching_windows
+from ..lineage import Scratch
+from .common import gram_hashes, map_batches, mix64, utf8, word_hashes
+from .fm_index import FMIndex, matched
 
 #: Words of an anchor. Each window's anchor is the one of its runs of GRAM words
 #: with the smallest hash, so equal windows have equal anchors.
 GRAM = 16
-#: Passages of one anchor in one index, and symbols in one index.
-GROUP, SHARD = 2048, 400_000
-
-
-def anchors(words: list[bytes], hashes: WordHashes, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """anchor, passage, first window, number of windows, for each stretch of windows
-    with one anchor. passage: a hash of the stretch's words."""
-    h = hashes.of(words)
-    g, whole = gram_hashes(h, gram), gram_hashes(h, window)
-    at = sliding_argmin(g, window - gram + 1)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    n = np.diff(np.concatenate([first, [len(whole)]]))
-    # Fewer windows than a window has words: its first and last window hold the whole stretch.
-    passage = mix64(whole[first] * np.uint64(0x9E3779B97F4A7C15) + whole[first + n - 1]) + n.astype(np.uint64)
-    return g[at[first]].view(np.int64), passage.view(np.int64), first, n
+#: Words of a document whose anchors are dealt to one index.
+REGION = 256
+#: Words that are searched in one part of a region's passages, and symbols of one index.
+PART, SHARD = 400_000, 400_000
+#: An anchor whose passages set so many of 64 bits has some 180 different ones or more.
+CROWDED = 60
+#: What a row of passages() is for: its words are indexed; searched; or dealt anew by whole windows.
+OWN, QUERY, CROWD = 0, 1, 2
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
@@ -40,139 +34,289 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     value, at, have = x, np.arange(len(x)), 1
     while have < width:
         step = min(have, width - have)
-        n = len(value) - step
+        n = max(len(value) - step, 0)
         left = value[:n] <= value[step:]
         value, at, have = np.where(left, value[:n], value[step:]), np.where(left, at[:n], at[step:]), have + step
     return at
 
 
-def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, _text_hash, anchor, passage, first, n of every stretch of every text."""
+def stretches(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """row, anchor, passage, first, n of each stretch of windows of a text that have one
+    anchor. passage: a hash of the stretch's words."""
+    h, at = word_hashes(b" ".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    row = np.searchsorted(ends, at, side="right")
+    n = len(h) - window + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 5
+    g, whole = gram_hashes(h, gram), gram_hashes(h, window)
+    at, inside = sliding_argmin(g, window - gram + 1), row[:n] == row[window - 1 :]
+    new = inside.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1] | (row[1:n] != row[: n - 1])
+    cuts = np.append(np.flatnonzero(new | ~inside), n)
+    begins = np.searchsorted(cuts, first := np.flatnonzero(new))
+    many = cuts[begins + 1] - first
+    # Fewer windows than a window has words, so its first and last window hold the whole stretch.
+    passage = mix64(whole[first] * np.uint64(0x9E3779B97F4A7C15) + whole[first + many - 1]) + many.astype(np.uint64)
+    return row[first], g[at[first]].view(np.int64), passage.view(np.int64), first - np.searchsorted(row, row[first]), many
 
-    def make():
-        hashes = WordHashes()
 
+def occurrences(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc_id, _text_hash, base, anchor, passage, first, n of every stretch of every text
+    (doc_id, _text_hash, base, text)."""
+
+    def make():
         def f(batch):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            row = []
-            for i, text in enumerate(utf8(batch.column(2))):
-                if len(words := text.split()) >= window:
-                    for to, x in zip(out, found := anchors(words, hashes, window, gram), strict=True):
-                        to.append(x)
-                    row.append(np.full(len(found[0]), i))
-            if row:
-                at = pa.array(np.concatenate(row))
-                a, p, first, n = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), pa.array(p), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "_text_hash", "anchor", "passage", "first", "n"])
+            row, anchor, passage, first, n = stretches(utf8(batch.column(3)), window, gram)
+            own = [batch.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(anchor), pa.array(passage), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "_text_hash", "base", "anchor", "passage", "first", "n"])
 
         return f
 
-    rows = keyed(docs).where("doc_id is not null").select("doc_id", "_text_hash", "text")
-    return map_batches(rows, make, "doc_id long, _text_hash long, anchor long, passage long, first int, n int")
+    return map_batches(texts, make, "doc_id long, _text_hash long, base int, anchor long, passage long, first int, n int")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", docs["doc_id"].cast("long")).withColumn("_text_hash", F.xxhash64("text"))
 
 
-def passages(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """anchor, passage, least, n, words of each distinct passage, read from the first
-    document that has it. least: the smallest doc_id with the passage."""
-    first = shared.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "_text_hash", "first", "n")).alias("at"))
-    by_doc = first.groupBy("at.doc_id", "at._text_hash").agg(F.collect_list(F.struct("at.first", "at.n", "anchor", "passage")).alias("spans"))
-    rows = keyed(docs).select("doc_id", "_text_hash", "text").join(by_doc, ["doc_id", "_text_hash"])
+def dealt(occ: DataFrame, window: int, crowds: bool, scratch: Scratch, part: int = PART) -> DataFrame:
+    """doc_id, _text_hash, base, spans (array of first, n, region, parts, kind): the
+    stretches whose anchor at least two documents have.
+
+    An anchor's region is that of the first document that has it, and where in it, so the
+    anchors that a copy shares with it lie in a few regions, as long runs. A region with
+    over `part` words to search is dealt in parts; the first stretch with each of its
+    passages is then in its spans once more, to be indexed in all of them. If `crowds`,
+    anchors with many different passages are of kind CROWD.
+    """
+    place = F.struct("doc_id", "first", "base", "_text_hash")
+    spots = F.bit_or(F.expr("shiftleft(1L, cast(passage & 63 as int))"))
+    per = occ.groupBy("anchor").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), spots.alias("spots")).where("low.doc_id < high")
+    region = F.xxhash64("low.doc_id", "low._text_hash", F.expr(f"(low.base + low.first) div {REGION}"))
+    crowd = (F.bit_count("spots") >= CROWDED) if crowds else F.lit(False)
+    # Written, so that joins have a plain exchange on either side, whose hot anchors Spark splits.
+    per = scratch.keep(per.select("anchor", region.alias("region"), crowd.alias("crowd")), "anchors")
+    shared = scratch.keep(occ.join(per, "anchor"), "shared")
+    quiet = shared.where("not crowd")
+    busy = quiet.groupBy("region").agg(F.sum(F.col("n") + (window - 1)).alias("size")).where(F.col("size") > part)
+    busy = scratch.keep(busy.select("region", F.ceil(F.col("size") / part).cast("int").alias("parts")), "busy")
+    row = ["doc_id", "_text_hash", "base", "first", "n", "region", "parts"]
+    all_ = quiet.join(busy, "region", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    first = quiet.join(busy, "region").groupBy("region", "parts", "anchor", "passage").agg(F.min(F.struct("doc_id", "_text_hash", "base", "first", "n")).alias("at"))
+    spans = all_.select(*row, F.lit(QUERY).alias("kind")).unionByName(first.select("at.*", "region", "parts", F.lit(OWN).alias("kind")))
+    if crowds:
+        crowd = shared.where("crowd").withColumns({"region": F.lit(0).cast("long"), "parts": F.lit(1)})
+        spans = spans.unionByName(crowd.select(*row, F.lit(CROWD).alias("kind")))
+    return spans.groupBy("doc_id", "_text_hash", "base").agg(F.collect_list(F.struct("first", "n", "region", "parts", "kind")).alias("spans"))
+
+
+PASSAGES = "route long, kind int, doc_id long, _text_hash long, first int, words binary"
+
+
+def passages(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """PASSAGES: the words of the runs of stretches that are dealt to one region, which
+    begin at word `first` of the document; those of kind OWN once for each part."""
+    rows = texts.join(spans, ["doc_id", "_text_hash", "base"]).select("doc_id", "_text_hash", "base", "text", "spans")
 
     def make():
         def f(batch):
-            out = []
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
-                out += [(s["anchor"], s["passage"], doc_id, s["n"], b" ".join(words[s["first"] : s["first"] + s["n"] + window - 1])) for s in spans]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "passage", "least", "n", "words"])
+            docs, hashes, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = batch.column(4)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            at, n, region, parts, kind = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+            order = np.lexsort((at, region, kind, row))
+            row, at, n, region, parts, kind = (x[order] for x in (row, at, n, region, parts, kind))
+            same = (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & (region[1:] == region[:-1])
+            once = np.concatenate([[True], ~(same & (at[1:] == at[:-1]))])  # repeated rows
+            row, at, n, region, parts, kind = (x[once] for x in (row, at, n, region, parts, kind))
+            same = (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & (region[1:] == region[:-1]) & (at[1:] == at[:-1] + n[:-1])
+            first = np.flatnonzero(np.concatenate([[True], ~same])) if len(row) else np.zeros(0, np.int64)
+            ends = (at + n + window - 1)[np.append(first[1:], len(row)) - 1] if len(row) else first
+            words = [t.split() for t in utf8(batch.column(3))]
+            out: list[tuple] = []
+            for r, k, a, e, g, p in zip(*(x.tolist() for x in (row[first], kind[first], at[first], ends, region[first], parts[first])), strict=True):
+                text = b" ".join(words[r][a:e])
+                d, h, a = int(docs[r]), int(hashes[r]), a + int(base[r])
+                for j in range(p) if k == OWN else [h % p]:
+                    out.append((int(mix64(np.array([g + j * 0x1B873593], np.int64).view(np.uint64)).view(np.int64)[0]) if p > 1 else g, k, d, h, a, text))
+                if len(out) >= 1024:
+                    yield passages_batch(out)
+                    out = []
+            if out:
+                yield passages_batch(out)
 
         return f
 
-    return map_batches(rows.select("doc_id", "text", "spans"), make, "anchor long, passage long, least long, n int, words binary")
-
-
-def matches(found: DataFrame, window: int, group: int = GROUP, shard: int = SHARD) -> DataFrame:
-    """anchor, passage, least, mask: the windows of a passage that a passage with a
-    smaller `least` also has, bit k for its window k.
-
-    Passages are dealt by their anchor; those of an anchor with over `group` of them
-    are split: each part is indexed by one task and all of the anchor's passages are
-    searched in it. A task packs whole anchors into indexes of about `shard` symbols,
-    so it holds one index at a time.
-    """
-    found = materialize(found.dropDuplicates(["anchor", "passage"]), "passages")
-    many = materialize(found.groupBy("anchor").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")), "parts")
-    rows = found.join(many, "anchor").withColumn("part", F.pmod("passage", F.col("parts").cast("long")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("anchor", "block").alias("key"), "anchor", "passage", "least", "n", "words", (F.col("part") == F.col("block")).alias("inside"))
-    schema = pa.schema([("anchor", pa.int64()), ("passage", pa.int64()), ("least", pa.int64()), ("mask", pa.int64())])
-
-    def search(held: list[tuple]) -> pa.RecordBatch:
+    return map_batches(rows, make, PASSAGES)
+
+
+def passages_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["route", "kind", "doc_id", "_text_hash", "first", "words"])
+
+
+class Held:
+    """The passages of some whole routes, each distinct one once, until they are searched."""
+
+    def __init__(self, window: int):
+        self.window, self.size = window, 0
+        self.texts: dict[bytes, int] = {}
+        self.owner: list[int | None] = []  # by text: the smallest doc_id of its rows that are indexed
+        self.rows: list[tuple[int, int, int, int]] = []  # text, doc_id, _text_hash, first
+        self.low: list[int] = []  # by row: the smallest doc_id that its route indexes
+        self.route: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        self.route.append(row)
+
+    def close(self) -> None:
+        """The route's rows are all there. Those of kind OWN are indexed; if it has none, all are."""
+        if not self.route:
+            return
+        own = [r for r in self.route if r[1] == OWN] or self.route
+        low = min(r[2] for r in own)
+        for r in own:
+            k = self.text(r[5])
+            self.owner[k] = r[2] if self.owner[k] is None else min(self.owner[k], r[2])
+        for r in self.route:
+            if r[1] == QUERY and r[2] > low:  # the first document of a route has no earlier one
+                self.rows.append((self.text(r[5]), r[2], r[3], r[4]))
+                self.low.append(low)
+        self.route = []
+
+    def text(self, words: bytes) -> int:
+        if (k := self.texts.get(words)) is None:
+            k = self.texts[words] = len(self.texts)
+            self.owner.append(None)
+            self.size += words.count(b" ") + 2
+        return k
+
+    def search(self) -> pa.RecordBatch:
+        """doc_id, _text_hash, start, stop: the runs of words that windows cover which the
+        index has in a smaller doc_id.
+
+        Rows with equal words are searched twice at most: for the smallest of their
+        documents, and for the others, for which that one counts as well. A window goes to
+        the index if one with its hash is there in a smaller doc_id; each that is reported
+        was found there by backward search.
+        """
         ids: dict[bytes, int] = {}
         put = ids.setdefault
-        coded = [np.array([put(w, len(ids) + 1) for w in x[4].split()], np.int64) for x in held]
+        coded = [np.array([put(w, len(ids) + 1) for w in t.split(b" ")], np.int64) for t in self.texts]
         length = np.array([len(c) for c in coded], np.int64)
-        start = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
+        start = before(length + 1)
         symbols = np.zeros(int((length + 1).sum()), np.int64)
         for c, s in zip(coded, start.tolist(), strict=True):
             symbols[s : s + len(c)] = c
-        least = np.array([x[3] for x in held], np.int64)
-        order, rank = np.unique(least, return_inverse=True)
-        inside = np.array([x[5] for x in held], bool)
+        del coded
+        inside = np.array([o is not None for o in self.owner])
+        order, rank = np.unique(np.array([o for o in self.owner if o is not None], np.int64), return_inverse=True)
+        text, doc, hashed, first = (np.array(x, np.int64) for x in zip(*self.rows, strict=True))
+        smallest = np.full(len(length), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, text, doc)
+        # A query for each distinct text, and for whether its row is of a later document.
+        keys, which = np.unique(text * 2 + (doc > smallest[text]), return_inverse=True)
+        q, later = keys // 2, keys % 2 == 1
+        limit = np.searchsorted(order, smallest[q], side="left") + (later & np.isin(smallest[q], order))
+
+        # The smallest owner of a window with the hash of each window.
+        many = length - self.window + 1
+        window = np.repeat(start - before(many), many) + np.arange(int(many.sum()))
+        same = np.unique(gram_hashes(mix64(symbols.view(np.uint64)), self.window)[window], return_inverse=True)[1]
+        least, indexed = np.full(len(window), len(order)), np.repeat(inside, many)
+        np.minimum.at(least, same[indexed], np.repeat(rank, many[inside]))
+        of = np.repeat(np.arange(len(q)), many[q])
+        place = np.arange(len(of)) - before(many[q])[of]
+        may = np.flatnonzero(least[same[before(many)[q][of] + place]] < limit[of])
+        # Runs of such windows are searched.
+        cut = np.flatnonzero(np.concatenate([[True], (may[1:] != may[:-1] + 1) | (of[may[1:]] != of[may[:-1]])])) if len(may) else may
+        query, begin = of[may[cut]], place[may[cut]]
+        size = np.diff(np.append(cut, len(may))) + self.window  # and the separator
+        at = before(size)
+        from_ = np.repeat(start[q[query]] + begin - at, size) + np.arange(int(size.sum()))
+        held = symbols[from_]
+        held[at + size - 1] = 0
         kept = np.repeat(inside, length + 1)
-        if not kept.any():  # a part that no passage fell in
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([],) * 4], schema=schema)
-        index = FMIndex(symbols[kept], np.repeat(rank, length + 1)[kept], len(ids) + 1, int(length.max()))
-        mask = matching_windows(index, symbols, start, length, rank, window)
-        return pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.array(least), pa.array(mask.view(np.int64))], schema=schema)
+        index = FMIndex(symbols[kept], np.repeat(rank, length[inside] + 1), len(ids) + 1, int(size.max(initial=1)), len(order))
+        gone = matched(index, held, at, size - 1, limit[query], self.window)
+        edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
+        on, off = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a separator ends each run
+        run = np.searchsorted(at, on, side="right") - 1
+        on, off, query = on - at[run] + begin[run], off - at[run] + begin[run], query[run]
+        # Each row gets what its query found.
+        n = np.bincount(query, minlength=len(q))
+        row = np.repeat(np.arange(len(doc)), n[which])
+        found = np.repeat(before(n)[which] - before(n[which]), n[which]) + np.arange(len(row))
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(hashed[row]), pa.array((first[row] + on[found]).astype(np.int32)), pa.array((first[row] + off[found]).astype(np.int32))], names=["doc_id", "_text_hash", "start", "stop"])
 
+
+def before(n: np.ndarray) -> np.ndarray:
+    """The sum of all n before each."""
+    return np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+
+
+def searcher(window: int, shard: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, key = 0, None
+        held, route = Held(window), None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5)), strict=True):
-                if row[0] != key and size > shard:
-                    yield search(held)
-                    held, size = [], 0
-                key = row[0]
-                held.append(row)
-                size += row[4].count(b" ") + 2
-        if held:
-            yield search(held)
-
-    rows = rows.select("key", "anchor", "passage", "least", "words", "inside")
-    masks = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, passage long, least long, mask long")
-    return masks.groupBy("anchor", "passage", "least").agg(F.bit_or("mask").alias("mask"))
-
-
-def repeated(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """doc_id, _text_hash, hits (array of first, mask): the windows of each document
-    whose word sequence also starts in a document with a smaller doc_id. Documents
-    without such windows have no row."""
-    occ = materialize(occurrences(docs, window, gram), "occurrences")
-    # Written, so that the join has a plain exchange on either side, whose hot anchors Spark splits.
-    twice = materialize(occ.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
-    shared = materialize(occ.join(twice, "anchor"), "shared")
-    found = materialize(matches(passages(docs, shared, window), window), "matches")
-    rows = shared.join(found, ["anchor", "passage"])
-    # The first document with a passage repeats what the index found; any later one all of it.
-    mask = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, n) - 1L")).otherwise(F.col("mask"))
-    rows = rows.select("doc_id", "_text_hash", "first", mask.alias("mask")).where("mask <> 0").distinct()
-    return rows.groupBy("doc_id", "_text_hash").agg(F.collect_list(F.struct("first", "mask")).alias("_hits"))
-
-
-def covered(n: int, hits: list[dict], window: int) -> np.ndarray:
-    change = np.zeros(n + window + 1, np.int64)
+            for a in range(0, batch.num_rows, 1024):
+                for row in zip(*(c.to_pylist() for c in batch.slice(a, 1024).columns), strict=True):
+                    if row[0] != route:
+                        held.close()
+                        if held.size > shard or len(held.rows) > shard // 8:
+                            if held.rows:
+                                yield held.search()
+                            held = Held(window)
+                        route = row[0]
+                    held.add(row)
+        held.close()
+        if held.rows:
+            yield held.search()
+
+    return run
+
+
+def found(rows: DataFrame, window: int, shard: int = SHARD) -> DataFrame:
+    """doc_id, _text_hash, start, stop of runs of words, from PASSAGES of kinds OWN and QUERY.
+
+    A task packs whole routes into indexes of about `shard` symbols and holds one of
+    them at a time, with the rows that are searched in it."""
+    rows = rows.repartition("route").sortWithinPartitions("route", "kind")
+    return rows.mapInArrow(searcher(window, shard), "doc_id long, _text_hash long, start int, stop int")
+
+
+def repeated(docs: DataFrame, window: int = 50, gram: int = GRAM, part: int = PART, shard: int = SHARD) -> DataFrame:
+    """doc_id, _text_hash, _hits (array of start, stop): the runs of words of each
+    document that windows cover whose word sequence also starts in a document with a
+    smaller doc_id. Documents without such windows have no row.
+
+    Hashes only deal passages to indexes; each removed window is one that backward search
+    has found in the index, in a smaller doc_id. Windows whose anchor has many different
+    passages (as a common line in many surroundings) are dealt anew, by a hash of the
+    whole window, and those that one document has go no further.
+    """
+    if not 0 < gram <= window:
+        raise ValueError(f"an anchor of {gram} words in a window of {window}")
+    with Scratch(docs.sparkSession) as scratch:
+        texts = keyed(docs).where("doc_id is not null").select("doc_id", "_text_hash", F.lit(0).alias("base"), F.col("text"))
+        occ = scratch.keep(occurrences(texts, window, gram), "occurrences")
+        rows = scratch.keep(passages(texts, dealt(occ, window, True, scratch, part), window), "passages")
+        runs = [found(rows.where(F.col("kind") != CROWD), window, shard)]
+        crowd = rows.where(F.col("kind") == CROWD).select("doc_id", "_text_hash", F.col("first").alias("base"), F.col("words").cast("string").alias("text"))
+        if not crowd.isEmpty():
+            whole = scratch.keep(occurrences(crowd, window, window), "windows")
+            runs.append(found(passages(crowd, dealt(whole, window, False, scratch, part), window), window, shard))
+        out = runs[0] if len(runs) == 1 else runs[0].unionByName(runs[1])
+        hits = out.distinct().groupBy("doc_id", "_text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_hits"))
+        return scratch.result(hits, "repeated")
+
+
+def covered(n: int, hits: list[dict]) -> np.ndarray:
+    change = np.zeros(n + 1, np.int64)
     for h in hits:
-        bits = np.flatnonzero(np.unpackbits(np.array([h["mask"]], np.int64).view(np.uint8), bitorder="little")) + h["first"]
-        change[bits] += 1
-        change[bits + window] -= 1
+        change[h["start"]] += 1
+        change[h["stop"]] -= 1
     return np.cumsum(change)[:n] > 0
 
 
@@ -182,9 +326,8 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
 
     Removed is each word that a window of `window` words covers whose word sequence
     also starts in a document with a smaller doc_id; all are judged on the input.
-    Shared passages are found by anchors; FM-indexes decide every window of each distinct
-    one. Repeats of a passage after its first document are told by its 64-bit hash beside
-    that of its anchor; their words aren't compared.
+    Passages that share an anchor are dealt to one FM-index, and backward search in it
+    decides each of their windows.
     kept_sha256 is of the kept words joined by one space; kept_text is the text
     itself without the removed words and the white space after them.
 
@@ -193,7 +336,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
     remove each other. Texts under `window` words stay. No rows: no rows. Columns
     named like those added, and _text_hash and _hits, are replaced; others stay.
     """
-    found = materialize(repeated(docs, window, gram), "repeated")
+    found = repeated(docs, window, gram)
     own = [prefix + c for c in ("n_words", "n_removed", "kept_sha256", "kept_text")]
     rows = keyed(docs.drop(*own, "_text_hash", "_hits"))
     other = [c for c in rows.columns if c != "_text_hash"]
@@ -208,7 +351,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
             n_words, n_removed, sha, kept_text = [], [], [], []
             for text, hits in zip(texts, batch.column(len(other)).to_pylist(), strict=True):
                 words = (text or b"").split()
-                gone = covered(len(words), hits, window) if hits else None
+                gone = covered(len(words), hits) if hits else None
                 if gone is not None and gone.any():
                     pieces = word.findall(text)
                     head = text[: len(text) - sum(map(len, pieces))]

@@ -101,34 +101,86 @@ def test_substring_dedup_is_exact(spark):
     assert substring_dedup.dedup(documents(spark, [])).count() == 0
 
 
-def test_split_anchors_give_the_same(spark):
-    rows = [(i, " ".join(["x"] * 30 + [f"t{i % 7}"] + ["y"] * 30 + [f"u{i % 5}"] + ["x"] * 20), "s") for i in range(60)]
-    occ = substring_dedup.occurrences(documents(spark, rows), 12, 5)
-    found = substring_dedup.passages(documents(spark, rows), occ, 12)
-    key = lambda df: sorted((r.anchor, r.passage, r.mask) for r in df.collect())
-    assert key(substring_dedup.matches(found, 12, group=3, shard=100)) == key(substring_dedup.matches(found, 12))
+def plain_runs(rows, window):
+    """doc_id -> covered places, as the contract of op2 tells it."""
+    starts = defaultdict(set)
+    for i, t, _ in rows:
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            starts[tuple(w[k : k + window])].add(i)
+    out = defaultdict(set)
+    for i, t, _ in rows:
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            if min(starts[tuple(w[k : k + window])]) < i:
+                out[i] |= set(range(k, k + window))
+    return out
+
+
+def runs(df):
+    out = defaultdict(set)
+    for r in df.collect():
+        for h in r._hits:
+            out[r.doc_id] |= set(range(h.start, h.stop))
+    return out
 
 
-def test_fm_index_finds_what_is_there():
+@pytest.mark.parametrize(("part", "shard"), [(60, 100), (400_000, 400_000)])
+def test_busy_regions_and_small_indexes_give_the_same(spark, part, shard):
+    rows = [(i, " ".join(["x"] * 30 + [f"t{i % 7}"] + ["y"] * 30 + [f"u{i % 5}"] + ["x"] * 20), "s") for i in range(60)]
+    got = substring_dedup.repeated(documents(spark, rows), 12, 5, part, shard)
+    assert runs(got) == plain_runs(rows, 12)
+
+
+def test_crowded_anchors_are_dealt_by_whole_windows(spark, monkeypatch):
+    """One line in many surroundings: its anchor has a passage for each document."""
+    rng = random.Random(8)
+    line = [f"l{k}" for k in range(14)]
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(15)]
+    rows = [(i, " ".join(text() + line + text()), "s") for i in range(400)]
+    searched = []
+    whole = substring_dedup.found
+    monkeypatch.setattr(substring_dedup, "found", lambda df, *a: searched.append(df.count()) or whole(df, *a))
+    got = substring_dedup.repeated(documents(spark, rows), 12, 5)
+    assert runs(got) == plain_runs(rows, 12)
+    assert len(searched) == 2 and searched[1] <= 2 * len(rows)  # not each with all others
+
+
+def test_long_windows_have_no_limit(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(700))
+    rows = [(1, text, "s"), (2, text, "s"), (3, "a " + text[:1800], "s")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(documents(spark, rows), window=300).collect()}
+    assert got == {i: len(w) for i, w in ((1, []), (2, plain_runs(rows, 300)[2]), (3, plain_runs(rows, 300)[3]))}
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(documents(spark, rows), window=10, gram=11)
+
+
+def test_fm_index_finds_what_is_there(monkeypatch):
+    monkeypatch.setattr(fm_index, "EVERY", 3)
+    monkeypatch.setattr(fm_index, "RUNS", (1 << 40, 5, 1))
     rng = np.random.default_rng(0)
-    for _ in range(60):
+    for _ in range(120):
         sigma, least = int(rng.integers(2, 6)), int(rng.integers(3, 9))
-        texts = [rng.integers(1, sigma, int(rng.integers(1, 30))) for _ in range(int(rng.integers(2, 12)))]
+        texts = [rng.integers(1, sigma, int(rng.integers(1, 60))) for _ in range(int(rng.integers(2, 12)))]
         for i in range(1, len(texts)):
             if rng.random() < 0.5:
                 texts[i] = texts[int(rng.integers(0, i))].copy()
-        limit = rng.integers(0, 6, len(texts))
+        owner = rng.integers(0, 6, len(texts))
+        limit = rng.integers(0, 7, len(texts))
         length = np.array([len(t) for t in texts])
         start = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
         symbols = np.zeros(int((length + 1).sum()), np.int64)
         for t, s in zip(texts, start, strict=True):
             symbols[s : s + len(t)] = t
-        index = fm_index.FMIndex(symbols, np.repeat(limit, length + 1), sigma, int(length.max()))
-        mask = fm_index.matching_windows(index, symbols, start, length, limit, least)
+        index = fm_index.FMIndex(symbols, np.repeat(owner, length + 1), sigma, int(length.max()), 6)
+        got = fm_index.matched(index, symbols, start, length, limit, least)
         for q, t in enumerate(texts):
-            other = [o for o in range(len(texts)) if limit[o] < limit[q]]
+            other = [o for o in range(len(texts)) if owner[o] < limit[q]]
             has = lambda w: any(w == list(texts[o][k : k + least]) for o in other for k in range(len(texts[o]) - least + 1))
-            assert int(mask[q]) == sum(1 << p for p in range(len(t) - least + 1) if has(list(t[p : p + least])))
+            want = set().union(*(range(p, p + least) for p in range(len(t) - least + 1) if has(list(t[p : p + least]))))
+            assert set(np.flatnonzero(got[start[q] : start[q] + length[q]]).tolist()) == want
+    assert index.nbytes() > 0
 
 
 def plain_fingerprint(text):
@@ -270,14 +322,23 @@ def test_isotonic_is_the_nearest_rising_curve():
     assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= 0).all()
 
 
+def library_count(path, text):
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        return len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    from sentencepiece import SentencePieceProcessor
+
+    return len(SentencePieceProcessor(model_file=path).encode(text))
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     rows = some_rows(4) + [(300, "<|endoftext|> hello", "s")]
     docs, cache = documents(spark, rows), f"{tmp_path}/cache"
     for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
-        counter = token_counts.Counter(public.path(name))
         got = token_counts.count_tokens(docs, public.path(name), cache).collect()
-        want = sorted((str(i), len((t or "").encode()), n, n > 512) for (i, t, _), n in ((r, counter._count([r[1] or ""])[0]) for r in rows))
+        want = sorted((str(i), len((t or "").encode()), n, n > 512) for (i, t, _), n in ((r, library_count(public.path(name), r[1] or "")) for r in rows))
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
     held = spark.read.parquet(cache)
     assert held.count() == held.distinct().count() == 2 * len({t or "" for _, t, _ in rows})
@@ -285,6 +346,22 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert spark.read.parquet(cache).count() == held.count()  # nothing is encoded twice
 
 
+def test_pieces_count_as_the_library_does():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    counter = token_counts.Counter(public.path("byte_bpe_50k.json"))
+    assert counter.pieces is not None
+    rng = random.Random(6)
+    parts = ["the", "The", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "'s", "'S", "''ll", "don't", "é", "Straße", "ñandú", "12", "1,234.5", "²", "½", "...", "—", "“x”", "#$%", "_a_", "\xad", "a" * 300, "東京", "🙂", "\xa0", "\x85", "\x1c", "\u2028", "<|endoftext|>", "<|end"]
+    texts = ["".join(rng.choices(parts[: rng.choice((25, len(parts)))], k=rng.randint(0, 40))) for _ in range(1500)]
+    assert counter.count(texts) == [len(x) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert sum(1 for t in texts if token_counts._SURE.fullmatch(t)) > 300 and len(counter.pieces) > 25
+    counter.pieces.MOST = 3  # forgets, and counts the same
+    assert counter.count(texts[:50]) == [len(x) for x in library.encode_batch(texts[:50], add_special_tokens=False)]
+
+
 def plain_url(url):
     if url is None or "://" not in url:
         return "", ""
@@ -384,3 +461,18 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
 def test_records_without_offset_are_not_verified(spark):
     records = spark.createDataFrame([("f", 0, b"one"), ("f", None, b"two"), (None, None, b"three"), (None, 0, b"four")], "file string, offset long, record binary")
     assert {bytes.fromhex(r.digest): r.status for r in warc.fixity(records, records).collect()} == {hashlib.sha256(x).digest(): s for x, s in ((b"one", "ok"), (b"two", "unchecked"), (b"three", "unchecked"), (b"four", "ok"))}
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    from cinesift.llm import common
+
+    rng = random.Random(7)
+    parts = ["a", "ab", "b", "é", "\xa0", "x" * 50] + [f"w{i}" for i in range(300)]
+    data = "".join(rng.choice(parts) + rng.choice([" ", "\n", " \t", "\x0b "]) for _ in range(4000)).encode()
+    h, at = common.word_hashes(data)
+    split = data.split()
+    assert [data[a : a + len(w)] for a, w in zip(at.tolist(), split, strict=True)] == split
+    assert len({(w, x) for w, x in zip(split, h.tolist(), strict=True)}) == len(set(split)) == len(set(h.tolist()))
+    monkeypatch.setattr(common, "_BLOCK", 40)
+    assert (common.word_hashes(b"  " + data)[0] == h).all()
+    assert len(common.word_hashes(b"")[0]) == len(common.word_hashes(b" \n")[0]) == 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import materialize
 from . import decontamination, mixing, quality_qda, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_rules, warc
 from .common import read
 
@@ -33,20 +34,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("text")
 
 
-def damaged(records: DataFrame, every: int = 97) -> DataFrame:
+def damaged(page_id: Column, record: Column, every: int = 97) -> tuple[Column, Column]:
     """A replica as a bad disk leaves it: of records with the first 32 bits of
-    md5(page_id) mod `every` = 5 the last byte is another, those with 6 are gone. Null ids stay as they are."""
-    draw = F.coalesce(F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % every, F.lit(0))
-    body = F.when(draw == 5, F.concat(F.substring("record", 1, F.octet_length("record") - 1), F.lit("X").cast("binary"))).otherwise(F.col("record"))
-    return records.where(draw != 6).withColumn("record", body)
+    md5(page_id) mod `every` = 5 the last byte is another, those with 6 are gone. Null ids
+    stay as they are. The record there, and whether it's gone."""
+    draw = F.coalesce(F.conv(F.substring(F.md5(page_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % every, F.lit(0))
+    body = F.when(draw == 5, F.concat(F.substring(record, 1, F.octet_length(record) - 1), F.lit("X").cast("binary"))).otherwise(record)
+    return body, draw == 6
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of all pages as WARC records against a damaged replica: page_id, file,
-    offset, length, digest, status."""
-    records = warc.from_pages(read(spark, sf_dir, "pages"))
-    rows = warc.fixity(records, damaged(records))
-    return rows.select("page_id", "file", "offset", "length", "digest", "status")
+    offset, length, digest, status. Records are digested where they are read; only
+    digests are dealt to files."""
+    records = warc.page_records(read(spark, sf_dir, "pages"))
+    there, gone = damaged(F.col("page_id"), F.col("record"))
+    rows = records.select("page_id", "file", "length", F.sha2("record", 256).alias("digest"), F.sha2(there, 256).alias("there"), gone.alias("gone"))
+    rows = materialize(warc.placed(rows), "leaves")
+    a, b = rows.drop("there", "gone"), rows.where("not gone").select("file", "offset", F.col("there").alias("digest"))
+    return warc.fixity(a, b).select("page_id", "file", "offset", "length", "digest", "status")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,6 +458,24 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc.fixity(records.where("false"), records.where("false")).count() == 0
 
 
+def test_gzip_members_and_clashing_columns(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "body" * i, "a", 0) for i in range(9)] + [(None, None, None, "a", 0)] * 2, "page_id long, url string, html string, file string, offset long")
+    records = warc.from_pages(pages, per_file=4)
+    parts = [bytes(r.record) for r in records.orderBy("file", "offset").collect()]
+    packed = [gzip.compress(p) for p in parts]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(packed) + b"rest")
+    got = sorted((r.offset, r.length, bytes(r.record)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == [(sum(map(len, packed[:k])), len(packed[k]), parts[k]) for k in range(len(parts))]
+    from pyspark.sql import functions as F
+
+    own = records.withColumns({"status": F.lit("mine"), "name": F.lit("n"), "up": F.lit(1), "here": F.lit(2)})
+    got = warc.fixity(own, records.where("page_id is null or page_id <> 3")).collect()
+    assert sorted((r.page_id or -1, r.status, r.name, r.up) for r in got) == sorted([(-1, "ok", "n", 1)] * 2 + [(i or -1, "missing" if i == 3 else "ok", "n", 1) for i in range(9)])
+    assert len({r.file for r in got if r.page_id is None}) == 1 and all(r.file < 0 for r in got if r.page_id is None)
+
+
 def test_records_without_offset_are_not_verified(spark):
     records = spark.createDataFrame([("f", 0, b"one"), ("f", None, b"two"), (None, None, b"three"), (None, 0, b"four")], "file string, offset long, record binary")
     assert {bytes.fromhex(r.digest): r.status for r in warc.fixity(records, records).collect()} == {hashlib.sha256(x).digest(): s for x, s in ((b"one", "ok"), (b"two", "unchecked"), (b"three", "unchecked"), (b"four", "ok"))}

@@ -22,7 +22,7 @@ GRAM = 16
 #: Words of a document whose anchors are dealt to one index.
 REGION = 256
 #: Words that are searched in one part of a region's passages, and symbols of one index.
-PART, SHARD = 400_000, 400_000
+PART, SHARD = 100_000, 400_000
 #: An anchor whose passages set so many of 64 bits has some 180 different ones or more.
 CROWDED = 60
 #: What a row of passages() is for: its words are indexed; searched; or dealt anew by whole windows.
@@ -85,26 +85,27 @@ def dealt(occ: DataFrame, window: int, crowds: bool, scratch: Scratch, part: int
     stretches whose anchor at least two documents have.
 
     An anchor's region is that of the first document that has it, and where in it, so the
-    anchors that a copy shares with it lie in a few regions, as long runs. A region with
-    over `part` words to search is dealt in parts; the first stretch with each of its
-    passages is then in its spans once more, to be indexed in all of them. If `crowds`,
-    anchors with many different passages are of kind CROWD.
+    anchors that a copy shares with it lie in a few regions, as long runs. Anchors so
+    common that those of a region have over `part` words to search are dealt in parts; the
+    first stretch with each of their passages is then in its spans once more, to be
+    indexed in all of them. If `crowds`, anchors with many different passages are of kind
+    CROWD.
     """
     place = F.struct("doc_id", "first", "base", "_text_hash")
     spots = F.bit_or(F.expr("shiftleft(1L, cast(passage & 63 as int))"))
-    per = occ.groupBy("anchor").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), spots.alias("spots")).where("low.doc_id < high")
+    per = occ.groupBy("anchor").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), spots.alias("spots"), F.sum(F.col("n") + (window - 1)).alias("size")).where("low.doc_id < high")
     region = F.xxhash64("low.doc_id", "low._text_hash", F.expr(f"(low.base + low.first) div {REGION}"))
+    # A power of 4, so that neighbours mostly have the same; a region has some 16 anchors.
+    over = F.greatest(F.ceil(F.log(4.0, F.col("size") * 16 / part)), F.lit(0))
+    parts = F.pow(F.lit(4.0), over).cast("int")
     crowd = (F.bit_count("spots") >= CROWDED) if crowds else F.lit(False)
     # Written, so that joins have a plain exchange on either side, whose hot anchors Spark splits.
-    per = scratch.keep(per.select("anchor", region.alias("region"), crowd.alias("crowd")), "anchors")
+    per = scratch.keep(per.select("anchor", region.alias("region"), parts.alias("parts"), crowd.alias("crowd")), "anchors")
     shared = scratch.keep(occ.join(per, "anchor"), "shared")
     quiet = shared.where("not crowd")
-    busy = quiet.groupBy("region").agg(F.sum(F.col("n") + (window - 1)).alias("size")).where(F.col("size") > part)
-    busy = scratch.keep(busy.select("region", F.ceil(F.col("size") / part).cast("int").alias("parts")), "busy")
     row = ["doc_id", "_text_hash", "base", "first", "n", "region", "parts"]
-    all_ = quiet.join(busy, "region", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    first = quiet.join(busy, "region").groupBy("region", "parts", "anchor", "passage").agg(F.min(F.struct("doc_id", "_text_hash", "base", "first", "n")).alias("at"))
-    spans = all_.select(*row, F.lit(QUERY).alias("kind")).unionByName(first.select("at.*", "region", "parts", F.lit(OWN).alias("kind")))
+    first = quiet.where("parts > 1").groupBy("region", "parts", "anchor", "passage").agg(F.min(F.struct("doc_id", "_text_hash", "base", "first", "n")).alias("at"))
+    spans = quiet.select(*row, F.lit(QUERY).alias("kind")).unionByName(first.select("at.*", "region", "parts", F.lit(OWN).alias("kind")))
     if crowds:
         crowd = shared.where("crowd").withColumns({"region": F.lit(0).cast("long"), "parts": F.lit(1)})
         spans = spans.unionByName(crowd.select(*row, F.lit(CROWD).alias("kind")))
@@ -125,13 +126,12 @@ def passages(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
             lists = batch.column(4)
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             at, n, region, parts, kind = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
-            order = np.lexsort((at, region, kind, row))
+            order = np.lexsort((at, parts, region, kind, row))
             row, at, n, region, parts, kind = (x[order] for x in (row, at, n, region, parts, kind))
-            same = (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & (region[1:] == region[:-1])
-            once = np.concatenate([[True], ~(same & (at[1:] == at[:-1]))])  # repeated rows
+            alike = lambda: np.logical_and.reduce([x[1:] == x[:-1] for x in (row, kind, region, parts)])
+            once = np.concatenate([[True], ~(alike() & (at[1:] == at[:-1]))])  # repeated rows
             row, at, n, region, parts, kind = (x[once] for x in (row, at, n, region, parts, kind))
-            same = (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & (region[1:] == region[:-1]) & (at[1:] == at[:-1] + n[:-1])
-            first = np.flatnonzero(np.concatenate([[True], ~same])) if len(row) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], ~(alike() & (at[1:] == at[:-1] + n[:-1]))])) if len(row) else np.zeros(0, np.int64)
             ends = (at + n + window - 1)[np.append(first[1:], len(row)) - 1] if len(row) else first
             words = [t.split() for t in utf8(batch.column(3))]
             out: list[tuple] = []
@@ -139,7 +139,7 @@ def passages(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 text = b" ".join(words[r][a:e])
                 d, h, a = int(docs[r]), int(hashes[r]), a + int(base[r])
                 for j in range(p) if k == OWN else [h % p]:
-                    out.append((int(mix64(np.array([g + j * 0x1B873593], np.int64).view(np.uint64)).view(np.int64)[0]) if p > 1 else g, k, d, h, a, text))
+                    out.append((route(g, p, j), k, d, h, a, text))
                 if len(out) >= 1024:
                     yield passages_batch(out)
                     out = []
@@ -151,6 +151,10 @@ def passages(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     return map_batches(rows, make, PASSAGES)
 
 
+def route(region: int, parts: int, part: int) -> int:
+    return region if parts == 1 else int.from_bytes(hashlib.blake2b(f"{region} {parts} {part}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def passages_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["route", "kind", "doc_id", "_text_hash", "first", "words"])

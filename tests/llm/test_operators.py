@@ -125,7 +125,7 @@ def runs(df):
     return out
 
 
-@pytest.mark.parametrize(("part", "shard"), [(60, 100), (400_000, 400_000)])
+@pytest.mark.parametrize(("part", "shard"), [(1_000, 100), (60, 400), (400_000, 400_000)])
 def test_busy_regions_and_small_indexes_give_the_same(spark, part, shard):
     rows = [(i, " ".join(["x"] * 30 + [f"t{i % 7}"] + ["y"] * 30 + [f"u{i % 5}"] + ["x"] * 20), "s") for i in range(60)]
     got = substring_dedup.repeated(documents(spark, rows), 12, 5, part, shard)

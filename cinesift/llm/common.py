@@ -64,15 +64,23 @@ def bounded_sample(rows: DataFrame, bound: int, order: str = "doc_id"):
     """At most about `bound` rows as pandas, chosen by a hash of their id, sorted by it."""
     n = rows.count()
     if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64(order), F.lit(1 << 60)) < F.lit(bound * (1 << 60) // n))
     return rows.toPandas().sort_values(order, kind="stable").reset_index(drop=True)
 
 
-def chosen_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """doc_id, label of at most about `bound` rows that may be learned from. The
-    bound makes it safe to broadcast."""
+def chosen_labels(labels: DataFrame, label: str, bound: int, folds: int = 1) -> DataFrame:
+    """doc_id, label, fold of at most about `bound` rows that may be learned from. The
+    bound makes it safe to broadcast. fold: 0 to folds - 1, by another hash of the id."""
     rows = bounded_sample(one_label(labels, label), bound)
-    return labels.sparkSession.createDataFrame(rows.astype("int64"), "doc_id long, label long")
+    out = labels.sparkSession.createDataFrame(rows.astype("int64"), "doc_id long, label long")
+    return out.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(folds)))
+
+
+def known_rows(rows: DataFrame, *columns: str):
+    """doc_id, label, fold and columns as pandas, one row for each id (the smallest, where
+    an id is repeated), so no more than there are chosen labels."""
+    least = F.min(F.struct("label", "fold", *columns)).alias("least")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", "least.*").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 def with_arrays(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], added: str, rows: int = 256) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chosen_labels, code_points, held_out, with_arrays
+from .common import SPACE, chosen_labels, code_points, held_out, known_rows, with_arrays
 from .quality_rules import repeated_words
 
 FEATURES = [
@@ -54,13 +54,13 @@ def with_features(docs: DataFrame) -> DataFrame:
 @dataclass
 class Discriminant:
     """Two normal classes, each with a mean and a covariance shrunk towards the
-    pooled one and towards its diagonal. The Cholesky factors are kept, so that a
-    score is two triangular solves."""
+    pooled one and towards its diagonal. The Cholesky factors are kept, so that the
+    distance of a row from a class is one forward substitution."""
 
     centre: np.ndarray
     spread: np.ndarray
     means: list[np.ndarray] = field(default_factory=list)
-    inverses: list[np.ndarray] = field(default_factory=list)
+    factors: list[np.ndarray] = field(default_factory=list)
     log_dets: list[float] = field(default_factory=list)
     log_prior: float = 0.0
     slope: float = 1.0
@@ -83,9 +83,22 @@ class Discriminant:
             c = (1 - to_diagonal) * c + to_diagonal * np.diag(np.diag(c)) + floor * np.eye(width)
             factor = np.linalg.cholesky(c)
             out.means.append(p.mean(0))
-            out.inverses.append(np.linalg.inv(factor))  # triangular; applied to every row, so inverted once
+            out.factors.append(factor)
             out.log_dets.append(2 * float(np.log(np.diag(factor)).sum()))
-        out.scale(out.margin(x), y)
+        return out
+
+    @classmethod
+    def calibrated(cls, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Discriminant:
+        """Fitted on all rows; the scale is from margins of rows that the model of the other
+        folds gives. Without rows of both classes outside of a fold, its own margins serve."""
+        out, margin = cls.fit(x, y), np.zeros(len(y))
+        if not out.means:
+            return out
+        for k in np.unique(fold):
+            here = fold == k
+            model = cls.fit(x[~here], y[~here]) if 0 < y[~here].sum() < (~here).sum() else out
+            margin[here] = model.margin(x[here])
+        out.scale(margin, y)
         return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -93,8 +106,8 @@ class Discriminant:
         if not self.means:
             return np.full(len(x), self.log_prior)
         z = (x - self.centre) / self.spread
-        far = [((z - m) @ inv.T) for m, inv in zip(self.means, self.inverses, strict=True)]
-        d = [0.5 * (np.einsum("ij,ij->i", f, f) + log) for f, log in zip(far, self.log_dets, strict=True)]
+        far = [forward(factor, (z - m).T) for m, factor in zip(self.means, self.factors, strict=True)]
+        d = [0.5 * (np.einsum("ji,ji->i", f, f) + log) for f, log in zip(far, self.log_dets, strict=True)]
         return d[0] - d[1] + self.log_prior
 
     def scale(self, margin: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
@@ -117,16 +130,24 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * m + self.shift, -40, 40)))
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The x of factor @ x = b, factor being lower triangular."""
+    x = np.empty_like(b)
+    for i in range(len(b)):
+        x[i] = (b[i] - factor[i, :i] @ x[:i]) / factor[i, i]
+    return x
+
+
 def stack(column, width: int = len(FEATURES)) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 30_000) -> Discriminant:
-    """From at most about `bound` labelled rows, chosen by a hash of their id."""
-    chosen = chosen_labels(labels, "quality", bound)
-    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    known = rows.select("doc_id", "label", "x").toPandas().sort_values("doc_id", kind="stable")
-    return Discriminant.fit(stack(known["x"]), (known["label"].to_numpy(float) > 0).astype(int))
+    """From at most about `bound` labelled rows, chosen by a hash of their id; where an id
+    is repeated, from one of its rows."""
+    chosen = chosen_labels(labels, "quality", bound, 3)
+    known = known_rows(with_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), "x")
+    return Discriminant.calibrated(stack(known["x"]), (known["label"].to_numpy(float) > 0).astype(int), known["fold"].to_numpy())
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = 30_000) -> DataFrame:

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chosen_labels, code_points, map_batches, with_arrays
+from .common import SPACE, chosen_labels, code_points, known_rows, map_batches, with_arrays
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_digits long, n_marks long, longest_word long, n_bytes long"
+BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_digits long, n_marks long, longest_word long, n_bytes long, n_ended long, n_symbol_words long"
 #: Names of the columns of `rules()` that the forest sees.
-RULES = ["log_words", "mean_word", "symbols", "dup_lines", "repeats", "words_a_line", "distinct", "upper", "digits", "marks", "longest"]
+RULES = ["log_words", "mean_word", "symbols", "dup_lines", "repeats", "words_a_line", "distinct", "upper", "digits", "marks", "longest", "unended", "symbol_words"]
 
 
 def repeated_words(ids: np.ndarray, width: int = WINDOW) -> int:
@@ -52,6 +52,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     return (
         len(words), code_points(text, SPACE), count(SYMBOLS), len(lines) - len(set(lines)), repeats, len(lines), len(held),
         count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"0123456789"), count(b".,;:!?"), max(map(len, held), default=0), len(text),
+        sum(x.rstrip()[-1:] in b".!?" for x in lines), sum(w[-1:] in SYMBOLS for w in words),
     )
 
 
@@ -59,7 +60,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """docs and the columns of BASE, from whole texts; null is empty."""
 
     def make():
-        return lambda texts: [pa.array(c, pa.int64()) for c in (zip(*map(measure, texts), strict=True) if texts else [[]] * 12)]
+        return lambda texts: [pa.array(c, pa.int64()) for c in (zip(*map(measure, texts), strict=True) if texts else [[]] * 14)]
 
     return with_arrays(docs, make, BASE)
 
@@ -77,6 +78,7 @@ def rules(x) -> np.ndarray:
     return np.column_stack([
         np.log1p(col("n_words")), col("word_chars") / n, col("n_symbols") / chars, col("n_dup_lines") / lines, col("n_repeat_words") / n, np.log1p(col("n_words") / lines),
         np.log1p(col("n_distinct")) - np.log1p(col("n_words")), col("n_upper") / chars, col("n_digits") / chars, col("n_marks") / n, np.log1p(col("longest_word")),
+        1 - col("n_ended") / lines, col("n_symbol_words") / n,
     ])
 
 
@@ -158,19 +160,23 @@ class IsolationForest:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> IsolationForest:
-    """A forest over at most about `bound` labelled rows (chosen by a hash of their
-    id) that the base rules pass, with its threshold from their labels. A tree sees mostly rows labelled good,
-    and a few others, as a forest expects of anomalies."""
-    chosen = chosen_labels(labels, "quality", bound)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text").toPandas()
+    """A forest over at most about `bound` labelled rows (chosen by a hash of their id; one
+    of the rows of a repeated id) that the base rules pass. Trees are grown on two folds of
+    three and see mostly rows labelled good, and a few others, as a forest expects of
+    anomalies; the threshold is from the labels of the third fold, which no tree has seen."""
+    chosen = chosen_labels(labels, "quality", bound, 3)
+    rows = known_rows(with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), *(x.split()[0] for x in BASE.split(", ")))
+    rows = rows[~failed(rows["n_words"], rows["n_repeat_words"])] if len(rows) else rows
     if not len(rows):
         return IsolationForest([], 1.0, 2.0)
-    rows = rows[~failed(rows["n_words"], rows["n_repeat_words"])].sort_values("doc_id", kind="stable")
-    if not len(rows):
-        return IsolationForest([], 1.0, 2.0)
-    x, good = rules(rows), rows["label"].to_numpy(float) > 0
-    forest = IsolationForest.fit(x[good], x[~good]) if good.any() and not good.all() else IsolationForest.fit(x)
-    forest.calibrate(forest.score(x), good)
+    x, good, unseen = rules(rows), rows["label"].to_numpy(float) > 0, rows["fold"].to_numpy() == 0
+    if unseen.all() or not unseen.any():  # too few rows to keep some apart
+        grown = unseen = np.ones(len(x), bool)
+    else:
+        grown = ~unseen
+    own = x[grown & good]
+    forest = IsolationForest.fit(own, x[grown & ~good]) if len(own) and (grown & ~good).any() else IsolationForest.fit(x[grown])
+    forest.calibrate(forest.score(x[unseen]), good[unseen])
     return forest
 
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chosen_labels, code_points, held_out, map_batches, utf8, with_arrays
+from ..lineage import Scratch
+from .common import SPACE, chosen_labels, code_points, held_out, known_rows, map_batches, utf8, with_arrays
 
 #: Insults to begin with; stems of others are learned from labelled rows.
 INSULTS = frozenset(b"idiot moron clown worthless loser pathetic scum trash disgusting stupid dumb fool jerk ugly hate imbecile cretin vermin filth garbage freak creep coward liar".split())
@@ -46,7 +47,7 @@ class Reader:
         self.stems, self.known = stems, {}
 
     def word(self, w: bytes) -> tuple[int, float, int, int, bytes]:
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         clear, hidden = plain(w)
         insult = int(clear in INSULTS or (clear.endswith(b"s") and clear[:-1] in INSULTS))
@@ -90,47 +91,61 @@ class Reader:
         ]
 
 
-def learn_stems(docs: DataFrame, chosen: DataFrame, evidence: float = 20.0, most: int = 500) -> dict[bytes, float]:
-    """Word prefixes that mark label 1, with the log of how much likelier they make it.
+def learn_stems(docs: DataFrame, chosen: DataFrame, folds: int = 1, evidence: float = 20.0, most: int = 500) -> list[dict[bytes, float]]:
+    """Word prefixes that mark label 1, with the log of how much likelier they make it:
+    those of all rows, and of the rows outside of each fold.
 
-    chosen: a bounded number of rows doc_id, label, so it is broadcast. Counts are
+    chosen: a bounded number of rows doc_id, label, fold, so it is broadcast. Counts are
     of documents, summed in each task first. A prefix must be found with label 1 far
     more often than chance allows: its documents times the divergence of their share
     of 1s from that of all must exceed `evidence`, which, of millions of prefixes that
     mean nothing, about none does. Of those, the `most` with the greatest weight stay.
     """
+    cells = [f"c{label}_{k}" for label in (0, 1) for k in range(folds)]
 
     def make():
         memo: dict[bytes, frozenset] = {}
 
         def prefixes(w):
-            if len(memo) > 300_000:
+            if len(memo) > 20_000:
                 memo.clear()
             out = memo[w] = frozenset(stems_of(plain(w)[0]))
             return out
 
         def f(batch):
-            ones, zeros = Counter(), Counter()
-            for text, label in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                seen = set().union(*(memo.get(w) or prefixes(w) for w in set(text.split())))
-                (ones if label > 0 else zeros).update(seen)
-            every = list(ones | zeros)
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([ones[s] for s in every], pa.int64()), pa.array([zeros[s] for s in every], pa.int64())], names=["stem", "ones", "zeros"])
+            seen_in = [Counter() for _ in cells]
+            for text, label, fold in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen_in[(label > 0) * folds + fold].update(set().union(*(memo.get(w) or prefixes(w) for w in set(text.split()))))
+            every = list(set().union(*seen_in))
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[s] for s in every], pa.int64()) for c in seen_in)], names=["stem", *cells])
 
         return f
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    totals = {bool(r["label"] > 0): r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(True, 0), totals.get(False, 0)
-    if not n1 or not n0:
-        return {}
-    counts = map_batches(rows, make, "stem binary, ones long, zeros long", rows=2_000).groupBy("stem").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    weight = F.log(((F.col("ones") + 0.5) / (n1 + 1)) / ((F.col("zeros") + 0.5) / (n0 + 1)))
-    p, n = n1 / (n1 + n0), F.col("ones") + F.col("zeros")
-    part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / n / q)).otherwise(0.0)
-    found = counts.where(part("ones", p) + part("zeros", 1 - p) > evidence).withColumn("weight", weight).where("weight > 2.0 and zeros * 20 <= ones")
-    top = found.orderBy(F.desc("weight"), F.length("stem"), "stem").limit(most).collect()
-    return {bytes(r["stem"]): float(r["weight"]) for r in top}
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "fold")
+    size = {(int(r["label"] > 0), r["fold"]): r["n"] for r in chosen.groupBy((F.col("label") > 0).alias("label"), "fold").agg(F.count("*").alias("n")).collect()}
+    kinds = "stem binary, " + ", ".join(f"{c} long" for c in cells)
+    counts = map_batches(rows, make, kinds, rows=1_000).groupBy("stem").agg(*[F.sum(c).alias(c) for c in cells])
+
+    def judged(without: int | None):
+        """Evidence and weight of a prefix, from the rows of all folds but one."""
+        use = [k for k in range(folds) if k != without]
+        n0, n1 = (sum(size.get((label, k), 0) for k in use) for label in (0, 1))
+        zeros, ones = (sum((F.col(f"c{label}_{k}") for k in use), F.lit(0)) for label in (0, 1))
+        if not n0 or not n1:
+            return F.lit(False), F.lit(0.0)
+        weight = F.log(((ones + 0.5) / (n1 + 1)) / ((zeros + 0.5) / (n0 + 1)))
+        p, n = n1 / (n1 + n0), ones + zeros
+        part = lambda c, q: F.when(c > 0, c * F.log(c / n / q)).otherwise(0.0)
+        return (part(ones, p) + part(zeros, 1 - p) > evidence) & (weight > 2.0) & (zeros * 20 <= ones), weight
+
+    variants = [judged(k) for k in [None, *range(folds)]] if folds > 1 else [judged(None)]
+    good = variants[0][0]
+    for on, _ in variants[1:]:
+        good = good | on
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.keep(counts.where(good), "stems")
+        tops = [counts.where(on).select("stem", weight.alias("weight")).orderBy(F.desc("weight"), F.length("stem"), "stem").limit(most).collect() for on, weight in variants]
+    return [{bytes(r["stem"]): float(r["weight"]) for r in top} for top in tops]
 
 
 @dataclass
@@ -233,30 +248,33 @@ def stack(column, width: int = len(FEATURES)) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
 
 
-def train(x: np.ndarray, y: np.ndarray, stems: dict[bytes, float], folds: int = 3) -> Model:
-    """Trees on all rows; the curve from margins of rows that the trees of their fold did not see."""
-    trees = Boosted.fit(x, y)
-    if len(y) < 10 * folds or y.sum() < folds:
-        return Model(stems, trees, np.zeros(0), np.zeros(0))
-    part, margin = np.arange(len(y)) % folds, np.zeros(len(y))
-    for k in range(folds):
-        margin[part == k] = Boosted.fit(x[part != k], y[part != k]).margin(x[part == k])
-    return Model(stems, trees, *isotonic(margin, y))
+def train(xs: list[np.ndarray], y: np.ndarray, fold: np.ndarray, stems: dict[bytes, float], least: int = 3) -> Model:
+    """xs: features with the stems of all rows, and with those that each fold didn't give.
+    Trees on all rows; the curve from margins of rows that neither the trees nor the
+    stems of their fold's model have seen."""
+    trees = Boosted.fit(xs[0], y)
+    margin, seen = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k, x in enumerate(xs[1:]):
+        here = fold == k
+        if here.any() and y[here].sum() >= least and y[~here].sum() >= least:
+            margin[here], seen[here] = Boosted.fit(x[~here], y[~here]).margin(x[here]), True
+    return Model(stems, trees, *(isotonic(margin[seen], y[seen]) if seen.any() else (np.zeros(0), np.zeros(0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, folds: int = 2) -> Model:
     """Stems, trees and curve from at most about `bound` labelled rows, chosen by a
-    hash of their id."""
-    chosen = chosen_labels(labels, "toxic", bound)
-    stems = learn_stems(docs, chosen)
+    hash of their id; where an id is repeated, from one of its rows."""
+    chosen = chosen_labels(labels, "toxic", bound, folds)
+    stems = learn_stems(docs, chosen, folds)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    names = [f"x{k}" for k in range(len(stems))]
 
     def make():
-        reader = Reader(stems)
-        return lambda texts: [pa.array([reader.describe(t) for t in texts], pa.list_(pa.float64()))]
+        readers = [Reader(s) for s in stems]
+        return lambda texts: [pa.array([r.describe(t) for t in texts], pa.list_(pa.float64())) for r in readers]
 
-    known = with_arrays(rows, make, "x array<double>").select("doc_id", "label", "x").toPandas().sort_values("doc_id", kind="stable")
-    return train(stack(known["x"]), (known["label"].to_numpy(float) > 0).astype(int), stems)
+    known = known_rows(with_arrays(rows, make, ", ".join(f"{n} array<double>" for n in names)), *names)
+    return train([stack(known[n]) for n in names], (known["label"].to_numpy(float) > 0).astype(int), known["fold"].to_numpy(), stems[0])
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -283,6 +283,56 @@ def test_classifiers_hold_out(spark, judge, label):
     assert judge(documents(spark, []), labels).count() == 0
 
 
+def test_discriminant_is_the_difference_of_log_densities():
+    """Against covariances inverted as a whole and densities written out."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)), rng.normal(1, 2, size=(200, 4))])
+    y = np.repeat([0, 1], [300, 200])
+    model = quality_qda.Discriminant.fit(x, y)
+    z = (x - x.mean(0)) / x.std(0)
+    cov = [np.cov(z[y == k], rowvar=False, bias=True) for k in (0, 1)]
+    pooled = (300 * cov[0] + 200 * cov[1]) / 500
+    log = []
+    for k in (0, 1):
+        c = 0.7 * cov[k] + 0.3 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 0.02 * np.eye(4)
+        d = z - z[y == k].mean(0)
+        log.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    assert np.allclose(model.margin(x), log[1] - log[0])
+    both = quality_qda.Discriminant.calibrated(x, y, np.arange(500) % 3)
+    assert np.allclose(both.margin(x), model.margin(x)) and both.slope != 1.0
+
+
+def test_boosted_trees_take_the_best_split():
+    """One round of depth 1: the split, and the values of Newton's step, by trying all."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 6, (200, 3)).astype(float), rng.integers(0, 2, 200)
+    y = np.where(x[:, 1] > 2, y, 0)
+    model = toxicity.Boosted.fit(x, y, rounds=1, depth=1)
+    p = (y.sum() + 1) / 202
+    g, h = y - p, p * (1 - p)
+    score = lambda m: g[m].sum() ** 2 / (h * m.sum() + 1)
+    best = max(((score(x[:, f] <= t) + score(x[:, f] > t), f, t) for f in range(3) for t in range(5) if (x[:, f] <= t).any() and (x[:, f] > t).any()), key=lambda b: b[0])
+    left = x[:, best[1]] <= best[2]
+    value = np.where(left, g[left].sum() / (h * left.sum() + 1), g[~left].sum() / (h * (~left).sum() + 1))
+    assert np.allclose(model.margin(x), np.log(p / (1 - p)) + 0.15 * value)
+
+
+def test_stems_of_folds_are_learned_without_them(spark):
+    from cinesift.llm.common import chosen_labels
+
+    rows = [(i, f"some words and zorgified{i % 2 if i % 4 == 0 else ''} here {'blorptastic' if i % 4 == 0 else 'fine'}", "s") for i in range(300)]
+    docs = documents(spark, rows + rows[:3])
+    labels = spark.createDataFrame([Row(doc_id=i, quality=1, toxic=int(i % 4 == 0)) for i in range(300)])
+    chosen = chosen_labels(labels, "toxic", 1000, 2)
+    held = {r.doc_id: r.fold for r in chosen.collect()}
+    assert set(held.values()) == {0, 1}
+    every, *parts = toxicity.learn_stems(docs, chosen, 2)
+    for k, stems in enumerate(parts):
+        alone = toxicity.learn_stems(docs, chosen.where(f"fold <> {k}"), 2)[0]
+        assert stems == alone and stems != every and b"blorpt" in stems
+
+
 def plain_repeats(w):
     seen = defaultdict(list)
     for i in range(len(w) - 7):

@@ -17,14 +17,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def letter_share_weight(text: Column) -> Column:
-    """A document's quality weight, from 1 to 4: the share of its characters that
-    aren't symbols, rounded down to quarters, times 3, plus 1. Null and empty texts
-    weigh 1."""
-    n = F.length(text)
-    plain = F.length(F.translate(text, "#*$%&|<>!", ""))
-    share = F.when(n > 0, plain / n).otherwise(F.lit(0.0))
-    return F.coalesce(F.lit(1.0) + F.floor(share * 4) * 0.75, F.lit(1.0))
+#: A line's end right after a mark that ends a sentence; a line from its first word on.
+ENDED, LINE = r"[.!?][\x20\x09\x0B-\x0D]*(\n|\z)", r"[^\x20\x09-\x0D][^\n]*"
+
+
+def ended_lines_weight(text: Column) -> Column:
+    """A document's quality weight, from 1 to 4: 1 plus 3 times the share of its lines
+    with words that end in . ! or ?, as lines of prose do and those of lists, menus and
+    debris don't. Null texts and those without words weigh 1."""
+    share = F.try_divide(F.regexp_count(text, F.lit(ENDED)).cast("double"), F.regexp_count(text, F.lit(LINE)))
+    return F.lit(1.0) + F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)) * 3
 
 
 def targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, quality: Column | None = None, cap: int = 3, weights: t
     docs are ignored.
     """
     text = F.col("text")
-    quality = letter_share_weight(text) if quality is None else quality
+    quality = ended_lines_weight(text) if quality is None else quality
     identity = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
     hex13 = F.substring(F.md5(F.concat(identity, F.lit(f":{seed}")).cast("binary")), 1, 13)
     u = (F.conv(hex13, 16, 10).cast("long") + F.lit(1)) / F.lit(float(16**13))

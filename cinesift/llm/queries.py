@@ -74,7 +74,22 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_decontamination, op6_warc_fixity, op7_token_counts, op8_url_rules, op9_quality_rules, op10_quality_qda)}
+def url_written_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 decides without labels: page_id, host, path, rule, and its verdict or null."""
+    host, path = url_rules.parts(F.col("url"))
+    rule, verdict = url_rules.written_rule(F.col("host"), F.col("path"))
+    rows = read(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return rows.withColumns({"rule": rule, "verdict": verdict})
+
+
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 counts before its forest: the base columns and base_failed."""
+    rows = quality_rules.with_statistics(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = quality_rules.failed(F.col("n_words"), F.col("n_repeat_words"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"))
+
+
+QUERIES = {f.__name__: f for f in (url_written_rules, rule_statistics, op1_mixing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_decontamination, op6_warc_fixity, op7_token_counts, op8_url_rules, op9_quality_rules, op10_quality_qda)}
 
 ORACLE_SQL = {
     "op1_mixing": r"""
@@ -83,7 +98,7 @@ WITH docs AS (
 ), keyed AS (
   SELECT doc_id, source, size,
     -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) || ':7'), 1, 13))::BIGINT + 1) / 4503599627370496.0)
-      / coalesce(1.0 + floor((CASE WHEN length(text) > 0 THEN length(translate(text, '#*$%&|<>!', '')) / length(text) ELSE 0.0 END) * 4) * 0.75, 1.0) AS key
+      / (1.0 + least(coalesce(len(regexp_extract_all(text, '[.!?][\x20\x09\x0B-\x0D]*(\n|\z)'))::DOUBLE / nullif(len(regexp_extract_all(text, '[^\x20\x09-\x0D][^\n]*')), 0), 0.0), 1.0) * 3) AS key
   FROM docs
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
@@ -134,5 +149,38 @@ WITH records AS (
 SELECT page_id, file, sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING)::BIGINT - strlen(record) AS "offset",
   strlen(record)::BIGINT AS length, sha256(record) AS digest,
   CASE coalesce(('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 97, 0) WHEN 5 THEN 'corrupt' WHEN 6 THEN 'missing' ELSE 'ok' END AS status FROM records
+""",
+    "url_written_rules": """
+WITH cut AS (
+  SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages
+), hosts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut
+), urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+), rules(verdict, host, path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fits AS (
+  SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(r.host || r.path) DESC) AS k
+  FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+)
+SELECT page_id, host, path, rule, verdict FROM fits WHERE k = 1
+""",
+    "rule_statistics": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(words[i : i + 7], ' ') AS w FROM docs, unnest(range(1, len(words) - 6)) AS t(i)
+), twice AS (
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 8)) AS t(p) GROUP BY r
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM docs, unnest(string_split(text, chr(10))) AS t(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words
+  FROM docs LEFT JOIN lines l USING (r) LEFT JOIN repeats p USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
 """,
 }

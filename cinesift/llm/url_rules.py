@@ -6,12 +6,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import materialize
+from ..lineage import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BAD = "label=bad"
+#: Bad pages that a mined rule must hold on.
+LEAST = 20
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -42,29 +44,46 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(pieces(host, "h:", r"[.\-:]"), pieces(path, "p:", r"[/.\-_]")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float, confidence: float, lift: float) -> DataFrame:
-    """items, confidence, support of rules items -> bad, pruned.
+def mine(pages: DataFrame, labels: DataFrame, support: float, confidence: float, lift: float, least: int = LEAST) -> DataFrame:
+    """items, confidence, support, pages of rules items -> bad, pruned.
 
-    A page is bad where its id is labelled toxic, or of quality 0. Of rules, those
-    stay that no rule over some of their items matches in confidence.
+    A page is bad where its id is labelled toxic, or of quality 0; repeated rows of an id
+    are bad if one is, and null ids have no label. Item sets are mined by FP-growth; a rule
+    must hold on `least` bad pages at least, whatever their share, as of thousands of token
+    sets some are bad by chance on fewer. Of rules, those stay that none over some of
+    their items matches in confidence.
     """
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.coalesce("toxic", F.lit(0)) > 0) | (F.coalesce("quality", F.lit(1)) <= 0)).cast("int").alias("bad"))
     bad = bad.dropna(subset=["page_id"]).groupBy("page_id").agg(F.max("bad").alias("bad"))
     host, path = parts(F.col("url"))
-    known = pages.select("page_id", tokens(host, path).alias("items")).join(bad, "page_id")
-    known = known.select(F.when(F.col("bad") > 0, F.array_append("items", BAD)).otherwise(F.col("items")).alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known).associationRules
-    rules = rules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift))
-    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    # A rule is redundant if one over fewer of its items is as sure; smaller rules are
-    # found by their items' subsets, one item left out at a time.
-    fewer = rules.select("items", F.col("confidence").alias("sure")).withColumn("gone", F.explode("items"))
-    fewer = fewer.select("items", "sure", F.array_remove("items", F.col("gone")).alias("part"))
-    beaten = fewer.join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("by")), "part").where(F.col("by") >= F.col("sure")).select("items").distinct()
-    return rules.join(beaten, "items", "left_anti")
-
-
-def judge(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.5, lift: float = 2.0, rules=RULES) -> DataFrame:
+    with Scratch(pages.sparkSession) as scratch:
+        known = pages.select("page_id", tokens(host, path).alias("items")).join(bad, "page_id")
+        known = scratch.keep(known.select(F.when(F.col("bad") > 0, F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "labelled")
+        n, n_bad = known.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+        empty = pages.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, pages long")
+        if not n_bad:
+            return empty
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(known).freqItemsets
+        sets = scratch.keep(sets.select(F.array_sort("items").alias("items"), "freq"), "item-sets")
+        # Only rules to bad are made: from a set with it, and what is left without it.
+        with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("pages"))
+        rules = with_bad.join(sets, "items").select("items", "pages", (F.col("pages") / F.col("freq")).alias("confidence"))
+        # Every set of items that a rule's set holds is frequent with bad as well, so the best
+        # confidence below a rule comes up size by size, from the sets with one item less.
+        rules = scratch.keep(rules.withColumn("size", F.size("items")), "rules")
+        upto = rules.agg(F.max("size")).first()[0] or 0
+        level = done = scratch.keep(rules.where("size = 1").withColumn("below", F.lit(-1.0)), "level")
+        for size in range(2, upto + 1):
+            one_less = rules.where(F.col("size") == size).withColumn("gone", F.explode("items"))
+            one_less = one_less.withColumn("part", F.array_remove("items", F.col("gone")))
+            smaller = level.select(F.col("items").alias("part"), F.greatest("confidence", "below").alias("best"))
+            level = scratch.keep(one_less.join(smaller, "part").groupBy("items", "pages", "confidence", "size").agg(F.max("best").alias("below")), "level")
+            done = done.unionByName(level)
+        good = done.where((F.col("pages") >= least) & (F.col("confidence") >= confidence) & (F.col("confidence") * n / n_bad >= lift) & (F.col("below") < F.col("confidence")))
+        return scratch.result(good.select("items", "confidence", (F.col("pages") / n).alias("support"), "pages"), "url-rules")
+
+
+def judge(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.5, lift: float = 2.0, rules=RULES, least: int = LEAST) -> DataFrame:
     """page_id, host, path, rule, verdict, matched for every row of pages.
 
     A written rule decides first; then mined rules block pages that hold all tokens
@@ -75,7 +94,7 @@ def judge(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidenc
     are allowed. Null ids and repeated rows are judged by their URL. Without bad
     labelled pages nothing is mined. No rows: no rows. Other columns are ignored.
     """
-    mined = materialize(mine(pages, labels, support, confidence, lift).withColumn("rule_id", F.xxhash64("items")), "url-rules")
+    mined = mine(pages, labels, support, confidence, lift, least).withColumn("rule_id", F.xxhash64("items"))
     index = mined.select("rule_id", F.size("items").alias("needs"), F.explode("items").alias("token"))
     host, path = parts(F.col("url"))
     urls = pages.select("url").dropna().distinct().select("url", F.explode(tokens(host, path)).alias("token"))

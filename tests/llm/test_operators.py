@@ -438,6 +438,30 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.where("false"), labels).count() == 0
 
 
+def test_mined_rules_match_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(21)
+    urls, bad = [], []
+    for _ in range(300):
+        host, path = rng.choice(["spam", "news", "blog"]), rng.choice(["win", "read", "go"]) + "/" + rng.choice(["a", "b"])
+        urls.append(f"http://{host}.com/{path}")
+        bad.append(rng.random() < (0.9 if "spam" in host and "win" in path else 0.6 if "go" in path else 0.1))
+    pages = spark.createDataFrame([(i, u, "bad", 1) for i, u in enumerate(urls)] + [(0, urls[0], "again", 1), (None, urls[1], "x", 1)], "page_id long, url string, items string, freq int")
+    labels = spark.createDataFrame([(i, None, int(b)) for i, b in enumerate(bad)] + [(1, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    bad[1] = True
+    rows = [(frozenset(["h:" + x for x in u.split("/")[2].split(".")] + ["p:" + x for x in u.split("/")[3:]]), b) for u, b in [*zip(urls, bad, strict=True), (urls[0], bad[0])]]
+    n, n_bad = len(rows), sum(b for _, b in rows)
+    sets = {frozenset(c) for items, _ in rows for k in range(1, len(items) + 1) for c in combinations(sorted(items), k)}
+    hold = {s: (sum(s <= i and b for i, b in rows), sum(s <= i for i, b in rows)) for s in sets}
+    for least in (1, 20):
+        sure = {s: (b, b / a) for s, (b, a) in hold.items() if b >= max(least, 0.01 * n)}
+        want = {s: c for s, (b, c) in sure.items() if c >= 0.3 and c * n / n_bad >= 1.2 and not any(p < s and q >= c for p, (_, q) in sure.items())}
+        got = {frozenset(r["items"]): (r.confidence, r.pages) for r in url_rules.mine(pages, labels, 0.01, 0.3, 1.2, least).collect()}
+        assert {s: c for s, (c, _) in got.items()} == pytest.approx(want) and want
+        assert all(hold[s][0] == p for s, (_, p) in got.items())
+
+
 def test_decontamination(spark):
     items = [(0, "A train with 3 carriages leaves Paris for Rome at 40 km per hour and Paris waits for the late train again"), (1, "one two"), (2, None), (None, "the quick brown fox jumps over one lazy dog tonight")]
     item = items[0][1]

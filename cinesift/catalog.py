@@ -81,7 +81,7 @@ def caption_specificity_score(spark, d):
 @query(f"{DOCS} SELECT doc_id, repeats::BIGINT AS repeated, repetition_score FROM scored")
 def caption_repetition_score(spark, d):
     rows = table(spark, d, "documents").select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return rows.select("doc_id", T.repeated_trigrams(F.col("tokens")).cast("long").alias("repeated"), T.repetition_score(F.col("tokens")).alias("repetition_score"))
+    return captions.counted(rows).select("doc_id", F.col("repeated").cast("long").alias("repeated"), T.repetition_score(F.size("tokens"), F.col("repeated")).alias("repetition_score"))
 
 
 @query(f"""WITH captions AS (SELECT concat('d', doc_id) AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT concat('c', conv_id, '-', turn) AS id, coalesce(text, '') AS text FROM conversations), {SCORES}
@@ -111,6 +111,20 @@ def caption_issue_summary(spark, d):
     return captions.each_issue(_scored(spark, d)).groupBy(kind.alias("issue")).agg(F.count("*").alias("n"))
 
 
+_VAGUE_TEXTS = "texts AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - s_suppkey AS id, concat_ws(' ', " + ", ".join(f"CASE WHEN s_suppkey % {k + 2} = 0 THEN '{p}' END" for k, p in enumerate(reversed(K.VAGUE_PHRASES))) + ") AS text FROM supplier)"
+
+
+@query(f"""WITH {_VAGUE_TEXTS}, found AS (SELECT id, list_filter({quoted(K.VAGUE_PHRASES)}, lambda p: contains(lower(text), p)) AS vague FROM texts)
+SELECT id, 'vague: ' || array_to_string(vague[1:3], ', ') AS issue FROM found WHERE len(vague) > 0""")
+def caption_vague_preview(spark, d):
+    """The first three vague phrases of a caption, in the order of the list, over documents
+    and made-up captions that hold some phrases in the opposite order."""
+    some = F.concat_ws(" ", *[F.when(F.col("s_suppkey") % (k + 2) == 0, p) for k, p in enumerate(reversed(K.VAGUE_PHRASES))])
+    made = table(spark, d, "supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("id"), some.alias("text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), "text").unionByName(made)
+    return captions.each_issue(captions.score(rows), "id").where("issue like 'vague%'")
+
+
 @query(f"WITH captions AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, floor(len({TOKENS}) * 1.3::DOUBLE)::BIGINT AS n_tokens, floor(len({TOKENS}) * 1.3::DOUBLE) > 512 AS too_long FROM captions")
 def caption_token_overflow(spark, d):
     return captions.token_overflow(table(spark, d, "documents")).select("doc_id", "n_tokens", "too_long")
@@ -128,7 +142,7 @@ def _token_sql(c: str) -> str:
 JACCARD = f"""round(CASE WHEN len({_token_sql("old")}) > 0 AND len({_token_sql("fresh")}) > 0
   THEN len(list_intersect({_token_sql("old")}, {_token_sql("fresh")})) / len(list_distinct(list_concat({_token_sql("old")}, {_token_sql("fresh")}))) ELSE 0.0 END, 6)"""
 TURNS = "turns AS (SELECT * FROM (SELECT conv_id, turn, coalesce(text, '') AS old, coalesce(lead(text) OVER w, '') AS fresh, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE next IS NOT NULL)"
-NEIGHBOURS = "near AS (SELECT * FROM (SELECT doc_id, coalesce(text, '') AS old, lag(text) OVER (PARTITION BY lang ORDER BY text, doc_id) AS fresh FROM documents) WHERE fresh IS NOT NULL)"
+NEIGHBOURS = "near AS (SELECT a.doc_id, coalesce(a.text, '') AS old, b.text AS fresh FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1 WHERE b.text IS NOT NULL)"
 
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, {JACCARD} AS similarity, CASE WHEN {JACCARD} > 0.4 THEN 'keep' ELSE 'review' END AS recommendation FROM turns")
@@ -139,9 +153,10 @@ def audit_similarity(spark, d):
 
 
 def _neighbours(spark, d):
-    w = Window.partitionBy("lang").orderBy("text", "doc_id")
-    rows = table(spark, d, "documents").withColumn("fresh", F.lag("text").over(w)).where("fresh is not null")
-    return captions.audit(rows, "text", "fresh")
+    """Each document beside the one of the id before, joined by id: no group is ordered in one task."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("fresh")).where("fresh is not null")
+    return captions.audit(rows.join(before, "doc_id"), "text", "fresh")
 
 
 @query(f"WITH {NEIGHBOURS} SELECT doc_id, {JACCARD} AS similarity, CASE WHEN {JACCARD} > 0.4 THEN 'keep' ELSE 'review' END AS recommendation FROM near")

@@ -65,14 +65,16 @@ def specificity_score(text: Column, c: ScoringConfig = ScoringConfig()) -> Colum
 
 
 def repeated_trigrams(tokens: Column) -> Column:
+    """How many of the runs of three words are repeats of an earlier one. Builds an array:
+    give it a column of its own before it is used more than once."""
     n = F.size(tokens)
-    tri = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(tokens, i, 3)))
-    return F.when(n >= 3, F.size(tri) - F.size(F.array_distinct(tri))).otherwise(0)
+    tri = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)))
+    return F.when(n >= 3, n - 2 - F.size(F.array_distinct(tri))).otherwise(0)
 
 
-def repetition_score(tokens: Column) -> Column:
-    n = F.size(tokens)
-    ratio = repeated_trigrams(tokens) / F.when(n > 2, n - 2).otherwise(1)
+def repetition_score(n: Column, repeated: Column) -> Column:
+    """From the number of words and of repeated_trigrams()."""
+    ratio = repeated / F.when(n > 2, n - 2).otherwise(1)
     return F.when(n < 4, 1.0).when(ratio == 0, 1.0).when(ratio > 0.3, 0.2).when(ratio > 0.15, 0.5).when(ratio > 0.05, 0.8).otherwise(0.95)
 
 
@@ -84,10 +86,10 @@ def token_estimate(tokens: Column) -> Column:
     return F.floor(F.size(tokens) * F.lit(TOKENS_PER_WORD)).cast("long")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two token arrays; 0 if either has none."""
-    both, any_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / any_).otherwise(0.0)
+def jaccard(a: Column, b: Column, both: Column) -> Column:
+    """Of two arrays of distinct tokens and their intersection; 0 if either has none."""
+    any_ = F.size(a) + F.size(b) - F.size(both)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(both) / any_).otherwise(0.0)
 
 
 def prepend_anchor(caption: Column, anchor: Column) -> Column:

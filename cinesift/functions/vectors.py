@@ -37,15 +37,18 @@ def laplacian_variance(grid: Column, width: int, height: int) -> Column:
     mirror = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
     cell = lambda r, c: F.get(grid, F.lit(mirror(r, height) * width + mirror(c, width))).cast("double")
     out = F.array(*[cell(r - 1, c) + cell(r + 1, c) + cell(r, c - 1) + cell(r, c + 1) - 4 * cell(r, c) for r in range(height) for c in range(width)])
-    n = width * height
-    total = lambda f: F.aggregate(out, F.lit(0.0), lambda s, x: s + f(x))
-    mean = total(lambda x: x) / n
-    return F.aggregate(out, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
+    return moments(out, F.lit(width * height))["variance"]
+
+
+def moments(values: Column, n: Column) -> Column:
+    """Struct mean, variance (population) of an array, in one pass."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    step = lambda m, x: F.struct((m["s"] + x).alias("s"), (m["q"] + x * x).alias("q"))
+    done = lambda m: F.struct((m["s"] / n).alias("mean"), F.greatest(m["q"] / n - (m["s"] / n) * (m["s"] / n), F.lit(0.0)).alias("variance"))
+    return F.aggregate(values, zero, lambda m, x: step(m, x.cast("double")), done)
 
 
 def exposure(grid: Column, full: float = 255.0) -> Column:
     """Struct mean, deviation (population) of a grid, as shares of the full value."""
-    n = F.size(grid)
-    mean = F.aggregate(grid, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    spread = F.sqrt(F.aggregate(grid, F.lit(0.0), lambda s, x: s + (x.cast("double") - mean) * (x.cast("double") - mean)) / n)
-    return F.struct((mean / full).alias("mean"), (spread / full).alias("deviation"))
+    scaled = F.transform(F.array(moments(grid, F.size(grid))), lambda m: F.struct((m["mean"] / full).alias("mean"), (F.sqrt(m["variance"]) / full).alias("deviation")))
+    return F.get(scaled, F.lit(0))

@@ -13,13 +13,18 @@ def score(captions: DataFrame, text: str = "text", config: T.ScoringConfig = T.S
     """captions with length, temporal, specificity, repetition and overall scores and
     the array of issues. Null captions are empty ones. The words are split once."""
     caption = F.coalesce(F.col(text), F.lit(""))
-    rows = captions.withColumn("tokens", T.words(caption))
+    rows = counted(captions.withColumn("tokens", T.words(caption)))
     rows = rows.withColumns({
         "length_score": T.length_score(caption, config), "temporal_score": T.temporal_score(F.col("tokens")),
-        "specificity_score": T.specificity_score(caption, config), "repetition_score": T.repetition_score(F.col("tokens")),
+        "specificity_score": T.specificity_score(caption, config), "repetition_score": T.repetition_score(F.size("tokens"), F.col("repeated")),
     })
     parts = [F.col(f"{c}_score") for c in ("length", "temporal", "specificity", "repetition")]
-    return rows.withColumn("overall", T.overall_score(*parts, config)).withColumn("issues", issues(caption, config)).drop("tokens")
+    return rows.withColumn("overall", T.overall_score(*parts, config)).withColumn("issues", issues(caption, config)).drop("tokens", "repeated")
+
+
+def counted(captions: DataFrame) -> DataFrame:
+    """captions (tokens) with repeated, made once in a step of its own."""
+    return captions.withColumn("repeated", T.repeated_trigrams(F.col("tokens")))
 
 
 def issues(caption: Column, c: T.ScoringConfig = T.ScoringConfig()) -> Column:
@@ -36,10 +41,10 @@ def issues(caption: Column, c: T.ScoringConfig = T.ScoringConfig()) -> Column:
     return F.filter(F.array(length, temporal, vague, repeats), lambda x: x.isNotNull())
 
 
-def each_issue(scored: DataFrame) -> DataFrame:
-    """A row for each issue. explode() would add a filter on the array's size, which is
+def each_issue(scored: DataFrame, *keys: str) -> DataFrame:
+    """keys and a row for each issue. explode() would add a filter on the array's size, which is
     pushed below the scores and evaluates them all once more; explode_outer() doesn't."""
-    return scored.select(F.explode_outer("issues").alias("issue")).where("issue is not null")
+    return scored.select(*keys, F.explode_outer("issues").alias("issue")).where("issue is not null")
 
 
 def worst_first(scored: DataFrame, *ties: str, limit: int | None = None) -> DataFrame:
@@ -58,6 +63,7 @@ def token_overflow(captions: DataFrame, text: str = "text", limit: int = TOKEN_L
 
 def audit(pairs: DataFrame, existing: str, fresh: str, least: float = AUDIT_SIMILARITY) -> DataFrame:
     """pairs with the similarity of two captions and keep or review."""
-    words = lambda c: T.words(F.coalesce(F.col(c), F.lit("")))
-    rows = pairs.withColumn("similarity", T.jaccard(words(existing), words(fresh)))
+    words = lambda c: F.array_distinct(T.words(F.coalesce(F.col(c), F.lit(""))))
+    rows = pairs.withColumns({"_a": words(existing), "_b": words(fresh)}).withColumn("_both", F.array_intersect("_a", "_b"))
+    rows = rows.withColumn("similarity", T.jaccard(F.col("_a"), F.col("_b"), F.col("_both"))).drop("_a", "_b", "_both")
     return rows.withColumn("recommendation", F.when(F.col("similarity") > least, "keep").otherwise("review"))

@@ -19,9 +19,11 @@ IMAGE = {
     "motion": "Describe the moment of movement that is shown. Call the movement {anchor}. {subject}",
     "object": "Call the object {anchor}. Describe where it is and how it lies. {subject}",
 }
-#: Sentences whose embeddings stand for frames of overlaid text.
+#: Sentences whose embeddings stand for frames of overlaid text; the threshold
+#: of similarity to them was chosen for these words.
 OVERLAY = [
-    "a title card with large words", "rolling credits at the end of a film", "opening credits over a picture", "a film poster with a title", "an intertitle of a silent film", "white words on a black screen", "a frame filled with printed text", "a logo of a studio", "a card that names a place and a date",
+    "a movie title card with large text", "opening credits with text on a dark background", "closing credits scrolling text", "chapter title text overlay on screen", "movie poster with title text", "white text on black background",
+    "end credits rolling text", "a title sequence with stylized text", "intertitle card with text",
 ]
 
 

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import hashlib
+import json
+import mimetypes
+import os
+import tempfile
 import time
+import urllib.error
+import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -13,7 +21,14 @@ from pyspark.sql import DataFrame
 
 
 class CaptionBackend(ABC):
-    """Describes clips and pictures; what goes wrong is raised and becomes a row."""
+    """Describes clips and pictures; what goes wrong is raised and becomes a row.
+
+    What an error says when another try may do, how many tries there are, and the seconds
+    before the second one (before the third it is twice that, and so on).
+    """
+
+    transient: tuple[str, ...] = ("429", "quota", "rate", "503", "overloaded", "timeout")
+    tries, wait = 5, 45.0
 
     @abstractmethod
     def caption_video(self, path: str, prompt: str) -> str: ...
@@ -39,7 +54,7 @@ class SceneDetector(ABC):
 
 
 class EchoCaptions(CaptionBackend):
-    """Says the name of the file and the prompt's length: the same for the same input."""
+    """Says the name of the file and the prompt's length: the same for the same input. For tests."""
 
     def caption_video(self, path: str, prompt: str) -> str:
         return f"{path.rsplit('/', 1)[-1]} moves from left to right and then fades ({len(prompt)})"
@@ -67,27 +82,134 @@ class HashEmbeddings(EmbeddingBackend):
         return self._of(texts)
 
 
-def openai_compatible(url: str, model: str, key: str | None = None, seconds: float = 120) -> CaptionBackend:
-    """A backend that posts pictures as data URIs to a chat endpoint. Needs requests."""
-    import base64
-    import mimetypes
+#: Kinds of files by suffix, where the system's table may lack them.
+KINDS = {".mp4": "video/mp4", ".mov": "video/quicktime", ".mkv": "video/x-matroska", ".avi": "video/x-msvideo", ".webm": "video/webm", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".gif": "image/gif"}
+
+
+def kind_of(path: str) -> str:
+    return KINDS.get(os.path.splitext(path)[1].lower()) or mimetypes.guess_type(path)[0] or "application/octet-stream"
+
+
+def data_uri(path: str) -> str:
+    with open(path, "rb") as f:
+        return f"data:{kind_of(path)};base64,{base64.b64encode(f.read()).decode()}"
+
+
+def fetch(url: str, headers: dict[str, str], body: dict | None = None, seconds: float = 120) -> dict:
+    """The JSON that a service answers; its refusal of an input (422) is a ValueError, any
+    other an OSError that begins with the status."""
+    request = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+    try:
+        with urllib.request.urlopen(request, timeout=seconds) as reply:
+            return json.load(reply)
+    except urllib.error.HTTPError as e:
+        said = f"{e.code}: {e.read(300).decode('utf-8', 'replace')}"
+        raise (ValueError if e.code == 422 else OSError)(said) from None
+
+
+class ChatCaptions(CaptionBackend):
+    """A chat endpoint that takes pictures. A clip is sent as frames, `fps` a second."""
+
+    def __init__(self, url: str = "http://localhost:11434/v1", model: str = "llama3.2-vision", key: str | None = None, seconds: float = 120, fps: int = 1, runner: Callable[[list[str], float], None] | None = None):
+        self.url, self.model, self.key, self.seconds, self.fps = url.rstrip("/"), model, key or "none", seconds, fps
+        self.runner = runner
+
+    def ask(self, pictures: list[str], prompt: str) -> str:
+        content = [{"type": "image_url", "image_url": {"url": data_uri(p)}} for p in pictures] + [{"type": "text", "text": prompt}]
+        reply = fetch(f"{self.url}/chat/completions", {"Authorization": f"Bearer {self.key}"}, {"model": self.model, "messages": [{"role": "user", "content": content}]}, self.seconds)
+        if not (choices := reply.get("choices")):
+            raise ValueError(f"no answer in {str(reply)[:300]}")
+        return (choices[0].get("message", {}).get("content") or "").strip()
+
+    def caption_image(self, path: str, prompt: str) -> str:
+        return self.ask([path], prompt)
+
+    def caption_video(self, path: str, prompt: str) -> str:
+        from .operators.media import tool
+
+        with tempfile.TemporaryDirectory() as d:  # of this task alone
+            (self.runner or tool)(["ffmpeg", "-y", "-i", path, "-vf", f"fps={self.fps}", "-q:v", "2", os.path.join(d, "%06d.jpg")], self.seconds)
+            frames = sorted(os.path.join(d, f) for f in os.listdir(d))
+            if not frames:
+                raise ValueError("no frame was made")
+            return self.ask(frames, f"These {len(frames)} pictures are one clip, {self.fps} for each second. Describe the clip as a whole, not its pictures.\n\n{prompt}")
+
+
+class PredictionCaptions(CaptionBackend):
+    """A service of hosted models that takes files as data URIs and waits for the answer.
+    Which input a model takes them by is read from its schema once."""
+
+    transient, tries, wait = ("timeout", "503", "rate", "429"), 3, 15.0
+
+    def __init__(self, model: str = "google/gemini-2.5-flash", key: str | None = None, seconds: float = 120, url: str = "https://api.replicate.com/v1/models"):
+        if not (key := key or os.environ.get("REPLICATE_API_TOKEN", "")):
+            raise ValueError("set REPLICATE_API_TOKEN")
+        self.url, self.seconds, self.inputs = f"{url.rstrip('/')}/{model}", seconds, None
+        self.headers = {"Authorization": f"Bearer {key}", "Prefer": "wait"}
+
+    def known(self) -> set[str]:
+        if self.inputs is None:
+            try:
+                version = fetch(self.url, self.headers, seconds=30).get("latest_version") or {}
+                made = version if "openapi_schema" in version else fetch(f"{self.url}/versions/{version['id']}", self.headers, seconds=30)
+                self.inputs = set(made["openapi_schema"]["components"]["schemas"]["Input"]["properties"])
+            except (OSError, ValueError, KeyError, TypeError):
+                self.inputs = set()
+        return self.inputs
+
+    def ask(self, path: str, prompt: str, kind: str) -> str:
+        uri, names = data_uri(path), self.known()
+        name = next((n for n in (f"{kind}s", kind, "media") if n in names), f"{kind}s")
+        reply = fetch(f"{self.url}/predictions", self.headers, {"input": {"prompt": prompt, name: [uri] if name.endswith("s") else uri}}, self.seconds)
+        if reply.get("status") == "failed":
+            raise OSError(f"the prediction failed: {reply.get('error')}")
+        out = reply.get("output") or ""
+        return ("".join(map(str, out)) if isinstance(out, list) else str(out)).strip()
+
+    def caption_video(self, path: str, prompt: str) -> str:
+        return self.ask(path, prompt, "video")
+
+    def caption_image(self, path: str, prompt: str) -> str:
+        return self.ask(path, prompt, "image")
+
+
+class GenaiCaptions(CaptionBackend):
+    """The google-genai client: pictures go with the request; clips are uploaded, waited
+    for and deleted again. Needs google-genai, unless a client is given."""
+
+    transient, tries, wait = ("429", "quota", "rate", "503", "overloaded"), 5, 45.0
+
+    def __init__(self, model: str = "gemini-2.5-flash", key: str | None = None, poll: float = 2.0, client=None, part: Callable | None = None):
+        if client is None:
+            if not (key := key or os.environ.get("GEMINI_API_KEY", "")):
+                raise ValueError("set GEMINI_API_KEY")
+            from google import genai
+            from google.genai import types
 
-    import requests
+            client, part = genai.Client(api_key=key), types.Part.from_bytes
+        self.client, self.model, self.poll, self.part = client, model, poll, part
 
-    class Posted(CaptionBackend):
-        def caption_image(self, path: str, prompt: str) -> str:
-            with open(path, "rb") as f:
-                data = base64.b64encode(f.read()).decode()
-            kind = mimetypes.guess_type(path)[0] or "application/octet-stream"
-            content = [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": f"data:{kind};base64,{data}"}}]
-            headers = {"Authorization": f"Bearer {key}"} if key else {}
-            reply = requests.post(f"{url.rstrip('/')}/chat/completions", json={"model": model, "messages": [{"role": "user", "content": content}]}, headers=headers, timeout=seconds)
-            reply.raise_for_status()
-            return reply.json()["choices"][0]["message"]["content"].strip()
+    def ask(self, *contents) -> str:
+        return (self.client.models.generate_content(model=self.model, contents=list(contents)).text or "").strip()
 
-        caption_video = caption_image
+    def caption_image(self, path: str, prompt: str) -> str:
+        with open(path, "rb") as f:
+            return self.ask(self.part(data=f.read(), mime_type=kind_of(path)), prompt)
 
-    return Posted()
+    def caption_video(self, path: str, prompt: str) -> str:
+        name = os.path.basename(path).encode("ascii", "replace").decode()  # names beyond ASCII break uploads
+        with open(path, "rb") as f:
+            held = self.client.files.upload(file=f, config={"mime_type": kind_of(path), "display_name": name})
+        try:
+            while held.state.name == "PROCESSING":
+                time.sleep(self.poll)
+                held = self.client.files.get(name=held.name)
+            if held.state.name != "ACTIVE":
+                raise ValueError(f"the upload ended as {held.state.name}")
+            return self.ask(held, prompt)
+        finally:
+            with contextlib.suppress(Exception):  # a file that stays does no harm
+                self.client.files.delete(name=held.name)
 
 
 def clip(model: str = "openai/clip-vit-base-patch32") -> EmbeddingBackend:
@@ -124,7 +246,8 @@ def embeddings(name: str) -> Callable[[], EmbeddingBackend]:
     return EMBEDDINGS[name]
 
 
-BACKENDS: dict[str, Callable[..., CaptionBackend]] = {"echo": EchoCaptions, "openai": openai_compatible}
+#: Services that a command can be told to use. EchoCaptions is for tests.
+BACKENDS: dict[str, Callable[..., CaptionBackend]] = {"gemini": GenaiCaptions, "replicate": PredictionCaptions, "openai": ChatCaptions}
 
 
 def register(name: str) -> Callable:
@@ -188,37 +311,36 @@ def change_scores(videos: DataFrame, make: Callable[[], SceneDetector], least: f
     return videos.select("path").mapInPandas(run, "path string, fps double, frames array<struct<frame:bigint,score:double>>, error string")
 
 
-#: What an error says when another try may do.
-TRANSIENT = ("429", "quota", "rate", "503", "overloaded", "timeout")
-
-
-def with_retries(call: Callable[[], str], tries: int = 5, wait: float = 45.0, sleep: Callable[[float], None] = time.sleep) -> str:
+def with_retries(call: Callable[[], str], tries: int = 5, wait: float = 45.0, sleep: Callable[[float], None] = time.sleep, transient: tuple[str, ...] = CaptionBackend.transient) -> str:
     for k in range(1, tries + 1):
         try:
             return call()
         except Exception as e:
-            if k == tries or not any(t in str(e).lower() for t in TRANSIENT):
+            if k == tries or isinstance(e, ValueError) or not any(t in str(e).lower() for t in transient):
                 raise
             sleep(wait * k)
     raise AssertionError
 
 
-def caption(clips: DataFrame, make: Callable[[], CaptionBackend], delay: float = 0.0, tries: int = 5, wait: float = 45.0) -> DataFrame:
+def caption(clips: DataFrame, make: Callable[[], CaptionBackend], delay: float = 0.0, tries: int | None = None, wait: float | None = None) -> DataFrame:
     """path, caption, success, error, seconds for clips (path, prompt, is_video). One clip
-    that fails doesn't end the others. The number of partitions bounds the rate of calls."""
+    that fails doesn't end the others; a backend that can't be made is an error in every
+    row. The number of partitions bounds the rate of calls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model = None
         for batch in batches:
             out = []
             for path, prompt, video in zip(batch["path"], batch["prompt"], batch["is_video"], strict=True):
                 began = time.monotonic()
                 try:
+                    model = model or make()
                     f = model.caption_video if video else model.caption_image
-                    out.append((path, with_retries(lambda f=f, p=path, q=prompt: f(p, q), tries, wait), True, None, time.monotonic() - began))
+                    text = with_retries(lambda f=f, p=path, q=prompt: f(p, q), tries or model.tries, model.wait if wait is None else wait, transient=model.transient)
+                    out.append((path, text, True, None, time.monotonic() - began))
+                    time.sleep(delay)
                 except Exception as e:  # noqa: BLE001
-                    out.append((path, None, False, str(e), time.monotonic() - began))
-                time.sleep(delay)
+                    out.append((path, None, False, str(e) or type(e).__name__, time.monotonic() - began))
             yield pd.DataFrame(out, columns=["path", "caption", "success", "error", "seconds"])
 
     return clips.select("path", "prompt", "is_video").mapInPandas(run, "path string, caption string, success boolean, error string, seconds double")

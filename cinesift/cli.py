@@ -7,7 +7,9 @@ import dataclasses
 import os
 import sys
 
-from . import backends, config, manifests, reports, trainers
+from pyspark.sql import functions as F
+
+from . import backends, config, manifests, prompts, reports, trainers
 from .constants import SCENE_THRESHOLD
 from .lineage import materialize
 from .operators import captions, pairing, triage, video_spec
@@ -33,12 +35,20 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--fps", type=int)
         c.add_argument("--resolution", type=int)
     add("score", "captions, worst first").add_argument("--shown", type=int, default=10)
-    cap = add("caption", "captions of clips that have none")
-    cap.add_argument("--provider", default="echo")
-    cap.add_argument("--use-case")
+    cap = add("caption", "captions of clips that have none, written beside them")
     cap.add_argument("--anchor", default="")
+    cap.add_argument("--tags", nargs="*", default=[], help="words to mention where they are seen")
     cap.add_argument("--overwrite", action="store_true")
-    add("audit", "existing captions against fresh ones").add_argument("--provider", default="echo")
+    aud = add("audit", "existing captions against fresh ones")
+    aud.add_argument("--save", action="store_true", help="write fresh captions as .audit.txt")
+    for c in (cap, aud):
+        c.add_argument("--provider", default="gemini", choices=sorted(backends.BACKENDS))
+        c.add_argument("--use-case", choices=sorted(k for k in prompts.VIDEO if k))
+        c.add_argument("--prompt", help="replaces the prompt of the use case")
+        c.add_argument("--model")
+        c.add_argument("--base-url", help="of a chat endpoint")
+        c.add_argument("--caption-fps", type=int, default=1, help="frames a second that a chat endpoint gets")
+        c.add_argument("--delay", type=float, default=10.0, help="seconds after each call")
     ext = add("extract", "one reference picture for each clip", out=True)
     ext.add_argument("--strategy", choices=("first_frame", "best_frame"), default="first_frame")
     ext.add_argument("--overwrite", action="store_true")
@@ -86,6 +96,14 @@ def settings(args: argparse.Namespace) -> config.DataConfig:
     return out
 
 
+def provider(args: argparse.Namespace):
+    """What makes the chosen service, in a task."""
+    name, settings_ = args.provider, {"model": args.model} if args.model else {}
+    if name == "openai":
+        settings_ |= {"fps": args.caption_fps} | ({"url": args.base_url} if args.base_url else {})
+    return lambda: backends.backend(name, **settings_)
+
+
 def run_triage(spark, args: argparse.Namespace) -> int:
     """What wasn't judged is reported with its error; it's in no manifest and not routed."""
     make, out = backends.embeddings(args.embeddings), os.path.join(args.output, "frames")
@@ -125,12 +143,20 @@ def run(args: argparse.Namespace) -> int:
         rows = commands.score(spark, args.folder)
         print(reports.captions(captions.summary(rows), rows.select("path", "overall", "issues"), args.shown))
     elif args.command == "caption":
-        name = args.provider
-        done = commands.caption(spark, args.folder, lambda: backends.backend(name), args.use_case, args.anchor, args.overwrite)
+        done = materialize(commands.caption(spark, args.folder, provider(args), args.use_case, args.anchor, args.overwrite, tuple(args.tags), args.prompt, args.delay), "captions")
+        files = materialize(commands.caption_files(done), "caption-files")
         print(reports.section("Captions", commands.caption_summary(done)))
+        bad = done.where("not success").select("path", "error").unionByName(files.where("not success").select(F.col("output").alias("path"), "error"))
+        print(reports.section("Failed", bad.orderBy("path")))
+        return int(bad.limit(1).count() > 0)
     elif args.command == "audit":
-        name = args.provider
-        print(reports.section("Captions", commands.audit(spark, args.folder, lambda: backends.backend(name)).groupBy("recommendation").count()))
+        done = materialize(commands.audit(spark, args.folder, provider(args), args.use_case, args.prompt, args.delay), "audit")
+        print(reports.section("Captions", done.where("success").groupBy("recommendation").count().orderBy("recommendation")))
+        review = done.where("recommendation = 'review'").select("path", F.round("similarity", 2).alias("similarity"), F.substring("existing", 1, 80).alias("existing"), F.substring("caption", 1, 80).alias("fresh"))
+        print(reports.section("To review", review.orderBy("path")))
+        print(reports.section("Failed", done.where("not success").select("path", "error").orderBy("path")))
+        if args.save:
+            print(reports.section("Files", commands.caption_files(done, ".audit.txt").groupBy("success").count()))
     elif args.command == "extract":
         rows = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite).where("not skipped and error is null")
         best = args.strategy == "best_frame"

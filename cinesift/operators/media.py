@@ -77,6 +77,33 @@ def execute_many(planned: DataFrame, runner: Runner = tool, seconds: float = 300
     return planned.select("output", "command").mapInPandas(go, "output string, success boolean, error string")
 
 
+def write_texts(planned: DataFrame) -> DataFrame:
+    """Texts (output, text) as UTF-8 files: output, success, error. A file is made under
+    another name first, so none is ever half written."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for output, text in zip(batch["output"], batch["text"], strict=True):
+                made = f"{output}.{os.getpid()}.part"
+                try:
+                    with open(made, "w", encoding="utf-8") as f:
+                        f.write(text)
+                    os.replace(made, output)
+                    out.append((output, True, None))
+                except OSError as e:
+                    out.append((output, False, str(e)))
+            yield pd.DataFrame(out, columns=["output", "success", "error"])
+
+    return planned.select("output", "text").mapInPandas(go, "output string, success boolean, error string")
+
+
+def still_command(source: Column, output: Column) -> Column:
+    """A picture in another format; there is no time to seek to."""
+    f = lambda *xs: [F.lit(x) for x in xs]
+    return F.array(*f("ffmpeg", "-y", "-i"), source, *f("-frames:v", "1"), output)
+
+
 def frame_command(source: Column, output: Column, time: Column) -> Column:
     """One frame at a time in seconds; seeking before the input decodes little."""
     f = lambda *xs: [F.lit(x) for x in xs]

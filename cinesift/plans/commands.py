@@ -99,31 +99,43 @@ def score(spark: SparkSession, folder: str) -> DataFrame:
     return captions.worst_first(captions.score(rows), "path")
 
 
-def caption(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, anchor: str = "", overwrite: bool = False) -> DataFrame:
+def caption(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, anchor: str = "", overwrite: bool = False, tags: tuple[str, ...] = (), custom: str | None = None, delay: float = 0.0) -> DataFrame:
     """Captions of clips that have none yet: path, caption, success, error, skipped."""
     rows = listing.clips(spark, folder)
     done = listing.files(spark, folder, suffixes=[".txt"]).select("stem").distinct()
     todo = rows if overwrite else rows.join(done, "stem", "left_anti")
-    prompt = T.fill(prompts.template(F.lit(use_case).cast("string"), "video"), anchor=F.lit(anchor), subject=F.lit(""))
-    out = backends.caption(todo.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make).withColumn("skipped", F.lit(False))
+    prompt = prompts.build(use_case, "video", anchor, tags, custom)
+    out = backends.caption(todo.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make, delay).withColumn("skipped", F.lit(False))
     if overwrite:
         return out
     kept = rows.join(done, "stem", "left_semi").select("path", F.lit(None).cast("string").alias("caption"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"), F.lit(True).alias("skipped"))
     return out.unionByName(kept)
 
 
+def caption_files(done: DataFrame, suffix: str = ".txt") -> DataFrame:
+    """output, success, error: each new caption (path, caption) written beside its clip, whose
+    own suffix gives way. Give it a written table, or texts are asked for again."""
+    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    rows = done.where(F.col("success") & F.col("caption").isNotNull())
+    if "skipped" in rows.columns:
+        rows = rows.where("not skipped")
+    return media.write_texts(rows.select(F.concat(stem, F.lit(suffix)).alias("output"), F.col("caption").alias("text")))
+
+
 def caption_summary(done: DataFrame) -> DataFrame:
     """Captions made, failed and skipped; a skipped one isn't also counted as made."""
     return done.agg(F.count_if(F.col("success") & ~F.col("skipped")).alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.count_if("skipped").alias("skipped"))
 
 
-def audit(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend]) -> DataFrame:
-    """Existing captions beside fresh ones, for clips that have one; the prompt is without anchor."""
+def audit(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, custom: str | None = None, delay: float = 0.0) -> DataFrame:
+    """Existing captions beside fresh ones, for clips that have one; the prompt is without
+    anchor. A clip that fails has an error and no recommendation."""
     have = listing.captions(spark, folder).select("stem", F.col("content").cast("string").alias("existing"))
     clips = listing.clips(spark, folder).join(have, "stem")
-    prompt = T.fill(prompts.template(F.lit(None).cast("string"), "video"), subject=F.lit(""))
-    fresh = backends.caption(clips.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make)
-    return captions.audit(clips.select("path", "existing").join(fresh, "path"), "existing", "caption")
+    prompt = prompts.build(use_case, custom=custom)
+    fresh = backends.caption(clips.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make, delay)
+    rows = captions.audit(clips.select("path", "existing").join(fresh, "path"), "existing", "caption")
+    return rows.withColumns({c: F.when(F.col("success"), F.col(c)) for c in ("similarity", "recommendation")})
 
 
 def extract(spark: SparkSession, folder: str, out: str, strategy: str = "first_frame", overwrite: bool = False) -> DataFrame:
@@ -131,7 +143,8 @@ def extract(spark: SparkSession, folder: str, out: str, strategy: str = "first_f
     takes the first frame; best_references() carries out best_frame."""
     existing = listing.files(spark, out) if os.path.isdir(out) else None
     rows = media.reference_plan(listing.files(spark, folder), out, strategy, existing, overwrite)
-    return rows.withColumn("command", media.frame_command(F.col("path"), F.col("output"), F.lit(0.0)))
+    still = F.col("source_type") == "image"
+    return rows.withColumn("command", F.when(still, media.still_command(F.col("path"), F.col("output"))).otherwise(media.frame_command(F.col("path"), F.col("output"), F.lit(0.0))))
 
 
 def best_references(spark: SparkSession, plan: DataFrame, out: str, n: int = CANDIDATE_FRAMES, prober: Callable[[str], str] = probe.ffprobe, runner: media.Runner = media.tool) -> DataFrame:

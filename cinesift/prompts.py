@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions.text import fill
+
 VIDEO = {
     None: "Describe what happens in this clip, first to last, in one plain paragraph. {subject}",
     "character": "Call the person {anchor}. Say what {anchor} does from first to last; leave out looks that never change. {subject}",
@@ -27,6 +29,16 @@ OVERLAY = [
 ]
 
 
+def build(use_case: str | None, kind: str = "video", anchor: str = "", tags: tuple[str, ...] = (), custom: str | None = None) -> Column:
+    """The prompt of one run; a custom one replaces it whole. tags: words to mention where
+    they fit."""
+    if custom:
+        return F.lit(custom)
+    text = fill(template(F.lit(use_case).cast("string"), kind), anchor=F.lit(anchor), subject=F.lit(""))
+    more = " Mention these only where they are seen: " + ", ".join(f'"{t}"' for t in tags) + "." if tags else ""
+    return F.concat(F.rtrim(text), F.lit(more))
+
+
 def template(use_case: Column, kind: str) -> Column:
     """The template of a use case (null: any). For images an unknown one is any; for
     videos it is an error."""

@@ -232,7 +232,7 @@ def scan_counts(spark, d):
 
 
 @query(f"""WITH {CHECKED} SELECT array_to_string(issues, '|') AS pattern, count(*) AS n, min(height) AS height_low, max(height) AS height_high, min(fps) AS fps_low, max(fps) AS fps_high, min(frame_count) AS frame_count_low,
-  max(frame_count) AS frame_count_high, min(clip_id) AS first FROM judged WHERE len(issues) > 0 GROUP BY 1""")
+  max(frame_count) AS frame_count_high, array_to_string(list_sort(list(DISTINCT height)), ', ') AS height_values, array_to_string(list_sort(list(DISTINCT fps)), ', ') AS fps_values, min(clip_id) AS first FROM judged WHERE len(issues) > 0 GROUP BY 1""")
 def scan_issue_patterns(spark, d):
     return video_spec.issue_patterns(_validated(spark, d), "clip_id")
 
@@ -364,6 +364,37 @@ def missing_signals(spark, d):
     return rows.select("stem", F.explode("issues.code").alias("code"))
 
 
+@query(f"""WITH {views.V_PAIRS}, {views.V_CLIPS}, b AS (SELECT concat(width // 16 * 16, 'x', height // 16 * 16, 'x', frame_count) AS bucket_key FROM v_clips)
+SELECT 'ORPHANED_FILE' AS code, 'warning' AS severity, path AS subject FROM (SELECT stem, caption AS path FROM v_caps UNION ALL SELECT stem, reference FROM v_refs) WHERE stem NOT IN (SELECT stem FROM v_targets)
+UNION ALL SELECT 'DATASET_EMPTY', 'error', s.source FROM (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none') s WHERE s.source NOT IN (SELECT source FROM v_targets)
+UNION ALL SELECT 'BUCKET_UNDERSIZED', 'warning', bucket_key FROM b GROUP BY bucket_key HAVING count(*) < 2""")
+def dataset_level_issues(spark, d):
+    signals = views.caption_files(spark, d).withColumnRenamed("caption", "path").unionByName(views.reference_files(spark, d).withColumnRenamed("reference", "path"))
+    sources = table(spark, d, "documents").select("source").distinct().unionByName(spark.createDataFrame([("none",)], "source string"))
+    targets = views.targets(spark, d)
+    found = [
+        pairing.orphan_issues(pairing.orphans(targets, signals)).withColumnRenamed("path", "subject"),
+        pairing.empty_issues(pairing.empty_sources(sources, targets)).withColumnRenamed("source", "subject"),
+        buckets.undersized_issues(buckets.undersized(buckets.assign(views.clips(spark, d)))).withColumnRenamed("bucket_key", "subject"),
+    ]
+    rows = None
+    for one in found:
+        one = one.select(F.explode("issues").alias("i"), "subject").select("i.code", "i.severity", "subject")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query(f"""WITH {views.V_CLIPS}, m AS (SELECT clip_id AS stem, CASE WHEN clip_id % 3 = 0 THEN NULL ELSE fps / 30 END AS motion, CASE WHEN clip_id % 4 = 0 THEN NULL ELSE clip_id % 2 = 0 END AS fits FROM v_clips)
+SELECT stem, array_to_string(list_filter([CASE WHEN NOT fits THEN 'FILE_TYPE_INVALID:error' END, CASE WHEN motion < 0.6 THEN 'MOTION_BELOW_MIN:warning' END, CASE WHEN motion > 0.9 THEN 'MOTION_ABOVE_MAX:warning' END], lambda x: x IS NOT NULL), '|') AS pattern FROM m""")
+def sample_type_and_motion_issues(spark, d):
+    """First bytes that fit or not, or aren't known, and motion that may not be measured."""
+    k = F.col("clip_id")
+    rows = views.clips(spark, d).select(k.alias("stem"), F.lit("t").alias("target"), F.lit(None).cast("string").alias("reference"), F.when(k % 3 != 0, F.col("fps") / 30).alias("motion"), F.when(k % 4 != 0, k % 2 == 0).alias("fits"))
+    rows = rows.withColumn("issues", video_spec.gathered(video_spec.issue(F.lit(False), "", "", "", F.lit(""), "", "")))
+    rows = pairing.check_motion(pairing.check_types(rows, F.col("fits"), F.lit(None).cast("boolean")), 0.6, 0.9)
+    return rows.select("stem", video_spec.pattern().alias("pattern"))
+
+
 @query("SELECT s.source FROM (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none') s WHERE s.source NOT IN (SELECT source FROM documents WHERE doc_id % 5 <> 0)")
 def empty_sources(spark, d):
     sources = table(spark, d, "documents").select("source").distinct().unionByName(spark.createDataFrame([("none",)], "source string"))

@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import functions as F
 
 from . import backends, config, manifests, prompts, reports, trainers
-from .constants import SCENE_THRESHOLD
+from .constants import BUCKET_STEP, SCENE_THRESHOLD
 from .lineage import materialize
 from .operators import captions, pairing, triage, video_spec
 from .plans import commands
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     for c in (scan, normal):
         c.add_argument("--fps", type=int)
         c.add_argument("--resolution", type=int)
+    normal.add_argument("--format", help="suffix of all outputs, as .mp4; by default each clip's own")
     add("score", "captions, worst first").add_argument("--shown", type=int, default=10)
     cap = add("caption", "captions of clips that have none, written beside them")
     cap.add_argument("--anchor", default="")
@@ -49,7 +50,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--base-url", help="of a chat endpoint")
         c.add_argument("--caption-fps", type=int, default=1, help="frames a second that a chat endpoint gets")
         c.add_argument("--delay", type=float, default=10.0, help="seconds after each call")
-    ext = add("extract", "one reference picture for each clip", out=True)
+    ext = add("extract", "one reference picture for each clip")
+    ext.add_argument("-o", "--output")
+    ext.add_argument("--template", help="write a file in which the user picks frames, and stop")
+    ext.add_argument("--selections", help="a file of picked frames")
     ext.add_argument("--strategy", choices=("first_frame", "best_frame"), default="first_frame")
     ext.add_argument("--overwrite", action="store_true")
     tri = add("triage", "clips against reference pictures", out=True)
@@ -69,6 +73,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--quality", action="store_true", help="blur under 50, brightness outside 0.05 to 0.95")
         c.add_argument("--duplicates", action="store_true")
         c.add_argument("--concepts", nargs="*", help="sub-folders to take")
+        c.add_argument("--verbose", action="store_true", help="the issues of each sample")
     org.add_argument("--layout", choices=("flat", "hierarchical"), default="flat")
     org.add_argument("--strict", action="store_true")
     org.add_argument("--dry-run", action="store_true")
@@ -104,6 +109,32 @@ def provider(args: argparse.Namespace):
     return lambda: backends.backend(name, **settings_)
 
 
+def run_extract(spark, args: argparse.Namespace) -> int:
+    if args.template:
+        files = commands.listing.files(spark, args.folder)
+        commands.media.write_texts(manifests.selection_template(files).select(F.lit(os.path.abspath(args.template)).alias("output"), F.col("template").alias("text"))).collect()
+        return 0
+    if not args.output:
+        raise ValueError("give an output folder")
+    best = args.strategy == "best_frame" and not args.selections
+    if args.selections:
+        plan = commands.extract_selected(spark, args.folder, args.output, manifests.selections(spark, args.selections))
+    else:
+        plan = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite)
+    plan = materialize(plan.select("path", "source_type", "output", "strategy", "skipped", "error", "command"), "plan")
+    rows = plan.where("not skipped and error is null")
+    done = commands.media.execute(rows.where("source_type = 'image'") if best else rows).withColumn("sharpness", F.lit(None).cast("double"))
+    if best:
+        done = commands.best_references(spark, rows.where("source_type = 'video'"), args.output).select(*done.columns).unionByName(done)
+    done = materialize(done, "references").withColumnRenamed("error", "failure")
+    every = plan.join(done, "output", "left").withColumn("success", F.coalesce("success", F.col("skipped"))).withColumn("error", F.coalesce("error", "failure"))
+    every = materialize(every.drop("failure", "command"), "extracted")
+    print(reports.section("References", manifests.extraction_report(every)))
+    print(reports.section("Failed", every.where("not success").select("path", "error").orderBy("path"), 20))
+    manifests.reference_manifest(every).write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+    return int(every.where("not success").limit(1).count() > 0)
+
+
 def run_triage(spark, args: argparse.Namespace) -> int:
     """What wasn't judged is reported with its error; it's in no manifest and not routed."""
     make, out = backends.embeddings(args.embeddings), os.path.join(args.output, "frames")
@@ -138,7 +169,12 @@ def run(args: argparse.Namespace) -> int:
         rows = commands.scan(spark, args.folder, conf.video)
         print(reports.scan(video_spec.scan_counts(rows), video_spec.issue_patterns(rows, "path")))
     elif args.command == "normalize":
-        print(reports.section("Clips", commands.media.execute(commands.normalize(spark, args.folder, args.output, conf.video)).groupBy("success").count()))
+        plan = materialize(commands.normalize(spark, args.folder, args.output, conf.video, suffix=args.format), "plan")
+        done = materialize(commands.media.execute(plan), "normalized")
+        print(reports.section("Clips", done.groupBy("success").count()))
+        print(reports.section("Failed", done.where("not success").select("output", "error").orderBy("output"), 20))
+        side = commands.sidecars(spark, args.folder, args.output, plan.join(done.where("success"), "output"))
+        print(reports.section("Files beside them", commands.organize.transfer(side).groupBy("success").count()))
     elif args.command == "score":
         rows = commands.score(spark, args.folder)
         print(reports.captions(captions.summary(rows), rows.select("path", "overall", "issues"), args.shown))
@@ -158,45 +194,47 @@ def run(args: argparse.Namespace) -> int:
         if args.save:
             print(reports.section("Files", commands.caption_files(done, ".audit.txt").groupBy("success").count()))
     elif args.command == "extract":
-        rows = commands.extract(spark, args.folder, args.output, args.strategy, args.overwrite).where("not skipped and error is null")
-        best = args.strategy == "best_frame"
-        done = commands.media.execute(rows.where("source_type = 'image'") if best else rows)
-        if best:
-            clips = commands.best_references(spark, rows.where("source_type = 'video'"), args.output)
-            done = clips.select("output", "success", "error").unionByName(done)
-        done = materialize(done, "references")
-        print(reports.section("References", done.groupBy("success").count()))
-        print(reports.section("Failed", done.where("not success").select("output", "error").orderBy("output")))
+        return run_extract(spark, args)
     elif args.command == "triage":
         return run_triage(spark, args)
     elif args.command == "ingest":
         kept = manifests.read_scene_manifest(spark, args.triage) if args.triage else None
         plan, failed = commands.ingest_folder(spark, args.folder, args.output, backends.detector(args.detector), conf.video, kept, args.threshold)
-        print(reports.section("Clips", commands.media.execute(plan).groupBy("success").count()))
+        plan = materialize(plan, "plan")
+        done = materialize(commands.media.execute(plan), "clips")
+        made = plan.join(done.where("success"), "output").select("video", "output", "start", F.col("frames").alias("frame_count"), (F.col("frames") / conf.video.fps).alias("duration"))
+        manifests.clip_manifest(made).write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+        print(reports.section("Clips", done.groupBy("success").count()))
         print(reports.section("Videos not cut", failed.orderBy("path")))
         return int(failed.limit(1).count() > 0)
     else:
         probed = materialize(commands.probe.parse(commands.probe.run(commands.targets(spark, conf))), "probed")
         samples, orphans = commands.validate(spark, conf, probed)
         samples = materialize(samples, "samples")
-        parts = [samples]
+        parts, groups_alike = [samples], []
         if conf.quality.check_duplicates:
-            parts.append(materialize(commands.duplicate_issues(samples), "duplicates"))
+            groups_alike.append(materialize(commands.duplicate_issues(samples), "duplicates"))
         groups, few = commands.bucket_preview(samples, conf)
+        whole = materialize(commands.dataset_issues(spark, samples, orphans, conf, few), "dataset-issues")
+        parts += [whole, *groups_alike]
         print(reports.dataset(pairing.counts(samples, "source"), video_spec.issue_summary(*parts), few))
-        print(reports.section("Buckets", groups.select("bucket_key", "n"), 20))
-        for part in parts[1:]:
+        print(reports.buckets(groups, BUCKET_STEP))
+        print(reports.each("Issues of datasets", whole, "subject", 20))
+        if args.verbose:
+            print(reports.each("Issues of samples", samples, "stem"))
+        for part in groups_alike:
             print(reports.section("References that look alike", part.select("group_id", "n", "crosses").orderBy("group_id"), 20))
         print(reports.section("Not probed", probed.where("error is not null").select("path", "error").orderBy("path"), 20))
         if "motion_error" in samples.columns:
             print(reports.section("Motion not measured", samples.where("motion_error is not null").select("target", "motion_error").orderBy("target"), 20))
-        print(reports.section("Orphans", orphans.select("path"), 20))
         if args.command == "validate":
-            return int(samples.where(video_spec.has_error()).limit(1).count() > 0)
+            return int(samples.select("issues").unionByName(whole.select("issues")).where(video_spec.has_error()).limit(1).count() > 0)
         plan = commands.organize_plan(samples, args.output, args.layout, args.strict)
         if plan.where("skip_reason is null").limit(1).count() == 0:
             raise ValueError("no valid sample is left")
+        print(reports.organized(plan, args.output, args.layout, args.dry_run))
         if not args.dry_run:
+            manifests.dataset_manifest(samples).select("manifest").write.mode("overwrite").text(os.path.join(args.output, "manifest"))
             print(reports.section("Files", commands.organize.transfer(commands.transfers(plan), not args.move).groupBy("success").count()))
             total = trainers.totals(plan.where("skip_reason is null"), conf)
             for name in args.trainer:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import ERROR, WARNING
+from .constants import CLIP_SUFFIXES, ERROR, REFERENCE_SUFFIXES, WARNING
 from .functions.media import file_suffix
 from .operators.video_spec import has_error
 
@@ -32,6 +32,14 @@ def dataset_manifest(samples: DataFrame, source: str = "source") -> DataFrame:
     return rows.select(source, F.to_json(F.struct(*[c for c in rows.columns])).alias("manifest"))
 
 
+DATASET_SCHEMA = "struct<source:string,total_samples:bigint,valid_samples:bigint,errors:bigint,warnings:bigint,suffixes:struct<target:array<string>,caption:array<string>,reference:array<string>>,samples:array<struct<stem:string,target:string,issues:array<struct<code:string,severity:string,message:string>>>>>"
+
+
+def read_dataset_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of written dataset manifests, a row for each source."""
+    return spark.read.text(path).select(F.from_json("value", DATASET_SCHEMA).alias("m")).select("m.*")
+
+
 def scene_manifest(scenes: DataFrame) -> DataFrame:
     """One row, manifest: scenes (video, scene_index, start, end, has_overlay, include) by
     video in the order first seen, times with 3 decimals."""
@@ -43,13 +51,14 @@ def scene_manifest(scenes: DataFrame) -> DataFrame:
 
 
 def included_scenes(manifest: DataFrame) -> DataFrame:
-    """video, scene_index, start, end of the scenes to ingest; a scene without include is
-    left out. A manifest of another mode is an error."""
+    """video, scene_index, start, end of the scenes to ingest, and at, the place of the video
+    in the manifest; a scene without include is left out. A manifest of another mode is an
+    error."""
     m = F.from_json("manifest", SCENE_SCHEMA)
     checked = F.when(F.coalesce(m["triage_mode"], F.lit("")) == "scene", m).otherwise(F.raise_error(F.lit("not a manifest of scenes")))
-    videos = manifest.select(F.explode(checked["videos"]).alias("v"))
-    scenes = videos.select(F.col("v.path").alias("video"), F.explode("v.scenes").alias("s")).where(F.coalesce("s.include", F.lit(False)))
-    return scenes.select(F.col("video"), "s.scene_index", F.col("s.start_time").alias("start"), F.col("s.end_time").alias("end"))
+    videos = manifest.select(F.posexplode(checked["videos"]).alias("at", "v"))
+    scenes = videos.select("at", F.col("v.path").alias("video"), F.explode("v.scenes").alias("s")).where(F.coalesce("s.include", F.lit(False)))
+    return scenes.select(F.col("video"), "s.scene_index", F.col("s.start_time").alias("start"), F.col("s.end_time").alias("end"), "at")
 
 
 def read_scene_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -87,13 +96,16 @@ def selections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def selection_template(files: DataFrame) -> DataFrame:
-    """One row, template: a JSON object of the clips' names, each to be picked at frame 0
-    until the user says otherwise."""
-    entry = F.struct("name", F.struct(F.lit(0).alias("frame"), F.lit(False).alias("auto")).alias("pick"))
-    return files.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("template"))
+    """One row, template: a JSON object of the names of clips, each to be picked at frame 0
+    until the user says otherwise, and of pictures, which are taken as they are. For a user
+    to edit, so for folders of a size that one can."""
+    still = F.col("suffix").isin(REFERENCE_SUFFIXES)
+    entry = F.struct("name", F.struct(F.when(~still, F.lit(0)).alias("frame"), F.when(still, F.lit(True)).alias("auto")).alias("pick"))
+    rows = files.where(still | F.col("suffix").isin(CLIP_SUFFIXES))
+    return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("template"))
 
 
 def selected(files: DataFrame, picks: DataFrame) -> DataFrame:
-    """picks with the path of their file; error says which are not there."""
-    rows = picks.join(files.select(F.col("name").alias("file"), "path"), "file", "left")
+    """picks with the path, stem and suffix of their file; error says which are not there."""
+    rows = picks.join(files.select(F.col("name").alias("file"), "path", "stem", "suffix"), "file", "left")
     return rows.withColumn("error", F.when(F.col("path").isNull(), "no such file"))

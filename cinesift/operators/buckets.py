@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BUCKET_LEAST, BUCKET_STEP
+from ..constants import BUCKET_LEAST, BUCKET_STEP, WARNING
 from ..functions.media import bucket_key
+from .video_spec import gathered, issue
 
 
 def assign(clips: DataFrame, step: int = BUCKET_STEP) -> DataFrame:
@@ -20,5 +21,11 @@ def groups(assigned: DataFrame, stem: str, order: str | None = None) -> DataFram
     return assigned.groupBy("bucket_key").agg(F.count("*").alias("n"), names.alias("samples")).orderBy(F.desc("n"), "bucket_key")
 
 
+def undersized_issues(few: DataFrame, least: int = BUCKET_LEAST) -> DataFrame:
+    """Buckets with too few clips (bucket_key, n) with the issue that each is."""
+    found = issue(F.lit(True), "BUCKET_UNDERSIZED", WARNING, "bucketing", F.col("n"), str(least), "too few clips have this shape")
+    return few.withColumn("issues", gathered(found))
+
+
 def undersized(assigned: DataFrame, least: int = BUCKET_LEAST) -> DataFrame:
     return assigned.groupBy("bucket_key").agg(F.count("*").alias("n")).where(F.col("n") < least)

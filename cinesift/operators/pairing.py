@@ -16,12 +16,11 @@ def role(suffix: Column) -> Column:
     return F.when(s.isin(TARGET_SUFFIXES), "target").when(s.isin(CAPTION_SUFFIXES), "caption").when(s.isin(REFERENCE_SUFFIXES), "reference").otherwise("other")
 
 
-def with_roles(files: DataFrame) -> DataFrame:
-    """files (path, suffix) with the role. In the hierarchical layout a file counts only
-    in the folder of its role; others are other."""
-    part = F.when(F.contains("path", F.lit("/training/targets/")), "target").when(F.contains("path", F.lit("/training/signals/captions/")), "caption").when(F.contains("path", F.lit("/training/signals/references/")), "reference")
+def with_roles(files: DataFrame, only: str | None = None) -> DataFrame:
+    """files (path, suffix) with the role. only: the role of the folder that they were
+    listed in, in the hierarchical layout; files of another kind are other there."""
     kind = role(F.col("suffix"))
-    return files.withColumn("role", F.when(part.isNotNull() & (part != kind), "other").otherwise(kind))
+    return files.withColumn("role", kind if only is None else F.when(kind == only, kind).otherwise("other"))
 
 
 def last_by_stem(signals: DataFrame, keys: list[str], path: str, name: str) -> DataFrame:
@@ -50,6 +49,18 @@ def empty_sources(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return sources.join(targets.select("source").distinct(), "source", "left_anti")
 
 
+def orphan_issues(orphans: DataFrame) -> DataFrame:
+    """orphans (path) with the issue that each is."""
+    found = issue(F.lit(True), "ORPHANED_FILE", WARNING, "dataset", F.col("path"), "a target of that stem", "no target goes with the file")
+    return orphans.withColumn("issues", gathered(found))
+
+
+def empty_issues(empty: DataFrame) -> DataFrame:
+    """Sources without targets (source) with the issue that each is."""
+    found = issue(F.lit(True), "DATASET_EMPTY", ERROR, "dataset", F.col("source"), "targets", "the dataset has no targets")
+    return empty.withColumn("issues", gathered(found))
+
+
 def check_captions(samples: DataFrame, content: str = "content", limit: int = TOKEN_LIMIT) -> DataFrame:
     """samples (caption, content as bytes, issues) with what is wrong with the text. One
     that isn't UTF-8 is corrupt and counts as empty as well."""

@@ -62,8 +62,10 @@ def folder(overlay: Column, matched: Column, concept: Column) -> Column:
 
 
 def report(triaged: DataFrame) -> DataFrame:
-    """Totals; clips with overlay text that match count as matched as well."""
-    return triaged.agg(F.count("*").alias("total"), F.count_if("is_matched").alias("matched"), F.count_if(~F.col("is_matched")).alias("unmatched"), F.count_if("has_overlay").alias("text_overlays"))
+    """Totals; clips with overlay text that match count as matched as well. Scenes (with a
+    column video) also give the number of their videos, and of those with an included scene."""
+    more = [F.count_distinct("video").alias("videos"), F.count_distinct(F.when(F.col("include"), F.col("video"))).alias("videos_included")] if "video" in triaged.columns else []
+    return triaged.agg(F.count("*").alias("total"), F.count_if("is_matched").alias("matched"), F.count_if(~F.col("is_matched")).alias("unmatched"), F.count_if("has_overlay").alias("text_overlays"), *more)
 
 
 def mode_vote(durations: DataFrame, seconds: float = LONG_VIDEO_SECONDS) -> DataFrame:

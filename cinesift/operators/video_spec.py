@@ -73,10 +73,12 @@ def pattern(issues: str = "issues") -> Column:
 
 
 def issue_patterns(validated: DataFrame, name: str) -> DataFrame:
-    """Clips that share the same issues: how many, and the ranges of what is off."""
+    """Clips that share the same issues: how many, and the ranges of what is off; heights
+    and frame rates, of which there are few, also value by value."""
     span = lambda c: [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")]
+    each = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ", ").alias(f"{c}_values")
     rows = validated.where(F.size("issues") > 0).groupBy(pattern().alias("pattern"))
-    return rows.agg(F.count("*").alias("n"), *span("height"), *span("fps"), *span("frame_count"), F.min(name).alias("first"))
+    return rows.agg(F.count("*").alias("n"), *span("height"), *span("fps"), *span("frame_count"), each("height"), each("fps"), F.min(name).alias("first"))
 
 
 def normalize_plan(validated: DataFrame, config: VideoConfig = VideoConfig()) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import backends, prompts
+from .. import backends, manifests, prompts
 from ..config import DataConfig, VideoConfig
 from ..constants import CANDIDATE_FRAMES, CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD, WARNING
 from ..functions import media as M
@@ -25,24 +25,29 @@ def scan(spark: SparkSession, folder: str, config: VideoConfig = VideoConfig(),
     return video_spec.validate(probe.parse(probe.run(listing.clips(spark, folder), prober)), config)
 
 
-def normalize(spark: SparkSession, folder: str, out: str, config: VideoConfig = VideoConfig(), prober: Callable[[str], str] = probe.ffprobe) -> DataFrame:
-    """output, command, action and frames for each clip of a folder."""
+def normalize(spark: SparkSession, folder: str, out: str, config: VideoConfig = VideoConfig(), prober: Callable[[str], str] = probe.ffprobe, suffix: str | None = None) -> DataFrame:
+    """output, command, action and frames for each clip of a folder. suffix: of all outputs,
+    instead of each clip's own."""
     rows = video_spec.normalize_plan(scan(spark, folder, config, prober).where("error is null"), config)
     name = F.element_at(F.split("path", "/"), -1)
+    name = name if suffix is None else F.concat(M.file_stem(name), F.lit(suffix))
     rows = rows.withColumn("output", F.concat(F.lit(out.rstrip("/") + "/"), name))
     frames = F.col("target_frames")
     command = F.when(F.col("action") == "encode", video_spec.encode_command(F.col("path"), F.col("output"), frames, config)).otherwise(video_spec.copy_command(F.col("path"), F.col("output"), frames))
     return rows.withColumn("command", command)
 
 
-def sidecars(spark: SparkSession, folder: str, out: str) -> DataFrame:
-    """source, dest of the files that go with a folder's clips."""
+def sidecars(spark: SparkSession, folder: str, out: str, done: DataFrame) -> DataFrame:
+    """source, dest of the files that go with a folder's clips and aren't under out yet.
+    done: path of the clips that were made."""
     from ..constants import SIDECAR_SUFFIXES
 
-    rows = listing.files(spark, folder)
-    side = rows.where(F.col("suffix").isin(SIDECAR_SUFFIXES)).select("stem", F.col("path").alias("source"), "name")
-    clips = rows.where(F.col("suffix").isin(CLIP_SUFFIXES)).select("stem").distinct()
-    return side.join(clips, "stem", "left_semi").select("source", F.concat(F.lit(out.rstrip("/") + "/"), "name").alias("dest"))
+    rows = listing.files(spark, folder, suffixes=SIDECAR_SUFFIXES).select("stem", F.col("path").alias("source"), "name")
+    clips = done.select(M.file_stem(F.element_at(F.split("path", "/"), -1)).alias("stem")).distinct()
+    rows = rows.join(clips, "stem", "left_semi")
+    if os.path.isdir(out):
+        rows = rows.join(listing.files(spark, out).select("name"), "name", "left_anti")
+    return rows.select("source", F.concat(F.lit(out.rstrip("/") + "/"), "name").alias("dest"))
 
 
 def entries(videos: DataFrame, included: DataFrame) -> DataFrame:
@@ -50,7 +55,8 @@ def entries(videos: DataFrame, included: DataFrame) -> DataFrame:
     its path, else by its name (the first entry)."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     by_path = included.select("video", F.col("video").alias("path"))
-    by_name = included.groupBy(base(F.col("video")).alias("name")).agg(F.min("video").alias("named"))
+    first = F.min_by("video", "at") if "at" in included.columns else F.min("video")
+    by_name = included.groupBy(base(F.col("video")).alias("name")).agg(first.alias("named"))
     found = videos.select("path").join(by_path.distinct(), "path", "left").withColumn("name", base(F.col("path"))).join(by_name, "name", "left")
     return found.select("path", F.coalesce("video", "named").alias("entry")).where("entry is not null")
 
@@ -147,6 +153,24 @@ def extract(spark: SparkSession, folder: str, out: str, strategy: str = "first_f
     return rows.withColumn("command", F.when(still, media.still_command(F.col("path"), F.col("output"))).otherwise(media.frame_command(F.col("path"), F.col("output"), F.lit(0.0))))
 
 
+def extract_selected(spark: SparkSession, folder: str, out: str, picks: DataFrame, prober: Callable[[str], str] = probe.ffprobe) -> DataFrame:
+    """A plan like that of extract() for the files and frames of a user's selections (file,
+    frame, auto). A file that isn't there, is no clip or picture, or can't be probed has an
+    error; pictures and picks marked auto are taken whole, or at their first frame."""
+    rows = manifests.selected(listing.files(spark, folder), picks).withColumnRenamed("error", "missing")
+    plan = media.reference_plan(rows.where("missing is null"), out, "selected").withColumn("error", F.col("error").cast("string"))
+    clips = plan.where("source_type = 'video' and error is null")
+    probed = materialize(probe.parse(probe.run(clips, prober)).select("path", "fps", F.coalesce("error", F.when(F.col("fps") <= 0, "no frame rate")).alias("bad")), "selected")
+    plan = plan.join(probed, "path", "left").withColumn("error", F.coalesce("error", "bad"))
+    number = F.when(F.col("auto"), 0).otherwise(F.coalesce("frame", F.lit(0)))
+    at = F.when(F.col("fps") > 0, media.frame_at(number, F.lit(None).cast("double"), F.col("fps"))).otherwise(0.0)
+    still = F.col("source_type") == "image"
+    command = F.when(still, media.still_command(F.col("path"), F.col("output"))).otherwise(media.frame_command(F.col("path"), F.col("output"), at))
+    gone = rows.where("missing is not null").select(F.col("file").alias("path"), F.lit(None).cast("string").alias("output"), F.col("missing").alias("error"))
+    kept = plan.withColumn("command", command).select("path", "source_type", "output", "strategy", "skipped", "error", "command")
+    return kept.unionByName(gone, allowMissingColumns=True).withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+
+
 def best_references(spark: SparkSession, plan: DataFrame, out: str, n: int = CANDIDATE_FRAMES, prober: Callable[[str], str] = probe.ffprobe, runner: media.Runner = media.tool) -> DataFrame:
     """output, success, error, frame_number, sharpness for the clips of a plan (path,
     output): n evenly spaced frames of each are made and measured, and the sharpest is
@@ -224,6 +248,17 @@ def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None
     return rows, pairing.orphans(of("target"), signals, keys)
 
 
+def dataset_issues(spark: SparkSession, samples: DataFrame, orphans: DataFrame, config: DataConfig, undersized: DataFrame | None = None) -> DataFrame:
+    """subject, issues (one) of what is wrong with datasets rather than with a sample: files
+    that go with no target, sources without targets, buckets with too few clips."""
+    sources = spark.createDataFrame([(os.path.abspath(s.path),) for s in config.datasets], "source string")
+    rows = pairing.orphan_issues(orphans).select(F.col("path").alias("subject"), "issues")
+    rows = rows.unionByName(pairing.empty_issues(pairing.empty_sources(sources, samples)).select(F.col("source").alias("subject"), "issues"))
+    if undersized is not None:
+        rows = rows.unionByName(buckets.undersized_issues(undersized, config.min_bucket_size).select(F.col("bucket_key").alias("subject"), "issues"))
+    return rows
+
+
 def duplicate_issues(samples: DataFrame) -> DataFrame:
     """group_id, n, crosses and issues (one) of each group of references that look alike."""
     rows = duplicate_references(samples).groupBy("group_id").agg(F.count("*").alias("n"), F.bool_or("crosses").alias("crosses"))

@@ -73,17 +73,16 @@ def is_hierarchical(path: str) -> bool:
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a dataset folder, flat or hierarchical, with role and source."""
+    """Files of a dataset folder, flat or hierarchical, with role and source. Which it is
+    depends on the folder itself, wherever that is."""
     if not is_hierarchical(path):
-        rows = files(spark, path)
+        rows = with_roles(files(spark, path))
     else:
-        parts = [os.path.join(path, "training", *p) for p in (("targets",), ("signals", "captions"), ("signals", "references"))]
-        spark.dataSource.register(FolderSource)
         rows = None
-        for p in parts:
-            one = spark.read.format("folder").load(p)
+        for only, *parts in (("target", "targets"), ("caption", "signals", "captions"), ("reference", "signals", "references")):
+            one = with_roles(files(spark, os.path.join(path, "training", *parts)), only)
             rows = one if rows is None else rows.unionByName(one)
-    return with_roles(rows).withColumn("source", F.lit(os.path.abspath(path)))
+    return rows.withColumn("source", F.lit(os.path.abspath(path)))
 
 
 def content(spark: SparkSession, path: str, name: str = "content") -> DataFrame:

@@ -118,7 +118,8 @@ PASSAGES = "route long, kind int, doc_id long, _text_hash long, first int, words
 def passages(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """PASSAGES: the words of the runs of stretches that are dealt to one region, which
     begin at word `first` of the document; those of kind OWN once for each part."""
-    rows = texts.join(spans, ["doc_id", "_text_hash", "base"]).select("doc_id", "_text_hash", "base", "text", "spans")
+    # Spans and runs grow with the corpus: never broadcast, so plans are alike at every size.
+    rows = texts.join(spans.hint("merge"), ["doc_id", "_text_hash", "base"]).select("doc_id", "_text_hash", "base", "text", "spans")
 
     def make():
         def f(batch):
@@ -344,7 +345,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
     own = [prefix + c for c in ("n_words", "n_removed", "kept_sha256", "kept_text")]
     rows = keyed(docs.drop(*own, "_text_hash", "_hits"))
     other = [c for c in rows.columns if c != "_text_hash"]
-    rows = rows.join(found, ["doc_id", "_text_hash"], "left").select(*other, "_hits")
+    rows = rows.join(found.hint("merge"), ["doc_id", "_text_hash"], "left").select(*other, "_hits")
     at = other.index("text")
 
     def make():

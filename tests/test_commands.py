@@ -319,3 +319,62 @@ def test_validate_checks_files_by_default(spark, folder, capsys, monkeypatch):
     assert "target_frames = [120]" in (folder.parent / "o" / "musubi_dataset.toml").read_text()
     again, _ = commands.validate(spark, DataConfig(datasets=(Source(str(folder.parent / "o")),)))
     assert {r.stem: [i.code for i in r.issues] for r in again.collect()} == {"a": [], "b": ["CAPTION_EMPTY"], "e f+1": [], "i": []}
+
+
+def test_layout_is_of_the_folder_itself(spark, tmp_path):
+    flat = tmp_path / "x" / "training" / "targets"
+    flat.mkdir(parents=True)
+    for f in ("a.mp4", "a.txt", "a.png"):
+        (flat / f).write_text("x")
+    assert {r.name: r.role for r in listing.dataset(spark, str(flat)).collect()} == {"a.mp4": "target", "a.txt": "caption", "a.png": "reference"}
+    assert {r.name: r.role for r in listing.dataset(spark, str(tmp_path / "x")).collect()} == {"a.mp4": "target", "a.txt": "other", "a.png": "other"}
+
+
+def test_dataset_issues(spark, folder, tmp_path, capsys):
+    (tmp_path / "none").mkdir()
+    config = DataConfig(datasets=(Source(str(folder)), Source(str(tmp_path / "none"))))
+    samples, orphans = commands.validate(spark, config)
+    few = spark.createDataFrame([("1280x720x81", 1)], "bucket_key string, n long")
+    rows = commands.dataset_issues(spark, samples, orphans, config, few).collect()
+    assert {(r.subject.rsplit("/", 1)[-1], r.issues[0].code, r.issues[0].severity) for r in rows} == {("lost.txt", "ORPHANED_FILE", "warning"), ("none", "DATASET_EMPTY", "error"), ("1280x720x81", "BUCKET_UNDERSIZED", "warning")}
+    from cinesift import reports
+
+    text = reports.each("Issues", samples, "stem", 1)
+    assert "WARNING CAPTION_EMPTY" in text and text.endswith("and more")
+    plan = commands.organize_plan(samples, "out")
+    text = reports.organized(plan, "out", "flat", True)
+    assert "a.mp4 + a.txt + a.png" in text and "2 organized, 1 left out" in text and "c: left out, 2 errors" in text
+    from cinesift.operators import buckets
+
+    groups = buckets.groups(spark.createDataFrame([("k", f"s{i}") for i in range(7)], "bucket_key string, stem string"), "stem")
+    assert "k: 7 (s0, s1, s2, s3, s4, ...)" in reports.buckets(groups, 16)
+    manifests.dataset_manifest(samples).select("manifest").write.text(str(tmp_path / "m"))
+    back = manifests.read_dataset_manifest(spark, str(tmp_path / "m")).first()
+    assert (back.total_samples, back.suffixes.target, [s.stem for s in back.samples]) == (3, [".mp4"], ["b", "c"])
+
+
+def test_sidecars_and_suffixes(spark, folder, tmp_path):
+    plan = commands.normalize(spark, str(folder), str(tmp_path / "out"), prober=lambda p: json.dumps(PROBED), suffix=".mov")
+    assert sorted(r.output.rsplit("/", 1)[-1] for r in plan.collect()) == ["a.mov", "b.mov", "c.mov"]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "b.txt").write_text("older")
+    side = commands.sidecars(spark, str(folder), str(tmp_path / "out"), plan.where("path not like '%c.mp4'"))
+    assert [r.dest.rsplit("/", 1)[-1] for r in side.collect()] == ["a.txt"]
+
+
+def test_selections_become_a_plan(spark, folder, tmp_path):
+    files = listing.files(spark, str(folder))
+    template = json.loads(manifests.selection_template(files).first().template)
+    assert template == {"a.mp4": {"frame": 0}, "a.png": {"auto": True}, "b.mp4": {"frame": 0}, "b.png": {"auto": True}, "c.mp4": {"frame": 0}, "c.png": {"auto": True}}
+    (tmp_path / "t.json").write_text(json.dumps({"a.mp4": {"frame": 48}, "b.png": {"auto": True}, "x.mp4": {"frame": 1}, "lost.txt": {"frame": 1}}))
+    plan = commands.extract_selected(spark, str(folder), "refs", manifests.selections(spark, str(tmp_path / "t.json")), lambda p: json.dumps(PROBED))
+    got = {r.path.rsplit("/", 1)[-1]: r for r in plan.collect()}
+    assert got["a.mp4"].command[2:4] == ["-ss", "2.002"] and got["b.png"].command[2] == "-i"
+    assert got["x.mp4"].error == "no such file" and got["lost.txt"].error == "not a clip or picture"
+
+
+def test_names_stand_for_the_first_entry(spark):
+    videos = spark.createDataFrame([("in/a.mp4", 20.0)], "path string, duration double")
+    text = json.dumps({"triage_mode": "scene", "videos": [{"path": p, "scenes": [{"scene_index": 0, "start_time": 0.0, "end_time": e, "include": True}]} for p, e in (("z/a.mp4", 5.0), ("b/a.mp4", 9.0))]})
+    included = manifests.included_scenes(spark.createDataFrame([(text,)], "manifest string"))
+    assert [r.entry for r in commands.entries(videos, included).collect()] == ["z/a.mp4"]

@@ -41,54 +41,66 @@ def stems_of(word: bytes) -> set[bytes]:
 
 
 class Reader:
-    """FEATURES of texts, given learned stems and their weights."""
+    """FEATURES of texts, given learned stems and their weights; of several sets of
+    stems at once, as most of the work doesn't depend on them."""
 
-    def __init__(self, stems: dict[bytes, float]):
-        self.stems, self.known = stems, {}
+    def __init__(self, *stems: dict[bytes, float]):
+        self.stems, self.any, self.known = stems, set().union(*stems), {}
 
-    def word(self, w: bytes) -> tuple[int, float, int, int, bytes]:
+    def word(self, w: bytes) -> tuple[int, int, int, tuple[tuple[float, bytes], ...]]:
         if len(self.known) > 100_000:
             self.known.clear()
         clear, hidden = plain(w)
         insult = int(clear in INSULTS or (clear.endswith(b"s") and clear[:-1] in INSULTS))
-        best, stem = 0.0, b""
-        for s in stems_of(clear):
-            if (weight := self.stems.get(s, 0.0)) > best:
-                best, stem = weight, s
-        out = self.known[w] = (insult, best, int(hidden), int(clear in SECOND_PERSON), stem)
+        found = sorted(stems_of(clear) & self.any)
+        best = tuple(max(((s_[x], x) for x in found if x in s_), default=(0.0, b"")) for s_ in self.stems)
+        out = self.known[w] = (insult, int(hidden), int(clear in SECOND_PERSON), best)
         return out
 
     def describe(self, text: bytes) -> list[float]:
+        return self.describe_all(text)[0]
+
+    def describe_all(self, text: bytes) -> list[list[float]]:
+        """FEATURES for each set of stems."""
         words = text.split()
         n, chars = max(len(words), 1), max(code_points(text, SPACE), 1)
         get, uses = self.known.get, Counter(words)
-        insults = stem_hits = hidden = second = hidden_insults = 0
-        best, kinds, hits, people = 0.0, set(), set(), set()
+        insults = hidden = second = 0
+        people, marked = set(), []
         for w, k in uses.items():
-            insult, weight, obscured, person, stem = get(w) or self.word(w)
+            insult, obscured, person, best = get(w) or self.word(w)
             insults += k * insult
             hidden += k * obscured
             second += k * person
             if person:
                 people.add(w)
-            if insult or weight:
-                hits.add(w)
-                stem_hits += k * (weight > 0)
-                hidden_insults += k * obscured
-                best = max(best, weight)
-                kinds.add(stem or w)
-        near = 0
-        if hits and people:
+            if insult or any(weight for weight, _ in best):
+                marked.append((w, k, insult, obscured, best))
+        at, places = [], []
+        if marked and people:
+            wanted = {w for w, *_ in marked}
             at = [i for i, w in enumerate(words) if w in people]
-            for i in (i for i, w in enumerate(words) if w in hits):
-                j = int(np.searchsorted(at, i))
-                near += any(abs(at[x] - i) <= NEAR for x in (j - 1, j) if 0 <= x < len(at))
+            places = [(i, w) for i, w in enumerate(words) if w in wanted]
+            close = [bool(any(abs(at[x] - i) <= NEAR for x in (j - 1, j) if 0 <= x < len(at))) for i, _ in places for j in [int(np.searchsorted(at, i))]]
         count = lambda c: len(text) - len(text.translate(None, c))
         caps = sum(k for w, k in uses.items() if len(w) > 1 and w.isupper())
-        return [
-            np.log1p(len(words)), np.log1p(insults), insults / n, np.log1p(stem_hits), stem_hits / n, best, len(kinds), np.log1p(near), second / n, hidden / n, np.log1p(hidden_insults),
-            count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, caps / n, count(b"!") / n, count(b".,;:?") / n, count(b"#*$%&|<>") / chars, count(b"0123456789") / chars, chars / n,
+        ends = [
+            hidden / n, count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, caps / n, count(b"!") / n, count(b".,;:?") / n, count(b"#*$%&|<>") / chars, count(b"0123456789") / chars, chars / n,
         ]
+        out = []
+        for v in range(len(self.stems)):
+            stem_hits, hidden_insults, best, kinds, hits = 0, 0, 0.0, set(), set()
+            for w, k, insult, obscured, found in marked:
+                weight, stem = found[v]
+                if insult or weight:
+                    hits.add(w)
+                    stem_hits += k * (weight > 0)
+                    hidden_insults += k * obscured
+                    best = max(best, weight)
+                    kinds.add(stem or w)
+            near = sum(c for (_, w), c in zip(places, close, strict=True) if w in hits) if places else 0
+            out.append([np.log1p(len(words)), np.log1p(insults), insults / n, np.log1p(stem_hits), stem_hits / n, best, len(kinds), np.log1p(near), second / n, ends[0], np.log1p(hidden_insults), *ends[1:]])
+        return out
 
 
 def learn_stems(docs: DataFrame, chosen: DataFrame, folds: int = 1, evidence: float = 20.0, most: int = 500) -> list[dict[bytes, float]]:
@@ -261,7 +273,7 @@ def train(xs: list[np.ndarray], y: np.ndarray, fold: np.ndarray, stems: dict[byt
     return Model(stems, trees, *(isotonic(margin[seen], y[seen]) if seen.any() else (np.zeros(0), np.zeros(0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, folds: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, folds: int = 5) -> Model:
     """Stems, trees and curve from at most about `bound` labelled rows, chosen by a
     hash of their id; where an id is repeated, from one of its rows."""
     chosen = chosen_labels(labels, "toxic", bound, folds)
@@ -270,8 +282,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, folds: int = 2)
     names = [f"x{k}" for k in range(len(stems))]
 
     def make():
-        readers = [Reader(s) for s in stems]
-        return lambda texts: [pa.array([r.describe(t) for t in texts], pa.list_(pa.float64())) for r in readers]
+        reader = Reader(*stems)
+
+        def f(texts):
+            found = [reader.describe_all(t) for t in texts]
+            return [pa.array([x[v] for x in found], pa.list_(pa.float64())) for v in range(len(stems))]
+
+        return f
 
     known = known_rows(with_arrays(rows, make, ", ".join(f"{n} array<double>" for n in names)), *names)
     return train([stack(known[n]) for n in names], (known["label"].to_numpy(float) > 0).astype(int), known["fold"].to_numpy(), stems[0])

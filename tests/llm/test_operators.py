@@ -318,6 +318,18 @@ def test_boosted_trees_take_the_best_split():
     assert np.allclose(model.margin(x), np.log(p / (1 - p)) + 0.15 * value)
 
 
+def test_features_of_several_stem_sets_are_those_of_each(spark):
+    rng = random.Random(2)
+    sets = [{b"zor": 3.0, b"blo": 2.5}, {}, {b"zorg": 4.0, b"blop": 2.2}]
+    words_ = ["you", "zorgify", "Z0RG!", "blopp", "idiot", "fine", "id-iot", "YOU", "word", "ünd"]
+    texts = ["", " \n"] + [" ".join(rng.choices(words_, k=rng.randint(1, 25))) for _ in range(60)]
+    every = toxicity.Reader(*sets)
+    for t in texts:
+        assert every.describe_all(t.encode()) == [toxicity.Reader(s).describe(t.encode()) for s in sets]
+    near = toxicity.FEATURES.index("near_second_person")
+    assert every.describe(b"you fine zorgify fine fine fine fine idiot")[near] == np.log1p(1)
+
+
 def test_stems_of_folds_are_learned_without_them(spark):
     from cinesift.llm.common import chosen_labels
 

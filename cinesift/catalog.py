@@ -92,9 +92,10 @@ def caption_overall_score(spark, d):
     return captions.score(a.unionByName(b)).select("id", r6("length_score"), "temporal_score", r6("specificity_score"), "repetition_score", r6("overall"))
 
 
-@query(f"{DOCS} SELECT doc_id, round(overall, 6) AS overall FROM overall ORDER BY round(overall, 6), doc_id LIMIT 50")
+@query(f"{DOCS} SELECT doc_id, round(overall, 6) AS overall FROM overall ORDER BY round(overall, 6), doc_id")
 def caption_worst_first(spark, d):
-    return captions.worst_first(_scored(spark, d).select("doc_id", r6("overall")), "doc_id", limit=50)
+    """Every caption, worst first."""
+    return captions.worst_first(_scored(spark, d).select("doc_id", r6("overall")), "doc_id")
 
 
 @query(f"{DOCS} SELECT lang, source, count(*) AS n, round(avg(round(overall, 6)), 5) AS average, round(min(overall), 6) AS lowest, round(max(overall), 6) AS highest FROM overall GROUP BY lang, source")
@@ -522,7 +523,7 @@ def triage_mode_vote(spark, d):
 @query(f"""WITH {TRIAGED}, {views.V_SCENES} SELECT video, scene_index, "start", "end" FROM v_scenes s JOIN (SELECT count(*) AS n FROM triaged) c ON true JOIN triaged t ON t.clip = (s.video * 7 + s.scene_index) % c.n WHERE t.is_matched AND NOT t.has_overlay""")
 def scene_include_filter(spark, d):
     triaged = _triaged(spark, d).select("clip", "include", "is_matched", "has_overlay", "matches")
-    n = triaged.count()
+    n = triaged.agg(F.count("*")).scalar()
     scene = _scenes(spark, d).withColumn("clip", (F.col("video") * 7 + F.col("scene_index")) % n).join(triaged, "clip")
     written = manifests.scene_manifest(scene)
     return manifests.included_scenes(written).select(F.col("video").cast("long").alias("video"), "scene_index", "start", "end")

@@ -559,9 +559,16 @@ def cross_source_duplicates(spark, d):
 # ---- manifests, vectors, measurements
 
 
-@query()
+@query(f"""WITH {SAMPLE_ISSUES} SELECT source, count(*) AS total_samples, count_if(n_errors = 0)::BIGINT AS valid_samples, sum(n_errors)::BIGINT AS errors, sum(n_warnings)::BIGINT AS warnings, '.mp4' AS target_suffixes,
+  CASE WHEN count(caption) > 0 THEN '.txt' ELSE '' END AS caption_suffixes, CASE WHEN count(reference) > 0 THEN '.png' ELSE '' END AS reference_suffixes, coalesce(string_agg(CASE WHEN len(issues) > 0 THEN stem || ':' || array_to_string(list_transform(issues, lambda x: split_part(x, ':', 1)), '+') END, ',' ORDER BY stem), '') AS problems
+FROM counted GROUP BY source""")
 def manifest_json(spark, d):
-    return manifests.dataset_manifest(_samples(spark, d))
+    """Manifests of sources as JSON, read again: their counts, suffixes and samples with problems."""
+    m = F.from_json("manifest", manifests.DATASET_SCHEMA)
+    rows = manifests.dataset_manifest(_samples(spark, d)).select(m.alias("m")).select("m.*")
+    codes = F.transform("samples", lambda x: F.concat(x["stem"], F.lit(":"), F.array_join(x["issues"]["code"], "+")))
+    suffixes = [F.array_join(F.col(f"suffixes.{c}"), ",").alias(f"{c}_suffixes") for c in ("target", "caption", "reference")]
+    return rows.select("source", "total_samples", "valid_samples", "errors", "warnings", *suffixes, F.array_join(codes, ",").alias("problems"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round((embedding[1]::DOUBLE * 3) / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))), 6) AS first FROM embeddings")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +14,29 @@ from ..lineage import materialize
 from .connected import components
 
 
-def bands(n_bits: int, n: int) -> list[int]:
-    """Masks that cut n_bits bits in n bands."""
-    cuts = [n_bits * k // n for k in range(n + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def masks(n: int, distance: int, n_bits: int, most: int = 1_000) -> list[int]:
+    """Bit masks of which any two hashes up to the distance apart agree on at least one: the
+    bits are cut in bands, and a mask holds all but `distance` of them. Of the numbers of
+    bands, that under which n random hashes give the fewest rows and candidates."""
+    cost = lambda b: comb(b, distance) * (1 + n / 2 ** (n_bits * (b - distance) // b))
+    able = [b for b in range(distance + 1, n_bits + 1) if b == distance + 1 or comb(b, distance) <= most]
+    best = min(able, key=cost)
+    cuts = [n_bits * k // best for k in range(best + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, best - distance)]
 
 
 def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64) -> DataFrame:
     """a, b, distance: pairs of different hashes (column hash) up to a distance.
 
-    Hashes that close agree in at least one of distance + 1 bands, so candidates come
-    from joins on a band's bits; none is missed. Equal hashes are one from the start.
+    Candidates come from joins on the bits under each of masks(); none is missed. Equal
+    hashes are one from the start. Masks get wider with the number of hashes, so that a
+    value is shared by few.
     """
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = F.array(*[F.lit(signed(m)).cast("long") for m in bands(n_bits, distance + 1)])
-    rows = hashes.select("hash").dropna().distinct().select("hash", F.posexplode(masks).alias("band", "mask"))
+    once = materialize(hashes.select("hash").dropna().distinct(), "distinct-hashes")
+    each = F.array(*[F.lit(signed(m)).cast("long") for m in masks(once.count(), distance, n_bits)])
+    rows = once.select("hash", F.posexplode(each).alias("band", "mask"))
     rows = rows.select("hash", "band", F.col("hash").bitwiseAND(F.col("mask")).alias("bits"))
     left, right = rows.withColumnRenamed("hash", "a"), rows.withColumnRenamed("hash", "b")
     near = left.join(right, ["band", "bits"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("long"))

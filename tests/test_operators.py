@@ -162,3 +162,16 @@ def test_audit_and_overflow(spark):
     rows = spark.createDataFrame([("a cat walks", "a cat runs"), ("a", "b"), (None, "x")], "old string, fresh string")
     assert [r.recommendation for r in captions.audit(rows, "old", "fresh").collect()] == ["keep", "review", "review"]
     assert [r.too_long for r in captions.token_overflow(spark.createDataFrame([("w " * 394,), ("w " * 393,)], "text string")).collect()] == [False, False]
+
+
+def test_masks_miss_no_pair():
+    import random
+
+    rng = random.Random(3)
+    for n, distance, bits in ((100, 6, 64), (10**6, 6, 64), (10**9, 6, 64), (500, 14, 56), (10, 0, 8)):
+        found = duplicates.masks(n, distance, bits)
+        for _ in range(100):
+            a = rng.getrandbits(bits)
+            b = a ^ sum(1 << k for k in rng.sample(range(bits), distance))
+            assert any(a & m == b & m for m in found)
+    assert len(duplicates.masks(100, 6, 64)) == 7 < len(duplicates.masks(10**9, 6, 64))

@@ -614,3 +614,19 @@ def test_word_hashes_tell_words_apart(monkeypatch):
     monkeypatch.setattr(common, "_BLOCK", 40)
     assert (common.word_hashes(b"  " + data)[0] == h).all()
     assert len(common.word_hashes(b"")[0]) == len(common.word_hashes(b" \n")[0]) == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(5_000)}" for _ in range(40_000))
+    rows = [(1, long, "s"), (2, "lead " + long, "s"), (3, "x" * 700_000, "s"), (4, "x" * 700_000, None), (5, "same " * 20_000, "s"), (6, "same " * 9_000, "s")]
+    docs = documents(spark, rows)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup(docs).collect()}
+    assert got == {1: (40_000, 0), 2: (40_001, 40_000), 3: (1, 0), 4: (1, 0), 5: (20_000, 0), 6: (9_000, 9_000)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got[2] == 1 and got[4] == 3 and got[6] == 5
+    bench = spark.createDataFrame([(0, " ".join(long.split()[-30:])), (1, "x" * 700_000)], "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontamination.flag(docs, bench).collect() if r.contaminated}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality_rules.with_statistics(docs).collect()}
+    assert got[5] == (20_000, 20_000) and got[3] == (1, 0) and got[1][0] == 40_000

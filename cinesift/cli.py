@@ -202,8 +202,10 @@ def run(args: argparse.Namespace) -> int:
         plan, failed = commands.ingest_folder(spark, args.folder, args.output, backends.detector(args.detector), conf.video, kept, args.threshold)
         plan = materialize(plan, "plan")
         done = materialize(commands.media.execute(plan), "clips")
-        made = plan.join(done.where("success"), "output").select("video", "output", "start", F.col("frames").alias("frame_count"), (F.col("frames") / conf.video.fps).alias("duration"))
-        manifests.clip_manifest(made).write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+        if os.path.isdir(args.output):
+            made = plan.join(commands.listing.files(spark, args.output).select("name"), "name", "left_semi")
+            made = made.select("video", "output", "start", F.col("frames").alias("frame_count"), (F.col("frames") / conf.video.fps).alias("duration"))
+            manifests.clip_manifest(made).write.mode("overwrite").text(os.path.join(args.output, "manifest"))
         print(reports.section("Clips", done.groupBy("success").count()))
         print(reports.section("Videos not cut", failed.orderBy("path")))
         return int(failed.limit(1).count() > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import materialize
-from . import decontamination, mixing, quality_qda, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_rules, warc
+from . import alignment, decontamination, language_id, mixing, quality_qda, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_rules, warc, whitening
 from .common import read
 
 
@@ -74,6 +74,27 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return alignment.align(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11 holds before its eigen-solve: vec_id, n, deviation of each row that stays."""
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings"), components=1)
+    return rows.select("vec_id", "n", "deviation")
+
+
 def url_written_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op8 decides without labels: page_id, host, path, rule, and its verdict or null."""
     host, path = url_rules.parts(F.col("url"))
@@ -89,7 +110,7 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"))
 
 
-QUERIES = {f.__name__: f for f in (url_written_rules, rule_statistics, op1_mixing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_decontamination, op6_warc_fixity, op7_token_counts, op8_url_rules, op9_quality_rules, op10_quality_qda)}
+QUERIES = {f.__name__: f for f in (url_written_rules, rule_statistics, whitening_deviation, op1_mixing, op2_substring_dedup, op3_simhash, op4_toxicity, op5_decontamination, op6_warc_fixity, op7_token_counts, op8_url_rules, op9_quality_rules, op10_quality_qda, op11_whitening, op12_alignment, op13_language_id)}
 
 ORACLE_SQL = {
     "op1_mixing": r"""
@@ -182,5 +203,21 @@ WITH docs AS (
   FROM docs LEFT JOIN lines l USING (r) LEFT JOIN repeats p USING (r)
 )
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+""",
+    "whitening_deviation": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), fit AS (
+  SELECT DISTINCT x FROM vectors
+), entries AS (
+  SELECT generate_subscripts(x, 1) AS i, unnest(x) AS v FROM fit
+), sums AS (
+  SELECT i, sum(v)::HUGEINT AS s FROM entries GROUP BY i
+), placed AS (
+  SELECT r, vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM (SELECT row_number() OVER () AS r, * FROM vectors)
+)
+SELECT vec_id, n, sum((n * v - s) * (n * v - s))::BIGINT AS deviation
+FROM placed JOIN sums USING (i), (SELECT count(*)::BIGINT AS n FROM fit) GROUP BY r, vec_id, n
 """,
 }

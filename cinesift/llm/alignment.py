@@ -142,14 +142,16 @@ def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
 @contextlib.contextmanager
 def dealt_once(spark: SparkSession) -> Iterator[None]:
     """Joins inside may use rows that are dealt by some of their keys, so they don't deal
-    them again."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    held = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    them again; and lists are collected from sorted rows, group by group."""
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    held = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, held)
+        for k, v in held.items():
+            spark.conf.set(k, v)
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
@@ -157,35 +159,36 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
     Relational, and dealt by key once: tokens become rows with running sums of their
     lengths; a token whose end is joined by one of the other side ends a group; the
-    number of such ends before a token is its group; groups of both sides are joined.
-    pair: id of A * 2 ** 32 + id of B; times: how many links of the stretch are of that pair.
+    number of such ends before a token is its group; groups of both sides are joined, and
+    give the links. pair: id of A * 2 ** 32 + id of B; times: how many links of a group are
+    of that pair.
     """
     tokens = tokens.repartition("key")
 
     def ends(side: str) -> DataFrame:
         rows = tokens.select("key", F.posexplode(side).alias("pos", "token"))
-        return rows.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(Window.partitionBy("key").orderBy("pos")).alias("end"))
+        return rows.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
 
     def groups(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
-        rows = own.join(other.select("key", "end", F.lit(1).alias("cut")), ["key", "end"], "left")
+        rows = own.join(other.select("key", "end", F.lit(1).alias("cut")).hint("merge"), ["key", "end"], "left")
         before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda x: x["id"])
+        ids = F.sort_array(F.collect_list(F.struct("end", "id")))["id"]
         return rows.groupBy("key", "group").agg(ids.alias(side))
 
     a, b = ends("a"), ends("b")
-    both = groups(a, b, "a").join(groups(b, a, "b"), ["key", "group"])
-    times = lambda side: F.size(side) - F.size(F.array_remove(side, F.col(f"{side}_id")))
-    links = both.select("*", F.explode(F.array_distinct("a")).alias("a_id")).select("*", F.explode(F.array_distinct("b")).alias("b_id"))
-    links = links.groupBy("key", (F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("pair")).agg(F.sum((times("a") * times("b")).cast("long")).alias("times"))
-    links = links.groupBy("key").agg(F.collect_list(F.struct("pair", "times")).alias("pairs"))
-    text = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
+    both = groups(a, b, "a").join(groups(b, a, "b").hint("merge"), ["key", "group"])
+    rows = both.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", "a", "b"))).alias("of"))
     size = lambda c: F.size(c).cast("long")
-    whole = both.select("key", F.struct("group", text.alias("text")).alias("one"), size("a").alias("n_a"), size("b").alias("n_b")).groupBy("key").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["text"]), ";").alias("groups"),
+    total = lambda f: F.aggregate("of", F.lit(0).cast("long"), lambda n, g: n + f(g))
+    times = lambda ids, x: size(ids) - size(F.array_remove(ids, x))
+    link = lambda g, x, y: F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), (times(g["a"], x) * times(g["b"], y)).alias("times"))
+    links = lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: link(g, x, y))))
+    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    return rows.select(
+        "key", total(lambda g: size(g["a"])).alias("n_a"), total(lambda g: size(g["b"])).alias("n_b"), size("of").alias("n_groups"), total(lambda g: size(g["a"]) * size(g["b"])).alias("n_links"),
+        F.array_join(F.transform("of", lambda g: F.concat(text(g["a"]), F.lit("|"), text(g["b"]))), ";").alias("groups"), F.flatten(F.transform("of", links)).alias("pairs"),
     )
-    return whole.join(links, "key")
 
 
 RECORD = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"]

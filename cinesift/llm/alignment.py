@@ -99,21 +99,20 @@ def distinct_stretches(docs: DataFrame, split: bool) -> DataFrame:
     return map_batches(docs.select("text"), make, "stretch string, n long", rows=1024).groupBy("stretch").agg(F.sum("n").alias("n"))
 
 
-TOKENS = "array<struct<id:int,len:int>>"
+TOKENS = "a array<int>, a_len array<int>, b array<int>, b_len array<int>"
 
 
 def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
-    """stretch, n, ok, a, b: the tokens of each stretch with their numbers of bytes; ok: if both
-    sides' bytes are those of the stretch, else there are no tokens."""
+    """stretch, n, ok and TOKENS: the tokens of each stretch with their numbers of bytes; ok: if
+    both sides' bytes are those of the stretch, else there are no tokens."""
 
     def make():
         both = Tokenizers(a, b)
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32())]))
 
-        def tokens(lists: list[list[int]], size: np.ndarray) -> pa.Array:
-            flat = np.fromiter((x for ids in lists for x in ids), np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat), pa.array(size[flat])], fields=list(kind.value_type)))
+        def tokens(ids: list[list[int]], size: np.ndarray) -> list[pa.Array]:
+            flat = np.fromiter((x for one in ids for x in one), np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(one) for one in ids])]).astype(np.int32))
+            return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (flat, size[flat])]
 
         a_size, b_size = (np.array([len(x) for x in v], np.int32) for v in (both.a_bytes, both.b_bytes))
 
@@ -131,12 +130,12 @@ def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
                     ok.append(b"".join([both.a_bytes[x] for x in a_ids[i]]) == whole == b"".join([both.b_bytes[x] for x in b_ids[i]]))
                     if not ok[-1]:
                         a_ids[i] = b_ids[i] = []
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(ok), tokens(a_ids, a_size), tokens(b_ids, b_size)], names=["stretch", "n", "ok", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(ok), *tokens(a_ids, a_size), *tokens(b_ids, b_size)], names=["stretch", "n", "ok", "a", "a_len", "b", "b_len"])
                 at = end
 
         return f
 
-    return map_batches(stretches, make, f"stretch string, n long, ok boolean, a {TOKENS}, b {TOKENS}", rows=8192)
+    return map_batches(stretches, make, f"stretch string, n long, ok boolean, {TOKENS}", rows=8192)
 
 
 @contextlib.contextmanager
@@ -155,18 +154,19 @@ def dealt_once(spark: SparkSession) -> Iterator[None]:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """key, n_a, n_b, n_groups, n_links, groups, pairs (array of pair, times) from key, a, b.
+    """stretch, n, ok, n_a, n_b, n_groups, n_links, groups, pairs, times from key and encoded().
 
     Relational, and dealt by key once: tokens become rows with running sums of their
     lengths; a token whose end is joined by one of the other side ends a group; the
     number of such ends before a token is its group; groups of both sides are joined, and
-    give the links. pair: id of A * 2 ** 32 + id of B; times: how many links of a group are
-    of that pair.
+    give the links. pairs: of each link id of A * 2 ** 32 + id of B; times: how many links
+    of a group are of that pair.
     """
     tokens = tokens.repartition("key")
+    named, tokens = tokens.select("key", "stretch", "n", "ok"), tokens.where("ok")
 
     def ends(side: str) -> DataFrame:
-        rows = tokens.select("key", F.posexplode(side).alias("pos", "token"))
+        rows = tokens.select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("len"))).alias("pos", "token"))
         return rows.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
 
     def groups(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
@@ -185,13 +185,14 @@ def aligned(tokens: DataFrame) -> DataFrame:
     link = lambda g, x, y: F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), (times(g["a"], x) * times(g["b"], y)).alias("times"))
     links = lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: link(g, x, y))))
     text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    return rows.select(
+    rows = rows.withColumn("links", F.flatten(F.transform("of", links))).select(
         "key", total(lambda g: size(g["a"])).alias("n_a"), total(lambda g: size(g["b"])).alias("n_b"), size("of").alias("n_groups"), total(lambda g: size(g["a"]) * size(g["b"])).alias("n_links"),
-        F.array_join(F.transform("of", lambda g: F.concat(text(g["a"]), F.lit("|"), text(g["b"]))), ";").alias("groups"), F.flatten(F.transform("of", links)).alias("pairs"),
+        F.array_join(F.transform("of", lambda g: F.concat(text(g["a"]), F.lit("|"), text(g["b"]))), ";").alias("groups"), F.col("links.pair").alias("pairs"), F.col("links.times").alias("times"),
     )
+    return named.join(rows.hint("merge"), "key", "left").drop("key")
 
 
-RECORD = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"]
+RECORD = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -204,9 +205,8 @@ class Known:
         times: list[int] = []
         for r in rows:
             low = len(pairs)
-            for p in r["pairs"] or ():
-                pairs.append(p["pair"])
-                times.append(p["times"])
+            pairs.extend(r["pairs"] or ())
+            times.extend(r["times"] or ())
             self.at[r["stretch"]] = (r["ok"], *(r[c] or 0 for c in NUMBERS), r["groups"], low, len(pairs))
         self.pairs, self.times = np.array(pairs, np.int64), np.array(times, np.int64)
 
@@ -261,12 +261,12 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     rows: no rows. Other columns of docs are ignored.
     """
     spark, split = docs.sparkSession, certain(a, b)
-    rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
     with Scratch(spark) as scratch:
         tokens = scratch.keep(encoded(distinct_stretches(rows, split), a, b).withColumn("key", F.monotonically_increasing_id()), "tokens")
         with dealt_once(spark):
-            groups = scratch.keep(aligned(tokens.where("ok").select("key", "a", "b")), "groups")
-        records = scratch.keep(tokens.select("key", "stretch", "n", "ok").join(groups, "key", "left").select("stretch", "n", *RECORD), "records")
+            records = scratch.keep(aligned(tokens), "records")
+        scratch.drop(1)
         top = records.where(F.octet_length("stretch") <= LONGEST).orderBy(F.desc("n"), "stretch").limit(frequent).select("stretch", *RECORD)
         known = spark.sparkContext.broadcast(Known(r for batch in top.toArrow().to_batches(4096) for r in batch.to_pylist()))
 
@@ -275,15 +275,15 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
 
             def f(batch):
                 found = {(d, s) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in set(cut(t, split)) if s not in at}
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], names=["digest", "stretch"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.string())], names=["digest", "stretch"])
 
             return f
 
-        wanted = map_batches(rows.select("digest", "text"), others, "digest string, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
+        wanted = map_batches(rows.select("digest", "text"), others, "digest binary, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
         own = wanted.join(records.drop("n").hint("merge"), "stretch").groupBy("digest").agg(F.collect_list(F.struct("stretch", *RECORD)).alias("own"))
-        # Written, so that the join has a plain exchange on either side and Spark splits a hot digest's rows.
-        own = scratch.keep(own, "stretches")
-        held = rows.join(own.hint("merge"), "digest", "left").select("doc_id", "digest", "text", "own")
+        # Copies of a text are one row from here on; both sides are dealt by digest already.
+        texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        held = texts.join(own.hint("merge"), "digest", "left").select("digest", "copies", "text", "own")
 
         def whole():
             given = known.value
@@ -293,19 +293,21 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
                 for t, o in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                     out.append(put_together(cut(t, split), given, Known(o.as_py() or ())))
                 numbers = [pa.array([r[0][i] for r in out], pa.int64()) for i in range(len(NUMBERS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([r[1] for r in out], pa.string()), lists([r[2] for r in out]), lists([r[3] for r in out])], names=["doc_id", "digest", *NUMBERS, "groups_sha256", "pairs", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([r[1] for r in out], pa.string()), lists([r[2] for r in out]), lists([r[3] for r in out])], names=["digest", "copies", *NUMBERS, "groups_sha256", "pairs", "times"])
 
             return f
 
-        kind = dict(docs.dtypes)["doc_id"]
-        found = scratch.keep(map_batches(held, whole, f"doc_id {kind}, digest string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"), "links")
+        found = scratch.keep(map_batches(held, whole, "digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"), "links")
+        scratch.drop(1)
         counts = scratch.keep(pair_counts(found), "pairs")
-        return scratch.result(with_counts(found, counts, frequent_pairs), "aligned")
+        # Written, so that the join has a plain exchange on either side and Spark splits a hot digest's rows.
+        result = scratch.keep(with_counts(found, counts, frequent_pairs), "aligned")
+        return scratch.result(rows.select("doc_id", "digest").join(result.hint("merge"), "digest").select("doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256"), "aligned")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
-    """pair, n, best: in how many rows a pair is, and whether no pair of its A id is in more."""
-    counts = found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    """pair, n, best: in how many documents a pair is, and whether no pair of its A id is in more."""
+    counts = found.select("copies", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("copies").alias("n"))
     return counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(F.shiftright("pair", 32))))
 
 
@@ -337,8 +339,8 @@ def with_counts(found: DataFrame, counts: DataFrame, frequent: int) -> DataFrame
         return f
 
     rows = map_batches(found, make, ", ".join([*names, "n_best long, count_sum long, rest array<struct<pair:long,times:long>>"]), rows=1024)
-    rest = rows.select("digest", F.explode("rest").alias("one")).select("digest", "one.*").repartition("pair").dropDuplicates(["digest", "pair"])
+    rest = rows.select("digest", F.explode("rest").alias("one")).select("digest", "one.*")
     rest = rest.join(counts.hint("merge"), "pair").groupBy("digest").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
     rows = rows.drop("rest").join(rest.hint("merge"), "digest", "left")
     more = lambda c, m: (F.col(c) + F.coalesce(m, F.lit(0))).alias(c)
-    return rows.select("doc_id", *NUMBERS, more("n_best", "more_best"), more("count_sum", "more_sum"), "groups_sha256")
+    return rows.select("digest", *NUMBERS, more("n_best", "more_best"), more("count_sum", "more_sum"), "groups_sha256")

@@ -154,60 +154,74 @@ def dealt_once(spark: SparkSession) -> Iterator[None]:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """stretch, n, ok, n_a, n_b, n_groups, n_links, groups, pairs, times from key and encoded().
+    """stretch, n, ok, groups from key and encoded(): the ids of each group, as `a1,a2|b1;a3|b2,b3`.
 
     Relational, and dealt by key once: tokens become rows with running sums of their
     lengths; a token whose end is joined by one of the other side ends a group; the
-    number of such ends before a token is its group; groups of both sides are joined, and
-    give the links. pairs: of each link id of A * 2 ** 32 + id of B; times: how many links
-    of a group are of that pair.
+    number of such ends before a token is its group; groups of both sides are joined,
+    which links their tokens.
     """
-    tokens = tokens.repartition("key")
-    named, tokens = tokens.select("key", "stretch", "n", "ok"), tokens.where("ok")
+    named = tokens.select("key", "stretch", "n", "ok").repartition("key")
+    # One column and one filter for both sides, so all of what is below uses one exchange.
+    tokens = tokens.where("ok and key is not null").select("key", F.array("a", "a_len", "b", "b_len").alias("of")).repartition("key")
 
-    def ends(side: str) -> DataFrame:
-        rows = tokens.select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("len"))).alias("pos", "token"))
-        return rows.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    def ends(side: int) -> DataFrame:
+        token = F.arrays_zip(F.get("of", F.lit(2 * side)).alias("id"), F.get("of", F.lit(2 * side + 1)).alias("len"))
+        rows = tokens.select("key", F.posexplode_outer(token).alias("pos", "token"))
+        so_far = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(so_far).alias("end"))
 
     def groups(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
         rows = own.join(other.select("key", "end", F.lit(1).alias("cut")).hint("merge"), ["key", "end"], "left")
         before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
         ids = F.sort_array(F.collect_list(F.struct("end", "id")))["id"]
-        return rows.groupBy("key", "group").agg(ids.alias(side))
-
-    a, b = ends("a"), ends("b")
-    both = groups(a, b, "a").join(groups(b, a, "b").hint("merge"), ["key", "group"])
-    rows = both.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", "a", "b"))).alias("of"))
-    size = lambda c: F.size(c).cast("long")
-    total = lambda f: F.aggregate("of", F.lit(0).cast("long"), lambda n, g: n + f(g))
-    times = lambda ids, x: size(ids) - size(F.array_remove(ids, x))
-    link = lambda g, x, y: F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), (times(g["a"], x) * times(g["b"], y)).alias("times"))
-    links = lambda g: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: link(g, x, y))))
-    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    rows = rows.withColumn("links", F.flatten(F.transform("of", links))).select(
-        "key", total(lambda g: size(g["a"])).alias("n_a"), total(lambda g: size(g["b"])).alias("n_b"), size("of").alias("n_groups"), total(lambda g: size(g["a"]) * size(g["b"])).alias("n_links"),
-        F.array_join(F.transform("of", lambda g: F.concat(text(g["a"]), F.lit("|"), text(g["b"]))), ";").alias("groups"), F.col("links.pair").alias("pairs"), F.col("links.times").alias("times"),
-    )
+        return rows.groupBy("key", "group").agg(F.array_join(ids.cast("array<string>"), ",").alias(side))
+
+    a, b = ends(0), ends(1)
+    both = groups(a, b, "a").join(groups(b, a, "b").hint("merge"), ["key", "group"]).select("key", "group", F.concat("a", F.lit("|"), "b").alias("text"))
+    rows = both.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list(F.struct("group", "text")))["text"], ";").alias("groups"))
     return named.join(rows.hint("merge"), "key", "left").drop("key")
 
 
-RECORD = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
+RECORD = ["ok", "groups"]
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def links(groups: str) -> tuple[list[int], list[int], list[int]]:
+    """NUMBERS of groups; their pairs, id of A * 2 ** 32 + id of B, group by group; and how many
+    links of a group are of each."""
+    numbers, pairs, times = [0, 0, 0, 0], [], []
+    for group in groups.split(";"):
+        a, b = (side.split(",") for side in group.split("|"))
+        for i, n in enumerate((len(a), len(b), 1, len(a) * len(b))):
+            numbers[i] += n
+        if len(a) == len(b) == 1:
+            pairs.append((int(a[0]) << 32) + int(b[0]))
+            times.append(1)
+            continue
+        of_b = Counter(b).items()
+        for x, n in Counter(a).items():
+            high = int(x) << 32
+            pairs.extend(high + int(y) for y, _ in of_b)
+            times.extend(n * m for _, m in of_b)
+    return numbers, pairs, times
+
+
 class Known:
-    """Stretches and their records; pairs and times are kept in one array for all."""
+    """Stretches with their numbers, groups and links; pairs and times are in one array for all."""
 
     def __init__(self, rows: Iterator[dict]):
         self.at: dict[str, tuple] = {}
         pairs: list[int] = []
         times: list[int] = []
         for r in rows:
-            low = len(pairs)
-            pairs.extend(r["pairs"] or ())
-            times.extend(r["times"] or ())
-            self.at[r["stretch"]] = (r["ok"], *(r[c] or 0 for c in NUMBERS), r["groups"], low, len(pairs))
+            low, numbers = len(pairs), (0,) * len(NUMBERS)
+            if r["ok"]:
+                numbers, more, n = links(r["groups"])
+                pairs.extend(more)
+                times.extend(n)
+            self.at[r["stretch"]] = (r["ok"], *numbers, r["groups"], low, len(pairs))
         self.pairs, self.times = np.array(pairs, np.int64), np.array(times, np.int64)
 
 

@@ -65,7 +65,8 @@ def r6(c: str) -> F.Column:
 
 @query(f"{DOCS} SELECT doc_id, round(length_score, 6) AS length_score FROM scored")
 def caption_length_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.length_score(F.coalesce("text", F.lit(""))), 6).alias("length_score"))
+    rows = table(spark, d, "documents").select("doc_id", T.stripped_length(F.coalesce("text", F.lit(""))).alias("n"))
+    return rows.select("doc_id", F.round(T.length_score(F.col("n")), 6).alias("length_score"))
 
 
 @query(f"{DOCS} SELECT doc_id, temporal_score FROM scored")
@@ -75,7 +76,8 @@ def caption_temporal_score(spark, d):
 
 @query(f"{DOCS} SELECT doc_id, round(specificity_score, 6) AS specificity_score FROM scored")
 def caption_specificity_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.specificity_score(F.coalesce("text", F.lit(""))), 6).alias("specificity_score"))
+    rows = table(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return rows.select("doc_id", F.round(T.specificity_score(F.col("low")), 6).alias("specificity_score"))
 
 
 @query(f"{DOCS} SELECT doc_id, repeats::BIGINT AS repeated, repetition_score FROM scored")
@@ -478,7 +480,7 @@ def _scored_frames(spark, d):
 
 
 def _matches(spark, d):
-    return triage.matches(triage.best_frames(_scored_frames(spark, d), "clip"), "clip", least=SIMILAR)
+    return triage.best_matches(views.frames(spark, d), views.references(spark, d), "clip", least=SIMILAR)
 
 
 def _overlays(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,8 +41,13 @@ def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def length_score(text: Column, c: ScoringConfig = ScoringConfig()) -> Column:
-    n = F.length(strip(text)).cast("double")
+def stripped_length(text: Column) -> Column:
+    return F.length(strip(text))
+
+
+def length_score(n: Column, c: ScoringConfig = ScoringConfig()) -> Column:
+    """From stripped_length(): give that a column of its own, as it is used in each branch."""
+    n = n.cast("double")
     rising = F.lit(0.4) + F.lit(0.6) * (n - c.shortest) / (c.short - c.shortest)
     falling = F.lit(1.0) - F.lit(0.4) * (n - c.long) / (c.longest - c.long)
     return F.when(n == 0, 0.0).when(n < c.shortest, 0.2).when(n < c.short, rising).when(n <= c.long, 1.0).when(n <= c.longest, falling).otherwise(0.4)
@@ -52,14 +58,15 @@ def temporal_score(tokens: Column) -> Column:
     return F.when(k == 0, 0.0).when(k == 1, 0.3).when(k == 2, 0.5).when(k == 3, 0.7).when(k <= 5, 0.85).otherwise(1.0)
 
 
-def vague_found(text: Column) -> Column:
-    low = F.lower(text)
-    return F.filter(literals(VAGUE_PHRASES), lambda p: F.contains(low, p))
+def vague_found(low: Column) -> Column:
+    """Vague phrases in a lower-cased text."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), p) for p in VAGUE_PHRASES]))
 
 
-def specificity_score(text: Column, c: ScoringConfig = ScoringConfig()) -> Column:
-    low = F.lower(text)
-    hits = lambda terms: F.size(F.filter(literals(terms), lambda p: F.contains(low, p)))
+def specificity_score(low: Column, c: ScoringConfig = ScoringConfig()) -> Column:
+    """Of a lower-cased text. A sum of conditions without lambdas, so it is compiled, and the
+    text is lower-cased once where that is a column of its own."""
+    hits = lambda terms: reduce(Column.__add__, [F.contains(low, F.lit(p)).cast("int") for p in terms])
     raw = F.lit(0.5) - F.lit(c.vague_penalty) * hits(VAGUE_PHRASES) + F.lit(c.specific_bonus) * hits(SPECIFIC_TERMS)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 

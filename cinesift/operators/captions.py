@@ -11,15 +11,16 @@ from ..functions import text as T
 
 def score(captions: DataFrame, text: str = "text", config: T.ScoringConfig = T.ScoringConfig()) -> DataFrame:
     """captions with length, temporal, specificity, repetition and overall scores and
-    the array of issues. Null captions are empty ones. The words are split once."""
+    the array of issues. Null captions are empty ones. The words are split once, and so are
+    the stripped length and the lower-cased text made."""
     caption = F.coalesce(F.col(text), F.lit(""))
-    rows = counted(captions.withColumn("tokens", T.words(caption)))
+    rows = counted(captions.withColumns({"tokens": T.words(caption), "_low": F.lower(caption), "_n": T.stripped_length(caption)}))
     rows = rows.withColumns({
-        "length_score": T.length_score(caption, config), "temporal_score": T.temporal_score(F.col("tokens")),
-        "specificity_score": T.specificity_score(caption, config), "repetition_score": T.repetition_score(F.size("tokens"), F.col("repeated")),
+        "length_score": T.length_score(F.col("_n"), config), "temporal_score": T.temporal_score(F.col("tokens")),
+        "specificity_score": T.specificity_score(F.col("_low"), config), "repetition_score": T.repetition_score(F.size("tokens"), F.col("repeated")),
     })
     parts = [F.col(f"{c}_score") for c in ("length", "temporal", "specificity", "repetition")]
-    return rows.withColumn("overall", T.overall_score(*parts, config)).withColumn("issues", issues(caption, config)).drop("tokens", "repeated")
+    return rows.withColumn("overall", T.overall_score(*parts, config)).withColumn("issues", issues(F.col("_n"), F.col("_low"), config)).drop("tokens", "repeated", "_low", "_n")
 
 
 def counted(captions: DataFrame) -> DataFrame:
@@ -27,15 +28,15 @@ def counted(captions: DataFrame) -> DataFrame:
     return captions.withColumn("repeated", T.repeated_trigrams(F.col("tokens")))
 
 
-def issues(caption: Column, c: T.ScoringConfig = T.ScoringConfig()) -> Column:
-    """What is wrong with a scored caption, in the order of the scores."""
-    n = F.length(T.strip(caption))
+def issues(n: Column, low: Column, c: T.ScoringConfig = T.ScoringConfig()) -> Column:
+    """What is wrong with a scored caption (n: its stripped length; low: itself lower-cased),
+    in the order of the scores."""
     length = (
         F.when(n == 0, "empty caption").when(n < c.shortest, F.format_string(f"very short: %d characters, {c.shortest} at least", n)).when(n < c.short, F.format_string(f"short: %d characters, better {c.short} or more", n))
         .when(n <= c.long, F.lit(None)).when(n <= c.longest, F.format_string(f"long: %d characters, better {c.long} or fewer", n)).otherwise(F.format_string(f"very long: %d characters, {c.longest} at most", n))
     )
     temporal = F.when(F.col("temporal_score") == 0, "no words of motion or change")
-    vague = T.vague_found(caption)
+    vague = T.vague_found(low)
     vague = F.when(F.size(vague) > 0, F.concat(F.lit("vague: "), F.array_join(F.slice(vague, 1, 3), ", ")))
     repeats = F.when(F.col("repetition_score") == 0.2, "heavy repetition").when(F.col("repetition_score") == 0.5, "some repetition")
     return F.filter(F.array(length, temporal, vague, repeats), lambda x: x.isNotNull())

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONCEPT_SIMILARITY, LONG_VIDEO_SECONDS, OVERLAY_SIMILARITY
-from ..functions.vectors import dot
+from . import products
 
-#: References are tens of rows; beyond this many bytes Spark deals out both sides.
+#: Concepts are tens of rows; beyond this many bytes Spark deals out both sides.
 BROADCAST_BYTES = 8 << 20
 
 
@@ -20,17 +20,17 @@ def small(df: DataFrame) -> DataFrame:
 
 def similarities(frames: DataFrame, references: DataFrame) -> DataFrame:
     """Every frame (..., embedding) with every reference (concept, ref_order, ref_embedding)
-    and their similarity. The references are a stated, small set."""
-    return frames.crossJoin(small(references)).withColumn("similarity", dot(F.col("embedding"), F.col("ref_embedding"))).drop("embedding", "ref_embedding")
+    and their similarity: all of these rows. best_matches() makes none of them."""
+    return products.each(frames, references, "embedding", "ref_embedding", "similarity")
 
 
 def best_frames(scored: DataFrame, *by: str) -> DataFrame:
-    """For each of `by` and concept the best similarity (0 at least) and its frame; the
-    first of equals."""
+    """For each of `by` and concept of similarities() the best similarity (0 at least) and its
+    frame; the first of equals."""
     best = F.max(F.struct(F.col("similarity"), (-F.col("frame_idx")).alias("at")))
     rows = scored.groupBy(*by, "concept", "ref_order").agg(best.alias("best"))
-    none = F.col("best.similarity") <= 0
-    return rows.select(*by, "concept", "ref_order", F.greatest(F.col("best.similarity"), F.lit(0.0)).alias("similarity"), F.when(none, 0).otherwise(-F.col("best.at")).cast("long").alias("best_frame"))
+    similarity, at = products.kept(F.col("best.similarity"), -F.col("best.at"))
+    return rows.select(*by, "concept", "ref_order", similarity.alias("similarity"), at.alias("best_frame"))
 
 
 def matches(best: DataFrame, *by: str, least: float = CONCEPT_SIMILARITY) -> DataFrame:
@@ -39,10 +39,19 @@ def matches(best: DataFrame, *by: str, least: float = CONCEPT_SIMILARITY) -> Dat
     return best.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+def best_matches(frames: DataFrame, references: DataFrame, *by: str, least: float = CONCEPT_SIMILARITY) -> DataFrame:
+    """matches() of best_frames() of similarities(), from products of matrices: each batch of
+    frames keeps the best frame of a clip and reference, if it's similar enough, so frames x
+    references are never rows. References are read in blocks of a checked size."""
+    # A best similarity is 0 at least, so a threshold of 0 or less lets all pass.
+    found = products.best(frames, references, by, "embedding", "ref_embedding", "frame_idx", least if least > 0 else None)
+    similarity, at = products.kept(F.col("similarity"), F.col("at"))
+    return matches(found.select(*by, "concept", "ref_order", similarity.alias("similarity"), at.alias("best_frame")), *by, least=least)
+
+
 def overlay_scores(frames: DataFrame, prompts: DataFrame, *by: str, least: float = OVERLAY_SIMILARITY) -> DataFrame:
     """The best similarity of any frame to any prompt (prompt, prompt_embedding), 0 at least."""
-    near = frames.crossJoin(small(prompts)).withColumn("similarity", dot(F.col("embedding"), F.col("prompt_embedding")))
-    rows = near.groupBy(*by).agg(F.greatest(F.max("similarity"), F.lit(0.0)).alias("overlay_score"))
+    rows = products.largest(frames, prompts, by, "embedding", "prompt_embedding", "overlay_score")
     return rows.withColumn("has_overlay", F.col("overlay_score") >= least)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import backends, manifests, prompts
 from ..config import DataConfig, VideoConfig
-from ..constants import CANDIDATE_FRAMES, CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD, WARNING
+from ..constants import CANDIDATE_FRAMES, CAPTION_SUFFIXES, CLIP_SUFFIXES, CONCEPT_SIMILARITY, OVERLAY_SIMILARITY, SCENE_LEAST_SECONDS, SCENE_THRESHOLD, WARNING
 from ..functions import media as M
 from ..functions import text as T
 from ..lineage import materialize
@@ -225,7 +225,7 @@ def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None
     keys = ["source", "stem"]
     rows = pairing.pair(of("target"), of("caption"), of("reference"), keys, config)
     for s in config.datasets:
-        one = listing.content(spark, s.path).where(F.col("path").endswith(".txt"))
+        one = listing.content(spark, s.path, suffixes=CAPTION_SUFFIXES)
         texts = one if texts is None else texts.unionByName(one)
     for role in ("target", "reference"):
         rows = rows.join(listing.heads(of(role), role).withColumnRenamed("head", f"{role}_head"), role, "left")
@@ -295,7 +295,7 @@ def triage_frames(frames: DataFrame, references: DataFrame, prompts_: DataFrame,
     can't be read have no frames and are unmatched if they are in frames at all."""
     items = frames.select(*by).distinct()
     with_vector = frames.where("embedding is not null")
-    matched = triage.matches(triage.best_frames(triage.similarities(with_vector, references), *by), *by, least=least)
+    matched = triage.best_matches(with_vector, references, *by, least=least)
     return triage.triage(items, matched, triage.overlay_scores(with_vector, prompts_, *by, least=overlay), *by)
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ERROR, WARNING
 from ..functions.media import file_suffix
+from ..lineage import materialize
 
 
 def skip_reason(issues: str = "issues", strict: bool = False) -> Column:
@@ -21,36 +23,86 @@ def skip_reason(issues: str = "issues", strict: bool = False) -> Column:
     return F.when(F.size(errors) > 0, many).when(F.lit(strict) & (F.size(warnings) > 0), some)
 
 
-def unique_stems(samples: DataFrame, stem: str, *order: str) -> DataFrame:
-    """samples with final_stem: the first keeps its stem, later ones get _2, _3, ...
+#: A number that is given to a repeated stem: 2 or more, without leading zeros.
+NUMBERED = r"^(.*)_([2-9]|[1-9][0-9]{1,17})$"
 
-    A made-up stem can be another sample's own. Stems are put in families by what is
-    left without numbers at the end; in families where a made-up stem might be a
-    natural one, stems are given one after the other, else by their number.
-    """
-    w = Window.partitionBy(stem).orderBy(*order)
-    family = F.regexp_replace(F.col(stem), r"(_\d+)+$", "")
-    rows = samples.withColumn("nth", F.row_number().over(w)).withColumn("family", family)
-    mixed = rows.groupBy("family").agg((F.count_distinct(stem) > 1).alias("several"), (F.max("nth") > 1).alias("repeats")).where("several and repeats").select("family")
-    plain = rows.join(mixed, "family", "left_anti")
-    plain = plain.withColumn("final_stem", F.when(F.col("nth") == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), F.col("nth").cast("string")))).drop("nth", "family")
-    hard = rows.join(mixed, "family", "left_semi").drop("nth")
-
-    def give(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable")
-        used: set[str] = set()
+
+def running(rows: DataFrame, key: str, order: list[str], flag: str, name: str) -> DataFrame:
+    """rows with `name`: the sum of flag over earlier rows of the same key, by order.
+
+    Rows are dealt by ranges of key and order, so a key of very many rows lies in many tasks:
+    each part is summed by itself, and a key's parts, of which there are as many as tasks at
+    most, give what is before each."""
+    dealt = materialize(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(key, "_part").agg(F.sum(flag).alias("_of")).withColumn("_before", F.sum("_of").over(earlier(Window.partitionBy(key).orderBy("_part"))))
+    inside = F.sum(flag).over(earlier(Window.partitionBy(key, "_part").orderBy(*order)))
+    rows = dealt.withColumn("_inside", inside).join(parts.drop("_of"), [key, "_part"])
+    return rows.withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_part", "_inside", "_before")
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which numbers of a stem are left out, and which stems lose their own name to one, from
+    rows (stem, number, seen, taken, most, child) by stem and number."""
+    stem, skipped = None, 0
+    for batch in batches:
         out = []
-        for s in group[stem]:
-            name, n = s, 1
-            while name in used:
-                n += 1
-                name = f"{s}_{n}"
-            used.add(name)
-            out.append(name)
-        return group.drop(columns=["family"]).assign(final_stem=out)
-
-    kinds = ", ".join(f"`{c}` {k}" for c, k in plain.dtypes)
-    return plain.unionByName(hard.groupBy("family").applyInPandas(give, kinds))
+        for s, number, seen, taken, most, child in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if s != stem:
+                stem, skipped = s, 0
+            base = number - skipped
+            there = base <= most
+            blocked = there and skipped < number - taken - seen
+            out.append((s, base, child, blocked, there and not blocked))
+            skipped += blocked
+        if out:
+            stems, bases, children, blocked, lost = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(bases, pa.int64()), pa.array(children, pa.string()), pa.array(blocked), pa.array(lost)], names=["stem", "base", "child", "blocked", "lost"])
+
+
+def unique_stems(samples: DataFrame, stem: str, *order: str) -> DataFrame:
+    """samples with final_stem: in the order given, each takes its stem if that is free, else
+    stem_2, stem_3 and so on, the first that is free. Null stems stay null.
+
+    Only stem itself makes stem_n, so stems meet only where a stem_n is a stem of its own. A
+    sample's number is its place among equal stems plus how many numbers before it are
+    left out. A number is left out if the stem of that name came first; if it came later, it loses
+    its name and begins at _2 itself. Each such stem is one row (number, and how many of the samples it
+    might meet came earlier), and a stem's rows are decided in one pass by number that
+    holds two numbers; stems that end in more numbers are decided after those they extend.
+    Places and left out numbers are running sums over ranges, so no stem needs a task of its own.
+    """
+    own = list(order)
+    none = samples.where(F.col(stem).isNull()).withColumn("final_stem", F.lit(None).cast("string"))
+    rows = samples.where(F.col(stem).isNotNull()).withColumn("_one", F.lit(1).cast("long"))
+    rows = materialize(running(rows, stem, own, "_one", "_place").withColumn("_place", F.col("_place") + 1).drop("_one"), "places")
+    stems = materialize(rows.groupBy(stem).agg(F.max("_place").alias("many"), F.min(F.struct(*own)).alias("first")).withColumnRenamed(stem, "child"), "stems")
+    level = F.length(F.regexp_extract("child", r"((?:_(?:[2-9]|[1-9][0-9]{1,17}))*)$", 1)) - F.length(F.replace(F.regexp_extract("child", r"((?:_(?:[2-9]|[1-9][0-9]{1,17}))*)$", 1), F.lit("_"), F.lit("")))
+    edges = stems.select("child", "first", level.alias("level"), F.regexp_extract("child", NUMBERED, 1).alias("stem"), F.regexp_extract("child", NUMBERED, 2).alias("number")).where("number <> ''")
+    edges = materialize(edges.withColumn("number", F.col("number").cast("long")).join(stems.select(F.col("child").alias("stem"), "many"), "stem"), "edges")
+    lost = rows.sparkSession.createDataFrame([], "stem string, taken long")
+    shifts = rows.sparkSession.createDataFrame([], "stem string, _place long, shift long")
+    # As many levels as the longest name ends in numbers.
+    for n in sorted(r["level"] for r in edges.select("level").distinct().collect()):
+        some = edges.where(F.col("level") == n).join(lost, "stem", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+        some = some.withColumn("most", F.col("many") + F.col("taken")).where("most > 1")
+        mine = rows.withColumnRenamed(stem, "stem") if stem != "stem" else rows
+        mine = mine.join(some.select("stem", "taken").distinct(), "stem").select("stem", *own, "_place", "taken")
+        met = some.select("stem", *[F.col(f"first.{c}").alias(c) for c in own], "number", "taken", "most", "child", F.lit(0).cast("long").alias("one"))
+        both = met.unionByName(mine.select("stem", *own, F.lit(1).cast("long").alias("one")), allowMissingColumns=True)
+        seen = running(both, "stem", own, "one", "seen").where("one = 0").select("stem", "number", "seen", "taken", "most", "child")
+        decided = materialize(seen.repartition("stem").sortWithinPartitions("stem", "number").mapInArrow(_decide, "stem string, base long, child string, blocked boolean, lost boolean"), "decided")
+        lost = materialize(lost.unionByName(decided.where("lost").select(F.col("child").alias("stem"), F.lit(1).cast("long").alias("taken"))), "lost")
+        marks = decided.where("blocked").select("stem", "base", F.lit(0).cast("long").alias("_place"), F.lit(1).cast("long").alias("one"))
+        places = mine.select("stem", (F.col("_place") + F.col("taken")).alias("base"), "_place", F.lit(0).cast("long").alias("one"))
+        shift = running(marks.unionByName(places), "stem", ["base", "_place"], "one", "shift").where("one = 0 and shift > 0")
+        shifts = materialize(shifts.unionByName(shift.select("stem", "_place", "shift")), "shifts")
+    lost, shifts = lost.withColumnRenamed("stem", stem), shifts.withColumnRenamed("stem", stem)
+    rows = rows.join(lost, stem, "left").join(shifts, [stem, "_place"], "left")
+    base = F.col("_place") + F.coalesce("taken", F.lit(0))
+    number = (base + F.coalesce("shift", F.lit(0))).cast("string")
+    rows = rows.withColumn("final_stem", F.when(base == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), number)))
+    return rows.select(*samples.columns, "final_stem").unionByName(none)
 
 
 def destinations(samples: DataFrame, out: str, layout: str = "flat") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", docs["doc_id"].cast("long")).withColumn("_text_hash", F.xxhash64("text"))
 
 
+#: Where a run of words ends that is the whole text.
+WHOLE = -1
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, _text_hash, start, stop (WHOLE) of each document whose whole text one with a
+    smaller id has, by its digest: all of its windows start there."""
+    rows = docs.select("doc_id", "_text_hash", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest", "low")
+    rows = rows.join(first.hint("merge"), "digest").where("doc_id > low")
+    return rows.select("doc_id", "_text_hash", F.lit(0).alias("start"), F.lit(WHOLE).alias("stop"))
+
+
+def once(occ: DataFrame) -> DataFrame:
+    """Stretches of a text's first document alone: copies of it are searched nowhere."""
+    return occ.groupBy(*[c for c in occ.columns if c != "doc_id"]).agg(F.min("doc_id").alias("doc_id")).select(*occ.columns)
+
+
 def dealt(occ: DataFrame, window: int, crowds: bool, scratch: Scratch, part: int = PART) -> DataFrame:
     """doc_id, _text_hash, base, spans (array of first, n, region, parts, kind): the
     stretches whose anchor at least two documents have.
@@ -173,7 +192,8 @@ class Held:
         self.route: list[tuple] = []
 
     def add(self, row: tuple) -> None:
-        self.route.append(row)
+        if not self.route or row != self.route[-1]:  # repeated rows follow each other
+            self.route.append(row)
 
     def close(self) -> None:
         """The route's rows are all there. Those of kind OWN are indexed; if it has none, all are."""
@@ -202,9 +222,8 @@ class Held:
         index has in a smaller doc_id.
 
         Rows with equal words are searched twice at most: for the smallest of their
-        documents, and for the others, for which that one counts as well. A window goes to
-        the index if one with its hash is there in a smaller doc_id; each that is reported
-        was found there by backward search.
+        documents, and for the others, for which that one counts as well. All of a query's windows
+        are searched backwards in the index, which alone decides.
         """
         ids: dict[bytes, int] = {}
         put = ids.setdefault
@@ -225,19 +244,9 @@ class Held:
         q, later = keys // 2, keys % 2 == 1
         limit = np.searchsorted(order, smallest[q], side="left") + (later & np.isin(smallest[q], order))
 
-        # The smallest owner of a window with the hash of each window.
-        many = length - self.window + 1
-        window = np.repeat(start - before(many), many) + np.arange(int(many.sum()))
-        same = np.unique(gram_hashes(mix64(symbols.view(np.uint64)), self.window)[window], return_inverse=True)[1]
-        least, indexed = np.full(len(window), len(order)), np.repeat(inside, many)
-        np.minimum.at(least, same[indexed], np.repeat(rank, many[inside]))
-        of = np.repeat(np.arange(len(q)), many[q])
-        place = np.arange(len(of)) - before(many[q])[of]
-        may = np.flatnonzero(least[same[before(many)[q][of] + place]] < limit[of])
-        # Runs of such windows are searched.
-        cut = np.flatnonzero(np.concatenate([[True], (may[1:] != may[:-1] + 1) | (of[may[1:]] != of[may[:-1]])])) if len(may) else may
-        query, begin = of[may[cut]], place[may[cut]]
-        size = np.diff(np.append(cut, len(may))) + self.window  # and the separator
+        # All windows of a query are one run; queries without an earlier owner have none to find.
+        query = np.flatnonzero(limit > 0)
+        begin, size = np.zeros(len(query), np.int64), length[q[query]] + 1  # and the separator
         at = before(size)
         from_ = np.repeat(start[q[query]] + begin - at, size) + np.arange(int(size.sum()))
         held = symbols[from_]
@@ -246,7 +255,7 @@ class Held:
         index = FMIndex(symbols[kept], np.repeat(rank, length[inside] + 1), len(ids) + 1, int(size.max(initial=1)), len(order))
         gone = matched(index, held, at, size - 1, limit[query], self.window)
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
-        on, off = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a separator ends each run
+        on, off = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a separator ends each query
         run = np.searchsorted(at, on, side="right") - 1
         on, off, query = on - at[run] + begin[run], off - at[run] + begin[run], query[run]
         # Each row gets what its query found.
@@ -287,7 +296,7 @@ def found(rows: DataFrame, window: int, shard: int = SHARD) -> DataFrame:
 
     A task packs whole routes into indexes of about `shard` symbols and holds one of
     them at a time, with the rows that are searched in it."""
-    rows = rows.repartition("route").sortWithinPartitions("route", "kind")
+    rows = rows.repartition("route").sortWithinPartitions("route", "kind", "doc_id", "_text_hash", "first")
     return rows.mapInArrow(searcher(window, shard), "doc_id long, _text_hash long, start int, stop int")
 
 
@@ -296,8 +305,8 @@ def repeated(docs: DataFrame, window: int = 50, gram: int = GRAM, part: int = PA
     document that windows cover whose word sequence also starts in a document with a
     smaller doc_id. Documents without such windows have no row.
 
-    Hashes only deal passages to indexes; each removed window is one that backward search
-    has found in the index, in a smaller doc_id. Windows whose anchor has many different
+    Hashes deal passages to indexes, and backward search in those decides each window. Only the
+    first document of equal texts is searched: the others' windows all start in it. Windows whose anchor has many different
     passages (as a common line in many surroundings) are dealt anew, by a hash of the
     whole window, and those that one document has go no further.
     """
@@ -305,20 +314,23 @@ def repeated(docs: DataFrame, window: int = 50, gram: int = GRAM, part: int = PA
         raise ValueError(f"an anchor of {gram} words in a window of {window}")
     with Scratch(docs.sparkSession) as scratch:
         texts = keyed(docs).where("doc_id is not null").select("doc_id", "_text_hash", F.lit(0).alias("base"), F.col("text"))
-        occ = scratch.keep(occurrences(texts, window, gram), "occurrences")
+        occ = scratch.keep(once(occurrences(texts, window, gram)), "occurrences")
         rows = scratch.keep(passages(texts, dealt(occ, window, True, scratch, part), window), "passages")
         runs = [found(rows.where(F.col("kind") != CROWD), window, shard)]
         crowd = rows.where(F.col("kind") == CROWD).select("doc_id", "_text_hash", F.col("first").alias("base"), F.col("words").cast("string").alias("text"))
         if not crowd.isEmpty():
-            whole = scratch.keep(occurrences(crowd, window, window), "windows")
+            whole = scratch.keep(once(occurrences(crowd, window, window)), "windows")
             runs.append(found(passages(crowd, dealt(whole, window, False, scratch, part), window), window, shard))
-        out = runs[0] if len(runs) == 1 else runs[0].unionByName(runs[1])
+        out = reduce(DataFrame.unionByName, [*runs, copies(texts)])
         hits = out.distinct().groupBy("doc_id", "_text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_hits"))
         return scratch.result(hits, "repeated")
 
 
-def covered(n: int, hits: list[dict]) -> np.ndarray:
+def covered(n: int, hits: list[dict], window: int) -> np.ndarray:
+    if n >= window and any(h["stop"] == WHOLE for h in hits):
+        return np.ones(n, bool)
     change = np.zeros(n + 1, np.int64)
+    hits = [h for h in hits if h["stop"] != WHOLE]
     for h in hits:
         change[h["start"]] += 1
         change[h["stop"]] -= 1
@@ -356,7 +368,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
             n_words, n_removed, sha, kept_text = [], [], [], []
             for text, hits in zip(texts, batch.column(len(other)).to_pylist(), strict=True):
                 words = (text or b"").split()
-                gone = covered(len(words), hits) if hits else None
+                gone = covered(len(words), hits, window) if hits else None
                 if gone is not None and gone.any():
                     pieces = word.findall(text)
                     head = text[: len(text) - sum(map(len, pieces))]

@@ -81,17 +81,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", docs["doc_id"].cast("long")).withColumn("_text_hash", F.xxhash64("text"))
 
 
-#: Where a run of words ends that is the whole text.
-WHOLE = -1
-
-
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, _text_hash, start, stop (WHOLE) of each document whose whole text one with a
-    smaller id has, by its digest: all of its windows start there."""
+def copies(docs: DataFrame, occ: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """doc_id, _text_hash, start, stop (all words) of each document whose whole text, of `window`
+    words or more, one with a smaller id has, by its digest: all of its windows start there.
+    occ: stretches of first documents; the last one of a text ends where it does."""
     rows = docs.select("doc_id", "_text_hash", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest", "low")
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "_text_hash")).alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
+    size = occ.groupBy("doc_id", "_text_hash").agg(F.max(F.col("first") + F.col("n") + (window - 1)).alias("stop"))
+    # Written, so that the join has a plain exchange on either side and Spark splits a hot digest's rows.
+    first = scratch.keep(first.select("digest", "first.*").join(size.hint("merge"), ["doc_id", "_text_hash"]).select("digest", F.col("doc_id").alias("low"), "stop"), "copies")
     rows = rows.join(first.hint("merge"), "digest").where("doc_id > low")
-    return rows.select("doc_id", "_text_hash", F.lit(0).alias("start"), F.lit(WHOLE).alias("stop"))
+    return rows.select("doc_id", "_text_hash", F.lit(0).alias("start"), "stop")
 
 
 def once(occ: DataFrame) -> DataFrame:
@@ -321,16 +321,13 @@ def repeated(docs: DataFrame, window: int = 50, gram: int = GRAM, part: int = PA
         if not crowd.isEmpty():
             whole = scratch.keep(once(occurrences(crowd, window, window)), "windows")
             runs.append(found(passages(crowd, dealt(whole, window, False, scratch, part), window), window, shard))
-        out = reduce(DataFrame.unionByName, [*runs, copies(texts)])
+        out = reduce(DataFrame.unionByName, [*runs, copies(texts, occ, window, scratch)])
         hits = out.distinct().groupBy("doc_id", "_text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_hits"))
         return scratch.result(hits, "repeated")
 
 
-def covered(n: int, hits: list[dict], window: int) -> np.ndarray:
-    if n >= window and any(h["stop"] == WHOLE for h in hits):
-        return np.ones(n, bool)
+def covered(n: int, hits: list[dict]) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
-    hits = [h for h in hits if h["stop"] != WHOLE]
     for h in hits:
         change[h["start"]] += 1
         change[h["stop"]] -= 1
@@ -368,7 +365,7 @@ def dedup(docs: DataFrame, window: int = 50, gram: int = GRAM, prefix: str = "")
             n_words, n_removed, sha, kept_text = [], [], [], []
             for text, hits in zip(texts, batch.column(len(other)).to_pylist(), strict=True):
                 words = (text or b"").split()
-                gone = covered(len(words), hits, window) if hits else None
+                gone = covered(len(words), hits) if hits else None
                 if gone is not None and gone.any():
                     pieces = word.findall(text)
                     head = text[: len(text) - sum(map(len, pieces))]

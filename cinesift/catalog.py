@@ -240,6 +240,16 @@ def scan_issue_patterns(spark, d):
     return video_spec.issue_patterns(_validated(spark, d), "clip_id")
 
 
+def _span_sql(c: str, unit: str) -> str:
+    return f"CASE WHEN min({c}) = max({c}) THEN min({c})::VARCHAR ELSE min({c}) || '-' || max({c}) END || '{unit}'"
+
+
+@query(f"""WITH {CHECKED} SELECT array_to_string(issues, '|') AS pattern, count(*) AS n, {_span_sql("height", "p")} || ', ' || {_span_sql("fps", "fps")} || ', ' || {_span_sql("frame_count", " frames")} AS spec,
+  min(clip_id) AS first, CASE WHEN count(*) BETWEEN 2 AND 6 THEN string_agg(clip_id::VARCHAR, ', ' ORDER BY clip_id) END AS files FROM judged WHERE len(issues) > 0 GROUP BY 1""")
+def scan_issue_groups(spark, d):
+    return video_spec.issue_groups(_validated(spark, d), "clip_id").drop("messages")
+
+
 @query(f"""WITH {views.V_CLIPS}, s AS (SELECT *, CASE WHEN sar IN ('N/A', '0:0', '0/0') THEN '1:1' ELSE replace(sar, '/', ':') END AS clean FROM v_clips)
 SELECT clip_id, clean AS sar, clean = '1:1' AS is_square, concat(width, 'x', height) AS display_resolution, round((width * split_part(clean, ':', 1)::DOUBLE) / (height * split_part(clean, ':', 2)::DOUBLE), 6) AS aspect_ratio FROM s""")
 def aspect_ratio_sar(spark, d):
@@ -280,6 +290,12 @@ def bucket_assignment(spark, d):
     return buckets.assign(views.clips(spark, d)).select("clip_id", "bucket_key")
 
 
+@query(f"WITH {BUCKET} SELECT bucket_key, count(*) AS n, array_to_string(list(clip_id ORDER BY clip_id)[1:6], ',') AS samples, greatest(count(*) - 6, 0)::BIGINT AS more FROM b GROUP BY bucket_key")
+def bucket_previews(spark, d):
+    rows = buckets.previews(buckets.assign(views.clips(spark, d)), "clip_id")
+    return rows.select("bucket_key", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"), F.col("more").cast("long").alias("more"))
+
+
 @query(f"WITH {BUCKET} SELECT bucket_key, count(*) AS n, string_agg(clip_id::VARCHAR, ',' ORDER BY clip_id) AS samples FROM b GROUP BY bucket_key")
 def bucket_groups(spark, d):
     return buckets.groups(buckets.assign(views.clips(spark, d)), "clip_id").select("bucket_key", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))

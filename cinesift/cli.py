@@ -74,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--duplicates", action="store_true")
         c.add_argument("--concepts", nargs="*", help="sub-folders to take")
         c.add_argument("--verbose", action="store_true", help="the issues of each sample")
+        c.add_argument("--snapshot", help="a folder that keeps what was measured; unchanged files are not measured again")
     org.add_argument("--layout", choices=("flat", "hierarchical"), default="flat")
     org.add_argument("--strict", action="store_true")
     org.add_argument("--dry-run", action="store_true")
@@ -167,7 +168,7 @@ def run(args: argparse.Namespace) -> int:
     spark = build_session()
     if args.command == "scan":
         rows = commands.scan(spark, args.folder, conf.video)
-        print(reports.scan(video_spec.scan_counts(rows), video_spec.issue_patterns(rows, "path")))
+        print(reports.scan(video_spec.scan_counts(rows), video_spec.issue_groups(rows.withColumn("path", F.element_at(F.split("path", "/"), -1)), "path")))
     elif args.command == "normalize":
         plan = materialize(commands.normalize(spark, args.folder, args.output, conf.video, suffix=args.format), "plan")
         done = materialize(commands.media.execute(plan), "normalized")
@@ -210,8 +211,8 @@ def run(args: argparse.Namespace) -> int:
         print(reports.section("Videos not cut", failed.orderBy("path")))
         return int(failed.limit(1).count() > 0)
     else:
-        probed = materialize(commands.probe.parse(commands.probe.run(commands.targets(spark, conf))), "probed")
-        samples, orphans = commands.validate(spark, conf, probed)
+        probed = materialize(commands.probe.parse(commands.probe.run(commands.targets(spark, conf), snapshot=args.snapshot)), "probed")
+        samples, orphans = commands.validate(spark, conf, probed, snapshot=args.snapshot)
         samples = materialize(samples, "samples")
         parts, groups_alike = [samples], []
         if conf.quality.check_duplicates:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BUCKET_LEAST, BUCKET_STEP, WARNING
@@ -21,6 +21,17 @@ def groups(assigned: DataFrame, stem: str, order: str | None = None) -> DataFram
     return assigned.groupBy("bucket_key").agg(F.count("*").alias("n"), names.alias("samples")).orderBy(F.desc("n"), "bucket_key")
 
 
+def previews(assigned: DataFrame, stem: str, order: str | None = None, shown: int = 6) -> DataFrame:
+    """bucket_key, n, samples (the first `shown` alone), more (how many others); the largest
+    first. Each task keeps the first names of a bucket before anything is shuffled, so a
+    bucket of very many clips is no cell and no task's."""
+    first = Window.partitionBy("bucket_key").orderBy(order or stem, stem)
+    rows = assigned.select("bucket_key", stem, *([order] if order else [])).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= shown)
+    names = rows.groupBy("bucket_key").agg(F.sort_array(F.collect_list(F.struct("_nth", F.col(stem).alias("name"))))["name"].alias("samples"))
+    counts = assigned.groupBy("bucket_key").agg(F.count("*").alias("n"))
+    return counts.join(names, "bucket_key").select("bucket_key", "n", "samples", (F.col("n") - F.size("samples")).alias("more")).orderBy(F.desc("n"), "bucket_key")
+
+
 def undersized_issues(few: DataFrame, least: int = BUCKET_LEAST) -> DataFrame:
     """Buckets with too few clips (bucket_key, n) with the issue that each is."""
     found = issue(F.lit(True), "BUCKET_UNDERSIZED", WARNING, "bucketing", F.col("n"), str(least), "too few clips have this shape")

@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..constants import BLANK_SHARPNESS, HASH_SIZE, REFERENCE_SUFFIXES
 from ..sources.probe import ffprobe
+from ..sources.snapshot import incremental
 
 #: Names of pictures, in either case.
 PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in REFERENCE_SUFFIXES) + "}"
@@ -123,8 +124,11 @@ def video_motion(path: str, samples: int = 5) -> float | None:
     return float(np.mean(pairs)) if pairs else None
 
 
-def motion(clips: DataFrame, column: str, meter: Callable[[str], float | None] = video_motion) -> DataFrame:
-    """column, motion, motion_error of each clip of a column of paths."""
+def motion(clips: DataFrame, column: str, meter: Callable[[str], float | None] = video_motion, snapshot: str | None = None) -> DataFrame:
+    """column, motion, motion_error of each clip of a column of paths. snapshot: a folder that
+    keeps what was measured; unchanged clips in it are not measured again."""
+    if snapshot is not None:
+        return incremental(clips, snapshot, f"motion-{column}", lambda some: motion(some, column, meter), F.col("motion_error").isNull(), column)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,23 +113,66 @@ def destinations(samples: DataFrame, out: str, layout: str = "flat") -> DataFram
     return samples.withColumns({f"{c}_dest": path(c) for c in under})
 
 
+#: What a file was when its transfer was planned, and the name that a copy has until it's whole.
+JOURNAL, UNFINISHED = "source string, dest string, length long, modified long, missing string", ".{}.unfinished"
+
+
+def journal(planned: DataFrame) -> DataFrame:
+    """The transfers of a plan (source, dest) as a written table, with size and time of each source
+    as they are before any file is touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source in batch.column(0).to_pylist():
+                try:
+                    s = os.stat(source)
+                    out.append((s.st_size, s.st_mtime_ns, None))
+                except OSError as e:
+                    out.append((None, None, str(e)))
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["source", "dest", "length", "modified", "missing"])
+
+    return materialize(planned.select("source", "dest").mapInArrow(run, JOURNAL), "transfers")
+
+
+def carry(source: str, dest: str, length: int | None, modified: int | None, missing: str | None, copy: bool) -> None:
+    """One transfer of a journal. It may be done again after any of its steps, by a task that runs
+    twice: a copy gets its name only when it's whole, a source goes only after that, and
+    a source that is gone is right where its destination is the file that was planned."""
+    if missing is not None:
+        raise OSError(missing)
+    if os.path.abspath(source) == os.path.abspath(dest):
+        return
+    if not copy and not os.path.exists(source):
+        s = os.stat(dest)
+        if (s.st_size, s.st_mtime_ns) != (length, modified):
+            raise OSError(f"{source} is gone, and {dest} is another file")
+        return
+    folder, name = os.path.split(dest)
+    os.makedirs(folder or ".", exist_ok=True)
+    unfinished = os.path.join(folder, UNFINISHED.format(name))
+    shutil.copy2(source, unfinished)
+    os.replace(unfinished, dest)
+    if not copy:
+        os.remove(source)
+
+
 def transfer(planned: DataFrame, copy: bool = True) -> DataFrame:
     """Copy or move files of a plan (source, dest): a row for each with success and
-    error. Overwrites; a file that is its own destination stays."""
-    import os
-    import shutil
+    error. Overwrites; a file that is its own destination stays. The plan is written first
+    (journal()), so tasks that run again, and a table that is read again, find each file where it
+    belongs and say so."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for source, dest in zip(batch["source"], batch["dest"], strict=True):
+            sources, dests, errors = batch.column(0), batch.column(1), []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    if os.path.abspath(source) != os.path.abspath(dest):
-                        os.makedirs(os.path.dirname(dest), exist_ok=True)
-                        (shutil.copy2 if copy else shutil.move)(source, dest)
-                    out.append((source, dest, True, None))
+                    carry(*row, copy)
+                    errors.append(None)
                 except OSError as e:
-                    out.append((source, dest, False, str(e)))
-            yield pd.DataFrame(out, columns=["source", "dest", "success", "error"])
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([sources, dests, pa.array([e is None for e in errors], pa.bool_()), pa.array(errors, pa.string())], names=["source", "dest", "success", "error"])
 
-    return planned.select("source", "dest").mapInPandas(run, "source string, dest string, success boolean, error string")
+    return journal(planned).mapInArrow(run, "source string, dest string, success boolean, error string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VideoConfig
@@ -81,6 +81,28 @@ def issue_patterns(validated: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *span("height"), *span("fps"), *span("frame_count"), each("height"), each("fps"), F.min(name).alias("first"))
 
 
+#: Groups of up to so many clips are listed by name.
+LISTED = 6
+
+
+def issue_groups(validated: DataFrame, name: str, listed: int = LISTED) -> DataFrame:
+    """Clips that share the same issues, as a report shows them: pattern, n, spec (heights, frame
+    rates and frames, each a value or a range), messages (of the first by name), first, and
+    files: all names of 2 to `listed` clips, else null. No group is a cell: tasks keep
+    `listed` + 1 names of a group before anything is shuffled."""
+    rows = validated.where(F.size("issues") > 0).withColumn("pattern", pattern())
+    span = lambda c, unit: F.concat(F.when(F.min(c) == F.max(c), F.min(c).cast("string")).otherwise(F.concat_ws("-", F.min(c).cast("string"), F.max(c).cast("string"))), F.lit(unit))
+    groups = rows.groupBy("pattern").agg(F.count("*").alias("n"), F.concat_ws(", ", span("height", "p"), span("fps", "fps"), span("frame_count", " frames")).alias("spec"))
+    nth = F.row_number().over(Window.partitionBy("pattern").orderBy(name))
+    some = rows.select("pattern", name, "issues").withColumn("_nth", nth).where(F.col("_nth") <= listed + 1)
+    names = some.groupBy("pattern").agg(
+        F.min(name).alias("first"), F.min_by(F.transform("issues", lambda x: F.struct(x["severity"].alias("severity"), x["message"].alias("message"))), "_nth").alias("messages"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("_nth", F.col(name).cast("string").alias("name"))))["name"], ", ").alias("files"),
+    )
+    rows = groups.join(names, "pattern").withColumn("files", F.when(F.col("n").between(2, listed), F.col("files")))
+    return rows.select("pattern", "n", "spec", "messages", "first", "files")
+
+
 def normalize_plan(validated: DataFrame, config: VideoConfig = VideoConfig()) -> DataFrame:
     """validated with target_frames, trimmed and action (encode or copy)."""
     changing = F.abs(F.col("fps") - config.fps) > 0.5

@@ -20,9 +20,10 @@ from ..operators import buckets, captions, duplicates, images, media, organize,
 from ..sources import listing, probe
 
 
-def scan(spark: SparkSession, folder: str, config: VideoConfig = VideoConfig(), prober: Callable[[str], str] = probe.ffprobe) -> DataFrame:
-    """Every clip with its metadata and issues; those that can't be probed have an error."""
-    return video_spec.validate(probe.parse(probe.run(listing.clips(spark, folder), prober)), config)
+def scan(spark: SparkSession, folder: str, config: VideoConfig = VideoConfig(), prober: Callable[[str], str] = probe.ffprobe, snapshot: str | None = None) -> DataFrame:
+    """Every clip with its metadata and issues; those that can't be probed have an error.
+    snapshot: see probe.run()."""
+    return video_spec.validate(probe.parse(probe.run(listing.clips(spark, folder), prober, snapshot)), config)
 
 
 def normalize(spark: SparkSession, folder: str, out: str, config: VideoConfig = VideoConfig(), prober: Callable[[str], str] = probe.ffprobe, suffix: str | None = None) -> DataFrame:
@@ -207,9 +208,10 @@ def targets(spark: SparkSession, config: DataConfig) -> DataFrame:
     return found.distinct()
 
 
-def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None = None, meter: Callable[[str], float | None] = images.video_motion) -> tuple[DataFrame, DataFrame]:
+def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None = None, meter: Callable[[str], float | None] = images.video_motion, snapshot: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Samples of all sources with their issues, and orphans. metadata: probed targets
     (path, width, height, frame_count, fps), joined so that buckets have dimensions.
+    snapshot: a folder that keeps the motion of targets; unchanged ones aren't measured again.
 
     References are always measured, except those that Spark's reader leaves out or has
     no decoder for (webp, names that begin with _ or .): their measures are null and
@@ -240,7 +242,7 @@ def validate(spark: SparkSession, config: DataConfig, metadata: DataFrame | None
         rows = pairing.check_references(rows.withColumn("decoded", decoded), config.quality.blur_threshold, config.quality.exposure_range)
     rows = rows.drop("target_head", "reference_head")
     if config.quality.motion_min is not None or config.quality.motion_max is not None:
-        rows = rows.join(materialize(images.motion(of("target"), "target", meter), "motion"), "target", "left")
+        rows = rows.join(materialize(images.motion(of("target"), "target", meter, snapshot), "motion"), "target", "left")
         rows = pairing.check_motion(rows, config.quality.motion_min, config.quality.motion_max)
     if metadata is not None:
         rows = rows.join(metadata.select(F.col("path").alias("target"), "width", "height", "frame_count", "fps"), "target", "left")
@@ -301,7 +303,7 @@ def triage_frames(frames: DataFrame, references: DataFrame, prompts_: DataFrame,
 
 def bucket_preview(samples: DataFrame, config: DataConfig) -> tuple[DataFrame, DataFrame]:
     assigned = buckets.assign(samples)
-    return buckets.groups(assigned, "stem"), buckets.undersized(assigned, config.min_bucket_size)
+    return buckets.previews(assigned, "stem"), buckets.undersized(assigned, config.min_bucket_size)
 
 
 def made_frames(rows: DataFrame, keys: list[str], source: str, name: Column, out: str, runner: media.Runner) -> DataFrame:

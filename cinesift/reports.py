@@ -23,8 +23,16 @@ def shortened(names: list[str], shown: int = 5) -> str:
     return ", ".join(names[:shown]) + more
 
 
-def scan(counts: DataFrame, patterns: DataFrame) -> str:
-    return section("Clips", counts) + "\n" + section("Issues shared by clips", patterns.orderBy("pattern"))
+def scan(counts: DataFrame, groups: DataFrame, shown: int = 50) -> str:
+    """Totals, then clips that share the same issues: the commonest first, each with the
+    issues of its first clip, and with the names of all where they are few."""
+    out = [section("Clips", counts), "", "Issues shared by clips"]
+    rows = groups.orderBy(F.desc("n"), "pattern").limit(shown + 1).collect()
+    for r in rows[:shown]:
+        out.append(f"  {r.first if r.n == 1 else f'{r.n} clips'} ({r.spec})")
+        out += [f"    {m.severity.upper()} {m.message}" for m in r.messages]
+        out += [f"    files: {r.files}"] if r.files else []
+    return "\n".join([*out, *(["  and more"] if len(rows) > shown else []), *(["  nothing"] if not rows else [])])
 
 
 def captions(summary: DataFrame, worst: DataFrame, shown: int = 10) -> str:

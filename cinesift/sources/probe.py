@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.media import frame_rate, sample_aspect
+from .snapshot import incremental
 
 SCHEMA = "struct<streams:array<struct<codec_type:string,codec_name:string,width:string,height:string,r_frame_rate:string,avg_frame_rate:string,nb_frames:string,duration:string,pix_fmt:string,sample_aspect_ratio:string,bit_rate:string>>,format:struct<duration:string,format_name:string,bit_rate:string,size:string>>"
 SECONDS = 30
@@ -23,8 +24,16 @@ def ffprobe(path: str) -> str:
     return out.stdout
 
 
-def run(files: DataFrame, prober: Callable[[str], str] = ffprobe) -> DataFrame:
-    """path, json, error for each file (path): what fails is a row with an error."""
+def run(files: DataFrame, prober: Callable[[str], str] = ffprobe, snapshot: str | None = None) -> DataFrame:
+    """path, json, error for each file (path): what fails is a row with an error. snapshot: a
+    folder that keeps what was probed; unchanged files in it are not probed again."""
+    if snapshot is not None:
+        found = incremental(files, snapshot, "probed", lambda some: _run(some, prober), F.col("error").isNull())
+        return files.select("path").join(found, "path")
+    return _run(files, prober)
+
+
+def _run(files: DataFrame, prober: Callable[[str], str]) -> DataFrame:
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         missing = prober is ffprobe and shutil.which("ffprobe") is None

@@ -425,6 +425,14 @@ def dataset_report_counts(spark, d):
     return pairing.counts(_samples(spark, d), "source")
 
 
+@query(f"""WITH {SAMPLE_ISSUES}, {BUCKET}, few AS (SELECT count(*)::BIGINT AS n FROM (SELECT bucket_key FROM b GROUP BY bucket_key HAVING count(*) < {K.BUCKET_LEAST}))
+SELECT CASE grouping_id(source, stem) WHEN 0 THEN 'sample' WHEN 1 THEN 'dataset' ELSE 'report' END AS level, source, stem, count(*) AS samples, count_if(n_errors = 0)::BIGINT AS valid, sum(n_errors)::BIGINT AS errors,
+  (sum(n_warnings) + CASE grouping_id(source, stem) WHEN 3 THEN (SELECT n FROM few) ELSE 0 END)::BIGINT AS warnings FROM counted GROUP BY GROUPING SETS ((source, stem), (source), ())""")
+def issue_levels(spark, d):
+    few = buckets.undersized_issues(buckets.undersized(buckets.assign(views.clips(spark, d))))
+    return pairing.levels(_samples(spark, d), few)
+
+
 @query(f"WITH {SAMPLE_ISSUES} SELECT stem, n_errors = 0 AS is_valid, array_to_string(issues, '|') AS pattern FROM counted")
 def sample_validity(spark, d):
     return _samples(spark, d).select("stem", (~video_spec.has_error()).alias("is_valid"), video_spec.pattern().alias("pattern"))
@@ -523,6 +531,14 @@ def clip_routing(spark, d):
     return _triaged(spark, d).select("clip", "folder", "include")
 
 
+@query(f"""WITH {TRIAGED}, kinds AS (SELECT concept, CASE ref_order % 3 WHEN 0 THEN 'character' WHEN 1 THEN 'setting' END AS kind FROM v_refs)
+SELECT clip, kind AS use_case, CASE WHEN kind IS NOT NULL THEN concept END AS anchor_word FROM triaged LEFT JOIN kinds USING (concept)""")
+def clip_use_case(spark, d):
+    kind = F.when(F.col("ref_order") % 3 == 0, "character").when(F.col("ref_order") % 3 == 1, "setting")
+    concepts = views.references(spark, d).select(F.col("concept").alias("name"), kind.alias("concept_type"))
+    return triage.typed(_triaged(spark, d), concepts).select("clip", "use_case", "anchor_word")
+
+
 @query(f"WITH {views.V_FRAMES}, {OVERLAYS} SELECT clip, round(overlay_score, 6) AS overlay_score, overlay_score >= 0.27 AS has_overlay FROM overlays")
 def text_overlay_flag(spark, d):
     return _overlays(spark, d).select("clip", r6("overlay_score"), "has_overlay")

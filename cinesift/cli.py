@@ -156,7 +156,9 @@ def run_triage(spark, args: argparse.Namespace) -> int:
     if failed is not None:
         print(reports.section("Videos not searched for cuts", failed.orderBy("path")))
     if good.limit(1).count():
-        manifest = manifests.scene_manifest(good) if mode == "scene" else manifests.triage_manifest(good, "clip")
+        concepts = commands.listing.concepts(spark, args.concepts_dir)
+        print(reports.section("Concepts", triage.concept_summary(concepts)))
+        manifest = manifests.scene_manifest(good) if mode == "scene" else manifests.triage_manifest(triage.typed(good, concepts), "clip")
         manifest.write.mode("overwrite").text(os.path.join(args.output, "manifest"))
         if args.organize:
             print(reports.section("Files", commands.organize.transfer(commands.routes(good, args.output)).groupBy("success").count()))

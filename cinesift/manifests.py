@@ -84,9 +84,12 @@ def extraction_report(extracted: DataFrame) -> DataFrame:
 
 
 def triage_manifest(triaged: DataFrame, key: str) -> DataFrame:
-    """A JSON line for each triaged clip: matches with 3 decimals, best first."""
-    brief = F.transform("matches", lambda m: F.struct(m["concept"].alias("concept"), F.bround(m["similarity"], 3).alias("similarity"), m["best_frame"].alias("best_frame")))
-    return triaged.select(F.to_json(F.struct(F.col(key), F.col("has_overlay").alias("text_overlay"), "include", "folder", brief.alias("matches"))).alias("line"))
+    """A JSON line for each triaged clip: matches with 3 decimals, best first. Of clips of
+    triage.typed() also the types of their matches, and which use case and anchor captions take."""
+    known = "use_case" in triaged.columns
+    brief = F.transform("matches", lambda m: F.struct(m["concept"].alias("concept"), *([m["type"].alias("type")] if known else []), F.bround(m["similarity"], 3).alias("similarity"), m["best_frame"].alias("best_frame")))
+    more = ["use_case", "anchor_word"] if known else []
+    return triaged.select(F.to_json(F.struct(F.col(key), F.col("has_overlay").alias("text_overlay"), "include", "folder", brief.alias("matches"), *more)).alias("line"))
 
 
 def selections(spark: SparkSession, path: str) -> DataFrame:

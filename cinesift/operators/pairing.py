@@ -115,3 +115,24 @@ def counts(samples: DataFrame, *by: str) -> DataFrame:
     of = lambda s: F.sum(F.size(F.filter("issues", lambda x: x["severity"] == s))).cast("long")
     rows = samples.withColumn("is_valid", ~has_error()).groupBy(*by)
     return rows.agg(F.count("*").alias("samples"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), F.coalesce(of(ERROR), F.lit(0)).alias("errors"), F.coalesce(of(WARNING), F.lit(0)).alias("warnings"))
+
+
+def levels(samples: DataFrame, cross: DataFrame | None = None) -> DataFrame:
+    """level (sample, dataset or report), source, stem, samples, valid, errors and warnings, in one
+    pass over grouping sets. cross: rows with issues of datasets rather than of a sample; they count
+    once, in the report alone."""
+    of = lambda s: F.size(F.filter("issues", lambda x: x["severity"] == s)).cast("long")
+    named = {"errors": of(ERROR), "warnings": of(WARNING), "valid": (~has_error()).cast("long"), "samples": F.lit(1).cast("long")}
+    rows = samples.select("source", "stem", *[c.alias(k) for k, c in named.items()])
+    if cross is not None:
+        none = F.lit(0).cast("long")
+        own = cross.select(of(ERROR).alias("errors"), of(WARNING).alias("warnings"), none.alias("valid"), none.alias("samples"))
+        rows = rows.unionByName(own, allowMissingColumns=True)
+    mine = F.col("samples") == 1
+    sets = rows.groupingSets([["source", "stem"], ["source"], []], "source", "stem")
+    sums = [F.sum(c).alias(c) for c in ("samples", "valid")]
+    sums += [f.alias(k) for c in ("errors", "warnings") for k, f in ((c, F.sum(F.when(mine, F.col(c)))), (f"cross_{c}", F.sum(F.when(~mine, F.col(c)))))]
+    found = sets.agg(F.grouping_id().alias("id"), *sums).where("id = 3 or samples > 0")
+    total = lambda c: F.coalesce(c, F.lit(0)) + F.when(F.col("id") == 3, F.coalesce(f"cross_{c}", F.lit(0))).otherwise(0)
+    level = F.when(F.col("id") == 0, "sample").when(F.col("id") == 1, "dataset").otherwise("report")
+    return found.select(level.alias("level"), "source", "stem", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("valid", F.lit(0)).alias("valid"), total("errors").alias("errors"), total("warnings").alias("warnings"))

@@ -93,6 +93,17 @@ def with_types(triaged: DataFrame, concepts: DataFrame) -> DataFrame:
     return triaged.crossJoin(types).withColumn("concept_types", F.array_distinct(known)).drop("types")
 
 
+def typed(triaged: DataFrame, concepts: DataFrame) -> DataFrame:
+    """triaged whose matches have the type of their concept, with use_case and anchor_word: type and
+    name of the best match if it has a type, else null. concepts: name, concept_type; a small table."""
+    types = small(concepts.agg(F.map_from_entries(F.collect_set(F.struct("name", F.coalesce("concept_type", F.lit(""))))).alias("types")))
+    kind = lambda m: F.nullif(F.element_at(F.col("types"), m["concept"]), F.lit(""))
+    own = lambda m: F.struct(m["rank"].alias("rank"), m["concept"].alias("concept"), kind(m).alias("type"), m["similarity"].alias("similarity"), m["best_frame"].alias("best_frame"))
+    rows = triaged.crossJoin(types).withColumn("matches", F.transform("matches", own)).drop("types")
+    best = F.get("matches", F.lit(0))
+    return rows.withColumns({"use_case": best["type"], "anchor_word": F.when(best["type"].isNotNull(), best["concept"])})
+
+
 def concept_summary(concepts: DataFrame) -> DataFrame:
     """concept_type, names; concepts of no type come last."""
     return concepts.groupBy("concept_type").agg(F.array_sort(F.collect_list("name")).alias("names")).orderBy(F.asc_nulls_last("concept_type"))

@@ -13,7 +13,7 @@ from .config import DataConfig, VideoConfig
 from .functions import media as M
 from .functions import text as T
 from .functions import vectors as V
-from .operators import buckets, captions, duplicates, organize, pairing, segments, triage, video_spec
+from .operators import buckets, captions, duplicates, media, organize, pairing, segments, triage, video_spec
 from .session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,6 +453,50 @@ def organize_filter(spark, d):
     return _samples(spark, d).select("stem", short(organize.skip_reason()).alias("lenient"), short(organize.skip_reason(strict=True)).alias("strict"))
 
 
+#: Measures of reference pictures, stand-ins made of a vector's number.
+PICTURES = "pictures AS (SELECT vec_id, vec_id % 11 <> 0 AS decoded, (vec_id % 100)::DOUBLE AS sharpness, (vec_id % 21)::DOUBLE / 20 AS brightness FROM embeddings)"
+NO_ISSUES = "cast(array() as array<struct<code:string,severity:string,message:string,field:string,actual:string,expected:string>>)"
+
+
+def _pictures(spark, d):
+    k = F.col("vec_id")
+    return table(spark, d, "embeddings").select("vec_id", (k % 11 != 0).alias("decoded"), (k % 100).cast("double").alias("sharpness"), ((k % 21).cast("double") / 20).alias("brightness"))
+
+
+@query(f"""WITH {PICTURES} SELECT vec_id, array_to_string(list_filter([CASE WHEN NOT decoded THEN 'FILE_CORRUPTED:error' END, CASE WHEN sharpness < {K.BLANK_SHARPNESS} THEN 'REFERENCE_BLANK:error' END,
+  CASE WHEN sharpness < 50 THEN 'BLUR_BELOW_THRESHOLD:warning' END, CASE WHEN brightness < 0.05::DOUBLE OR brightness > 0.95::DOUBLE THEN 'EXPOSURE_OUT_OF_RANGE:warning' END], lambda x: x IS NOT NULL), '|') AS pattern FROM pictures""")
+def reference_issues(spark, d):
+    rows = _pictures(spark, d).withColumns({"reference": F.concat(F.col("vec_id").cast("string"), F.lit(".png")), "issues": F.expr(NO_ISSUES)})
+    return pairing.check_references(rows, 50.0, (0.05, 0.95)).select("vec_id", video_spec.pattern().alias("pattern"))
+
+
+@query(f"""WITH {PICTURES}, frames AS (SELECT vec_id // 7 AS clip, vec_id % 7 AS i, CASE WHEN decoded THEN (vec_id * 37 % 5)::DOUBLE END AS sharpness FROM pictures),
+picked AS (SELECT clip, arg_max(i, coalesce(sharpness, -1) * 100 - i)::BIGINT AS "index", max(sharpness) AS sharpness FROM frames GROUP BY clip)
+SELECT clip, "index", sharpness, floor("index" * 0.5::DOUBLE * 16)::BIGINT AS frame_number FROM picked""")
+def best_frames_of_clips(spark, d):
+    k = F.col("vec_id")
+    rows = _pictures(spark, d).select(F.floor(k / 7).cast("long").alias("clip"), (k % 7).alias("index"), F.when(F.col("decoded"), (k * 37 % 5).cast("double")).alias("sharpness"), ((k % 7) * 0.5).cast("double").alias("at"))
+    return media.best_frame(rows, "clip").select("clip", "index", "sharpness", "frame_number")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'FILE_CORRUPTED:error|CAPTION_EMPTY:warning' ELSE array_to_string(list_filter([CASE WHEN coalesce({LENGTH}, 0) = 0 THEN 'CAPTION_EMPTY:warning' END,
+  CASE WHEN floor(len({TOKENS}) * 1.3::DOUBLE) > 512 THEN 'CAPTION_TOO_LONG:warning' END], lambda x: x IS NOT NULL), '|') END AS pattern FROM (SELECT *, text AS caption FROM documents)""")
+def caption_file_issues(spark, d):
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    broken = F.when(F.col("doc_id") % 7 == 0, F.concat(text, F.lit(b"\xff"))).otherwise(text)
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("caption"), broken.alias("content"), F.expr(NO_ISSUES).alias("issues"))
+    return pairing.check_captions(rows).select("doc_id", video_spec.pattern().alias("pattern"))
+
+
+@query("""WITH done AS (SELECT doc_id % 3 <> 1 OR doc_id % 5 = 0 AS success, doc_id % 5 = 0 AS skipped FROM documents)
+SELECT count_if(success AND NOT skipped)::BIGINT AS succeeded, count_if(NOT success)::BIGINT AS failed, count_if(skipped)::BIGINT AS skipped FROM done""")
+def caption_run_summary(spark, d):
+    from .plans.commands import caption_summary
+
+    k = F.col("doc_id")
+    return caption_summary(table(spark, d, "documents").select(((k % 3 != 1) | (k % 5 == 0)).alias("success"), (k % 5 == 0).alias("skipped")))
+
+
 COLLIDING = "named AS (SELECT doc_id, source AS stem, source || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS final_stem FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents))"
 
 

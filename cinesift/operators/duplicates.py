@@ -26,20 +26,29 @@ def masks(n: int, distance: int, n_bits: int, most: int = 1_000) -> list[int]:
     return [sum(c) for c in combinations(parts, best - distance)]
 
 
-def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64) -> DataFrame:
+#: Hashes with one value under a mask that are compared with all others of it in one key.
+PART = 4_096
+
+
+def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64, part: int = PART) -> DataFrame:
     """a, b, distance: pairs of different hashes (column hash) up to a distance.
 
     Candidates come from joins on the bits under each of masks(); none is missed. Equal
     hashes are one from the start. Masks get wider with the number of hashes, so that a
-    value is shared by few.
+    value is shared by few. Values that more than `part` hashes share are dealt in parts: one side's
+    hashes go to a part each and the other side's to all of them, so no key holds all of a
+    value's candidates; values of one hash are left out before the join.
     """
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     once = materialize(hashes.select("hash").dropna().distinct(), "distinct-hashes")
     each = F.array(*[F.lit(signed(m)).cast("long") for m in masks(once.count(), distance, n_bits)])
     rows = once.select("hash", F.posexplode(each).alias("band", "mask"))
     rows = rows.select("hash", "band", F.col("hash").bitwiseAND(F.col("mask")).alias("bits"))
-    left, right = rows.withColumnRenamed("hash", "a"), rows.withColumnRenamed("hash", "b")
-    near = left.join(right, ["band", "bits"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("long"))
+    shared = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(shared.select("band", "bits", F.ceil(F.col("n") / part).cast("int").alias("parts")), ["band", "bits"])
+    left = rows.select("band", "bits", F.col("hash").alias("a"), F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int").alias("part"))
+    right = rows.select("band", "bits", F.col("hash").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = left.join(right, ["band", "bits", "part"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("long"))
     return near.where(F.col("distance") <= distance).select("a", "b", "distance").distinct()
 
 

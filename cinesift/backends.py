@@ -12,12 +12,17 @@ import tempfile
 import time
 import urllib.error
 import urllib.request
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .sources import snapshot
 
 
 class CaptionBackend(ABC):
@@ -322,28 +327,137 @@ def with_retries(call: Callable[[], str], tries: int = 5, wait: float = 45.0, sl
     raise AssertionError
 
 
-def caption(clips: DataFrame, make: Callable[[], CaptionBackend], delay: float = 0.0, tries: int | None = None, wait: float | None = None) -> DataFrame:
+class Turns:
+    """Calls of `tasks` tasks at least `seconds` apart, on one schedule: of each round of turns
+    the task of number k takes the k-th. A task that is late goes on from there, so that
+    nothing is made up for and the rate holds."""
+
+    def __init__(self, seconds: float, tasks: int, k: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.clock, self.sleep, self.round = clock, sleep, seconds * tasks
+        self.next = clock() + seconds * k
+
+    def wait(self) -> None:
+        now = self.clock()
+        if now < self.next:
+            self.sleep(self.next - now)
+        self.next = max(self.next, now) + self.round
+
+
+class Answers:
+    """The answers of one part of a run's clips: lines of a file that each attempt at it adds to as
+    they come, so a task that runs again finds those that were paid for. A line counts if it's whole."""
+
+    def __init__(self, folder: str, run: str, part: int):
+        self.folder, self.part = os.path.join(folder, run), f"part-{part:06d}-"
+        os.makedirs(self.folder, exist_ok=True)
+        self.held: dict[str, tuple[str, float]] = {}
+        for name in sorted(os.listdir(self.folder)):
+            if name.startswith(self.part):
+                with open(os.path.join(self.folder, name), encoding="utf-8", errors="replace") as f:
+                    for line in f:
+                        with contextlib.suppress(ValueError, KeyError, TypeError):
+                            one = json.loads(line)
+                            if one["whole"]:
+                                self.held[one["key"]] = (one["caption"], one["seconds"])
+        self.file = None
+
+    def add(self, key: str, text: str, seconds: float) -> None:
+        if self.file is None:
+            self.file = open(os.path.join(self.folder, f"{self.part}{uuid.uuid4().hex}.jsonl"), "a", encoding="utf-8")  # noqa: SIM115
+        self.file.write(json.dumps({"key": key, "caption": text, "seconds": seconds, "whole": True}) + "\n")
+        self.file.flush()
+        os.fsync(self.file.fileno())
+        self.held[key] = (text, seconds)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def answered(spark: SparkSession, log: str) -> DataFrame:
+    """key, caption, seconds of all runs of a log; lines that a lost task left unfinished don't count."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    kinds = "key string, caption string, seconds double, whole boolean"
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], kinds).drop("whole")
+    rows = spark.read.schema(kinds).option("recursiveFileLookup", "true").json(log)
+    return rows.where("whole and key is not null and caption is not null").drop("whole").dropDuplicates(["key"])
+
+
+CAPTIONED = "path string, caption string, success boolean, error string, seconds double"
+
+
+def caption(clips: DataFrame, make: Callable[[], CaptionBackend], delay: float = 0.0, tries: int | None = None, wait: float | None = None, log: str | None = None, rate: float | None = None, again: bool = False) -> DataFrame:
     """path, caption, success, error, seconds for clips (path, prompt, is_video). One clip
     that fails doesn't end the others; a backend that can't be made is an error in every
-    row. The number of partitions bounds the rate of calls."""
+    row.
+
+    rate: calls a minute of all tasks together, tries included; clips are dealt by path to as
+    many tasks as run at once, which take turns. Without it the number of partitions
+    bounds the rate.
+    log: a folder that all tasks reach, for one service. An answer is written there before
+    the next call. A clip that an earlier run has, with its prompt, size and time, isn't asked for
+    (unless again), nor is one that an earlier attempt at its task or an earlier reading of the
+    same result has; failures are asked for again. Clips without a path are never in a log.
+    """
+    spark, run_id = clips.sparkSession, f"run-{uuid.uuid4().hex}"
+    rows, known = clips.select("path", "prompt", "is_video"), None
+    if log is not None:
+        now = snapshot.stamped(rows)
+        key = F.sha2(F.to_json(F.struct("path", "prompt", "is_video", *snapshot.STAMP)), 256)
+        rows = rows.join(now, "path", "left").select("path", "prompt", "is_video", F.when(F.col("path").isNotNull(), key).alias("key"))
+        if not again:
+            before = answered(spark, log)
+            known = rows.join(before, "key").select("path", "caption", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), "seconds")
+            rows = rows.join(before.select("key"), "key", "left_anti").select("path", "prompt", "is_video", "key")
+    else:
+        rows = rows.withColumn("key", F.lit(None).cast("string"))
+    tasks = spark.sparkContext.defaultParallelism
+    if log is not None or rate:
+        # By path, so that a task that runs again, in this plan or another, has the same clips.
+        rows = rows.repartition(tasks, "path")
+    rows = rows.withColumn("part", F.pmod(F.hash("path"), F.lit(tasks)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for batch in batches:
-            out = []
-            for path, prompt, video in zip(batch["path"], batch["prompt"], batch["is_video"], strict=True):
-                began = time.monotonic()
-                try:
-                    model = model or make()
-                    f = model.caption_video if video else model.caption_image
-                    text = with_retries(lambda f=f, p=path, q=prompt: f(p, q), tries or model.tries, model.wait if wait is None else wait, transient=model.transient)
-                    out.append((path, text, True, None, time.monotonic() - began))
+        model, logs = None, {}
+        turns = Turns(60.0 / rate, tasks, TaskContext.get().partitionId() % tasks) if rate else None
+        with contextlib.ExitStack() as stack:
+
+            def answers_of(part: int) -> Answers | None:
+                if log is not None and part not in logs:
+                    logs[part] = stack.enter_context(contextlib.closing(Answers(log, run_id, part)))
+                return logs.get(part)
+
+            def asked(f: Callable[[str, str], str], path: str, prompt: str) -> str:
+                if turns:
+                    turns.wait()
+                return f(path, prompt)
+
+            for batch in batches:
+                out = []
+                for path, prompt, video, key, part in zip(*(batch[c] for c in ("path", "prompt", "is_video", "key", "part")), strict=True):
+                    answers = answers_of(part)
+                    if answers and key in answers.held:
+                        text, seconds = answers.held[key]
+                        out.append((path, text, True, None, seconds))
+                        continue
+                    began = time.monotonic()
+                    try:
+                        model = model or make()
+                        f = model.caption_video if video else model.caption_image
+                        text = with_retries(lambda f=f, p=path, q=prompt: asked(f, p, q), tries or model.tries, model.wait if wait is None else wait, transient=model.transient)
+                    except Exception as e:  # noqa: BLE001
+                        out.append((path, None, False, str(e) or type(e).__name__, time.monotonic() - began))
+                        continue
+                    seconds = time.monotonic() - began
+                    if answers and key is not None:
+                        answers.add(key, text, seconds)
+                    out.append((path, text, True, None, seconds))
                     time.sleep(delay)
-                except Exception as e:  # noqa: BLE001
-                    out.append((path, None, False, str(e) or type(e).__name__, time.monotonic() - began))
-            yield pd.DataFrame(out, columns=["path", "caption", "success", "error", "seconds"])
+                yield pd.DataFrame(out, columns=["path", "caption", "success", "error", "seconds"])
 
-    return clips.select("path", "prompt", "is_video").mapInPandas(run, "path string, caption string, success boolean, error string, seconds double")
+    made = rows.mapInPandas(run, CAPTIONED)
+    return made if known is None else made.unionByName(known)
 
 
 def embed(items: DataFrame, make: Callable[[], EmbeddingBackend], column: str, kind: str = "images") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import os
+import re
 import sys
 
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--prompt", help="replaces the prompt of the use case")
         c.add_argument("--model")
         c.add_argument("--base-url", help="of a chat endpoint")
+        c.add_argument("--log", help="a folder that keeps each answer, so that none is asked for twice")
+        c.add_argument("--rate", type=float, help="calls a minute of all tasks together, at most")
         c.add_argument("--caption-fps", type=int, default=1, help="frames a second that a chat endpoint gets")
         c.add_argument("--delay", type=float, default=10.0, help="seconds after each call")
     ext = add("extract", "one reference picture for each clip")
@@ -102,6 +105,11 @@ def settings(args: argparse.Namespace) -> config.DataConfig:
     return out
 
 
+def answer_log(args: argparse.Namespace) -> str | None:
+    """The log of one service and model, as answers of another are other answers."""
+    return args.log and os.path.join(args.log, re.sub(r"[^A-Za-z0-9.-]+", "_", f"{args.provider}-{args.model or 'default'}"))
+
+
 def provider(args: argparse.Namespace):
     """What makes the chosen service, in a task."""
     name, settings_ = args.provider, {"model": args.model} if args.model else {}
@@ -132,7 +140,7 @@ def run_extract(spark, args: argparse.Namespace) -> int:
     every = materialize(every.drop("failure", "command"), "extracted")
     print(reports.section("References", manifests.extraction_report(every)))
     print(reports.section("Failed", every.where("not success").select("path", "error").orderBy("path"), 20))
-    manifests.reference_manifest(every).write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+    manifests.publish(manifests.reference_manifest(every), os.path.join(args.output, "manifest"))
     return int(every.where("not success").limit(1).count() > 0)
 
 
@@ -158,8 +166,8 @@ def run_triage(spark, args: argparse.Namespace) -> int:
     if good.limit(1).count():
         concepts = commands.listing.concepts(spark, args.concepts_dir)
         print(reports.section("Concepts", triage.concept_summary(concepts)))
-        manifest = manifests.scene_manifest(good) if mode == "scene" else manifests.triage_manifest(triage.typed(good, concepts), "clip")
-        manifest.write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+        lines = manifests.scene_lines(good) if mode == "scene" else manifests.triage_manifest(triage.typed(good, concepts), "clip")
+        manifests.publish(lines, os.path.join(args.output, "manifest"))
         if args.organize:
             print(reports.section("Files", commands.organize.transfer(commands.routes(good, args.output)).groupBy("success").count()))
     return int(bad.limit(1).count() > 0 or (failed is not None and failed.limit(1).count() > 0))
@@ -182,14 +190,14 @@ def run(args: argparse.Namespace) -> int:
         rows = commands.score(spark, args.folder)
         print(reports.captions(captions.summary(rows), rows.select("path", "overall", "issues"), args.shown))
     elif args.command == "caption":
-        done = materialize(commands.caption(spark, args.folder, provider(args), args.use_case, args.anchor, args.overwrite, tuple(args.tags), args.prompt, args.delay), "captions")
+        done = materialize(commands.caption(spark, args.folder, provider(args), args.use_case, args.anchor, args.overwrite, tuple(args.tags), args.prompt, args.delay, answer_log(args), args.rate), "captions")
         files = materialize(commands.caption_files(done), "caption-files")
         print(reports.section("Captions", commands.caption_summary(done)))
         bad = done.where("not success").select("path", "error").unionByName(files.where("not success").select(F.col("output").alias("path"), "error"))
         print(reports.section("Failed", bad.orderBy("path")))
         return int(bad.limit(1).count() > 0)
     elif args.command == "audit":
-        done = materialize(commands.audit(spark, args.folder, provider(args), args.use_case, args.prompt, args.delay), "audit")
+        done = materialize(commands.audit(spark, args.folder, provider(args), args.use_case, args.prompt, args.delay, answer_log(args), args.rate), "audit")
         print(reports.section("Captions", done.where("success").groupBy("recommendation").count().orderBy("recommendation")))
         review = done.where("recommendation = 'review'").select("path", F.round("similarity", 2).alias("similarity"), F.substring("existing", 1, 80).alias("existing"), F.substring("caption", 1, 80).alias("fresh"))
         print(reports.section("To review", review.orderBy("path")))
@@ -208,7 +216,7 @@ def run(args: argparse.Namespace) -> int:
         if os.path.isdir(args.output):
             made = plan.join(commands.listing.files(spark, args.output).select("name"), "name", "left_semi")
             made = made.select("video", "output", "start", F.col("frames").alias("frame_count"), (F.col("frames") / conf.video.fps).alias("duration"))
-            manifests.clip_manifest(made).write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+            manifests.publish(manifests.clip_manifest(made), os.path.join(args.output, "manifest"))
         print(reports.section("Clips", done.groupBy("success").count()))
         print(reports.section("Videos not cut", failed.orderBy("path")))
         return int(failed.limit(1).count() > 0)
@@ -239,7 +247,7 @@ def run(args: argparse.Namespace) -> int:
             raise ValueError("no valid sample is left")
         print(reports.organized(plan, args.output, args.layout, args.dry_run))
         if not args.dry_run:
-            manifests.dataset_manifest(samples).select("manifest").write.mode("overwrite").text(os.path.join(args.output, "manifest"))
+            manifests.publish(manifests.dataset_lines(samples), os.path.join(args.output, "manifest"))
             print(reports.section("Files", commands.organize.transfer(commands.transfers(plan), not args.move).groupBy("success").count()))
             total = trainers.totals(plan.where("skip_reason is null"), conf)
             for name in args.trainer:

@@ -36,8 +36,13 @@ def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it's there."""
+    hadoop = hadoop_path(spark, path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
@@ -66,7 +71,7 @@ def mark() -> int:
 def tidy(since: int) -> None:
     """Deletes the tables that were written since mark() gave `since`, but for the last one."""
     for spark, path in _written[since:-1]:
-        _delete(spark, path)
+        discard(spark, path)
     del _written[since:-1]
 
 
@@ -92,7 +97,7 @@ class Scratch:
     def drop(self, n: int) -> None:
         """Deletes all but the last n tables."""
         for path in self.paths[: len(self.paths) - n]:
-            _delete(self.spark, path)
+            discard(self.spark, path)
         self.paths = self.paths[len(self.paths) - n :]
 
     def __exit__(self, *_) -> None:
@@ -103,6 +108,6 @@ class Scratch:
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            discard(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; so has whoever could use the files
             return

@@ -106,13 +106,14 @@ def score(spark: SparkSession, folder: str) -> DataFrame:
     return captions.worst_first(captions.score(rows), "path")
 
 
-def caption(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, anchor: str = "", overwrite: bool = False, tags: tuple[str, ...] = (), custom: str | None = None, delay: float = 0.0) -> DataFrame:
-    """Captions of clips that have none yet: path, caption, success, error, skipped."""
+def caption(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, anchor: str = "", overwrite: bool = False, tags: tuple[str, ...] = (), custom: str | None = None, delay: float = 0.0, log: str | None = None, rate: float | None = None) -> DataFrame:
+    """Captions of clips that have none yet: path, caption, success, error, skipped. To overwrite
+    captions is to ask again, whatever earlier runs have in the log."""
     rows = listing.clips(spark, folder)
     done = listing.files(spark, folder, suffixes=[".txt"]).select("stem").distinct()
     todo = rows if overwrite else rows.join(done, "stem", "left_anti")
     prompt = prompts.build(use_case, "video", anchor, tags, custom)
-    out = backends.caption(todo.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make, delay).withColumn("skipped", F.lit(False))
+    out = backends.caption(todo.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make, delay, log=log, rate=rate, again=overwrite).withColumn("skipped", F.lit(False))
     if overwrite:
         return out
     kept = rows.join(done, "stem", "left_semi").select("path", F.lit(None).cast("string").alias("caption"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"), F.lit(True).alias("skipped"))
@@ -134,13 +135,13 @@ def caption_summary(done: DataFrame) -> DataFrame:
     return done.agg(F.count_if(F.col("success") & ~F.col("skipped")).alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.count_if("skipped").alias("skipped"))
 
 
-def audit(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, custom: str | None = None, delay: float = 0.0) -> DataFrame:
+def audit(spark: SparkSession, folder: str, make: Callable[[], backends.CaptionBackend], use_case: str | None = None, custom: str | None = None, delay: float = 0.0, log: str | None = None, rate: float | None = None) -> DataFrame:
     """Existing captions beside fresh ones, for clips that have one; the prompt is without
     anchor. A clip that fails has an error and no recommendation."""
     have = listing.captions(spark, folder).select("stem", F.col("content").cast("string").alias("existing"))
     clips = listing.clips(spark, folder).join(have, "stem")
     prompt = prompts.build(use_case, custom=custom)
-    fresh = backends.caption(clips.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make, delay)
+    fresh = backends.caption(clips.select("path", prompt.alias("prompt"), F.lit(True).alias("is_video")), make, delay, log=log, rate=rate)
     rows = captions.audit(clips.select("path", "existing").join(fresh, "path"), "existing", "caption")
     return rows.withColumns({c: F.when(F.col("success"), F.col(c)) for c in ("similarity", "recommendation")})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from .config import DataConfig, VideoConfig
 from .functions import media as M
 from .functions import text as T
 from .functions import vectors as V
+from .lineage import shared_dir, written
 from .operators import buckets, captions, duplicates, media, organize, pairing, segments, triage, video_spec
 from .session import table
 
@@ -649,6 +651,31 @@ def manifest_json(spark, d):
     return rows.select("source", "total_samples", "valid_samples", "errors", "warnings", *suffixes, F.array_join(codes, ",").alias("problems"))
 
 
+def _published(spark: SparkSession, lines) -> str:
+    """The folder of published lines; deleted when the session's process ends."""
+    at = written(spark, f"{shared_dir(spark)}/cinesift-lines-{uuid.uuid4().hex}")
+    manifests.publish(lines, at)
+    return at
+
+
+@query(f"""WITH {SAMPLE_ISSUES} SELECT 'sample' AS kind, source, stem::VARCHAR AS stem, target::VARCHAR AS target, array_to_string(list_transform(issues, lambda x: split_part(x, ':', 1)), '+') AS says FROM counted WHERE len(issues) > 0
+UNION ALL SELECT 'source', source, NULL, NULL, concat_ws('/', count(*), count_if(n_errors = 0), sum(n_errors), sum(n_warnings)) FROM counted GROUP BY source""")
+def manifest_lines(spark, d):
+    """Manifests of sources in lines, published and read again: a row for each source and each sample with problems."""
+    sources, found = manifests.read_dataset_lines(spark, _published(spark, manifests.dataset_lines(_samples(spark, d))))
+    found = found.select(F.lit("sample").alias("kind"), "source", "stem", "target", F.array_join("issues.code", "+").alias("says"))
+    sources = sources.select(F.lit("source").alias("kind"), "source", F.concat_ws("/", "total_samples", "valid_samples", "errors", "warnings").alias("says"))
+    return found.unionByName(sources, allowMissingColumns=True)
+
+
+@query(f"""WITH {views.V_SCENES} SELECT video, scene_index, round("start", 3) AS "start", round("end", 3) AS "end" FROM v_scenes WHERE "end" - "start" >= 2""")
+def scene_lines_included(spark, d):
+    """Scenes of a manifest in lines, published and read again: those of two seconds or more."""
+    rows = _scenes(spark, d).withColumns({"has_overlay": F.lit(False), "include": F.col("end") - F.col("start") >= 2})
+    kept = manifests.read_scene_manifest(spark, _published(spark, manifests.scene_lines(rows)))
+    return kept.select(F.col("video").cast("long").alias("video"), "scene_index", "start", "end")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round((embedding[1]::DOUBLE * 3) / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) * (x::DOUBLE * 3)))), 6) AS first FROM embeddings")
 def l2_normalize(spark, d):
     e = F.col("embedding")

@@ -9,7 +9,7 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +141,13 @@ def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
 @contextlib.contextmanager
 def dealt_once(spark: SparkSession) -> Iterator[None]:
     """Joins inside may use rows that are dealt by some of their keys, so they don't deal
-    them again; and lists are collected from sorted rows, group by group."""
-    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    them again; lists are collected from sorted rows, group by group; and the shuffle files
+    of a table go when it's written, as no later plan reads them."""
+    own = {
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.sql.execution.useObjectHashAggregateExec": "false",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
     held = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():
@@ -154,14 +159,15 @@ def dealt_once(spark: SparkSession) -> Iterator[None]:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """stretch, n, ok, groups from key and encoded(): the ids of each group, as `a1,a2|b1;a3|b2,b3`.
+    """stretch, n, groups from key and encoded(): the ids of each group, as `a1,a2|b1;a3|b2,b3`;
+    null if not ok.
 
     Relational, and dealt by key once: tokens become rows with running sums of their
     lengths; a token whose end is joined by one of the other side ends a group; the
     number of such ends before a token is its group; groups of both sides are joined,
     which links their tokens.
     """
-    named = tokens.select("key", "stretch", "n", "ok").repartition("key")
+    named = tokens.select("key", "stretch", "n").repartition("key")
     # One column and one filter for both sides, so all of what is below uses one exchange.
     tokens = tokens.where("ok and key is not null").select("key", F.array("a", "a_len", "b", "b_len").alias("of")).repartition("key")
 
@@ -184,7 +190,6 @@ def aligned(tokens: DataFrame) -> DataFrame:
     return named.join(rows.hint("merge"), "key", "left").drop("key")
 
 
-RECORD = ["ok", "groups"]
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -209,22 +214,29 @@ def links(groups: str) -> tuple[list[int], list[int], list[int]]:
 
 
 class Known:
-    """Stretches with their numbers, groups and links; pairs and times are in one array for all."""
+    """Stretches with their numbers, groups and links; pairs and times are in one array for
+    all. A stretch without groups is one whose tokens' bytes aren't its own."""
 
-    def __init__(self, rows: Iterator[dict]):
+    def __init__(self, rows: Iterable[tuple[str, str | None]]):
         self.at: dict[str, tuple] = {}
         pairs: list[int] = []
         times: list[int] = []
-        for r in rows:
+        for stretch, groups in rows:
             low, numbers = len(pairs), (0,) * len(NUMBERS)
-            if r["ok"]:
-                numbers, more, n = links(r["groups"])
+            if groups is not None:
+                numbers, more, n = links(groups)
                 pairs.extend(more)
                 times.extend(n)
-            self.at[r["stretch"]] = (r["ok"], *numbers, r["groups"], low, len(pairs))
+            self.at[stretch] = (groups is not None, *numbers, groups, low, len(pairs))
         self.pairs, self.times = np.array(pairs, np.int64), np.array(times, np.int64)
 
 
+def rare(stretches: list[str], known: Known) -> list[str]:
+    """The distinct stretches that aren't known, in the order first seen. Records of them come
+    back to their text by their place in it."""
+    return list(dict.fromkeys(s for s in stretches if s not in known.at))
+
+
 def spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """low[0] .. high[0] - 1, low[1] .. high[1] - 1, and so on."""
     n = high - low
@@ -276,25 +288,26 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     """
     spark, split = docs.sparkSession, certain(a, b)
     rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
-    with Scratch(spark) as scratch:
+    with Scratch(spark) as scratch, dealt_once(spark):
         tokens = scratch.keep(encoded(distinct_stretches(rows, split), a, b).withColumn("key", F.monotonically_increasing_id()), "tokens")
-        with dealt_once(spark):
-            records = scratch.keep(aligned(tokens), "records")
+        records = scratch.keep(aligned(tokens), "records")
         scratch.drop(1)
-        top = records.where(F.octet_length("stretch") <= LONGEST).orderBy(F.desc("n"), "stretch").limit(frequent).select("stretch", *RECORD)
-        known = spark.sparkContext.broadcast(Known(r for batch in top.toArrow().to_batches(4096) for r in batch.to_pylist()))
+        top = records.where(F.octet_length("stretch") <= LONGEST).orderBy(F.desc("n"), "stretch").limit(frequent).select("stretch", "groups")
+        known = spark.sparkContext.broadcast(Known(r for batch in top.toArrow().to_batches(4096) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
 
         def others():
-            at = known.value.at
+            given = known.value
 
             def f(batch):
-                found = {(d, s) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in set(cut(t, split)) if s not in at}
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.string())], names=["digest", "stretch"])
+                texts = dict(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                found = [(d, i, s) for d, t in texts.items() for i, s in enumerate(rare(cut(t, split), given))]
+                kinds = {"digest": pa.binary(), "place": pa.int32(), "stretch": pa.string()}
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
             return f
 
-        wanted = map_batches(rows.select("digest", "text"), others, "digest binary, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
-        own = wanted.join(records.drop("n").hint("merge"), "stretch").groupBy("digest").agg(F.collect_list(F.struct("stretch", *RECORD)).alias("own"))
+        wanted = map_batches(rows.select("digest", "text"), others, "digest binary, place int, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
+        own = wanted.join(records.select("stretch", "groups").hint("merge"), "stretch").groupBy("digest").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
         # Copies of a text are one row from here on; both sides are dealt by digest already.
         texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
         held = texts.join(own.hint("merge"), "digest", "left").select("digest", "copies", "text", "own")
@@ -305,7 +318,9 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
             def f(batch):
                 out = []
                 for t, o in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                    out.append(put_together(cut(t, split), given, Known(o.as_py() or ())))
+                    stretches = cut(t, split)
+                    names = rare(stretches, given)
+                    out.append(put_together(stretches, given, Known((names[r["place"]], r["groups"]) for r in o.as_py() or ())))
                 numbers = [pa.array([r[0][i] for r in out], pa.int64()) for i in range(len(NUMBERS))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([r[1] for r in out], pa.string()), lists([r[2] for r in out]), lists([r[3] for r in out])], names=["digest", "copies", *NUMBERS, "groups_sha256", "pairs", "times"])
 

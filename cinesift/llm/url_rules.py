@@ -44,6 +44,24 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(pieces(host, "h:", r"[.\-:]"), pieces(path, "p:", r"[/.\-_]")))
 
 
+def classes(known: DataFrame) -> DataFrame:
+    """item, tokens: tokens that are on the same rows of known (row, items), under the first of them.
+    Equal sets of rows are told by their number and two sums of 64-bit hashes of the rows. A class
+    is no longer than a row's tokens."""
+    rows = known.select("row", F.explode("items").alias("token"))
+    same = rows.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("s"))
+    return same.groupBy("n", "x", "s").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select(F.get("tokens", F.lit(0)).alias("item"), "tokens")
+
+
+def spelled(rules: DataFrame, named: DataFrame) -> DataFrame:
+    """rules over items, as rules over their tokens: one for each choice of a token for every item."""
+    some = rules.withColumn("rule", F.monotonically_increasing_id())
+    lists = some.select("rule", F.explode("items").alias("item")).join(named, "item").groupBy("rule").agg(F.collect_list("tokens").alias("lists"))
+    none = F.array(F.array().cast("array<string>"))
+    chosen = F.aggregate("lists", none, lambda made, one: F.flatten(F.transform(made, lambda m: F.transform(one, lambda t: F.array_append(m, t)))))
+    return some.join(lists, "rule").withColumn("items", F.explode(chosen)).withColumn("items", F.array_sort("items")).drop("rule", "lists")
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float, confidence: float, lift: float, least: int = LEAST) -> DataFrame:
     """items, confidence, support, pages of rules items -> bad, pruned.
 
@@ -51,19 +69,25 @@ def mine(pages: DataFrame, labels: DataFrame, support: float, confidence: float,
     are bad if one is, and null ids have no label. Item sets are mined by FP-growth; a rule
     must hold on `least` bad pages at least, whatever their share, as of thousands of token
     sets some are bad by chance on fewer. Of rules, those stay that none over some of
-    their items matches in confidence.
+    their items matches in confidence. Tokens that are on the same labelled pages are one
+    item while sets are mined (classes()), so that a URL which is repeated is one set, not
+    one for each choice of its tokens; a rule over two of them never stays, as one does as well.
     """
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.coalesce("toxic", F.lit(0)) > 0) | (F.coalesce("quality", F.lit(1)) <= 0)).cast("int").alias("bad"))
     bad = bad.dropna(subset=["page_id"]).groupBy("page_id").agg(F.max("bad").alias("bad"))
     host, path = parts(F.col("url"))
     with Scratch(pages.sparkSession) as scratch:
         known = pages.select("page_id", tokens(host, path).alias("items")).join(bad, "page_id")
-        known = scratch.keep(known.select(F.when(F.col("bad") > 0, F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "labelled")
-        n, n_bad = known.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+        known = scratch.keep(known.select(F.monotonically_increasing_id().alias("row"), "items", (F.col("bad") > 0).alias("bad")), "labelled")
+        n, n_bad = known.agg(F.count("*"), F.count_if("bad")).first()
         empty = pages.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, pages long")
         if not n_bad:
             return empty
-        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(known).freqItemsets
+        named = scratch.keep(classes(known), "classes")
+        of = known.select("row", F.explode("items").alias("token")).join(named.select("item", F.explode("tokens").alias("token")), "token")
+        held = known.select("row", "bad").join(of.groupBy("row").agg(F.collect_set("item").alias("items")), "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+        held = scratch.keep(held.select(F.when(F.col("bad"), F.array_append("items", BAD)).otherwise(F.col("items")).alias("items")), "baskets")
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(held).freqItemsets
         sets = scratch.keep(sets.select(F.array_sort("items").alias("items"), "freq"), "item-sets")
         # Only rules to bad are made: from a set with it, and what is left without it.
         with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("pages"))
@@ -80,6 +104,7 @@ def mine(pages: DataFrame, labels: DataFrame, support: float, confidence: float,
             level = scratch.keep(one_less.join(smaller, "part").groupBy("items", "pages", "confidence", "size").agg(F.max("best").alias("below")), "level")
             done = done.unionByName(level)
         good = done.where((F.col("pages") >= least) & (F.col("confidence") >= confidence) & (F.col("confidence") * n / n_bad >= lift) & (F.col("below") < F.col("confidence")))
+        good = spelled(scratch.keep(good, "good"), named)
         return scratch.result(good.select("items", "confidence", (F.col("pages") / n).alias("support"), "pages"), "url-rules")
 
 

@@ -329,8 +329,8 @@ def with_retries(call: Callable[[], str], tries: int = 5, wait: float = 45.0, sl
 
 class Turns:
     """Calls of `tasks` tasks at least `seconds` apart, on one schedule: of each round of turns
-    the task of number k takes the k-th. A task that is late goes on from there, so that
-    nothing is made up for and the rate holds."""
+    the task of number k takes the k-th. A task that is late goes on from there and makes
+    nothing up, so the rate holds on the whole; its late call may fall beside another task's turn."""
 
     def __init__(self, seconds: float, tasks: int, k: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.clock, self.sleep, self.round = clock, sleep, seconds * tasks

@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--model")
         c.add_argument("--base-url", help="of a chat endpoint")
         c.add_argument("--log", help="a folder that keeps each answer, so that none is asked for twice")
-        c.add_argument("--rate", type=float, help="calls a minute of all tasks together, at most")
+        c.add_argument("--rate", type=float, help="calls a minute of all tasks together, on the whole")
         c.add_argument("--caption-fps", type=int, default=1, help="frames a second that a chat endpoint gets")
         c.add_argument("--delay", type=float, default=10.0, help="seconds after each call")
     ext = add("extract", "one reference picture for each clip")

@@ -28,27 +28,36 @@ def masks(n: int, distance: int, n_bits: int, most: int = 1_000) -> list[int]:
 
 #: Hashes with one value under a mask that are compared with all others of it in one key.
 PART = 4_096
+#: Values dealt in parts that are broadcast; more are joined by a shuffle.
+HOT = 100_000
 
 
-def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64, part: int = PART) -> DataFrame:
+def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64, part: int = PART, hot: int = HOT) -> DataFrame:
     """a, b, distance: pairs of different hashes (column hash) up to a distance.
 
     Candidates come from joins on the bits under each of masks(); none is missed. Equal
     hashes are one from the start. Masks get wider with the number of hashes, so that a
     value is shared by few. Values that more than `part` hashes share are dealt in parts: one side's
     hashes go to a part each and the other side's to all of them, so no key holds all of a
-    value's candidates; values of one hash are left out before the join.
+    value's candidates. Spark takes rows under masks for as few as there are hashes, so it is
+    told to sort and merge them: it would collect and broadcast a row for each hash and mask.
     """
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     once = materialize(hashes.select("hash").dropna().distinct(), "distinct-hashes")
     each = F.array(*[F.lit(signed(m)).cast("long") for m in masks(once.count(), distance, n_bits)])
     rows = once.select("hash", F.posexplode(each).alias("band", "mask"))
     rows = rows.select("hash", "band", F.col("hash").bitwiseAND(F.col("mask")).alias("bits"))
-    shared = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(shared.select("band", "bits", F.ceil(F.col("n") / part).cast("int").alias("parts")), ["band", "bits"])
+    shared = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > part)
+    shared = materialize(shared.select("band", "bits", F.ceil(F.col("n") / part).cast("int").alias("parts")), "hot-values")
+    many = shared.count()
+    if many:
+        shared = F.broadcast(shared) if many <= hot else shared.hint("merge")
+        rows = rows.join(shared, ["band", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        rows = rows.withColumn("parts", F.lit(1))
     left = rows.select("band", "bits", F.col("hash").alias("a"), F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int").alias("part"))
     right = rows.select("band", "bits", F.col("hash").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    near = left.join(right, ["band", "bits", "part"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("long"))
+    near = left.join(right.hint("merge"), ["band", "bits", "part"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("long"))
     return near.where(F.col("distance") <= distance).select("a", "b", "distance").distinct()
 
 
@@ -63,15 +72,15 @@ def pairs(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64, ke
 
 def groups(hashes: DataFrame, distance: int = HASH_DISTANCE, n_bits: int = 64, key: str = "id") -> DataFrame:
     """key, group_id (smallest key) of rows in groups of two or more. Rows of equal hash
-    are joined through it, never as pairs; rows without hash are in no group."""
+    are joined through it, never as pairs; rows without hash are in no group. Groups are
+    counted by hashes, and written, so that Spark splits the rows of a large one in the joins."""
     known = hashes.select(key, "hash").dropna()
-    first = materialize(known.groupBy("hash").agg(F.min(key).alias("first")), "hashes")
+    first = materialize(known.groupBy("hash").agg(F.min(key).alias("first"), F.count("*").alias("copies")), "hashes")
     found = components(distinct_pairs(first, distance, n_bits).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = first.join(found.withColumnRenamed("node", "hash"), "hash", "left").withColumn("label", F.coalesce("label", "hash"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("group_id"))
-    rows = known.join(labelled.select("hash", "label").join(least, "label").select("hash", "group_id"), "hash").select(key, "group_id")
-    many = rows.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return rows.join(many, "group_id").select(key, "group_id")
+    least = labelled.groupBy("label").agg(F.min("first").alias("group_id"), F.sum("copies").alias("n")).where("n > 1")
+    least = materialize(least.select("label", "group_id"), "groups")
+    return known.join(labelled.select("hash", "label").join(least, "label").select("hash", "group_id"), "hash").select(key, "group_id")
 
 
 def across_sources(grouped: DataFrame, source: str = "source") -> DataFrame:

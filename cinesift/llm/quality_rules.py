@@ -5,14 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, chosen_labels, code_points, known_rows, map_batches, with_arrays
+from ..lineage import Scratch, materialize
+from .common import SPACE, code_points, map_batches, one_label, with_arrays
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+#: Trees, rows that each of them sees, and what draws them; steps of a score that are counted.
+TREES, SAMPLE, SEED, STEPS = 200, 256, 11, 1 << 16
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_digits long, n_marks long, longest_word long, n_bytes long, n_ended long, n_symbol_words long"
 #: Names of the columns of `rules()` that the forest sees.
 RULES = ["log_words", "mean_word", "symbols", "dup_lines", "repeats", "words_a_line", "distinct", "upper", "digits", "marks", "longest", "unended", "symbol_words"]
@@ -98,38 +102,48 @@ class IsolationForest:
     def average_path(n: int) -> float:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
+    @staticmethod
+    def shares(n: int, n_rare: int, sample: int = SAMPLE, share: float = 0.02) -> tuple[int, int]:
+        """How many of n rows and of n_rare rare ones a tree sees."""
+        some = min(n_rare, max(1, round(share * sample)))
+        return min(sample - some, n), some
+
     @classmethod
-    def fit(cls, x: np.ndarray, rare: np.ndarray | None = None, trees: int = 200, sample: int = 256, share: float = 0.02, seed: int = 11) -> IsolationForest:
-        """rare: rows of which each tree gets a share of its sample. Splits are drawn
-        between the values that a tree has seen, so a rule that no ordinary row breaks
-        is split on only where some row that breaks it is seen."""
-        rng = np.random.default_rng(seed)
-        some = 0 if rare is None else min(len(rare), max(1, round(share * sample)))
-        sample = min(sample - some, len(x)) + some
+    def grow(cls, drawn: np.ndarray, sample: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A tree over the rows drawn for it. Splits are drawn between the values that a tree
+        has seen, so a rule that no ordinary row breaks is split on only where some row that
+        breaks it is seen."""
         limit = int(np.ceil(np.log2(max(sample, 2)))) + 2
-        made = []
-        for _ in range(trees):
-            nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
-            drawn = x[rng.choice(len(x), sample - some, replace=False)]
-            if some:
-                drawn = np.vstack([drawn, rare[rng.choice(len(rare), some, replace=False)]])
-            todo = [(0, drawn, 0)]
-            while todo:
-                at, rows, depth = todo.pop()
-                low, high = (rows.min(0), rows.max(0)) if len(rows) else (0, 0)
-                able = np.flatnonzero(high > low) if len(rows) > 1 else []
-                if depth >= limit or len(able) == 0:
-                    nodes[at][3] = depth + cls.average_path(len(rows))
-                    continue
-                f = int(rng.choice(able))
-                t = float(rng.uniform(low[f], high[f]))
-                left = rows[:, f] <= t
-                nodes[at][:3] = [f, t, len(nodes)]
-                todo += [(len(nodes), rows[left], depth + 1), (len(nodes) + 1, rows[~left], depth + 1)]
-                nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
-            a = np.array(nodes)
-            made.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3]))
-        return cls(made, max(cls.average_path(sample), 1e-9))
+        nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
+        todo = [(0, drawn, 0)]
+        while todo:
+            at, rows, depth = todo.pop()
+            low, high = (rows.min(0), rows.max(0)) if len(rows) else (0, 0)
+            able = np.flatnonzero(high > low) if len(rows) > 1 else []
+            if depth >= limit or len(able) == 0:
+                nodes[at][3] = depth + cls.average_path(len(rows))
+                continue
+            f = int(rng.choice(able))
+            t = float(rng.uniform(low[f], high[f]))
+            left = rows[:, f] <= t
+            nodes[at][:3] = [f, t, len(nodes)]
+            todo += [(len(nodes), rows[left], depth + 1), (len(nodes) + 1, rows[~left], depth + 1)]
+            nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
+        a = np.array(nodes)
+        return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3]
+
+    @classmethod
+    def of(cls, trees: list, sample: int) -> IsolationForest:
+        return cls(trees, max(cls.average_path(sample), 1e-9))
+
+    @classmethod
+    def fit(cls, x: np.ndarray, rare: np.ndarray | None = None, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> IsolationForest:
+        """A forest over rows in memory. rare: rows of which each tree gets a share of its sample."""
+        rng = np.random.default_rng(seed)
+        rare = x[:0] if rare is None else rare
+        own, some = cls.shares(len(x), len(rare), sample)
+        draw = lambda rows, n: rows[rng.choice(len(rows), n, replace=False)] if n else rows[:0]
+        return cls.of([cls.grow(np.vstack([draw(x, own), draw(rare, some)]), own + some, rng) for _ in range(trees)], own + some)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): near 1 for rows that are set apart at once."""
@@ -142,54 +156,59 @@ class IsolationForest:
             total += path[at]
         return 2.0 ** (-total / max(len(self.trees), 1) / self.scale)
 
-    def calibrate(self, score: np.ndarray, good: np.ndarray, most_lost: float = 0.003) -> None:
-        """The threshold above which a row is anomalous: of those that lose at most
-        `most_lost` of the good rows, the one with the best share of bad rows found
-        less share of good rows lost."""
-        if not good.any() or good.all():
-            self.threshold = float(score.max(initial=0.5)) + 1e-9
+    def calibrate(self, steps: np.ndarray, good: np.ndarray, bad: np.ndarray, most_lost: float = 0.003) -> None:
+        """The threshold above which a row is anomalous: of those that lose at most `most_lost`
+        of the good rows, the one with the best share of bad rows found less share of good rows
+        lost. good, bad: how many rows score in each of the rising `steps` of 1 / STEPS."""
+        self.threshold = float(steps.max(initial=STEPS // 2) + 1) / STEPS
+        if not good.any() or not bad.any():
             return
-        cuts = np.unique(np.concatenate([score, [score.max() + 1e-6]]))
-        if len(cuts) > 2000:
-            cuts = np.quantile(cuts, np.linspace(0, 1, 2000))
-        g, b = np.sort(score[good]), np.sort(score[~good])
-        lost = 1 - np.searchsorted(g, cuts, side="left") / len(g)
-        found = 1 - np.searchsorted(b, cuts, side="left") / len(b)
+        lost, found = (np.cumsum(n[::-1])[::-1] / n.sum() for n in (good, bad))
         gain = np.where(lost <= most_lost, found - lost, -1.0)
-        self.threshold = float(cuts[int(np.argmax(gain))]) if gain.max() > 0 else float(score.max()) + 1e-9
-
-
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> IsolationForest:
-    """A forest over at most about `bound` labelled rows (chosen by a hash of their id; one
-    of the rows of a repeated id) that the base rules pass. Trees are grown on two folds of
-    three and see mostly rows labelled good, and a few others, as a forest expects of
-    anomalies; the threshold is from the labels of the third fold, which no tree has seen."""
-    chosen = chosen_labels(labels, "quality", bound, 3)
-    rows = known_rows(with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), *(x.split()[0] for x in BASE.split(", ")))
-    rows = rows[~failed(rows["n_words"], rows["n_repeat_words"])] if len(rows) else rows
-    if not len(rows):
-        return IsolationForest([], 1.0, 2.0)
-    x, good, unseen = rules(rows), rows["label"].to_numpy(float) > 0, rows["fold"].to_numpy() == 0
-    if unseen.all() or not unseen.any():  # too few rows to keep some apart
-        grown = unseen = np.ones(len(x), bool)
-    else:
-        grown = ~unseen
-    own = x[grown & good]
-    forest = IsolationForest.fit(own, x[grown & ~good]) if len(own) and (grown & ~good).any() else IsolationForest.fit(x[grown])
-    forest.calibrate(forest.score(x[unseen]), good[unseen])
-    return forest
-
-
-def judge(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
-    """doc_id, the statistics, base_failed, anomaly, kept for every row of docs.
+        if gain.max() > 0:
+            self.threshold = float(steps[int(np.argmax(gain))]) / STEPS
+
+
+NAMES = [x.split()[0] for x in BASE.split(", ")]
+TREE = "tree int, feature array<int>, threshold array<double>, child array<int>, path array<double>"
 
-    kept is false if base_failed, else whether the forest finds no anomaly. Null
-    and empty texts have no words, so they fail the base rules. Null ids, repeated
-    rows and ties: each row is judged by its text alone. Without labelled rows
-    nothing is an anomaly. No rows: no rows. Other columns of docs are ignored.
-    """
-    forest = fit(docs, labels, bound)
-    stats = with_statistics(docs.select("doc_id", "text")).drop("text")
+
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good, fold and the statistics of every row that may be learned from and passes the
+    base rules; one of the rows of a repeated id."""
+    rows = stats.join(one_label(labels, "quality"), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *NAMES)).alias("least"))
+    rows = rows.select("doc_id", "least.*").where(~failed(F.col("n_words"), F.col("n_repeat_words")))
+    fold = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("long")), F.lit(3))
+    return rows.select("doc_id", (F.col("label") > 0).alias("good"), fold.alias("fold"), *NAMES)
+
+
+def drawn(rows: DataFrame, n: dict[bool, int], wanted: dict[bool, int], trees: int = TREES, seed: int = SEED) -> DataFrame:
+    """tree, rare, key, doc_id and the statistics: for each tree, of the n rows that are rare or not
+    the wanted ones with the smallest hashes of tree and id, so any row may be in any tree. Only
+    hashes low enough to be among these are ranked (8 deviations over the number that is wanted)."""
+    low = {k: min(1.0, (wanted[k] + 8 * wanted[k] ** 0.5 + 16) / max(n[k], 1)) for k in n}
+    below = F.when(F.col("rare"), F.lit(int(low[True] * (1 << 60)))).otherwise(F.lit(int(low[False] * (1 << 60))))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    each = each.withColumn("key", F.pmod(F.xxhash64(F.lit(seed), "tree", "doc_id"), F.lit(1 << 60))).where(F.col("key") < below)
+    place = F.row_number().over(Window.partitionBy("tree", "rare").orderBy("key", "doc_id"))
+    most = F.when(F.col("rare"), F.lit(wanted[True])).otherwise(F.lit(wanted[False]))
+    return each.withColumn("place", place).where(F.col("place") <= most).select("tree", "rare", "key", "doc_id", *NAMES)
+
+
+def grown(rows: DataFrame, sample: int, seed: int = SEED) -> list[tuple]:
+    """The trees of drawn(), each grown from its own rows in a task."""
+
+    def tree(key, x):
+        x = x.sort_values(["rare", "key", "doc_id"], kind="stable")
+        parts = IsolationForest.grow(rules(x), sample, np.random.default_rng([seed, int(key[0])]))
+        return pd.DataFrame({"tree": [key[0]], **{c: [p] for c, p in zip(("feature", "threshold", "child", "path"), parts, strict=True)}})
+
+    found = sorted(rows.groupBy("tree").applyInPandas(tree, TREE).collect())
+    return [tuple(np.array(x) for x in r[1:]) for r in found]
+
+
+def anomalies(rows: DataFrame, forest: IsolationForest) -> DataFrame:
+    """rows and their score as anomaly."""
 
     def make():
         def f(batch):
@@ -199,7 +218,52 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
 
         return f
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in stats.dtypes)
+    return map_batches(rows, make, ", ".join(f"`{c}` {k}" for c, k in rows.dtypes) + ", anomaly double", rows=20_000)
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> IsolationForest:
+    """A forest over all labelled rows that the base rules pass, from their statistics. Trees are
+    grown on two folds of three and see mostly rows labelled good, and a few others, as a
+    forest expects of anomalies; each draws its own sample of these folds. The threshold is from
+    the labels of all rows of the third fold, which no tree has seen: they are counted by
+    steps of 1 / STEPS of their score, so no row of them is collected."""
+    with Scratch(stats.sparkSession) as scratch:
+        rows = scratch.keep(labelled(stats, labels), "labelled")
+        n = {(r.unseen, r.good): r["n"] for r in rows.groupBy((F.col("fold") == 0).alias("unseen"), "good").agg(F.count("*").alias("n")).collect()}
+        if not n:
+            return IsolationForest([], 1.0, 2.0)
+        seen = unseen = rows
+        if len({k for k, _ in n}) == 2:  # else too few rows to keep some apart
+            seen, unseen = rows.where("fold <> 0"), rows.where("fold = 0")
+            own = {good: n.get((False, good), 0) for good in (True, False)}
+        else:
+            own = {good: sum(m for k, m in n.items() if k[1] == good) for good in (True, False)}
+        rare = F.lit(False)
+        if own[True] and own[False]:
+            rare = ~F.col("good")
+        else:
+            own = {True: sum(own.values()), False: 0}
+        wanted = dict(zip((False, True), IsolationForest.shares(own[True], own[False]), strict=True))
+        sample = sum(wanted.values())
+        trees = grown(drawn(seen.withColumn("rare", rare), {False: own[True], True: own[False]}, wanted), sample)
+        forest = IsolationForest.of(trees, sample)
+        step = F.floor(F.col("anomaly") * STEPS).alias("step")
+        counts = anomalies(unseen, forest).groupBy(step).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas().sort_values("step")
+        forest.calibrate(*(counts[c].to_numpy(np.int64) for c in ("step", "good", "bad")))
+        return forest
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the statistics, base_failed, anomaly, kept for every row of docs.
+
+    kept is false if base_failed, else whether the forest finds no anomaly. Null
+    and empty texts have no words, so they fail the base rules. Null ids, repeated
+    rows and ties: each row is judged by its text alone. Without labelled rows
+    nothing is an anomaly. No rows: no rows. Other columns of docs are ignored.
+    Texts are read once: their statistics are written.
+    """
+    stats = materialize(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
+    forest = fit(stats, labels)
     base = failed(F.col("n_words"), F.col("n_repeat_words"))
-    out = map_batches(stats, make, f"{kinds}, anomaly double", rows=20_000).withColumn("base_failed", base)
+    out = anomalies(stats, forest).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < forest.threshold))

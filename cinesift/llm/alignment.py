@@ -4,6 +4,7 @@ and tokens of one group are linked."""
 from __future__ import annotations
 
 import contextlib
+import functools
 import hashlib
 import json
 import os
@@ -26,6 +27,8 @@ FREQUENT, LONGEST, PAIRS = 1 << 17, 32, 1 << 18
 _BETWEEN = re.compile("(?<=[^ ]) (?=[!-~¡-ɏ])")
 #: Characters that are encoded at once.
 AT_ONCE = 1 << 18
+#: Texts are put together in so many turns, so a part of them at once has its stretches and records on disk.
+TURNS = 4
 
 
 class Tokenizers:
@@ -277,7 +280,7 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     (if certain() holds of the vocabularies; else a text is one stretch), and each
     distinct stretch is encoded and aligned once, in relations (aligned()). Texts are
     put together from their stretches: the `frequent` most common short ones are broadcast, the others
-    come by a join on the stretch. Counts of pairs are over all rows of docs; the
+    come by a join on the stretch, in TURNS by a hash of the text. Counts of pairs are over all rows of docs; the
     `frequent_pairs` most common ones are broadcast, the others are joined. Both bounds change only
     what is shuffled.
 
@@ -287,7 +290,8 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     rows: no rows. Other columns of docs are ignored.
     """
     spark, split = docs.sparkSession, certain(a, b)
-    rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest")
+    rows = docs.select("doc_id", "text", digest)
     with Scratch(spark) as scratch, dealt_once(spark):
         tokens = scratch.keep(encoded(distinct_stretches(rows, split), a, b).withColumn("key", F.monotonically_increasing_id()), "tokens")
         records = scratch.keep(aligned(tokens), "records")
@@ -306,12 +310,6 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
 
             return f
 
-        wanted = map_batches(rows.select("digest", "text"), others, "digest binary, place int, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
-        own = wanted.join(records.select("stretch", "groups").hint("merge"), "stretch").groupBy("digest").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
-        # Copies of a text are one row from here on; both sides are dealt by digest already.
-        texts = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-        held = texts.join(own.hint("merge"), "digest", "left").select("digest", "copies", "text", "own")
-
         def whole():
             given = known.value
 
@@ -326,8 +324,17 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
 
             return f
 
-        found = scratch.keep(map_batches(held, whole, "digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"), "links")
-        scratch.drop(1)
+        parts = []
+        for turn in range(TURNS):
+            some = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(TURNS)) == turn).select("text", digest)
+            wanted = map_batches(some.select("digest", "text"), others, "digest binary, place int, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
+            own = wanted.join(records.select("stretch", "groups").hint("merge"), "stretch").groupBy("digest").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
+            # Copies of a text are one row from here on; both sides are dealt by digest already.
+            texts = some.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+            held = texts.join(own.hint("merge"), "digest", "left").select("digest", "copies", "text", "own")
+            parts.append(scratch.keep(map_batches(held, whole, "digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"), "links"))
+        found = functools.reduce(DataFrame.unionByName, parts)
+        scratch.drop(TURNS)
         counts = scratch.keep(pair_counts(found), "pairs")
         # Written, so that the join has a plain exchange on either side and Spark splits a hot digest's rows.
         result = scratch.keep(with_counts(found, counts, frequent_pairs), "aligned")

@@ -56,3 +56,17 @@ def test_rows_of_a_group_are_not_counted_again(spark):
     assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
     found = duplicates.across_sources(rows.selectExpr("id", "group_id", "id % 3 AS source")).collect()
     assert [tuple(r) for r in found] == [(0, 3, 400)]
+
+
+def test_cross_source_query_broadcasts_no_rows_of_hash_and_mask(spark, monkeypatch):
+    from cinesift.catalog import QUERIES
+
+    plans, plain = [], duplicates.distinct_pairs
+
+    def seen(*a, **b):
+        plans.append((out := plain(*a, **b))._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(duplicates, "distinct_pairs", seen)
+    QUERIES["cross_source_duplicates"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]

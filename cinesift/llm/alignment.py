@@ -11,9 +11,11 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,13 @@ from .common import map_batches
 #: The others are joined.
 FREQUENT, LONGEST, PAIRS = 1 << 17, 32, 1 << 18
 #: Both tokenizers begin a token at a space between these.
-_BETWEEN = re.compile("(?<=[^ ]) (?=[!-~¡-ɏ])")
-#: Characters that are encoded at once.
-AT_ONCE = 1 << 18
+_BETWEEN = re.compile(" (?=[!-~¡-ɏ])(?<=[^ ] )")
+#: A space that they may not begin a token at.
+_ODD = re.compile(" (?![!-~¡-ɏ])")
+#: Characters that are encoded at once, and of texts that are put together at once.
+AT_ONCE, TOGETHER = 1 << 18, 1 << 20
+#: Groups longer than this as text are read one by one, and equal links of a group counted before they are made.
+LIGHT = 1024
 #: Texts are put together in so many turns, so a part of them at once has its stretches and records on disk.
 TURNS = 4
 
@@ -84,7 +90,11 @@ def certain(a: str, b: str) -> bool:
 
 def cut(text: str | None, split: bool) -> list[str]:
     """The stretches of a text, without the single spaces between them; none of an empty text."""
-    return [] if not text else _BETWEEN.split(text) if split else [text]
+    if not text:
+        return []
+    if not split:
+        return [text]
+    return _BETWEEN.split(text) if text[0] == " " or _ODD.search(text) else text.split(" ")
 
 
 def distinct_stretches(docs: DataFrame, split: bool) -> DataFrame:
@@ -117,6 +127,7 @@ def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(one) for one in ids])]).astype(np.int32))
             return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (flat, size[flat])]
 
+        a_of, b_of = both.a_bytes.__getitem__, both.b_bytes.__getitem__
         a_size, b_size = (np.array([len(x) for x in v], np.int32) for v in (both.a_bytes, both.b_bytes))
 
         def f(batch):
@@ -130,7 +141,7 @@ def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
                 ok = []
                 for i, s in enumerate(some):
                     whole = b" " + s.encode()
-                    ok.append(b"".join([both.a_bytes[x] for x in a_ids[i]]) == whole == b"".join([both.b_bytes[x] for x in b_ids[i]]))
+                    ok.append(b"".join(map(a_of, a_ids[i])) == whole == b"".join(map(b_of, b_ids[i])))
                     if not ok[-1]:
                         a_ids[i] = b_ids[i] = []
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(ok), *tokens(a_ids, a_size), *tokens(b_ids, b_size)], names=["stretch", "n", "ok", "a", "a_len", "b", "b_len"])
@@ -216,60 +227,119 @@ def links(groups: str) -> tuple[list[int], list[int], list[int]]:
     return numbers, pairs, times
 
 
-class Known:
-    """Stretches with their numbers, groups and links; pairs and times are in one array for
-    all. A stretch without groups is one whose tokens' bytes aren't its own."""
-
-    def __init__(self, rows: Iterable[tuple[str, str | None]]):
-        self.at: dict[str, tuple] = {}
-        pairs: list[int] = []
-        times: list[int] = []
-        for stretch, groups in rows:
-            low, numbers = len(pairs), (0,) * len(NUMBERS)
-            if groups is not None:
-                numbers, more, n = links(groups)
-                pairs.extend(more)
-                times.extend(n)
-            self.at[stretch] = (groups is not None, *numbers, groups, low, len(pairs))
-        self.pairs, self.times = np.array(pairs, np.int64), np.array(times, np.int64)
-
-
-def rare(stretches: list[str], known: Known) -> list[str]:
-    """The distinct stretches that aren't known, in the order first seen. Records of them come
-    back to their text by their place in it."""
-    return list(dict.fromkeys(s for s in stretches if s not in known.at))
-
-
 def spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """low[0] .. high[0] - 1, low[1] .. high[1] - 1, and so on."""
     n = high - low
     return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def put_together(stretches: list[str], known: Known, own: Known) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-    """A text's numbers, the hash of its groups, its distinct pairs and how many links are of each."""
-    none = [0] * len(NUMBERS), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = Counter(stretches)
-    found = {s: known.at.get(s) or own.at[s] for s in n}
-    if not n or not all(r[0] for r in found.values()):
-        return none
-    numbers = [sum(k * found[s][i] for s, k in n.items()) for i in range(1, 5)]
-    sha = hashlib.sha256(";".join([found[s][5] for s in stretches]).encode()).hexdigest()
-    pairs, times = [], []
-    for held, inside in ((known, True), (own, False)):
-        some = [(found[s][6], found[s][7], k) for s, k in n.items() if (s in known.at) == inside]
-        if some:
-            low, high, k = (np.array(x, np.int64) for x in zip(*some, strict=True))
-            at = spread(low, high)
-            pairs.append(held.pairs[at])
-            times.append(held.times[at] * np.repeat(k, high - low))
-    pairs, which = np.unique(np.concatenate(pairs), return_inverse=True)
-    return numbers, sha, pairs, np.bincount(which, np.concatenate(times), len(pairs)).astype(np.int64)
-
-
-def lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of runs of values that end before `ends`; a run may be empty."""
+    total = np.concatenate([np.zeros_like(values[:1], shape=(1, *values.shape[1:])), np.cumsum(values, axis=0)])
+    return np.diff(total[ends], axis=0, prepend=total[:1])
+
+
+def all_links(groups: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What links() gives, of many at once: NUMBERS of each, where each one's pairs end, and the
+    pairs; equal links of a group are not counted but all there."""
+    if not groups:
+        return np.zeros((0, len(NUMBERS)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = ";".join(groups).encode()
+    ids = np.array(text.translate(bytes.maketrans(b"|;", b",,")).split(b",")).astype(np.int64)
+    data = np.frombuffer(text, np.uint8)
+    mark = data[(data < ord("0")) | (data > ord("9"))]
+    # Which group an id is of, and which side: a group has one bar.
+    group = np.concatenate([[0], np.cumsum(mark == ord(";"))])
+    of_b = np.concatenate([[0], np.cumsum(mark == ord("|"))]) > group
+    n_groups = np.array([g.count(";") + 1 for g in groups])
+    n_a, n_b = (np.bincount(group[side], minlength=int(group[-1]) + 1) for side in (~of_b, of_b))
+    ends = np.cumsum(n_groups)
+    numbers = sums(np.stack([n_a, n_b, np.ones_like(n_a), n_a * n_b], axis=1), ends)
+    at, begin = group[~of_b], np.cumsum(n_b) - n_b
+    pairs = (np.repeat(ids[~of_b], n_b[at]) << 32) + ids[of_b][spread(begin[at], (begin + n_b)[at])]
+    return numbers, np.cumsum(numbers[:, 3]), pairs
+
+
+class Known:
+    """Stretches with their numbers, groups and links; pairs and times are in one array for
+    all. A stretch without groups is one whose tokens' bytes aren't its own."""
+
+    def __init__(self, rows: Iterable[tuple[str, str | None]]):
+        rows = list(rows)
+        self.at = {stretch: i for i, (stretch, _) in enumerate(rows)}
+        self.groups = [(groups or "").encode() for _, groups in rows]
+        self.ok = np.array([groups is not None for _, groups in rows], bool)
+        self.numbers = np.zeros((len(rows), len(NUMBERS)), np.int64)
+        self.low, self.high = np.zeros((2, len(rows)), np.int64)
+        light = [i for i, (_, groups) in enumerate(rows) if groups is not None and len(groups) <= LIGHT]
+        self.numbers[light], self.high[light], pairs = all_links([rows[i][1] for i in light])
+        self.low[light] = self.high[light] - self.numbers[light, 3]
+        pairs, times = [pairs], [np.ones(len(pairs), np.int64)]
+        n = len(pairs[0])
+        for i, (_, groups) in enumerate(rows):
+            if groups is not None and len(groups) > LIGHT:
+                self.numbers[i], more, count = links(groups)
+                self.low[i], self.high[i] = n, n + len(more)
+                n += len(more)
+                pairs.append(np.array(more, np.int64))
+                times.append(np.array(count, np.int64))
+        self.pairs, self.times = np.concatenate(pairs), np.concatenate(times)
+        #: The distinct pairs, and which of them each one is.
+        self.kinds, self.kind = np.unique(self.pairs, return_inverse=True)
+
+
+def rare(stretches: Iterable[str], known: Known) -> list[str]:
+    """The distinct stretches that aren't known, in order. Records of them come
+    back to their text by their place in it."""
+    return sorted(set(stretches).difference(known.at))
+
+
+def put_together(texts: list[list[str]], known: Known, records: list[list[tuple[int, str | None]]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts, as stretches, and the groups of rare() of each by place: NUMBERS and the hash of the
+    groups of each; where each one's distinct pairs end, these pairs, and how many links are of each."""
+    flat = list(chain.from_iterable(texts))
+    ends = np.cumsum([len(t) for t in texts])
+    ids = np.fromiter(map(known.at.get, flat, repeat(-1)), np.int64, len(flat))
+    missing = np.flatnonzero(ids < 0)
+    of_text = np.searchsorted(missing, np.concatenate([[0], ends]))
+    names = [flat[i] for i in missing.tolist()]
+    found: dict[str, str | None] = {}
+    for i, record in enumerate(records):
+        if of_text[i] < of_text[i + 1]:
+            own_names = sorted(set(names[of_text[i] : of_text[i + 1]]))
+            found.update((own_names[place], groups) for place, groups in record)
+    own = Known(found.items())
+    ids[missing] = np.fromiter(map(own.at.__getitem__, names), np.int64, len(names)) + len(known.at)
+    both = lambda name: np.concatenate([getattr(known, name), getattr(own, name)])
+    good = (sums((~both("ok")[ids]).astype(np.int64), ends) == 0) & (np.diff(ends, prepend=0) > 0)
+    numbers = sums(both("numbers")[ids], ends) * good[:, None]
+    groups, shas, low = known.groups + own.groups, [], 0
+    pieces = list(map(groups.__getitem__, ids.tolist()))
+    for high, fine in zip(ends.tolist(), good.tolist(), strict=True):
+        shas.append(hashlib.sha256(b";".join(pieces[low:high])).hexdigest() if fine else "")
+        low = high
+
+    # Each link is a whole number of its text and the kind of its pair; equal ones are neighbours when sorted.
+    place = np.minimum(np.searchsorted(known.kinds, own.kinds), max(len(known.kinds) - 1, 0))
+    new = known.kinds[place] != own.kinds if len(known.kinds) else np.ones(len(own.kinds), bool)
+    kinds = np.concatenate([known.kinds, own.kinds[new]])
+    place[new] = np.arange(len(known.kinds), len(kinds))
+    kind = np.concatenate([known.kind, place[own.kind]])
+    low, high = np.concatenate([known.low, own.low + len(known.pairs)])[ids], np.concatenate([known.high, own.high + len(known.pairs)])[ids]
+    text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    high = np.where(good[text], high, low)
+    at = spread(low, high)
+    link, times = np.repeat(text * len(kinds), high - low) + kind[at], both("times")[at]
+    order = np.sort(link)
+    first = np.flatnonzero(np.diff(order, prepend=-1))
+    order, n = order[first], np.diff(first, append=len(order))
+    many = np.flatnonzero(times != 1)
+    np.add.at(n, np.searchsorted(order, link[many]), times[many] - 1)
+    return numbers, shas, np.searchsorted(order, np.arange(1, len(texts) + 1) * len(kinds)), kinds[order % max(len(kinds), 1)], n
+
+
+def lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
 
 
 def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pairs: int = PAIRS) -> DataFrame:
@@ -280,7 +350,7 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     (if certain() holds of the vocabularies; else a text is one stretch), and each
     distinct stretch is encoded and aligned once, in relations (aligned()). Texts are
     put together from their stretches: the `frequent` most common short ones are broadcast, the others
-    come by a join on the stretch, in TURNS by a hash of the text. Counts of pairs are over all rows of docs; the
+    come by a join on the stretch, and go to their texts in TURNS by a hash of the text. Counts of pairs are over all rows of docs; the
     `frequent_pairs` most common ones are broadcast, the others are joined. Both bounds change only
     what is shuffled.
 
@@ -303,9 +373,9 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
             given = known.value
 
             def f(batch):
-                texts = dict(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-                found = [(d, i, s) for d, t in texts.items() for i, s in enumerate(rare(cut(t, split), given))]
-                kinds = {"digest": pa.binary(), "place": pa.int32(), "stretch": pa.string()}
+                texts = {d: (i, t) for i, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+                found = [(n, d, i, s) for d, (n, t) in texts.items() for i, s in enumerate(rare(cut(t, split), given))]
+                kinds = {"turn": pa.int32(), "digest": pa.binary(), "place": pa.int32(), "stretch": pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
             return f
@@ -314,25 +384,34 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
             given = known.value
 
             def f(batch):
-                out = []
-                for t, o in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                    stretches = cut(t, split)
-                    names = rare(stretches, given)
-                    out.append(put_together(stretches, given, Known((names[r["place"]], r["groups"]) for r in o.as_py() or ())))
-                numbers = [pa.array([r[0][i] for r in out], pa.int64()) for i in range(len(NUMBERS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array([r[1] for r in out], pa.string()), lists([r[2] for r in out]), lists([r[3] for r in out])], names=["digest", "copies", *NUMBERS, "groups_sha256", "pairs", "times"])
+                size, at = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist(), 0
+                while at < batch.num_rows:
+                    n, end = size[at], at + 1
+                    while end < batch.num_rows and n + size[end] <= TOGETHER:
+                        n, end = n + size[end], end + 1
+                    digest, copies, texts, own = batch.slice(at, end - at).columns
+                    flat = list(zip(*(c.to_pylist() for c in own.flatten().flatten()), strict=True))
+                    upto = np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy()).tolist()
+                    records = [flat[low:high] for low, high in zip([0, *upto], upto, strict=False)]
+                    numbers, shas, ends, pairs, times = put_together([cut(t, split) for t in texts.to_pylist()], given, records)
+                    yield pa.RecordBatch.from_arrays([digest, copies, *(pa.array(v) for v in numbers.T.copy()), pa.array(shas, pa.string()), lists(ends, pairs), lists(ends, times)], names=["digest", "copies", *NUMBERS, "groups_sha256", "pairs", "times"])
+                    at = end
 
             return f
 
+        turn = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(TURNS)).cast("int").alias("turn")
+        wanted = map_batches(docs.select(turn, digest, "text"), others, "turn int, digest binary, place int, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
+        # Records are dealt by stretch once; each turn then takes those of its texts.
+        own = scratch.keep(wanted.join(records.select("stretch", "groups").hint("merge"), "stretch").select("turn", "digest", "place", "groups"), "own")
+        scratch.drop(1)
         parts = []
-        for turn in range(TURNS):
-            some = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(TURNS)) == turn).select("text", digest)
-            wanted = map_batches(some.select("digest", "text"), others, "digest binary, place int, stretch string", rows=1024).repartition("stretch").dropDuplicates(["digest", "stretch"])
-            own = wanted.join(records.select("stretch", "groups").hint("merge"), "stretch").groupBy("digest").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
+        for k in range(TURNS):
+            some = docs.where(turn == k).select("text", digest)
+            theirs = own.where(F.col("turn") == k).groupBy("digest").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
             # Copies of a text are one row from here on; both sides are dealt by digest already.
             texts = some.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-            held = texts.join(own.hint("merge"), "digest", "left").select("digest", "copies", "text", "own")
-            parts.append(scratch.keep(map_batches(held, whole, "digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"), "links"))
+            held = texts.join(theirs.hint("merge"), "digest", "left").select("digest", "copies", "text", "own")
+            parts.append(scratch.keep(map_batches(held, whole, "digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>", rows=1024), "links"))
         found = functools.reduce(DataFrame.unionByName, parts)
         scratch.drop(TURNS)
         counts = scratch.keep(pair_counts(found), "pairs")

@@ -29,8 +29,15 @@ FREQUENT, LONGEST, PAIRS = 1 << 17, 32, 1 << 18
 _BETWEEN = re.compile(" (?=[!-~¡-ɏ])(?<=[^ ] )")
 #: A space that they may not begin a token at.
 _ODD = re.compile(" (?![!-~¡-ɏ])")
-#: Characters that are encoded at once, and of texts that are put together at once.
-AT_ONCE, TOGETHER = 1 << 18, 1 << 20
+#: Letters; signs, digits and white space that neither tokenizer puts behind a letter in one token; those of
+#: them but an apostrophe that none has before a letter.
+LETTER, SIGN, BARE = "A-Za-zÀ-ÖØ-öø-ɏ", "\\t\\n\\r!-@\\[-`{-~", "!-&(-@\\[-`{-~"
+_SURE = " [!-~¡-ɏ]"
+#: A stretch: letters, or signs and at most one line feed (of two before a letter A takes the first alone), up to where
+#: tokens surely end; else all up to a space where they do.
+_STRETCH = re.compile(f" ?[{LETTER}]++(?=[{SIGN}]|{_SURE}|\\Z)| ?[{BARE}]++\\n?+(?=[{LETTER}]|{_SURE}|\\Z)|(?s:.+?)(?:(?<=[^ ])(?={_SURE})|\\Z)")
+#: Characters that are encoded at once, and of texts that are put together at once; stretches that are encoded as one text.
+AT_ONCE, TOGETHER, JOINED = 1 << 18, 1 << 20, 256
 #: Groups longer than this as text are read one by one, and equal links of a group counted before they are made.
 LIGHT = 1024
 #: Texts are put together in so many turns, so a part of them at once has its stretches and records on disk.
@@ -53,11 +60,12 @@ class Tokenizers:
         n = self.a.get_vocab_size(with_added_tokens=True)
         self.a_bytes = [bytes(bytes_of.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(n)]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in v], np.int32) for v in (self.a_bytes, self.b_bytes))
 
-    def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Tokens of A and B of each stretch, with a space before it (which B adds itself)."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
-        return a, self.b.encode(stretches, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Tokens of A and B of each text, which begins with a space (that B adds itself)."""
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
 
 
 def byte_characters() -> dict[int, str]:
@@ -88,63 +96,125 @@ def certain(a: str, b: str) -> bool:
     return not any(re.search("[^▁]▁", pieces.id_to_piece(i)) for i in range(pieces.vocab_size()))
 
 
-def cut(text: str | None, split: bool) -> list[str]:
-    """The stretches of a text, without the single spaces between them; none of an empty text."""
+def apart(b: str) -> bool:
+    """Whether B has no piece in which a letter meets a sign, so words can be cut there: A splits
+    texts at all ends of letters, and before letters if there is neither a space nor an apostrophe."""
+    from sentencepiece import SentencePieceProcessor
+
+    of = SentencePieceProcessor(model_file=b)
+    pieces = (of.id_to_piece(i) for i in range(of.vocab_size()) if not (of.is_control(i) or of.is_unknown(i) or of.is_byte(i)))
+    return not any(re.search(f"[{LETTER}][{SIGN}]|[{BARE}\\t\\n\\r][{LETTER}]", piece) for piece in pieces)
+
+
+def cut(text: str | None, split: int) -> list[str]:
+    """The stretches of a text with a space before it; none of an empty text. split: 0 leaves it
+    whole, 1 cuts it at spaces, 2 where letters begin or end as well."""
     if not text:
         return []
+    if split > 1:
+        return _STRETCH.findall(" " + text)
     if not split:
-        return [text]
-    return _BETWEEN.split(text) if text[0] == " " or _ODD.search(text) else text.split(" ")
+        return [" " + text]
+    return [" " + word for word in (_BETWEEN.split(text) if text[0] == " " or _ODD.search(text) else text.split(" "))]
 
 
-def distinct_stretches(docs: DataFrame, split: bool) -> DataFrame:
-    """stretch, n: each distinct one of all texts and how many documents hold it."""
+def cut_once(texts: list[str | None], split: int, known: Iterable[str] = ()) -> list[str]:
+    """The stretches of each distinct word of texts that isn't known."""
+    words: set[str] = set()
+    out: list[str] = []
+    for text in texts:
+        if split > 1 and text and "\0" not in text and not _ODD.search(" " + text):
+            words.update((" " + text).replace(" ", "\0 ").split("\0"))
+        else:
+            out.extend(set(cut(text, split)))
+    # All of these words begin with a space that they may be cut at.
+    return out + _STRETCH.findall("".join(words.difference(known)))
+
+
+def distinct_stretches(docs: DataFrame, split: int) -> DataFrame:
+    """stretch, n: each distinct one of all texts; n, by which common ones are found, is in how many words
+    it is, where a word is counted once for the texts of a batch."""
 
     def make():
         def f(batch):
-            n: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                n.update(set(cut(text, split)))
+            n = Counter(cut_once(batch.column(0).to_pylist(), split))
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["stretch", "n"])
 
         return f
 
-    return map_batches(docs.select("text"), make, "stretch string, n long", rows=1024).groupBy("stretch").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select("text"), make, "stretch string, n long", rows=2048).groupBy("stretch").agg(F.sum("n").alias("n"))
 
 
 TOKENS = "a array<int>, a_len array<int>, b array<int>, b_len array<int>"
 
 
-def encoded(stretches: DataFrame, a: str, b: str) -> DataFrame:
+_FIRST = frozenset(map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x250))))
+
+
+def encode_each(both: Tokenizers, stretches: list[str], split: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """ok of each stretch, and for either side the tokens of all and where those of each one end.
+
+    Where tokens surely end, stretches needn't be encoded one by one: JOINED of them are one text, in which
+    a word stands before each that has no space. Bytes and ends of tokens are checked; if they aren't
+    those of the stretches, these are encoded in halves.
+    """
+    # Glued to the word before it a stretch is a letter's sign or a sign's letter.
+    before = ["" if s[0] == " " else " ." if s[0].isalpha() else " a" for s in stretches]
+    inner = [i for i, s in enumerate(stretches) if s[-1] != " " and (s[0] != " " or s[1:2] in _FIRST)] if split else []
+    todo = [inner[i : i + JOINED] for i in range(0, len(inner), JOINED)]
+    todo += [[i] for i in sorted(set(range(len(stretches))).difference(inner))]
+    size = np.array([[len(x) for x in before], [len(s.encode()) for s in stretches]], np.int64).reshape(2, -1)
+    ok = np.zeros(len(stretches), bool)
+    done: list[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]] = []
+    while todo:
+        texts = ["".join(x for i in some for x in (before[i], stretches[i])) for some in todo]
+        left = []
+        for some, text, *ids in zip(todo, texts, *both.encode(texts), strict=True):
+            whole, sides = text.encode(), []
+            high = np.cumsum(size[:, some].sum(axis=0))
+            low = high - size[1, some]
+            for own, of, lengths in zip(ids, (both.a_bytes, both.b_bytes), (both.a_size, both.b_size), strict=True):
+                if b"".join(map(of.__getitem__, own)) != whole:
+                    break
+                own = np.array(own, np.int32)
+                ends = np.concatenate([[0], np.cumsum(lengths[own])])
+                first, last = np.searchsorted(ends, low), np.searchsorted(ends, high)
+                if (ends[first] != low).any() or (ends[last] != high).any():
+                    break
+                sides.append((own[spread(first, last)], last - first))
+            if len(sides) == 2:
+                ok[some] = True
+                done.append((some, sides))
+            elif len(some) > 1:
+                left += [some[: len(some) // 2], some[len(some) // 2 :]]
+        todo = left
+    order = np.array([i for some, _ in done for i in some], np.int64)
+    out = []
+    for side in (0, 1):
+        n = np.concatenate([np.zeros(0, np.int64), *(sides[side][1] for _, sides in done)])
+        ids = np.concatenate([np.zeros(0, np.int32), *(sides[side][0] for _, sides in done)])
+        of, count = np.zeros((2, len(stretches)), np.int64)
+        of[order], count[order] = np.cumsum(n) - n, n
+        out.append((ids[spread(of, of + count)], np.cumsum(count)))
+    return ok, out
+
+
+def encoded(stretches: DataFrame, a: str, b: str, split: int) -> DataFrame:
     """stretch, n, ok and TOKENS: the tokens of each stretch with their numbers of bytes; ok: if
     both sides' bytes are those of the stretch, else there are no tokens."""
 
     def make():
         both = Tokenizers(a, b)
 
-        def tokens(ids: list[list[int]], size: np.ndarray) -> list[pa.Array]:
-            flat = np.fromiter((x for one in ids for x in one), np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(one) for one in ids])]).astype(np.int32))
-            return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (flat, size[flat])]
-
-        a_of, b_of = both.a_bytes.__getitem__, both.b_bytes.__getitem__
-        a_size, b_size = (np.array([len(x) for x in v], np.int32) for v in (both.a_bytes, both.b_bytes))
-
         def f(batch):
             texts, at = batch.column(0).to_pylist(), 0
             while at < len(texts):
                 size, end = len(texts[at]), at + 1
                 while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
                     size, end = size + len(texts[end]), end + 1
-                some = texts[at:end]
-                a_ids, b_ids = both.encode(some)
-                ok = []
-                for i, s in enumerate(some):
-                    whole = b" " + s.encode()
-                    ok.append(b"".join(map(a_of, a_ids[i])) == whole == b"".join(map(b_of, b_ids[i])))
-                    if not ok[-1]:
-                        a_ids[i] = b_ids[i] = []
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(ok), *tokens(a_ids, a_size), *tokens(b_ids, b_size)], names=["stretch", "n", "ok", "a", "a_len", "b", "b_len"])
+                ok, sides = encode_each(both, texts[at:end], split)
+                tokens = [lists(ends, v) for (ids, ends), size_of in zip(sides, (both.a_size, both.b_size), strict=True) for v in (ids, size_of[ids])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(ok), *tokens], names=["stretch", "n", "ok", "a", "a_len", "b", "b_len"])
                 at = end
 
         return f
@@ -177,29 +247,29 @@ def aligned(tokens: DataFrame) -> DataFrame:
     null if not ok.
 
     Relational, and dealt by key once: tokens become rows with running sums of their
-    lengths; a token whose end is joined by one of the other side ends a group; the
-    number of such ends before a token is its group; groups of both sides are joined,
-    which links their tokens.
+    lengths; both sides are joined in full on these ends; where a token of either ends, a
+    group does, and the number of such ends before a row is its group; rows of a key and
+    group, of both sides, are brought together, which links their tokens.
     """
     named = tokens.select("key", "stretch", "n").repartition("key")
     # One column and one filter for both sides, so all of what is below uses one exchange.
     tokens = tokens.where("ok and key is not null").select("key", F.array("a", "a_len", "b", "b_len").alias("of")).repartition("key")
 
-    def ends(side: int) -> DataFrame:
+    def ends(side: int, name: str) -> DataFrame:
         token = F.arrays_zip(F.get("of", F.lit(2 * side)).alias("id"), F.get("of", F.lit(2 * side + 1)).alias("len"))
         rows = tokens.select("key", F.posexplode_outer(token).alias("pos", "token"))
         so_far = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(so_far).alias("end"))
+        return rows.select("key", F.col("token.id").alias(name), F.sum("token.len").over(so_far).alias("end"))
+
+    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ends(0, "a").join(ends(1, "b").hint("merge"), ["key", "end"], "full")
+    rows = rows.withColumn("group", F.coalesce(F.sum(F.expr("int(a is not null and b is not null)")).over(before), F.lit(0)))
 
-    def groups(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
-        rows = own.join(other.select("key", "end", F.lit(1).alias("cut")).hint("merge"), ["key", "end"], "left")
-        before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-        ids = F.sort_array(F.collect_list(F.struct("end", "id")))["id"]
-        return rows.groupBy("key", "group").agg(F.array_join(ids.cast("array<string>"), ",").alias(side))
+    def of(side: str):
+        ids = F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))[side]
+        return F.array_join(ids.cast("array<string>"), ",")
 
-    a, b = ends(0), ends(1)
-    both = groups(a, b, "a").join(groups(b, a, "b").hint("merge"), ["key", "group"]).select("key", "group", F.concat("a", F.lit("|"), "b").alias("text"))
+    both = rows.groupBy("key", "group").agg(F.concat(of("a"), F.lit("|"), of("b")).alias("text"))
     rows = both.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list(F.struct("group", "text")))["text"], ";").alias("groups"))
     return named.join(rows.hint("merge"), "key", "left").drop("key")
 
@@ -346,8 +416,9 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of
     docs, for the tokens of the byte-level vocabulary `a` and the pieces of `b`.
 
-    Texts are cut into stretches at single spaces before words, where tokens of both begin
-    (if certain() holds of the vocabularies; else a text is one stretch), and each
+    Texts are cut into words at single spaces before them, where tokens of both begin
+    (if certain() holds of the vocabularies; else a text is one stretch), words into stretches where
+    letters meet signs (if apart() holds; else a word is one), and each
     distinct stretch is encoded and aligned once, in relations (aligned()). Texts are
     put together from their stretches: the `frequent` most common short ones are broadcast, the others
     come by a join on the stretch, and go to their texts in TURNS by a hash of the text. Counts of pairs are over all rows of docs; the
@@ -360,10 +431,11 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
     rows: no rows. Other columns of docs are ignored.
     """
     spark, split = docs.sparkSession, certain(a, b)
+    split = 1 + apart(b) if split else 0
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest")
     rows = docs.select("doc_id", "text", digest)
     with Scratch(spark) as scratch, dealt_once(spark):
-        tokens = scratch.keep(encoded(distinct_stretches(rows, split), a, b).withColumn("key", F.monotonically_increasing_id()), "tokens")
+        tokens = scratch.keep(encoded(distinct_stretches(rows, split), a, b, split).withColumn("key", F.monotonically_increasing_id()), "tokens")
         records = scratch.keep(aligned(tokens), "records")
         scratch.drop(1)
         top = records.where(F.octet_length("stretch") <= LONGEST).orderBy(F.desc("n"), "stretch").limit(frequent).select("stretch", "groups")
@@ -374,7 +446,7 @@ def align(docs: DataFrame, a: str, b: str, frequent: int = FREQUENT, frequent_pa
 
             def f(batch):
                 texts = {d: (i, t) for i, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
-                found = [(n, d, i, s) for d, (n, t) in texts.items() for i, s in enumerate(rare(cut(t, split), given))]
+                found = [(n, d, i, s) for d, (n, t) in texts.items() for i, s in enumerate(rare(cut_once([t], split, given.at), given))]
                 kinds = {"turn": pa.int32(), "digest": pa.binary(), "place": pa.int32(), "stretch": pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
